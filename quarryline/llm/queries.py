@@ -6,9 +6,10 @@ from collections.abc import Callable
 
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from . import bpe, mixing, simhash, telephony
-from .common import table
+from . import bpe, language, mixing, simhash, telephony, toxicity
+from .common import doc_key, table
 
 RANKS = public_tokenizers.path("byte_bpe_50k.tiktoken")
 
@@ -28,15 +29,39 @@ def op7_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return simhash.near_duplicates(table(spark, sf_dir, "documents"))
 
 
+def op8_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Toxicity of every document, learned without the rows whose crc32(doc_id) mod 4 is 2."""
+    docs = table(spark, sf_dir, "documents")
+    model = toxicity.train(docs, table(spark, sf_dir, "labels"), usable=doc_key("__id") % 4 != 2)
+    scored = toxicity.score(docs, model)
+    return scored.select("doc_id", (doc_key() % 4 == 2).alias("held_out"), "score", "predicted")
+
+
 def op9_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Ids of every text and the round trip through them."""
     return bpe.encode_documents(table(spark, sf_dir, "documents"), RANKS, public_tokenizers.PATTERN, ids=False)
 
 
+def op10_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Language of every document: text, declared language, and the prior of its source."""
+    docs = table(spark, sf_dir, "documents")
+    got = language.identify(docs, declared=F.col("lang"), host=F.col("source"))
+    return got.withColumn("keep", F.col("language").isNotNull() & (F.col("posterior") >= language.MIN_POSTERIOR))
+
+
+def language_id_pages(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Language of every page: text, the html element's lang, address suffix and host."""
+    pages = table(spark, sf_dir, "pages")
+    return language.identify(pages.withColumn("__text", language.page_text(pages)), "page_id", "__text", **language.page_evidence(pages))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_mixing": op1_mixing,
     "op3_telephony_audio": op3_telephony_audio,
     "op7_simhash": op7_simhash,
+    "op8_toxicity": op8_toxicity,
     "op9_byte_bpe": op9_byte_bpe,
+    "op10_language_id": op10_language_id,
+    "language_id_pages": language_id_pages,
 }
 ORACLE_SQL: dict[str, str] = {}
