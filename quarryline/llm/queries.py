@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, language, mixing, simhash, telephony, toxicity
+from . import bpe, language, mixing, quality, simhash, sketch, telephony, toxicity
 from .common import doc_key, table
 
 RANKS = public_tokenizers.path("byte_bpe_50k.tiktoken")
@@ -24,6 +24,19 @@ def op3_telephony_audio(spark: SparkSession, sf_dir: str) -> DataFrame:
     return telephony.to_media(table(spark, sf_dir, "documents"), store=False)
 
 
+def op5_bottom_k(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Fingerprints of every document and of its edited text, and how near they are."""
+    return sketch.fingerprint_edits(table(spark, sf_dir, "documents"))
+
+
+def op6_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Quality of every document, learned without the rows whose crc32(doc_id) mod 4 is 2."""
+    docs = table(spark, sf_dir, "documents")
+    model = quality.train(docs, table(spark, sf_dir, "labels"), usable=doc_key("__id") % 4 != 2)
+    scored = quality.score(docs, model)
+    return scored.select("doc_id", (doc_key() % 4 == 2).alias("held_out"), "score", "text_score", "meta_score", (F.col("score") >= 0.5).alias("keep"))
+
+
 def op7_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Fingerprint and component of every document."""
     return simhash.near_duplicates(table(spark, sf_dir, "documents"))
@@ -58,6 +71,8 @@ def language_id_pages(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_mixing": op1_mixing,
     "op3_telephony_audio": op3_telephony_audio,
+    "op5_bottom_k": op5_bottom_k,
+    "op6_quality": op6_quality,
     "op7_simhash": op7_simhash,
     "op8_toxicity": op8_toxicity,
     "op9_byte_bpe": op9_byte_bpe,

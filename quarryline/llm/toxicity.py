@@ -1,7 +1,8 @@
 """Toxicity: FTRL-proximal logistic regression over hashed word n-grams and skip-grams.
 
-A text's features are the distinct hashes of its words, of adjacent pairs and of pairs with one
-word between, after lower-casing A-Z and taking ASCII punctuation as white space. Each
+A text's features are the distinct hashes of its words, of their first bytes (an inflected or
+compounded word keeps its stem), of adjacent pairs and of pairs with one word between, after
+lower-casing A-Z and taking ASCII punctuation as white space. Each
 coordinate has its own learning rate; L1 leaves few weights that aren't zero, so that the model
 is a sorted array of (hash, weight) of bounded size, which is broadcast.
 
@@ -15,6 +16,7 @@ columns of the label table other than its key and label don't matter.
 
 from __future__ import annotations
 
+import zlib
 from collections.abc import Iterator
 from dataclasses import dataclass
 
@@ -23,12 +25,14 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .textops import buffer_of, pair_hash, slices, span_hashes, words
+from .textops import buffer_of, mix, pair_hash, slices, span_hashes, words
 
 #: Most labelled rows that the model is fitted on.
 TRAIN_ROWS = 10_000
 #: Feature space: hashes are cut to so many bits.
 HASH_BITS = 24
+#: Bytes of a longer word that count as its stem.
+STEM = 4
 THRESHOLD = 0.3
 _PUNCT = np.arange(256, dtype=np.uint8)
 _PUNCT[[c for c in range(128) if not chr(c).isalnum()]] = 0x20
@@ -41,6 +45,9 @@ def features(buf: np.ndarray, at: np.ndarray, bits: int = HASH_BITS) -> tuple[np
     h = span_hashes(plain, starts, ends)
     doc = np.repeat(np.arange(len(at) - 1), np.diff(w))
     out, of = [h], [doc]
+    long = ends - starts > STEM
+    out.append(mix(span_hashes(plain, starts[long], starts[long] + STEM) + np.uint64(10)))
+    of.append(doc[long])
     for gap, salt in ((1, 11), (2, 12)):
         if len(h) > gap:
             same = doc[gap:] == doc[:-gap]
@@ -69,7 +76,7 @@ class Model:
         return 1 / (1 + np.exp(-np.clip(total, -35, 35)))
 
 
-def fit_ftrl(rows: list[tuple[np.ndarray, int]], bits: int = HASH_BITS, alpha: float = 0.1, beta: float = 1.0, l1: float = 1.5, l2: float = 1.0, epochs: int = 3) -> Model:
+def fit_ftrl(rows: list[tuple[np.ndarray, int]], bits: int = HASH_BITS, alpha: float = 1.0, beta: float = 1.0, l1: float = 10.0, l2: float = 1.0, epochs: int = 4) -> Model:
     """FTRL-proximal over (distinct features, label) rows, in their order."""
     if not rows:
         return Model(0.0, np.zeros(0, np.int32), np.zeros(0), bits)
@@ -118,7 +125,7 @@ def train(docs: DataFrame, labels: DataFrame, label: str = "toxic", usable: Colu
                 yield pa.RecordBatch.from_arrays([batch.column(0).slice(lo, hi - lo), batch.column(1).slice(lo, hi - lo), pa.array(packed, pa.binary())], ["id", "y", "f"])
 
     got = rows.mapInArrow(hashed, f"id {rows.schema['__id'].dataType.simpleString()}, y int, f binary")
-    local = sorted(((r.id, r.y, r.f) for r in got.toLocalIterator()), key=lambda r: (hash(int(r[0]) * 2654435761 % 2**32), r[0]))
+    local = sorted(((r.id, r.y, r.f) for r in got.toLocalIterator()), key=lambda r: (zlib.crc32(str(r[0]).encode()), r[0]))
     seen: dict = {}
     for i, y, f in local:
         seen.setdefault(i, (np.frombuffer(f, "<i4"), y))
