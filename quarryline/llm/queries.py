@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, language, mixing, quality, simhash, sketch, telephony, toxicity
+from . import bpe, html_text, language, mixing, quality, simhash, sketch, telephony, toxicity
 from .common import doc_key, table
 
 RANKS = public_tokenizers.path("byte_bpe_50k.tiktoken")
@@ -24,6 +24,11 @@ def op3_telephony_audio(spark: SparkSession, sf_dir: str) -> DataFrame:
     return telephony.to_media(table(spark, sf_dir, "documents"), store=False)
 
 
+def op4_html_text(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Main text of every page."""
+    return html_text.extract(table(spark, sf_dir, "pages"))
+
+
 def op5_bottom_k(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Fingerprints of every document and of its edited text, and how near they are."""
     return sketch.fingerprint_edits(table(spark, sf_dir, "documents"))
@@ -71,6 +76,7 @@ def language_id_pages(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_mixing": op1_mixing,
     "op3_telephony_audio": op3_telephony_audio,
+    "op4_html_text": op4_html_text,
     "op5_bottom_k": op5_bottom_k,
     "op6_quality": op6_quality,
     "op7_simhash": op7_simhash,
