@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, html_text, language, mixing, quality, simhash, sketch, telephony, toxicity
+from . import bpe, html_text, language, mixing, ngram, quality, simhash, sketch, telephony, toxicity
 from .common import doc_key, table
 
 RANKS = public_tokenizers.path("byte_bpe_50k.tiktoken")
@@ -19,6 +19,11 @@ def op1_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.plan_mix(table(spark, sf_dir, "documents")).select("doc_id", "size", "source_size", "target", "taken")
 
 
+def op2_lm_scoring(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """log10 probability of every document, learned from those whose crc32(doc_id) mod 10 isn't 0."""
+    return ngram.score_documents(table(spark, sf_dir, "documents"), doc_key() % 10 == 0)
+
+
 def op3_telephony_audio(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every text as mu-law samples in a WAVE file, read back."""
     return telephony.to_media(table(spark, sf_dir, "documents"), store=False)
@@ -75,6 +80,7 @@ def language_id_pages(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_mixing": op1_mixing,
+    "op2_lm_scoring": op2_lm_scoring,
     "op3_telephony_audio": op3_telephony_audio,
     "op4_html_text": op4_html_text,
     "op5_bottom_k": op5_bottom_k,
