@@ -14,8 +14,9 @@ ISO_CHARS = 19
 
 
 def parse_ts(c: Column) -> Column:
-    """Timestamp of ISO text, null if it is none."""
-    return F.try_to_timestamp(F.substring(c.cast("string"), 1, ISO_CHARS))
+    """Timestamp of ISO text, null if it is none (Spark's own words for days, such as 'today', aren't)."""
+    text = F.substring(c.cast("string"), 1, ISO_CHARS)
+    return F.when(text.rlike(r"^\s*\d"), F.try_to_timestamp(text))
 
 
 def datetime_diff(start: Column, end: Column, unit: str = "hours", mode: str = "elapsed") -> Column:
