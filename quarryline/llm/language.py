@@ -185,4 +185,4 @@ def keep_languages(docs: DataFrame, languages: tuple[str, ...] | None = None, mi
     ok = (F.col("posterior") >= min_posterior) & F.col("language").isNotNull()
     if languages is not None:
         ok &= F.col("language").isin(*languages)
-    return docs.join(got.filter(ok).select("doc_id"), "doc_id", "left_semi")
+    return docs.join(got.filter(ok).select(F.col("doc_id").alias("__keep")), F.col("doc_id").eqNullSafe(F.col("__keep")), "left_semi")

@@ -141,7 +141,8 @@ def mix_documents(docs: DataFrame, **options) -> DataFrame:
     """
     columns = docs.columns
     plan = plan_mix(docs, **options).filter("taken > 0").select(F.col("doc_id").alias("__id"), F.col("size").alias("__size"), F.col("blocks").alias("__blocks"))
-    out = docs.join(plan, F.col("doc_id") == F.col("__id")).withColumn("__pass", F.explode(F.sequence(F.lit(1), F.array_max(F.transform("__blocks", lambda b: b["times"])).cast("int"))))
+    plan = plan.groupBy("__id").agg(F.min(F.struct("__size", "__blocks")).alias("__plan")).select("__id", "__plan.*")
+    out = docs.join(plan, F.col("doc_id").eqNullSafe(F.col("__id"))).withColumn("__pass", F.explode(F.sequence(F.lit(1), F.array_max(F.transform("__blocks", lambda b: b["times"])).cast("int"))))
     out = out.withColumn("__own", F.filter("__blocks", lambda b: b["times"] >= F.col("__pass")))
     words = F.regexp_extract_all(F.col("text"), F.lit(r"([^\x20\x09-\x0D]+[\x20\x09-\x0D]*)"), F.lit(1))
     pieces = F.transform("__own", lambda b: F.array_join(F.slice(words, (b["start"] + 1).cast("int"), (b["stop"] - b["start"]).cast("int")), ""))

@@ -201,6 +201,6 @@ def near_duplicates(docs: DataFrame, text_col: str = "text", radius: int = RADIU
 
 
 def drop_near_duplicates(docs: DataFrame, **options) -> DataFrame:
-    """docs without the documents whose component has a smaller doc_id."""
-    keep = near_duplicates(docs, **options).filter("doc_id = component_id").select("doc_id")
-    return docs.join(keep, "doc_id", "left_semi")
+    """docs without the documents whose component has a smaller doc_id; rows that share the kept doc_id all stay."""
+    keep = near_duplicates(docs, **options).filter("doc_id <=> component_id").select(F.col("doc_id").alias("__keep"))
+    return docs.join(keep, F.col("doc_id").eqNullSafe(F.col("__keep")), "left_semi")
