@@ -28,7 +28,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .common import cut
-from .textops import _FOLD, buffer_of, slices, words
+from .textops import _FOLD, buffer_of, mix, pair_hash, slices, span_hashes, window_hashes, words
 
 SHINGLE = 4
 RADIUS = 4
@@ -204,3 +204,148 @@ def drop_near_duplicates(docs: DataFrame, **options) -> DataFrame:
     """docs without the documents whose component has a smaller doc_id; rows that share the kept doc_id all stay."""
     keep = near_duplicates(docs, **options).filter("doc_id <=> component_id").select(F.col("doc_id").alias("__keep"))
     return docs.join(keep, F.col("doc_id").eqNullSafe(F.col("__keep")), "left_semi")
+
+
+# --- Near copies by similarity -------------------------------------------------------------
+# Texts whose shingle sets are similar by 0.8 differ in some 7 to 10 of 64 bits, more than a
+# covering family of practical size reaches. For them the same steps run with a wider
+# fingerprint to decide and with minima of hashes, in bands, to meet.
+
+#: 64-bit words of the wide fingerprint, and most bits that near copies differ in.
+WIDE_WORDS, WIDE_RADIUS = 8, 78
+#: Sets similar by so much have sizes in this proportion at least.
+SIMILARITY = 0.8
+BANDS, BAND_ROWS = 10, 3
+#: A bucket with more nodes is worked on in pairs of blocks of so many.
+BLOCK = 1000
+
+
+def _marks(buf: np.ndarray, at: np.ndarray, shingle: int) -> tuple[np.ndarray, np.ndarray]:
+    """Per text WIDE_WORDS words of SimHash over its distinct shingles and their number, and its band keys; a text without words has zeros."""
+    starts, ends, w = words(buf, at)
+    h, edges = window_hashes(span_hashes(buf, starts, ends), w, shingle)
+    n_docs = len(at) - 1
+    fp, bands = np.zeros((n_docs, WIDE_WORDS + 1), np.uint64), np.zeros((n_docs, BANDS), np.uint64)
+    if not len(h):
+        return fp, bands
+    doc = np.repeat(np.arange(n_docs), np.diff(edges))
+    order = np.lexsort((h, doc))
+    h, doc = h[order], doc[order]
+    once = np.append(True, (h[1:] != h[:-1]) | (doc[1:] != doc[:-1]))
+    h, doc = h[once], doc[once]
+    first = np.flatnonzero(np.append(True, doc[1:] != doc[:-1]))
+    full, n = doc[first], np.diff(np.append(first, len(h)))
+    fp[full, WIDE_WORDS] = n
+    for k in range(WIDE_WORDS):
+        bits = np.unpackbits(mix(h + np.uint64(k + 1)).view(np.uint8).reshape(-1, 8), axis=1, bitorder="little")
+        votes = np.add.reduceat(bits, first, axis=0, dtype=np.int32)
+        fp[full, k] = np.packbits(votes * 2 > n[:, None], axis=1, bitorder="little").view(np.uint64).ravel()
+    for b in range(BANDS):
+        key = np.full(len(full), b + 1, np.uint64)
+        for r in range(BAND_ROWS):
+            key = pair_hash(key, np.minimum.reduceat(mix(h + np.uint64(1000 + b * BAND_ROWS + r)), first))
+        bands[full, b] = key
+    return fp, bands
+
+
+def wide_fingerprints(docs: DataFrame, text_col: str = "text", shingle: int = 5) -> DataFrame:
+    """doc_id, node (a hash of fp), fp (WIDE_WORDS longs, then the number of distinct shingles) and bands (BANDS longs). No shuffle."""
+    inp = docs.select("doc_id", F.col(text_col).alias("__text"))
+
+    def lists(x: np.ndarray) -> pa.Array:
+        return pa.ListArray.from_arrays(pa.array(np.arange(len(x) + 1) * x.shape[1], pa.int32()), pa.array(x.view(np.int64).ravel()))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            buf, at = buffer_of(batch.column(1))
+            for lo, hi in slices(at, 1 << 20):
+                fp, bands = _marks(buf[at[lo] : at[hi]], at[lo : hi + 1] - at[lo], shingle)
+                node = np.zeros(hi - lo, np.uint64)
+                for k in range(WIDE_WORDS + 1):
+                    node = pair_hash(node, fp[:, k])
+                yield pa.RecordBatch.from_arrays([batch.column(0).slice(lo, hi - lo), pa.array(node.view(np.int64)), lists(fp), lists(bands)], ["doc_id", "node", "fp", "bands"])
+
+    return inp.mapInArrow(run, f"doc_id {inp.schema['doc_id'].dataType.simpleString()}, node long, fp array<long>, bands array<long>")
+
+
+def _similar(a: np.ndarray, b: np.ndarray, radius: int) -> np.ndarray:
+    """Whether wide fingerprints are close and their sets' sizes allow SIMILARITY."""
+    close = np.bitwise_count(a[..., :WIDE_WORDS] ^ b[..., :WIDE_WORDS]).sum(axis=-1, dtype=np.int32) <= radius
+    n, m = a[..., WIDE_WORDS].astype(float), b[..., WIDE_WORDS].astype(float)
+    return close & (np.minimum(n, m) >= SIMILARITY * np.maximum(n, m))
+
+
+def _wide_forest(nodes: np.ndarray, fps: np.ndarray, radius: int) -> tuple[np.ndarray, np.ndarray]:
+    """Links that span the components of one bucket; distances are taken a few rows of the frontier at a time."""
+    left, right = [], []
+    todo = np.arange(len(nodes))
+    while len(todo):
+        frontier, todo = todo[:1], todo[1:]
+        while len(frontier) and len(todo):
+            some, frontier = frontier[:32], frontier[32:]
+            gap = _similar(fps[todo][:, None, :], fps[some][None, :, :], radius)
+            hit = gap.any(axis=1)
+            left.append(nodes[some[gap[hit].argmax(axis=1)]])
+            right.append(nodes[todo[hit]])
+            frontier, todo = np.concatenate([frontier, todo[hit]]), todo[~hit]
+    join = lambda x: np.concatenate(x) if x else np.zeros(0, np.int64)
+    return join(left), join(right)
+
+
+def similar_links(nodes: DataFrame, radius: int = WIDE_RADIUS, block: int = BLOCK) -> DataFrame:
+    """(u, v) links between nodes (node, fp, bands) that share a band and differ in at most radius bits, with sizes in proportion, spanning all such.
+
+    A bucket of more than `block` nodes is dealt into blocks, and each two of its blocks meet in a
+    group of their own: exact, and no task holds more than two blocks.
+    """
+    rows = cut(nodes.select("node", "fp", F.explode("bands").alias("key")))
+    sizes = rows.groupBy("key").agg(F.count(F.lit(1)).alias("n")).filter("n > 1")
+    met = rows.join(sizes, "key").withColumn("parts", F.ceil(F.col("n") / block).cast("int"))
+    own = F.pmod(F.xxhash64("node"), F.col("parts")).cast("int")
+    met = met.withColumn("own", own).withColumn("other", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)))
+    key = F.when(F.col("parts") == 1, F.col("key")).otherwise(F.xxhash64("key", F.least("own", "other"), F.greatest("own", "other")))
+    met = met.select(key.alias("key"), "node", "fp").repartition("key").sortWithinPartitions("key", "node")
+
+    def of(keys: np.ndarray, ids: np.ndarray, fps: np.ndarray) -> pa.RecordBatch:
+        edges = np.flatnonzero(np.append(True, keys[1:] != keys[:-1]))
+        size = np.diff(np.append(edges, len(keys)))
+        pair = edges[size == 2]
+        ok = _similar(fps[pair], fps[pair + 1], radius)
+        left, right = [ids[pair][ok]], [ids[pair + 1][ok]]
+        for a, n in zip(edges[size > 2].tolist(), size[size > 2].tolist(), strict=True):
+            x, y = _wide_forest(ids[a : a + n], fps[a : a + n], radius)
+            left.append(x)
+            right.append(y)
+        return pa.RecordBatch.from_arrays([pa.array(np.concatenate(left)), pa.array(np.concatenate(right))], ["u", "v"])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        keys, ids, fps = np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros((0, WIDE_WORDS + 1), np.uint64)
+        for batch in batches:
+            keys = np.concatenate([keys, batch.column(0).to_numpy()])
+            ids = np.concatenate([ids, batch.column(1).to_numpy()])
+            fps = np.concatenate([fps, batch.column(2).flatten().to_numpy().view(np.uint64).reshape(-1, WIDE_WORDS + 1)])
+            whole = int(np.searchsorted(keys, keys[-1])) if len(keys) else 0
+            if whole:
+                yield of(keys[:whole], ids[:whole], fps[:whole])
+                keys, ids, fps = keys[whole:], ids[whole:], fps[whole:]
+        if len(keys):
+            yield of(keys, ids, fps)
+
+    return met.mapInArrow(run, "u long, v long").filter("u != v").distinct()
+
+
+def similar_components(docs: DataFrame, text_col: str = "text", shingle: int = 5, radius: int = WIDE_RADIUS) -> DataFrame:
+    """doc_id and component_id, the smallest doc_id reachable over links between similar texts."""
+    prints = cut(wide_fingerprints(docs, text_col, shingle))
+    nodes = cut(prints.groupBy("node").agg(F.first("fp").alias("fp"), F.first("bands").alias("bands"), F.min("doc_id").alias("least_id")))
+    label = components(similar_links(nodes, radius)).withColumnRenamed("node", "__node")
+    of = cut(nodes.join(label, F.col("node") == F.col("__node"), "left").select("node", "least_id", F.coalesce("label", "node").alias("label")))
+    ids = of.groupBy("label").agg(F.min("least_id").alias("component_id"))
+    of = of.join(ids, "label").select(F.col("node").alias("__node"), "component_id")
+    return prints.join(of, F.col("node") == F.col("__node")).select("doc_id", "component_id")
+
+
+def drop_similar(docs: DataFrame, **options) -> DataFrame:
+    """docs without the documents whose component of similar texts has a smaller doc_id; rows that share the kept doc_id all stay."""
+    keep = similar_components(docs, **options).filter("doc_id <=> component_id").select(F.col("doc_id").alias("__keep"))
+    return docs.join(keep, F.col("doc_id").eqNullSafe(F.col("__keep")), "left_semi")

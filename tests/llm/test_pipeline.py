@@ -16,7 +16,7 @@ def test_stages_take_effect(spark, sf, documents, texts):
     last = corpus_pipeline.STAGES[-1][1](spark, docs, sf)
     codec = bpe.codec(bpe.read_ranks(public_tokenizers.path("byte_bpe_50k.tiktoken")), public_tokenizers.PATTERN)
     assert sorted((r.doc_id, tuple(r.ids)) for r in last.collect()) == sorted((r.doc_id, tuple(codec.encode(r.text))) for r in rows)
-    near = simhash.near_duplicates(documents.join(docs.select("doc_id").distinct(), "doc_id", "left_semi"))
+    near = simhash.similar_components(documents.join(docs.select("doc_id").distinct(), "doc_id", "left_semi"))
     assert near.filter("doc_id <> component_id").count() == 0
 
 

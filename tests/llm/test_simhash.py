@@ -84,3 +84,42 @@ def test_edges(edges, empty):
     assert {r.doc_id for r in simhash.drop_near_duplicates(edges).collect()} >= {1, 4, 6, 8}
     assert simhash.drop_near_duplicates(edges).columns == edges.columns
     assert simhash.near_duplicates(empty).count() == 0
+
+
+def shingles(t):
+    q = (t or "").encode().lower().split()
+    return {tuple(q[i : i + 5]) for i in range(max(len(q) - 4, 1))} if q else set()
+
+
+def test_similar_texts_of_all_documents(spark):
+    docs = spark.read.parquet("/root/testdata/sf0.01/documents.parquet")
+    sets = {r.doc_id: shingles(r.text) for r in docs.select("doc_id", "text").collect()}
+    got = {r.doc_id: r.component_id for r in simhash.similar_components(docs).collect()}
+    assert sorted(got) == sorted(sets)
+    near, far = [], {}
+    for a, b in itertools.combinations(sorted(sets), 2):
+        j = len(sets[a] & sets[b]) / len(sets[a] | sets[b]) if sets[a] | sets[b] else 1.0
+        if j >= 0.83:
+            near.append(got[a] == got[b])
+        far[a], far[b] = max(far.get(a, 0), j), max(far.get(b, 0), j)
+    assert near and np.mean(near) > 0.97
+    assert np.mean([got[k] == k for k, j in far.items() if j < 0.7]) > 0.99
+    assert all(got[k] == k for k, j in far.items() if j < 0.6)
+
+
+def test_similar_in_blocks_and_edges(spark, edges, empty):
+    rng = random.Random(5)
+    words = [f"w{k}" for k in range(300)]
+    rows = [(0, " ".join(words))]
+    for k in range(1, 120):
+        copy = list(words)
+        copy[rng.randrange(300)] = "changed"
+        rows.append((k, " ".join(copy)))
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    nodes = simhash.wide_fingerprints(docs)
+    label = simhash.components(simhash.similar_links(nodes, block=10))
+    assert label.select("label").distinct().count() == 1 and label.count() == nodes.select("node").distinct().count()
+    assert {r.component_id for r in simhash.similar_components(docs).collect()} == {0}
+    got = {(r.doc_id, r.component_id) for r in simhash.similar_components(edges).collect()}
+    assert {(1, 1), (2, 1), (3, 1), (4, 4), (5, 4), (6, 6), (7, 6)} <= got
+    assert simhash.drop_similar(edges).columns == edges.columns and simhash.similar_components(empty).count() == 0
