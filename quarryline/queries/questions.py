@@ -38,10 +38,10 @@ def shortest_path_detail(spark, sf):
     return q.detail(sales(spark, sf), "Line", {"l_orderkey": "l_orderkey", "l_linenumber": "l_linenumber", "l_quantity": "l_quantity", "region": "Region.r_name"}, [lambda r: r["l_quantity"] >= 49])
 
 
-@register("SELECT coalesce(cn.n_name, '(unset)') AS customer_nation, coalesce(sn.n_name, '(unset)') AS supplier_nation, count(*) AS lines, round(sum(l_extendedprice * (1 - l_discount)), 2) AS revenue FROM lineitem LEFT JOIN orders ON l_orderkey = o_orderkey LEFT JOIN customer ON o_custkey = c_custkey LEFT JOIN nation cn ON c_nationkey = cn.n_nationkey LEFT JOIN supplier ON l_suppkey = s_suppkey LEFT JOIN nation sn ON s_nationkey = sn.n_nationkey GROUP BY 1, 2")
+@register("SELECT coalesce(cn.n_name, '(unset)') AS customer_nation, coalesce(sn.n_name, '(unset)') AS supplier_nation, count(*) AS lines, round(sum(l_extendedprice * (1 - l_discount)), 4) AS revenue FROM lineitem LEFT JOIN orders ON l_orderkey = o_orderkey LEFT JOIN customer ON o_custkey = c_custkey LEFT JOIN nation cn ON c_nationkey = cn.n_nationkey LEFT JOIN supplier ON l_suppkey = s_suppkey LEFT JOIN nation sn ON s_nationkey = sn.n_nationkey GROUP BY 1, 2")
 def two_roles_of_nation(spark, sf):
     out = q.aggregate(sales(spark, sf), "Line", {"customer_nation": "of_order.by_customer.of_nation.n_name", "supplier_nation": "by_supplier.of_nation.n_name"}, {"lines": measure("count"), "revenue": measure("sum", lambda r: r["l_extendedprice"] * (1 - r["l_discount"]))})
-    return out.withColumn("revenue", F.round("revenue", 2))
+    return out.withColumn("revenue", F.round("revenue", 4))
 
 
 @register("SELECT o_orderpriority AS priority, count(*) AS n, count(DISTINCT o_custkey) AS customers, round(sum(o_totalprice), 2) AS total, round(avg(o_totalprice), 4) AS mean, min(o_totalprice) AS low, max(o_totalprice) AS high FROM orders GROUP BY 1")

@@ -4,6 +4,7 @@ import math
 import os
 
 import duckdb
+import pandas as pd
 import pytest
 
 import __spark_entry__
@@ -21,7 +22,7 @@ def duck(sf):
 
 
 def text(v):
-    if v is None or v != v:
+    if v is None or v is pd.NA or v != v:
         return "NULL"
     return f"{float(v):.9g}" if isinstance(v, (int, float)) and not isinstance(v, bool) and math.isfinite(v) else str(v)
 
