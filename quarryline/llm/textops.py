@@ -19,7 +19,7 @@ _BYTE_CODE = np.random.default_rng(0x5EED).integers(1, 2**63, 256, dtype=np.uint
 _STEP = np.uint64(0x9E3779B97F4A7C55 | 3)
 _BACK = np.uint64(pow(int(_STEP), -1, 2**64))
 #: Bytes of text handled at once; bounds a worker's memory whatever the batch size.
-SLICE_BYTES = 1 << 21
+SLICE_BYTES = 1 << 20
 
 
 def mix(h: np.ndarray) -> np.ndarray:
