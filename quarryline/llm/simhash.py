@@ -208,33 +208,50 @@ def drop_near_duplicates(docs: DataFrame, **options) -> DataFrame:
 
 # --- Near copies by similarity -------------------------------------------------------------
 # Texts whose shingle sets are similar by 0.8 differ in some 7 to 10 of 64 bits, more than a
-# covering family of practical size reaches. For them the same steps run with a wider
-# fingerprint to decide and with minima of hashes, in bands, to meet.
-
-#: 64-bit words of the wide fingerprint, and most bits that near copies differ in.
-WIDE_WORDS, WIDE_RADIUS = 8, 78
-#: Sets similar by so much have sizes in this proportion at least.
-SIMILARITY = 0.8
-BANDS, BAND_ROWS = 10, 3
-#: A bucket with more nodes is worked on in pairs of blocks of so many.
-BLOCK = 1000
-
-
-def _marks(buf: np.ndarray, at: np.ndarray, shingle: int) -> tuple[np.ndarray, np.ndarray]:
-    """Per text WIDE_WORDS words of SimHash over its distinct shingles and their number, and its band keys; a text without words has zeros."""
+# covering family of practical size reaches. For them minima of hashes, in bands, make texts
+# meet, a wider fingerprint drops those that are far apart, and the sets themselves decide.
+
+#: 64-bit words of the wide fingerprint, and most bits that candidates differ in. Sets similar by
+#: 0.8 differ in 78 bits in the mean, with a standard deviation of 8: 128 leaves none of them out.
+WIDE_WORDS, WIDE_RADIUS = 8, 128
+#: Smaller sets have many ties of votes; they are candidates whatever their fingerprints.
+WIDE_LEAST = 64
+#: Texts are linked from this Jaccard similarity of their shingle sets on, as a fraction.
+SIMILARITY = (4, 5)
+BANDS, BAND_ROWS = 16, 3
+#: A bucket with more nodes, or more shingles, is worked on in pairs of blocks of about so many.
+BLOCK, BLOCK_SHINGLES = 1000, 2_000_000
+#: Up to so many nodes that need their sets are sent to every executor; more are joined by shuffle.
+BROADCAST_ROWS = 100_000
+
+
+def _sets(buf: np.ndarray, at: np.ndarray, shingle: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Ascending distinct shingles of each text, one text after the other, their n+1 offsets, and per text a hash of its set."""
     starts, ends, w = words(buf, at)
     h, edges = window_hashes(span_hashes(buf, starts, ends), w, shingle)
     n_docs = len(at) - 1
-    fp, bands = np.zeros((n_docs, WIDE_WORDS + 1), np.uint64), np.zeros((n_docs, BANDS), np.uint64)
     if not len(h):
-        return fp, bands
+        return h, np.zeros(n_docs + 1, np.int64), np.zeros(n_docs, np.uint64)
     doc = np.repeat(np.arange(n_docs), np.diff(edges))
     order = np.lexsort((h, doc))
     h, doc = h[order], doc[order]
     once = np.append(True, (h[1:] != h[:-1]) | (doc[1:] != doc[:-1]))
     h, doc = h[once], doc[once]
-    first = np.flatnonzero(np.append(True, doc[1:] != doc[:-1]))
-    full, n = doc[first], np.diff(np.append(first, len(h)))
+    edges = np.searchsorted(doc, np.arange(n_docs + 1))
+    full = np.flatnonzero(np.diff(edges))
+    node = np.zeros(n_docs, np.uint64)
+    node[full] = pair_hash(np.add.reduceat(mix(h + np.uint64(2000)), edges[full]), np.diff(edges)[full].astype(np.uint64))
+    return h, edges, node
+
+
+def _marks(h: np.ndarray, edges: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Per set WIDE_WORDS words of SimHash and its size, and its band keys; an empty set has zeros."""
+    n_docs = len(edges) - 1
+    fp, bands = np.zeros((n_docs, WIDE_WORDS + 1), np.uint64), np.zeros((n_docs, BANDS), np.uint64)
+    if not len(h):
+        return fp, bands
+    full = np.flatnonzero(np.diff(edges))
+    first, n = edges[full], np.diff(edges)[full]
     fp[full, WIDE_WORDS] = n
     for k in range(WIDE_WORDS):
         bits = np.unpackbits(mix(h + np.uint64(k + 1)).view(np.uint8).reshape(-1, 8), axis=1, bitorder="little")
@@ -249,7 +266,7 @@ def _marks(buf: np.ndarray, at: np.ndarray, shingle: int) -> tuple[np.ndarray, n
 
 
 def wide_fingerprints(docs: DataFrame, text_col: str = "text", shingle: int = 5) -> DataFrame:
-    """doc_id, node (a hash of fp), fp (WIDE_WORDS longs, then the number of distinct shingles) and bands (BANDS longs). No shuffle."""
+    """doc_id, node (a hash of the set of shingles), fp (WIDE_WORDS longs, then the set's size), bands (BANDS longs) and the set. No shuffle."""
     inp = docs.select("doc_id", F.col(text_col).alias("__text"))
 
     def lists(x: np.ndarray) -> pa.Array:
@@ -259,48 +276,104 @@ def wide_fingerprints(docs: DataFrame, text_col: str = "text", shingle: int = 5)
         for batch in batches:
             buf, at = buffer_of(batch.column(1))
             for lo, hi in slices(at, 1 << 20):
-                fp, bands = _marks(buf[at[lo] : at[hi]], at[lo : hi + 1] - at[lo], shingle)
-                node = np.zeros(hi - lo, np.uint64)
-                for k in range(WIDE_WORDS + 1):
-                    node = pair_hash(node, fp[:, k])
-                yield pa.RecordBatch.from_arrays([batch.column(0).slice(lo, hi - lo), pa.array(node.view(np.int64)), lists(fp), lists(bands)], ["doc_id", "node", "fp", "bands"])
+                h, edges, node = _sets(buf[at[lo] : at[hi]], at[lo : hi + 1] - at[lo], shingle)
+                sets = pa.array([h[a:b].tobytes() for a, b in zip(edges[:-1].tolist(), edges[1:].tolist(), strict=True)], pa.binary())
+                marks = map(lists, _marks(h, edges))
+                yield pa.RecordBatch.from_arrays([batch.column(0).slice(lo, hi - lo), pa.array(node.view(np.int64)), *marks, sets], ["doc_id", "node", "fp", "bands", "shingles"])
 
-    return inp.mapInArrow(run, f"doc_id {inp.schema['doc_id'].dataType.simpleString()}, node long, fp array<long>, bands array<long>")
+    return inp.mapInArrow(run, f"doc_id {inp.schema['doc_id'].dataType.simpleString()}, node long, fp array<long>, bands array<long>, shingles binary")
 
 
-def _similar(a: np.ndarray, b: np.ndarray, radius: int) -> np.ndarray:
-    """Whether wide fingerprints are close and their sets' sizes allow SIMILARITY."""
+def _candidates(a: np.ndarray, b: np.ndarray, radius: int) -> np.ndarray:
+    """Whether sets' sizes allow SIMILARITY, and their wide fingerprints are close or one set is small."""
     close = np.bitwise_count(a[..., :WIDE_WORDS] ^ b[..., :WIDE_WORDS]).sum(axis=-1, dtype=np.int32) <= radius
-    n, m = a[..., WIDE_WORDS].astype(float), b[..., WIDE_WORDS].astype(float)
-    return close & (np.minimum(n, m) >= SIMILARITY * np.maximum(n, m))
+    least, most = np.minimum(a[..., WIDE_WORDS], b[..., WIDE_WORDS]), np.maximum(a[..., WIDE_WORDS], b[..., WIDE_WORDS])
+    return (close | (least < WIDE_LEAST)) & (np.uint64(SIMILARITY[1]) * least >= np.uint64(SIMILARITY[0]) * most)
 
 
-def _wide_forest(nodes: np.ndarray, fps: np.ndarray, radius: int) -> tuple[np.ndarray, np.ndarray]:
-    """Links that span the components of one bucket; distances are taken a few rows of the frontier at a time."""
-    left, right = [], []
+def _candidate_groups(nodes: np.ndarray, fps: np.ndarray, radius: int) -> tuple[list[np.ndarray], list[np.ndarray]]:
+    """One bucket's nodes by the components of candidates, with a hash of each component's nodes; lone nodes are left out."""
+    nodes, first = np.unique(nodes, return_index=True)
+    fps, keys, members = fps[first], [], []
     todo = np.arange(len(nodes))
     while len(todo):
         frontier, todo = todo[:1], todo[1:]
+        found = [frontier]
         while len(frontier) and len(todo):
             some, frontier = frontier[:32], frontier[32:]
-            gap = _similar(fps[todo][:, None, :], fps[some][None, :, :], radius)
-            hit = gap.any(axis=1)
-            left.append(nodes[some[gap[hit].argmax(axis=1)]])
-            right.append(nodes[todo[hit]])
+            hit = _candidates(fps[todo][:, None, :], fps[some][None, :, :], radius).any(axis=1)
+            found.append(todo[hit])
             frontier, todo = np.concatenate([frontier, todo[hit]]), todo[~hit]
-    join = lambda x: np.concatenate(x) if x else np.zeros(0, np.int64)
+        own = nodes[np.concatenate(found)]
+        if len(own) > 1:
+            key = mix(np.add.reduce(mix(own.view(np.uint64)), keepdims=True) + np.uint64(len(own)))
+            keys.append(np.repeat(key.view(np.int64), len(own)))
+            members.append(own)
+    return keys, members
+
+
+def _exact_forest(nodes: np.ndarray, sets: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
+    """Links that span the components of one group's sets under SIMILARITY, decided by the sets."""
+    num, den = SIMILARITY
+    size = np.array([len(s) for s in sets])
+    if len(sets) == 2:
+        ok = (num + den) * len(np.intersect1d(*sets, assume_unique=True)) >= num * size.sum()
+        return (nodes[:1], nodes[1:]) if ok else (nodes[:0], nodes[:0])
+    distinct, ids = np.unique(np.concatenate(sets), return_inverse=True)
+    of = np.split(ids, np.cumsum(size)[:-1])
+    inside = np.zeros(len(distinct), bool)
+    left, right = [], []
+    todo = np.arange(len(nodes))
+    while len(todo):
+        frontier, todo = [int(todo[0])], todo[1:]
+        rest = np.concatenate([of[k] for k in todo]) if len(todo) else ids[:0]
+        while frontier and len(todo):
+            one = frontier.pop()
+            inside[of[one]] = True
+            common = np.add.reduceat(inside[rest], np.cumsum(size[todo]) - size[todo], dtype=np.int64) if len(rest) else np.zeros(len(todo), np.int64)
+            inside[of[one]] = False
+            hit = (num + den) * common >= num * (size[todo] + size[one])
+            if hit.any():
+                left.append(np.full(hit.sum(), nodes[one]))
+                right.append(nodes[todo[hit]])
+                frontier += todo[hit].tolist()
+                rest, todo = rest[np.repeat(~hit, size[todo])], todo[~hit]
+    join = lambda x: np.concatenate(x) if x else nodes[:0]
     return join(left), join(right)
 
 
-def similar_links(nodes: DataFrame, radius: int = WIDE_RADIUS, block: int = BLOCK) -> DataFrame:
-    """(u, v) links between nodes (node, fp, bands) that share a band and differ in at most radius bits, with sizes in proportion, spanning all such.
+def _exact_links(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Over rows (key, node, shingles) that come sorted by key: the forest of each group."""
+    key, nodes, sets = None, [], []
+
+    def of() -> pa.RecordBatch:
+        u, v = _exact_forest(np.array(nodes, np.int64), sets)
+        return pa.RecordBatch.from_arrays([pa.array(u), pa.array(v)], ["u", "v"])
 
-    A bucket of more than `block` nodes is dealt into blocks, and each two of its blocks meet in a
-    group of their own: exact, and no task holds more than two blocks.
+    for batch in batches:
+        for k, node, raw in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), batch.column(2), strict=True):
+            if k != key:
+                if len(nodes) > 1:
+                    yield of()
+                key, nodes, sets = k, [], []
+            nodes.append(node)
+            sets.append(np.frombuffer(raw.as_py(), np.uint64))
+    if len(nodes) > 1:
+        yield of()
+
+
+def similar_links(nodes: DataFrame, radius: int = WIDE_RADIUS, block: int = BLOCK, sets: DataFrame | None = None) -> DataFrame:
+    """(u, v) links between nodes (node, fp, bands) that share a band and have sets similar by SIMILARITY, spanning all such.
+
+    A bucket's candidates are those within radius bits, with sizes in proportion; each component
+    of them is a group, whose sets (of `sets`, else of nodes: node, shingles) decide. A bucket of
+    more than `block` nodes is dealt into blocks, and each two of its blocks meet in a group of
+    their own: exact, and no task holds more than two blocks.
     """
     rows = cut(nodes.select("node", "fp", F.explode("bands").alias("key")))
-    sizes = rows.groupBy("key").agg(F.count(F.lit(1)).alias("n")).filter("n > 1")
-    met = rows.join(sizes, "key").withColumn("parts", F.ceil(F.col("n") / block).cast("int"))
+    sizes = rows.groupBy("key").agg(F.count(F.lit(1)).alias("n"), F.sum(F.element_at("fp", WIDE_WORDS + 1)).alias("size")).filter("n > 1")
+    parts = F.least(F.col("n"), F.greatest(F.ceil(F.col("n") / block), F.ceil(F.col("size") / BLOCK_SHINGLES)))
+    met = rows.join(sizes, "key").withColumn("parts", parts.cast("int"))
     own = F.pmod(F.xxhash64("node"), F.col("parts")).cast("int")
     met = met.withColumn("own", own).withColumn("other", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)))
     key = F.when(F.col("parts") == 1, F.col("key")).otherwise(F.xxhash64("key", F.least("own", "other"), F.greatest("own", "other")))
@@ -310,13 +383,14 @@ def similar_links(nodes: DataFrame, radius: int = WIDE_RADIUS, block: int = BLOC
         edges = np.flatnonzero(np.append(True, keys[1:] != keys[:-1]))
         size = np.diff(np.append(edges, len(keys)))
         pair = edges[size == 2]
-        ok = _similar(fps[pair], fps[pair + 1], radius)
-        left, right = [ids[pair][ok]], [ids[pair + 1][ok]]
+        pair = pair[_candidates(fps[pair], fps[pair + 1], radius) & (ids[pair] != ids[pair + 1])]
+        key = mix(mix(ids[pair].view(np.uint64)) + mix(ids[pair + 1].view(np.uint64)) + np.uint64(2)).view(np.int64)
+        groups, members = [key, key], [ids[pair], ids[pair + 1]]
         for a, n in zip(edges[size > 2].tolist(), size[size > 2].tolist(), strict=True):
-            x, y = _wide_forest(ids[a : a + n], fps[a : a + n], radius)
-            left.append(x)
-            right.append(y)
-        return pa.RecordBatch.from_arrays([pa.array(np.concatenate(left)), pa.array(np.concatenate(right))], ["u", "v"])
+            x, y = _candidate_groups(ids[a : a + n], fps[a : a + n], radius)
+            groups += x
+            members += y
+        return pa.RecordBatch.from_arrays([pa.array(np.concatenate(groups)), pa.array(np.concatenate(members))], ["key", "node"])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         keys, ids, fps = np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros((0, WIDE_WORDS + 1), np.uint64)
@@ -331,14 +405,19 @@ def similar_links(nodes: DataFrame, radius: int = WIDE_RADIUS, block: int = BLOC
         if len(keys):
             yield of(keys, ids, fps)
 
-    return met.mapInArrow(run, "u long, v long").filter("u != v").distinct()
+    groups = cut(met.mapInArrow(run, "key long, node long").distinct())
+    wanted = groups.select(F.col("node").alias("__node")).distinct()
+    wanted = F.broadcast(wanted) if wanted.count() <= BROADCAST_ROWS else wanted
+    own_sets = (nodes if sets is None else sets).select("node", "shingles").join(wanted, F.col("node") == F.col("__node"), "left_semi").groupBy("node").agg(F.first("shingles").alias("shingles"))
+    whole = groups.join(own_sets, "node").select("key", "node", "shingles").repartition("key").sortWithinPartitions("key", "node")
+    return whole.mapInArrow(_exact_links, "u long, v long").distinct()
 
 
 def similar_components(docs: DataFrame, text_col: str = "text", shingle: int = 5, radius: int = WIDE_RADIUS) -> DataFrame:
-    """doc_id and component_id, the smallest doc_id reachable over links between similar texts."""
+    """doc_id and component_id, the smallest doc_id reachable over links between texts whose shingle sets are similar by SIMILARITY."""
     prints = cut(wide_fingerprints(docs, text_col, shingle))
     nodes = cut(prints.groupBy("node").agg(F.first("fp").alias("fp"), F.first("bands").alias("bands"), F.min("doc_id").alias("least_id")))
-    label = components(similar_links(nodes, radius)).withColumnRenamed("node", "__node")
+    label = components(similar_links(nodes, radius, sets=prints)).withColumnRenamed("node", "__node")
     of = cut(nodes.join(label, F.col("node") == F.col("__node"), "left").select("node", "least_id", F.coalesce("label", "node").alias("label")))
     ids = of.groupBy("label").agg(F.min("least_id").alias("component_id"))
     of = of.join(ids, "label").select(F.col("node").alias("__node"), "component_id")

@@ -123,3 +123,39 @@ def test_similar_in_blocks_and_edges(spark, edges, empty):
     got = {(r.doc_id, r.component_id) for r in simhash.similar_components(edges).collect()}
     assert {(1, 1), (2, 1), (3, 1), (4, 4), (5, 4), (6, 6), (7, 6)} <= got
     assert simhash.drop_similar(edges).columns == edges.columns and simhash.similar_components(empty).count() == 0
+
+
+def test_similarity_decides_at_the_limit(spark):
+    """Pairs on either side of 0.8, also of small and of repetitive texts, and sets that tie with it."""
+    rng, rows, want = random.Random(9), [], {}
+    for k in range(400):
+        n = rng.choice([12, 30, 80, 300, 900])
+        a = [f"w{rng.randrange(10**6)}" for _ in range(n)]
+        b = list(a)
+        while (j := len(shingles(" ".join(a)) & shingles(" ".join(b))) / len(shingles(" ".join(a)) | shingles(" ".join(b)))) > rng.uniform(0.74, 0.88):
+            b[rng.choice([0, -1, rng.randrange(n)])] = f"x{rng.randrange(10**6)}"
+        rows += [(2 * k, " ".join(a)), (2 * k + 1, " ".join(b))]
+        want[2 * k + 1] = j >= 0.8
+    w = [f"t{k}" for k in range(13)]  # 9 shingles, of which 8 are common: 8 / 10
+    rows += [(1000, " ".join(w)), (1001, " ".join([*w[:-1], "other"])), (1002, " ".join([*w, *w])), (1003, " ".join([*w, *w, *w]))]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    got = {r.doc_id: r.component_id for r in simhash.similar_components(docs).collect()}
+    assert {k: got[k] == k - 1 for k in want} == want and 100 < sum(want.values()) < 300
+    assert got[1001] == 1000 and got[1002] == got[1003] == 1002
+
+
+def test_similar_texts_are_the_closure_of_exact_links(spark):
+    docs = spark.read.parquet("/root/testdata/sf0.01/documents.parquet")
+    sets = {r.doc_id: shingles(r.text) for r in docs.select("doc_id", "text").collect()}
+    comp = {k: k for k in sets}
+
+    def root(x):
+        while comp[x] != x:
+            x = comp[x]
+        return x
+
+    for a, b in itertools.combinations(sorted(sets), 2):
+        if 5 * len(sets[a] & sets[b]) >= 4 * len(sets[a] | sets[b]):
+            x, y = sorted((root(a), root(b)))
+            comp[y] = x
+    assert {r.doc_id: r.component_id for r in simhash.similar_components(docs).collect()} == {k: root(k) for k in sets}
