@@ -4,7 +4,8 @@ Documents are dealt into chunks. A chunk asks the word and n-gram shards about e
 word and n-gram it has, once, with its counts in training documents; a shard sums the counts of
 all chunks, builds its trie, and answers every chunk in the order it asked. So both the model
 and the lookups are spread by hash: no n-gram and no context is hot, as a chunk sends each at
-most once. The documents are shuffled by chunk once and read twice.
+most once. The documents are shuffled by chunk once and read twice. A message holds its shard's
+range of mixed hashes as an Elias-Fano list, and counts in two bits with an escape.
 
 A shard's trie has a level of contexts (Elias-Fano), monotone pointers into the level of
 successors (Elias-Fano), and the successors themselves, relative to their context, with 8-bit
@@ -56,9 +57,10 @@ class EliasFano:
         values = values.astype(np.uint64)
         low = np.zeros(n * bits // 8 + 9, np.uint8)
         if n and bits:
-            each = ((values[:, None] >> np.arange(bits, dtype=np.uint64)) & np.uint64(1)).astype(np.uint8)
-            packed = np.packbits(each.ravel(), bitorder="little")
-            low[: len(packed)] = packed
+            for a in range(0, n, 1 << 16):
+                each = np.unpackbits(values[a : a + (1 << 16)].astype("<u8").view(np.uint8).reshape(-1, 8), axis=1, bitorder="little")[:, :bits]
+                packed = np.packbits(each.ravel(), bitorder="little")
+                low[a * bits // 8 : a * bits // 8 + len(packed)] = packed
         at = (values >> np.uint64(bits)).astype(np.int64) + np.arange(n)
         flags = np.zeros((int(at[-1]) // 64 + 1) * 64 if n else 64, np.uint8)
         flags[at] = 1
@@ -203,19 +205,71 @@ class Chunk:
         return [(0, self.words, self.word_at), *[(n + 1, keys, at) for n, (keys, at) in enumerate(self.grams)]]
 
 
-def shard_of(keys: np.ndarray, shards: int) -> np.ndarray:
-    return (mix(keys) % np.uint64(shards)).astype(np.int64)
+def deal(keys: np.ndarray, shards: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """The order of keys by their mixed hashes, these in that order, and the shards+1 edges: a shard has a range of hashes of `span_of`."""
+    mixed = mix(keys)
+    by = np.argsort(mixed, kind="stable")
+    mixed = mixed[by]
+    starts = np.array([s * span_of(shards) for s in range(shards)], np.uint64)
+    return by, mixed, np.append(np.searchsorted(mixed, starts), len(keys))
+
+
+def span_of(shards: int) -> int:
+    return -(-(1 << 64) // shards)
+
+
+_MIX_BACK = [np.uint64(pow(m, -1, 1 << 64)) for m in (0x94D049BB133111EB, 0xBF58476D1CE4E5B9)]
+
+
+def unmix(h: np.ndarray) -> np.ndarray:
+    """The inverse of mix."""
+    h = h ^ (h >> np.uint64(31)) ^ (h >> np.uint64(62))
+    h = h * _MIX_BACK[0]
+    h = h ^ (h >> np.uint64(27)) ^ (h >> np.uint64(54))
+    h = h * _MIX_BACK[1]
+    return h ^ (h >> np.uint64(30)) ^ (h >> np.uint64(60))
+
+
+def pack_keys(mixed: np.ndarray, shard: int, shards: int) -> bytes:
+    """Ascending distinct hashes of a shard's range as their number and an Elias-Fano list."""
+    ef = EliasFano.of(mixed - np.uint64(shard * span_of(shards)), span_of(shards))
+    return np.array([ef.n, ef.low_bits], "<i4").tobytes() + ef.low.tobytes() + ef.high.tobytes()
+
+
+def unpack_keys(raw: bytes, shard: int, shards: int) -> np.ndarray:
+    n, bits = np.frombuffer(raw, "<i4", 2).tolist()
+    rest = np.frombuffer(raw, np.uint8, offset=8)
+    size = n * bits // 8 + 9
+    return EliasFano(n, bits, rest[:size], rest[size:], np.zeros(0, np.int64)).all() + np.uint64(shard * span_of(shards))
+
+
+def pack_counts(counts: np.ndarray) -> bytes:
+    """Two bits each: 0, 1, 2, or 3 for one that follows in a byte, whose 255 stands for one that follows in four."""
+    small = np.minimum(counts, 3).astype(np.uint8)
+    more = counts[counts >= 3]
+    return b"".join(x.tobytes() for x in (np.packbits(small & 1), np.packbits(small >> 1), np.minimum(more, 255).astype(np.uint8), more[more >= 255].astype("<u4")))
+
+
+def unpack_counts(raw: bytes, n: int) -> np.ndarray:
+    size = -(-n // 8)
+    one, two = (np.unpackbits(np.frombuffer(raw, np.uint8, size, k * size), count=n) for k in (0, 1))
+    out = (one + 2 * two).astype(np.uint32)
+    at = np.flatnonzero(out == 3)
+    out[at] = np.frombuffer(raw, np.uint8, len(at), 2 * size)
+    at = at[out[at] == 255]
+    out[at] = np.frombuffer(raw, "<u4", len(at), len(raw) - 4 * len(at))
+    return out
 
 
 ASK = "kind int, shard int, chunk long, keys binary, counts binary"
 ANSWER = "chunk long, kind int, shard int, values binary, n long, v long"
 
 
-def _answer(table: pa.Table) -> pa.Table:
+def _answer(table: pa.Table, shards: int) -> pa.Table:
     """Sums of one shard: for words exact counts, for n-grams the codes of its trie."""
     kind, shard = table.column("kind")[0].as_py(), table.column("shard")[0].as_py()
-    asked = [np.frombuffer(k.as_py(), "<u8") for k in table.column("keys")]
-    told = [np.frombuffer(c.as_py(), "<u4") for c in table.column("counts")]
+    asked = [unmix(unpack_keys(k.as_py(), shard, shards)) for k in table.column("keys")]
+    told = [unpack_counts(c.as_py(), len(k)) for c, k in zip(table.column("counts"), asked, strict=True)]
     keys, at = np.unique(np.concatenate(asked), return_inverse=True)
     total = np.bincount(at, weights=np.concatenate(told), minlength=len(keys)).astype(np.uint64)
     if kind == 0:
@@ -253,14 +307,12 @@ def score_documents(docs: DataFrame, held_out, order: int = 2, text_col: str = "
         train = np.repeat(~np.array(table.column("held_out")), chunk.n_tokens)
         rows = {"kind": [], "shard": [], "keys": [], "counts": []}
         for kind, keys, at in chunk.asked():
-            counts = np.bincount(at, weights=train, minlength=len(keys)).astype("<u4")
-            to = shard_of(keys, shards)
-            by = np.argsort(to, kind="stable")
-            edges = np.searchsorted(to[by], np.arange(shards + 1))
+            by, mixed, edges = deal(keys, shards)
+            counts = np.bincount(at, weights=train, minlength=len(keys)).astype(np.uint32)[by]
             for s in range(shards):
-                own = by[edges[s] : edges[s + 1]]
-                if len(own) or kind == 0:  # every word shard is asked, so that every chunk hears all of N and V
-                    for name, value in zip(rows, (kind, s, keys[own].astype("<u8").tobytes(), counts[own].tobytes()), strict=True):
+                own = slice(edges[s], edges[s + 1])
+                if edges[s] < edges[s + 1] or kind == 0:  # every word shard is asked, so that every chunk hears all of N and V
+                    for name, value in zip(rows, (kind, s, pack_keys(mixed[own], s, shards), pack_counts(counts[own])), strict=True):
                         rows[name].append(value)
         n = len(rows["kind"])
         return pa.table({"kind": pa.array(rows["kind"], pa.int32()), "shard": pa.array(rows["shard"], pa.int32()), "chunk": pa.array([table.column("chunk")[0].as_py()] * n, pa.int64()), "keys": pa.array(rows["keys"], pa.binary()), "counts": pa.array(rows["counts"], pa.binary())})
@@ -271,9 +323,7 @@ def score_documents(docs: DataFrame, held_out, order: int = 2, text_col: str = "
         n, v = sum(answers.column("n").to_pylist()), sum(answers.column("v").to_pylist())
         found = []
         for kind, keys, at in chunk.asked():
-            to = shard_of(keys, shards)
-            by = np.argsort(to, kind="stable")
-            edges = np.searchsorted(to[by], np.arange(shards + 1))
+            by, _, edges = deal(keys, shards)
             values = np.zeros(len(keys))
             for s in range(shards):
                 if edges[s] < edges[s + 1]:
@@ -302,5 +352,5 @@ def score_documents(docs: DataFrame, held_out, order: int = 2, text_col: str = "
         )
 
     asked = rows.groupBy("chunk").applyInArrow(ask, ASK)
-    answers = asked.groupBy("kind", "shard").applyInArrow(_answer, ANSWER)
+    answers = asked.groupBy("kind", "shard").applyInArrow(lambda table: _answer(table, shards), ANSWER)
     return rows.groupBy("chunk").cogroup(answers.groupBy("chunk")).applyInArrow(judge, out_type)

@@ -20,8 +20,8 @@ def op1_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op2_lm_scoring(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """log10 probability of every document, learned from those whose crc32(doc_id) mod 10 isn't 0."""
-    return ngram.score_documents(table(spark, sf_dir, "documents"), doc_key() % 10 == 0)
+    """log10 trigram probability of every document, learned from those whose crc32(doc_id) mod 10 isn't 0."""
+    return ngram.score_documents(table(spark, sf_dir, "documents"), doc_key() % 10 == 0, order=3)
 
 
 def op3_telephony_audio(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -6,6 +6,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
+import __spark_entry__
 from quarryline.llm import ngram
 from quarryline.llm.common import doc_key
 
@@ -84,3 +85,24 @@ def test_edges(edges, empty):
     untrained = ngram.score_documents(edges, F.lit(True)).collect()
     assert all(r.n_known == 0 and abs(r.score) < 1e-9 for r in untrained)
     assert ngram.score_documents(empty, F.lit(False)).count() == 0
+
+
+def test_registered_query_scores_by_trigrams(spark, sf, documents, texts):
+    held = {k: zlib.crc32(str(k).encode()) % 10 == 0 for k in texts}
+    want = {order: brute(texts, held, order) for order in (2, 3)}
+    got = {r.doc_id: r.score for r in __spark_entry__.queries()["op2_lm_scoring"](spark, sf).collect()}
+    off = {order: sum(abs(got[k] - w[4]) for k, w in want[order].items()) for order in want}
+    assert len(got) == len(texts) and off[3] < 0.1 * off[2]
+
+
+@pytest.mark.parametrize("n, shards", [(0, 2), (1, 3), (1000, 7), (70_000, 2)])
+def test_messages_come_back(n, shards):
+    rng = np.random.default_rng(n)
+    keys = np.unique(rng.integers(0, 2**64, n, np.uint64, endpoint=False)) if n else np.zeros(0, np.uint64)
+    by, mixed, edges = ngram.deal(keys, shards)
+    parts = [mixed[edges[s] : edges[s + 1]] for s in range(shards)]
+    raw = [ngram.pack_keys(x, s, shards) for s, x in enumerate(parts)]
+    back = np.concatenate([ngram.unmix(ngram.unpack_keys(x, s, shards)) for s, x in enumerate(raw)])
+    assert (back == keys[by]).all() and (n < 10_000 or sum(map(len, raw)) < 6.5 * n)
+    counts = rng.choice([0, 1, 2, 3, 254, 255, 256, 2**32 - 1], n).astype(np.uint32)
+    assert (ngram.unpack_counts(ngram.pack_counts(counts), n) == counts).all()
