@@ -36,7 +36,7 @@ HIDDEN = 16
 SEED = 5
 
 _TOKEN = re.compile(
-    r"<!--.*?(?:-->|$)|<(script|style|noscript|template|svg|textarea|select)\b(?:\"[^\"]*\"|'[^']*'|[^'\">])*>.*?(?:</\1\s*>|$)|<!\[CDATA\[.*?\]\]>|<[!?][^>]*>|<(/?)([a-zA-Z][^\s/>]*)((?:\"[^\"]*\"|'[^']*'|[^'\">])*)>|([^<]+|<)",
+    r"<!--.*?(?:-->|$)|<(script|style|textarea)(?=[\s/>])(?:\"[^\"]*\"|'[^']*'|[^'\">])*>.*?(?:</\1\s*>|$)|<title(?=[\s/>])[^>]*>(?:(?!<body\b|</head\b|<svg\b|<title\b).)*?</title\s*>|<!\[CDATA\[.*?\]\]>|<[!?][^>]*>|<(/?)([a-zA-Z][^\s/>]*)((?:\"[^\"]*\"|'[^']*'|[^'\">])*)>|([^<]+|<)",
     re.S | re.I,
 )
 _NAMES = re.compile(r"\b(?:class|id|role)\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s\"'>]+))", re.I)
@@ -46,6 +46,14 @@ _INLINE = frozenset("a abbr acronym b bdi bdo big br cite code data del dfn em f
 #: Opening one of these closes an open one of the same group.
 _CLOSES = {"p": "p", "li": "li", "dt": "dt dd", "dd": "dt dd", "tr": "tr td th", "td": "td th", "th": "td th", "option": "option"}
 _ENDS_P = frozenset("address article aside blockquote div dl fieldset figure footer form h1 h2 h3 h4 h5 h6 header hr main nav ol p pre section table ul".split())
+#: Elements whose text is no part of the page; unclosed ones end with their parent.
+_HIDDEN = frozenset("noscript template svg select".split())
+#: What may stand in a head; anything else, or text, ends it, as browsers do.
+_HEAD = frozenset("html head title base basefont bgsound link meta noscript noframes script style template".split())
+#: Elements that end an unclosed svg or select, and elements of svg that hold HTML.
+_ENDS_SVG = frozenset("b big blockquote body br center code dd div dl dt em embed h1 h2 h3 h4 h5 h6 head hr i img li listing menu meta nobr ol p pre ruby s small span strong strike sub sup table tt u ul var".split())
+_ENDS_SELECT = frozenset("select input table tbody thead tfoot caption tr td th".split())
+_HOLDS_HTML = frozenset("foreignobject desc title".split())
 
 
 @dataclass
@@ -56,16 +64,29 @@ class Block:
 
 
 def blocks_of(page: str) -> list[Block]:
-    """Leaf blocks in page order; script, style and the like have none, nor has head."""
+    """Leaf blocks in page order; script, style, svg and the like have none, nor has head."""
     out: list[Block] = []
     stack: list[tuple[str, tuple[str, ...]]] = []
     text: list[str] = []
     linked = total = 0
+    hidden: int | None = None  # place of the outermost hidden element
+    maybe_head = False  # whether the stack may hold a head or title
+
+    def shut(k: int) -> None:
+        nonlocal hidden
+        del stack[k:]
+        if hidden is not None and hidden >= k:
+            hidden = None
+
+    def place(tags: tuple[str, ...]) -> int | None:
+        return next((k for k, (t, _) in enumerate(stack) if t in tags), None)
 
     def flush() -> None:
         nonlocal linked, total
         body = _SPACES.sub(" ", html.unescape("".join(text))).strip()
-        if body and not any(t in ("head", "title") for t, _ in stack):
+        if body and not any(t == "title" for t, _ in stack[:hidden]):
+            if maybe_head and (k := place(("head",))) is not None:
+                stack.pop(k)
             out.append(Block(body, tuple(x for _, names in stack for x in names), linked / max(total, 1)))
         text.clear()
         linked = total = 0
@@ -73,6 +94,8 @@ def blocks_of(page: str) -> list[Block]:
     for m in _TOKEN.finditer(page):
         close, tag, attributes, chars = m.group(2, 3, 4, 5)
         if chars is not None:
+            if hidden is not None:
+                continue
             text.append(chars)
             total += len(chars)
             if any(t == "a" for t, _ in stack):
@@ -81,6 +104,39 @@ def blocks_of(page: str) -> list[Block]:
         if tag is None:
             continue
         tag = tag.lower()
+        if hidden is not None:
+            inner = [t for t, _ in stack[hidden:]]
+            if close:
+                k = next((k for k in range(len(stack) - 1, -1, -1) if stack[k][0] == tag), None)
+                if k is None or k >= hidden:
+                    if k is not None:
+                        shut(k)
+                    continue
+                shut(hidden)  # the parent ends
+            elif tag == "body" and place(("head",)) is not None:
+                shut(hidden)
+            elif inner[0] == "svg" and tag in _ENDS_SVG and not _HOLDS_HTML & set(inner):
+                shut(hidden)
+            elif inner[0] == "select" and tag in _ENDS_SELECT:
+                shut(hidden)
+                if tag == "select":
+                    continue
+            else:
+                if tag not in _VOID and (tag not in _INLINE or tag == "a") and not attributes.rstrip().endswith("/"):
+                    stack.append((tag, ()))
+                continue
+        if maybe_head and not close and tag not in _HEAD:
+            if place(("title",)) is not None:
+                text.clear()
+                linked = total = 0
+            if (k := place(("head", "title"))) is not None:
+                shut(k)
+            maybe_head = False
+        if tag in _HIDDEN and not close:
+            if not (tag == "svg" and attributes.rstrip().endswith("/")):
+                hidden = len(stack)
+                stack.append((tag, ()))
+            continue
         if tag in _INLINE:
             if tag in ("br", "img"):
                 text.append(" ")
@@ -101,9 +157,9 @@ def blocks_of(page: str) -> list[Block]:
                     break
             continue
         if tag in _ENDS_P or tag in _CLOSES:
-            shut = (_CLOSES.get(tag, "") + (" p" if tag in _ENDS_P else "")).split()
+            ends = (_CLOSES.get(tag, "") + (" p" if tag in _ENDS_P else "")).split()
             for k in range(len(stack) - 1, -1, -1):
-                if stack[k][0] in shut:
+                if stack[k][0] in ends:
                     del stack[k:]
                     break
                 if stack[k][0] in ("table", "ul", "ol", "dl", "div", "article", "section", "body"):
@@ -113,6 +169,7 @@ def blocks_of(page: str) -> list[Block]:
             for a, b, c in _NAMES.findall(attributes):
                 names += [f".{x}" for x in re.split(r"[\s_-]+", (a or b or c).lower()) if x]
             stack.append((tag, tuple(names)))
+            maybe_head |= tag in ("head", "title")
     flush()
     return out
 

@@ -21,6 +21,31 @@ def test_blocks():
     assert h.blocks_of(page)[0].link == 1.0 and h.blocks_of("") == [] and h.blocks_of("<<<>") != "crash"
 
 
+@pytest.mark.parametrize(
+    "page, want",
+    [
+        ("<html><head><title>T</title><meta charset=utf-8><body><p>One.<p>Two.</body></html>", ["One.", "Two."]),
+        ("<head><title>T</title><article><p>One.</p></article>", ["One."]),
+        ("<head><title>T<body><p>One.</p>", ["One."]),
+        ("<head><title>the <b> tag</title></head><p>One.</p>", ["One."]),
+        ("<head><title>T</title>One <b>two</b><p>Three.</p>", ["One two", "Three."]),
+        ("<head><noscript><p>no</p></noscript><template><p>no</p></template><body>One.", ["One."]),
+        ("<head><noscript><style>p{}</style><body><p>One.", ["One."]),
+        ("<p>One <svg class='i' /> two.</p><p>Three.</p>", ["One two.", "Three."]),
+        ("<svg-icon name=x></svg-icon><p>One.</p><select-box>Two.</select-box><template-x>Three.</template-x>", ["One.", "Two.", "Three."]),
+        ("<p>One <svg><g><svg><title>no</title></svg><text>no</text></g></svg>two.</p><p>Three.</p>", ["One two.", "Three."]),
+        ("<p>One.<svg><path d=''><p>Two.</p>", ["One.", "Two."]),
+        ("<div>One. <select><option>no<option>no</div><p>Two.</p>", ["One.", "Two."]),
+        ("<div><noscript><p>no</div><p>Two.</p>", ["Two."]),
+        ("<div><template><p>no</p></div><p>Two.</p>", ["Two."]),
+        ("<tr><td><select><option>no<td>Two.</table>", ["Two."]),
+        ("<p>A <select><option>no</select> b <noscript><div>no</div></noscript>c</p><script>x</script>d", ["A b c", "d"]),
+    ],
+)
+def test_heads_and_hidden_elements_lose_no_text(page, want):
+    assert [b.text for b in h.blocks_of(page)] == want and not any("head" in b.path for b in h.blocks_of(page))
+
+
 def test_backpropagation_against_differences():
     rng = np.random.default_rng(0)
     net = h.Labeller.fresh()
