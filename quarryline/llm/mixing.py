@@ -11,9 +11,13 @@ A shard holds at most about `shard_words` words whatever its source's size, so a
 third of all rows is spread over as many tasks as its size asks for. Only per-source and
 per-shard sums are ranked.
 
+A source has at most MAX_SHARDS shards, whose quotients one task ranks; of a source beyond
+MAX_SHARDS * shard_words words the shards grow instead.
+
 Edge cases: a null or empty text has size 0 and is never taken; a null source is a source, last
-in order; an empty table gives an empty mix; repeated rows are texts of their own (ties in the
-seeded order fall to doc_id and change nothing but which equal row is taken).
+in order; an empty table gives an empty mix; rows that share a doc_id, or have none, are texts
+of their own, each with its own plan, dealt to shards by doc_id and text; rows that share both
+are in one shard, and which of them is taken is left open.
 """
 
 from __future__ import annotations
@@ -78,35 +82,54 @@ def sainte_lague(parties: DataFrame, group: list[str], key: list[str], votes: st
     return p.join(won, same, "left").withColumn(out, F.col("__low") + F.coalesce("__won", F.lit(0))).drop(*[c for c in p.columns if c.startswith("__")], *won.columns)
 
 
-#: Most rows of a per-source table that is sent to every executor; a larger one is joined by shuffle.
+#: Most rows of a per-source or per-shard table that is sent to every executor; a larger one is joined by shuffle.
 BROADCAST_ROWS = 100_000
+#: Most shards of one source: their quotients are ranked together, in one task.
+MAX_SHARDS = 1_000_000
 
 
-def plan_mix(docs: DataFrame, weights: tuple[float, ...] = (5.0, 2.0, 1.0), share: float = 1.5, max_passes: int = 2, block_words: int = 64, shard_words: int = 200_000, seed: int = SEED, text_col: str = "text") -> DataFrame:
-    """Per document: doc_id, source, size, source_size, target, taken, and blocks: (times, start, stop) word ranges, stop exclusive.
+def _placed(docs: DataFrame, quotas: DataFrame, seed: int) -> DataFrame:
+    """docs (with doc_id, source, size, mark) and each row's source number, shard and source facts."""
+    out = docs.join(quotas, F.col("source").eqNullSafe(F.col("__s")), "left").drop("__s")
+    return out.withColumn("shard", F.when(F.col("shards") > 0, F.pmod(F.xxhash64(F.lit(seed), "doc_id", "mark"), F.col("shards"))).otherwise(F.lit(0).cast("long")))
 
-    One pass over the texts; what is shuffled is (doc_id, source, size).
-    """
-    sizes = cut(docs.select("doc_id", "source", word_count(F.col(text_col)).alias("size")))
+
+def _plan(sizes: DataFrame, rows: DataFrame, weights: tuple[float, ...], share: float, max_passes: int, block_words: int, shard_words: int, seed: int) -> DataFrame:
+    """rows (with doc_id, source, size, mark; the same in sizes) with source_size, target and blocks. Rows pass one shuffle, by shard."""
     targets = source_targets(sizes, weights, share, max_passes)
     blocks = F.round(F.sum("target").over(Window.partitionBy(F.lit(0))) / block_words).cast("long")
     quotas = sainte_lague(targets, [], ["source"], "target", blocks, "source_blocks")
-    quotas = cut(quotas.select(F.col("source").alias("__s"), "source_size", "target", "source_blocks", F.ceil(F.col("source_size") / shard_words).cast("long").alias("shards")))
-
+    per = F.greatest(F.lit(shard_words).cast("double"), F.col("source_size") / MAX_SHARDS)
+    number = F.row_number().over(Window.orderBy(F.col("source").isNull(), F.col("source").cast("binary")))
+    quotas = cut(quotas.select(F.col("source").alias("__s"), number.alias("src"), "source_size", "target", "source_blocks", F.ceil(F.col("source_size") / per).cast("long").alias("shards")))
     small = F.broadcast(quotas) if quotas.count() <= BROADCAST_ROWS else quotas
-    placed = sizes.join(small, F.col("source").eqNullSafe(F.col("__s")), "left").drop("__s")
-    placed = placed.withColumn("shard", F.when(F.col("shards") > 0, F.pmod(F.xxhash64(F.lit(seed), "doc_id"), F.col("shards"))).otherwise(F.lit(0).cast("long")))
-    shard_sizes = placed.groupBy("source", "shard").agg(F.sum("size").alias("shard_size"), F.max("source_blocks").alias("source_blocks"))
-    per_shard = sainte_lague(shard_sizes, ["source"], ["source", "shard"], "shard_size", F.col("source_blocks"), "quota")
+
+    shard_sizes = _placed(sizes, small, seed).groupBy("src", "shard").agg(F.sum("size").alias("shard_size"), F.max("source_blocks").alias("source_blocks"))
+    per_shard = sainte_lague(shard_sizes, ["src"], ["src", "shard"], "shard_size", F.col("source_blocks"), "quota")
     n = F.greatest(F.round(F.col("shard_size") / block_words), F.lit(1)).cast("long")
     per_shard = per_shard.withColumn("n_blocks", n).withColumn("quota", F.least(F.col("quota"), F.col("n_blocks") * max_passes))
-    per_shard = per_shard.select(F.col("source").alias("__s"), F.col("shard").alias("__h"), "shard_size", "n_blocks", "quota")
+    per_shard = cut(per_shard.select("src", "shard", "shard_size", "n_blocks", "quota"))
+    per_shard = F.broadcast(per_shard) if per_shard.count() <= BROADCAST_ROWS else per_shard
+
+    running = Window.partitionBy("src", "shard").orderBy(F.xxhash64(F.lit(seed + 1), "doc_id", "mark"), "doc_id", "mark", "size").rowsBetween(Window.unboundedPreceding, 0)
+    laid = _placed(rows, small, seed).withColumn("stop", F.sum("size").over(running)).withColumn("start", F.col("stop") - F.col("size"))
+    return laid.join(per_shard, ["src", "shard"], "left").withColumn("blocks", _blocks(seed))
+
 
-    running = Window.partitionBy("source", "shard").orderBy(F.xxhash64(F.lit(seed + 1), "doc_id"), "doc_id").rowsBetween(Window.unboundedPreceding, 0)
-    laid = placed.withColumn("stop", F.sum("size").over(running)).withColumn("start", F.col("stop") - F.col("size"))
-    laid = laid.join(per_shard, F.col("source").eqNullSafe(F.col("__s")) & (F.col("shard") == F.col("__h")), "left")
+def _facts(docs: DataFrame, text_col: str, *more: Column) -> DataFrame:
+    """doc_id, source, size, and mark: a hash of the text, so that rows of one doc_id are told apart."""
+    return docs.select("doc_id", "source", word_count(F.col(text_col)).alias("size"), F.xxhash64(text_col).alias("mark"), *more)
+
+
+def plan_mix(docs: DataFrame, weights: tuple[float, ...] = (5.0, 2.0, 1.0), share: float = 1.5, max_passes: int = 2, block_words: int = 64, shard_words: int = 200_000, seed: int = SEED, text_col: str = "text") -> DataFrame:
+    """Per document: doc_id, source, size, source_size, target, taken, and blocks: (times, start, stop) word ranges, stop exclusive.
+
+    One pass over the texts; what is shuffled is (doc_id, source, size, mark).
+    """
+    sizes = cut(_facts(docs, text_col))
+    laid = _plan(sizes, sizes, weights, share, max_passes, block_words, shard_words, seed)
     taken = F.aggregate("blocks", F.lit(0).cast("long"), lambda a, s: a + s["times"] * (s["stop"] - s["start"]))
-    return laid.select("doc_id", "source", "size", "source_size", "target", _blocks(seed).alias("blocks")).withColumn("taken", F.coalesce(taken, F.lit(0).cast("long")))
+    return laid.select("doc_id", "source", "size", "source_size", "target", "blocks").withColumn("taken", F.coalesce(taken, F.lit(0).cast("long")))
 
 
 def _blocks(seed: int) -> Column:
@@ -133,22 +156,31 @@ def _blocks(seed: int) -> Column:
     return F.when((F.col("size") > 0) & (F.col("quota") > 0), taken)
 
 
-def mix_documents(docs: DataFrame, **options) -> DataFrame:
+#: A word and the white space after it.
+_PIECE = r"([^\x20\x09-\x0D]+[\x20\x09-\x0D]*)"
+
+
+def mix_documents(docs: DataFrame, weights: tuple[float, ...] = (5.0, 2.0, 1.0), share: float = 1.5, max_passes: int = 2, block_words: int = 64, shard_words: int = 200_000, seed: int = SEED, text_col: str = "text") -> DataFrame:
     """The mix itself: docs' columns, one row for each text and pass that takes words of it, text cut to those words.
 
-    A text that a pass takes whole stays as it is; of another, the words taken keep the white
-    space that follows them. n_chars, if there is one, becomes the new text's length.
+    The rows themselves are laid out in their shards, so each gets its own plan, whatever ids it
+    shares with others. A text that a pass takes whole stays as it is; of another, the words taken
+    keep the white space that follows them. n_chars, if there is one, becomes the new text's length.
     """
     columns = docs.columns
-    plan = plan_mix(docs, **options).filter("taken > 0").select(F.col("doc_id").alias("__id"), F.col("size").alias("__size"), F.col("blocks").alias("__blocks"))
-    plan = plan.groupBy("__id").agg(F.min(F.struct("__size", "__blocks")).alias("__plan")).select("__id", "__plan.*")
-    out = docs.join(plan, F.col("doc_id").eqNullSafe(F.col("__id"))).withColumn("__pass", F.explode(F.sequence(F.lit(1), F.array_max(F.transform("__blocks", lambda b: b["times"])).cast("int"))))
-    out = out.withColumn("__own", F.filter("__blocks", lambda b: b["times"] >= F.col("__pass")))
-    words = F.regexp_extract_all(F.col("text"), F.lit(r"([^\x20\x09-\x0D]+[\x20\x09-\x0D]*)"), F.lit(1))
-    pieces = F.transform("__own", lambda b: F.array_join(F.slice(words, (b["start"] + 1).cast("int"), (b["stop"] - b["start"]).cast("int")), ""))
+    sizes = cut(_facts(docs, text_col))
+    laid = _plan(sizes, _facts(docs, text_col, F.struct(*[F.col(c) for c in columns]).alias("__row")), weights, share, max_passes, block_words, shard_words, seed)
+    out = laid.filter(F.size("blocks") > 0).select("__row", "size", "blocks").withColumn("__pass", F.explode(F.sequence(F.lit(1), F.array_max(F.transform("blocks", lambda b: b["times"])).cast("int"))))
+    own = F.filter("blocks", lambda b: b["times"] >= F.col("__pass"))
+    out = out.select("__row", "size", own.alias("__own"))
+    text = F.col("__row")[text_col]
+    # The words stand in an array of one array, so that the pieces below share one evaluation of them.
+    words = F.array(F.regexp_extract_all(text, F.lit(_PIECE), F.lit(1)))
+    pieces = lambda w: F.transform("__own", lambda b: F.array_join(F.slice(w, (b["start"] + 1).cast("int"), (b["stop"] - b["start"]).cast("int")), ""))
     n = F.aggregate("__own", F.lit(0).cast("long"), lambda a, b: a + b["stop"] - b["start"])
-    text = F.when(n == F.col("__size"), F.col("text")).otherwise(F.array_join(pieces, ""))
-    out = out.withColumn("text", text)
+    part = F.element_at(F.transform(words, lambda w: F.array_join(pieces(w), "")), 1)
+    out = out.select(F.col("__row"), F.when(n == F.col("size"), text).otherwise(part).alias("__text"))
+    new = {text_col: F.col("__text")}
     if "n_chars" in columns:
-        out = out.withColumn("n_chars", F.length("text").cast(docs.schema["n_chars"].dataType))
-    return out.select(*columns)
+        new["n_chars"] = F.length("__text").cast(docs.schema["n_chars"].dataType)
+    return out.select(*[new.get(c, F.col("__row")[c]).alias(c) for c in columns])
