@@ -5,7 +5,11 @@ word and n-gram it has, once, with its counts in training documents; a shard sum
 all chunks, builds its trie, and answers every chunk in the order it asked. So both the model
 and the lookups are spread by hash: no n-gram and no context is hot, as a chunk sends each at
 most once. The documents are shuffled by chunk once and read twice. A message holds its shard's
-range of mixed hashes as an Elias-Fano list, and counts in two bits with an escape.
+range of mixed keys as an Elias-Fano list, and counts in two bits with an escape.
+
+A chunk has about CHUNK_BYTES of text whatever the input's size, so that a task's memory doesn't
+grow with it, until a message would hold less than MESSAGE_BYTES / 2 of text; from there on
+(4 GB at 6 MiB and 8 KiB) chunks grow with the input's root.
 
 A shard's trie has a level of contexts (Elias-Fano), monotone pointers into the level of
 successors (Elias-Fano), and the successors themselves, relative to their context, with 8-bit
@@ -21,7 +25,9 @@ Edge cases: null and empty texts are the end token alone; repeated rows score al
 training rows all probabilities are 0.1 / 0.1 = 1 and scores 0; one document may be longer than
 a chunk and is scored whole; an empty table gives no rows.
 
-Word and n-gram identities are 64-bit hashes, n-grams' within their shard.
+A word is known by 64 bits of its hash. An n-gram is known by half of its key's bits of its
+context's hash and half of its word's; the key has KEY_SPARE bits more than the logarithm of the
+number of tokens, so about 2 ** -KEY_SPARE of the unseen n-grams are taken for a seen one.
 """
 
 from __future__ import annotations
@@ -40,8 +46,9 @@ from .textops import buffer_of, mix, pair_hash, slices, span_hashes, words
 END = np.uint64(0xE4D0F0E4D0F0E4D1)
 START = np.uint64(0x57A47057A4705731)
 TYPES_POWER = 0.9
-#: Chunks and shards grow with the root of the input, so that what one asks the other stays about this size.
-MESSAGE_BYTES = 32_768
+#: Text of a chunk, and of a chunk's part that goes to one of the shards, at the least.
+CHUNK_BYTES, MESSAGE_BYTES = 6 << 20, 8192
+KEY_SPARE = 12
 
 
 class EliasFano:
@@ -120,23 +127,24 @@ def code_of(counts: np.ndarray) -> np.ndarray:
 
 
 class Trie:
-    """Contexts, pointers, successors and codes of one shard; keys are context << 32 | word, ascending and distinct."""
+    """Contexts, pointers, successors and codes of one shard; keys are context << word_bits | word, ascending and distinct."""
 
-    def __init__(self, contexts: EliasFano, pointers: EliasFano, successors: EliasFano, codes: np.ndarray):
-        self.contexts, self.pointers, self.successors, self.codes = contexts, pointers, successors, codes
+    def __init__(self, word_bits: int, contexts: EliasFano, pointers: EliasFano, successors: EliasFano, codes: np.ndarray):
+        self.word_bits, self.contexts, self.pointers, self.successors, self.codes = word_bits, contexts, pointers, successors, codes
 
     @classmethod
-    def of(cls, keys: np.ndarray, counts: np.ndarray) -> Trie:
-        ctx = keys >> np.uint64(32)
+    def of(cls, keys: np.ndarray, counts: np.ndarray, word_bits: int = 32) -> Trie:
+        shift = np.uint64(word_bits)
+        ctx = keys >> shift
         first = np.flatnonzero(np.append(True, ctx[1:] != ctx[:-1])) if len(keys) else np.zeros(0, np.int64)
         rank = np.repeat(np.arange(len(first)), np.diff(np.append(first, len(keys)))).astype(np.uint64)
-        relative = rank << np.uint64(32) | keys & np.uint64(0xFFFFFFFF)
-        return cls(EliasFano.of(ctx[first], 1 << 32), EliasFano.of(np.append(first, len(keys)), len(keys) + 1), EliasFano.of(relative, max(len(first), 1) << 32), code_of(counts))
+        relative = rank << shift | keys & np.uint64((1 << word_bits) - 1)
+        return cls(word_bits, EliasFano.of(ctx[first], int(ctx[-1]) + 1 if len(keys) else 1), EliasFano.of(np.append(first, len(keys)), len(keys) + 1), EliasFano.of(relative, max(len(first), 1) << word_bits), code_of(counts))
 
     def save(self, path: str) -> None:
         arrays = [*self.contexts.parts(), *self.pointers.parts(), *self.successors.parts(), self.codes]
         with open(path, "wb") as out:
-            np.array([len(a) for a in arrays], np.int64).tofile(out)
+            np.array([self.word_bits, *[len(a) for a in arrays]], np.int64).tofile(out)
             for a in arrays:
                 np.ascontiguousarray(a).tofile(out)
                 out.write(b"\0" * (-a.nbytes % 8))
@@ -144,24 +152,24 @@ class Trie:
     @classmethod
     def map(cls, path: str) -> Trie:
         raw = np.memmap(path, np.uint8, "r")
-        sizes, at, arrays = raw[: 13 * 8].view(np.int64), 13 * 8, []
-        for n, kind in zip(sizes.tolist(), [np.int64, np.uint8, np.uint64, np.int64] * 3 + [np.uint8], strict=True):
+        (word_bits, *sizes), at, arrays = raw[: 14 * 8].view(np.int64).tolist(), 14 * 8, []
+        for n, kind in zip(sizes, [np.int64, np.uint8, np.uint64, np.int64] * 3 + [np.uint8], strict=True):
             nbytes = n * np.dtype(kind).itemsize
             arrays.append(raw[at : at + nbytes].view(kind))
             at += nbytes + (-nbytes % 8)
         levels = [EliasFano(int(arrays[k][0]), int(arrays[k][1]), *arrays[k + 1 : k + 4]) for k in (0, 4, 8)]
-        return cls(*levels, arrays[12])
+        return cls(word_bits, *levels, arrays[12])
 
     def lookup(self, keys: np.ndarray) -> np.ndarray:
         """Codes of ascending keys, 0 where there is none."""
         out = np.zeros(len(keys), np.uint8)
         if not self.contexts.n or not len(keys):
             return out
-        contexts, ctx = self.contexts.all(), keys >> np.uint64(32)
+        contexts, ctx = self.contexts.all(), keys >> np.uint64(self.word_bits)  # ascending as the keys are: one merge
         rank = np.minimum(np.searchsorted(contexts, ctx), len(contexts) - 1)
         known = np.flatnonzero(contexts[rank] == ctx)
         rank = rank[known]
-        x = rank.astype(np.uint64) << np.uint64(32) | keys[known] & np.uint64(0xFFFFFFFF)
+        x = rank.astype(np.uint64) << np.uint64(self.word_bits) | keys[known] & np.uint64((1 << self.word_bits) - 1)
         lo, hi = self.pointers.get(rank).astype(np.int64), self.pointers.get(rank + 1).astype(np.int64)
         at = self.successors.successor(lo, hi, x)
         hit = np.flatnonzero(at < hi)
@@ -173,7 +181,7 @@ class Trie:
 class Chunk:
     """Tokens of a chunk's documents: their distinct words and n-grams, and where each token has them."""
 
-    def __init__(self, texts: pa.ChunkedArray, order: int):
+    def __init__(self, texts: pa.ChunkedArray, order: int, bits: int = 64):
         hashes, counts = [], []
         for part in texts.chunks if isinstance(texts, pa.ChunkedArray) else [texts]:
             buf, at = buffer_of(part)
@@ -194,8 +202,9 @@ class Chunk:
         before = np.empty_like(h)
         before[1:], before[self.first] = h[:-1], START
         ctx, self.grams = before, []
+        high, low = np.uint64(64 - bits), np.uint64((1 << bits // 2) - 1)
         for n in range(2, order + 1):
-            key = mix(ctx + np.uint64(n)) & np.uint64(0xFFFFFFFF00000000) | mix(h) & np.uint64(0xFFFFFFFF)
+            key = (mix(ctx + np.uint64(n)) >> high) & ~low | mix(h) & low
             self.grams.append(np.unique(key, return_inverse=True))
             older = np.empty_like(ctx)
             older[1:], older[self.first] = ctx[:-1], START
@@ -205,59 +214,67 @@ class Chunk:
         return [(0, self.words, self.word_at), *[(n + 1, keys, at) for n, (keys, at) in enumerate(self.grams)]]
 
 
-def deal(keys: np.ndarray, shards: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """The order of keys by their mixed hashes, these in that order, and the shards+1 edges: a shard has a range of hashes of `span_of`."""
-    mixed = mix(keys)
-    by = np.argsort(mixed, kind="stable")
-    mixed = mixed[by]
-    starts = np.array([s * span_of(shards) for s in range(shards)], np.uint64)
-    return by, mixed, np.append(np.searchsorted(mixed, starts), len(keys))
+_ODD = (0x94D049BB133111EB, 0xBF58476D1CE4E5B9)
+
+
+def scatter(x: np.ndarray, bits: int) -> np.ndarray:
+    """A bijection of the numbers of so many bits that spreads neighbours."""
+    half, mask = np.uint64(bits - bits // 2), np.uint64((1 << bits) - 1)
+    for odd in _ODD:
+        x = ((x ^ (x >> half)) * np.uint64(odd)) & mask
+    return x ^ (x >> half)
 
 
-def span_of(shards: int) -> int:
-    return -(-(1 << 64) // shards)
+def gather(x: np.ndarray, bits: int) -> np.ndarray:
+    """The inverse of scatter: a shift by half the bits or more undoes itself."""
+    half, mask = np.uint64(bits - bits // 2), np.uint64((1 << bits) - 1)
+    for odd in _ODD[::-1]:
+        x = x ^ (x >> half)
+        x = (x * np.uint64(pow(odd, -1, 1 << bits))) & mask
+    return x ^ (x >> half)
 
 
-_MIX_BACK = [np.uint64(pow(m, -1, 1 << 64)) for m in (0x94D049BB133111EB, 0xBF58476D1CE4E5B9)]
+def deal(keys: np.ndarray, shards: int, bits: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """The order of keys when scattered, these in that order, and the shards+1 edges: a shard has a range of `span_of` numbers."""
+    far = scatter(keys, bits)
+    by = np.argsort(far, kind="stable")
+    far = far[by]
+    starts = np.array([s * span_of(shards, bits) for s in range(shards)], np.uint64)
+    return by, far, np.append(np.searchsorted(far, starts), len(keys))
 
 
-def unmix(h: np.ndarray) -> np.ndarray:
-    """The inverse of mix."""
-    h = h ^ (h >> np.uint64(31)) ^ (h >> np.uint64(62))
-    h = h * _MIX_BACK[0]
-    h = h ^ (h >> np.uint64(27)) ^ (h >> np.uint64(54))
-    h = h * _MIX_BACK[1]
-    return h ^ (h >> np.uint64(30)) ^ (h >> np.uint64(60))
+def span_of(shards: int, bits: int) -> int:
+    return -(-(1 << bits) // shards)
 
 
-def pack_keys(mixed: np.ndarray, shard: int, shards: int) -> bytes:
-    """Ascending distinct hashes of a shard's range as their number and an Elias-Fano list."""
-    ef = EliasFano.of(mixed - np.uint64(shard * span_of(shards)), span_of(shards))
+def pack_keys(far: np.ndarray, shard: int, shards: int, bits: int) -> bytes:
+    """Ascending distinct numbers of a shard's range as their count and an Elias-Fano list."""
+    ef = EliasFano.of(far - np.uint64(shard * span_of(shards, bits)), span_of(shards, bits))
     return np.array([ef.n, ef.low_bits], "<i4").tobytes() + ef.low.tobytes() + ef.high.tobytes()
 
 
-def unpack_keys(raw: bytes, shard: int, shards: int) -> np.ndarray:
-    n, bits = np.frombuffer(raw, "<i4", 2).tolist()
+def unpack_keys(raw: bytes, shard: int, shards: int, bits: int) -> np.ndarray:
+    n, low_bits = np.frombuffer(raw, "<i4", 2).tolist()
     rest = np.frombuffer(raw, np.uint8, offset=8)
-    size = n * bits // 8 + 9
-    return EliasFano(n, bits, rest[:size], rest[size:], np.zeros(0, np.int64)).all() + np.uint64(shard * span_of(shards))
+    size = n * low_bits // 8 + 9
+    return EliasFano(n, low_bits, rest[:size], rest[size:], np.zeros(0, np.int64)).all() + np.uint64(shard * span_of(shards, bits))
 
 
 def pack_counts(counts: np.ndarray) -> bytes:
-    """Two bits each: 0, 1, 2, or 3 for one that follows in a byte, whose 255 stands for one that follows in four."""
+    """Two bits each: 0, 1, 2, or 3 for one that follows in a byte, whose 255 stands for one that follows in eight."""
     small = np.minimum(counts, 3).astype(np.uint8)
     more = counts[counts >= 3]
-    return b"".join(x.tobytes() for x in (np.packbits(small & 1), np.packbits(small >> 1), np.minimum(more, 255).astype(np.uint8), more[more >= 255].astype("<u4")))
+    return b"".join(x.tobytes() for x in (np.packbits(small & 1), np.packbits(small >> 1), np.minimum(more, 255).astype(np.uint8), more[more >= 255].astype("<u8")))
 
 
 def unpack_counts(raw: bytes, n: int) -> np.ndarray:
     size = -(-n // 8)
     one, two = (np.unpackbits(np.frombuffer(raw, np.uint8, size, k * size), count=n) for k in (0, 1))
-    out = (one + 2 * two).astype(np.uint32)
+    out = (one + 2 * two).astype(np.uint64)
     at = np.flatnonzero(out == 3)
     out[at] = np.frombuffer(raw, np.uint8, len(at), 2 * size)
     at = at[out[at] == 255]
-    out[at] = np.frombuffer(raw, "<u4", len(at), len(raw) - 4 * len(at))
+    out[at] = np.frombuffer(raw, "<u8", len(at), len(raw) - 8 * len(at))
     return out
 
 
@@ -265,10 +282,15 @@ ASK = "kind int, shard int, chunk long, keys binary, counts binary"
 ANSWER = "chunk long, kind int, shard int, values binary, n long, v long"
 
 
-def _answer(table: pa.Table, shards: int) -> pa.Table:
+def bits_of(kind: int, key_bits: int) -> int:
+    return 64 if kind == 0 else key_bits
+
+
+def _answer(table: pa.Table, shards: int, key_bits: int) -> pa.Table:
     """Sums of one shard: for words exact counts, for n-grams the codes of its trie."""
     kind, shard = table.column("kind")[0].as_py(), table.column("shard")[0].as_py()
-    asked = [unmix(unpack_keys(k.as_py(), shard, shards)) for k in table.column("keys")]
+    bits = bits_of(kind, key_bits)
+    asked = [gather(unpack_keys(k.as_py(), shard, shards, bits), bits) for k in table.column("keys")]
     told = [unpack_counts(c.as_py(), len(k)) for c, k in zip(table.column("counts"), asked, strict=True)]
     keys, at = np.unique(np.concatenate(asked), return_inverse=True)
     total = np.bincount(at, weights=np.concatenate(told), minlength=len(keys)).astype(np.uint64)
@@ -279,7 +301,7 @@ def _answer(table: pa.Table, shards: int) -> pa.Table:
         handle, path = tempfile.mkstemp(suffix=".trie")
         os.close(handle)
         try:
-            Trie.of(keys[learned], total[learned]).save(path)
+            Trie.of(keys[learned], total[learned], bits // 2).save(path)
             values = Trie.map(path).lookup(keys)
         finally:
             os.unlink(path)
@@ -287,7 +309,7 @@ def _answer(table: pa.Table, shards: int) -> pa.Table:
     n = table.num_rows
     return pa.table(
         {
-            "chunk": table.column("chunk"), "kind": pa.array([kind] * n, pa.int32()), "shard": pa.array([shard] * n, pa.int32()), "values": pa.array([v.tobytes() for v in out], pa.binary()),
+            "chunk": table.column("chunk"), "kind": pa.array([kind] * n, pa.int32()), "shard": pa.array([shard] * n, pa.int32()), "values": pa.array([pack_counts(v) if kind == 0 else v.tobytes() for v in out], pa.binary()),
             "n": pa.array([int(total.sum()) if kind == 0 else 0] * n, pa.int64()), "v": pa.array([int((total > 0).sum()) if kind == 0 else 0] * n, pa.int64()),
         }
     )
@@ -295,40 +317,43 @@ def _answer(table: pa.Table, shards: int) -> pa.Table:
 
 def score_documents(docs: DataFrame, held_out, order: int = 2, text_col: str = "text", chunks: int | None = None) -> DataFrame:
     """Per document: doc_id, held_out, n_tokens, n_known, train_tokens, base_score and score; learned from the rows where held_out is false."""
+    total = docs.agg(F.sum(F.octet_length(text_col)) + F.count(F.lit(1))).first()[0] or 0
     if chunks is None:
-        total = docs.agg(F.sum(F.octet_length(text_col))).first()[0] or 0
-        chunks = max(4, math.ceil(math.sqrt(total / MESSAGE_BYTES)))
+        chunks = max(4, math.ceil(total / max(CHUNK_BYTES, math.sqrt(total * MESSAGE_BYTES / 2))))
     shards = max(2, chunks // 2)
+    # A token has two bytes at the least; an even number of bits, for two halves.
+    key_bits = min(64, 2 * math.ceil((math.log2(max(total / 2, 2)) + KEY_SPARE) / 2))
     rows = docs.select(F.pmod(F.xxhash64("doc_id"), F.lit(chunks)).alias("chunk"), "doc_id", F.coalesce(held_out, F.lit(False)).alias("held_out"), F.col(text_col).alias("text"))
     out_type = f"doc_id {docs.schema['doc_id'].dataType.simpleString()}, held_out boolean, n_tokens long, n_known long, train_tokens long, base_score double, score double"
 
     def ask(table: pa.Table) -> pa.Table:
-        chunk = Chunk(table.column("text"), order)
+        chunk = Chunk(table.column("text"), order, key_bits)
         train = np.repeat(~np.array(table.column("held_out")), chunk.n_tokens)
         rows = {"kind": [], "shard": [], "keys": [], "counts": []}
         for kind, keys, at in chunk.asked():
-            by, mixed, edges = deal(keys, shards)
-            counts = np.bincount(at, weights=train, minlength=len(keys)).astype(np.uint32)[by]
+            bits = bits_of(kind, key_bits)
+            by, far, edges = deal(keys, shards, bits)
+            counts = np.bincount(at, weights=train, minlength=len(keys)).astype(np.uint64)[by]
             for s in range(shards):
                 own = slice(edges[s], edges[s + 1])
                 if edges[s] < edges[s + 1] or kind == 0:  # every word shard is asked, so that every chunk hears all of N and V
-                    for name, value in zip(rows, (kind, s, pack_keys(mixed[own], s, shards), pack_counts(counts[own])), strict=True):
+                    for name, value in zip(rows, (kind, s, pack_keys(far[own], s, shards, bits), pack_counts(counts[own])), strict=True):
                         rows[name].append(value)
         n = len(rows["kind"])
         return pa.table({"kind": pa.array(rows["kind"], pa.int32()), "shard": pa.array(rows["shard"], pa.int32()), "chunk": pa.array([table.column("chunk")[0].as_py()] * n, pa.int64()), "keys": pa.array(rows["keys"], pa.binary()), "counts": pa.array(rows["counts"], pa.binary())})
 
     def judge(table: pa.Table, answers: pa.Table) -> pa.Table:
-        chunk = Chunk(table.column("text"), order)
+        chunk = Chunk(table.column("text"), order, key_bits)
         got = {(k, s): v for k, s, v in zip(answers.column("kind").to_pylist(), answers.column("shard").to_pylist(), answers.column("values"), strict=True)}
         n, v = sum(answers.column("n").to_pylist()), sum(answers.column("v").to_pylist())
         found = []
         for kind, keys, at in chunk.asked():
-            by, _, edges = deal(keys, shards)
+            by, _, edges = deal(keys, shards, bits_of(kind, key_bits))
             values = np.zeros(len(keys))
             for s in range(shards):
                 if edges[s] < edges[s + 1]:
                     raw = got[kind, s].as_py()
-                    values[by[edges[s] : edges[s + 1]]] = np.frombuffer(raw, "<u8") if kind == 0 else VALUE_OF[np.frombuffer(raw, np.uint8)]
+                    values[by[edges[s] : edges[s + 1]]] = unpack_counts(raw, edges[s + 1] - edges[s]) if kind == 0 else VALUE_OF[np.frombuffer(raw, np.uint8)]
             found.append(values[at])
         c = found[0]
         p = (c + 0.1) / (n + 0.1 * (v + 1))
@@ -352,5 +377,5 @@ def score_documents(docs: DataFrame, held_out, order: int = 2, text_col: str = "
         )
 
     asked = rows.groupBy("chunk").applyInArrow(ask, ASK)
-    answers = asked.groupBy("kind", "shard").applyInArrow(lambda table: _answer(table, shards), ANSWER)
+    answers = asked.groupBy("kind", "shard").applyInArrow(lambda table: _answer(table, shards, key_bits), ANSWER)
     return rows.groupBy("chunk").cogroup(answers.groupBy("chunk")).applyInArrow(judge, out_type)
