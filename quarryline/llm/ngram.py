@@ -8,11 +8,11 @@ most once. The documents are shuffled by chunk once and read twice. A message ho
 range of mixed keys as an Elias-Fano list, and counts in two bits with an escape.
 
 A chunk has about CHUNK_BYTES of text whatever the input's size, so that a task's memory doesn't
-grow with it, until a message would hold less than MESSAGE_BYTES / 2 of text; from there on
-(4 GB at 6 MiB and 8 KiB) chunks grow with the input's root.
+grow with it, until a message would stand for less than MESSAGE_BYTES of text; from there on
+(10 GB of text at 6 MiB and 8 KiB) chunks grow with the input's root.
 
 A shard's trie has a level of contexts (Elias-Fano), monotone pointers into the level of
-successors (Elias-Fano), and the successors themselves, relative to their context, with 8-bit
+successors (Elias-Fano), and the successors themselves, relative to their context, with 16-bit
 codes of their probability: the count, of which the smoothed probability follows with the
 context's count. The levels are written to one file, memory-mapped, and queried by
 context-relative successor search.
@@ -25,9 +25,10 @@ Edge cases: null and empty texts are the end token alone; repeated rows score al
 training rows all probabilities are 0.1 / 0.1 = 1 and scores 0; one document may be longer than
 a chunk and is scored whole; an empty table gives no rows.
 
-A word is known by 64 bits of its hash. An n-gram is known by half of its key's bits of its
-context's hash and half of its word's; the key has KEY_SPARE bits more than the logarithm of the
-number of tokens, so about 2 ** -KEY_SPARE of the unseen n-grams are taken for a seen one.
+A word is known by 64 bits of its hash. An n-gram is known by a third of its key's bits of its
+context's hash, and two thirds of a hash of the two together; the key has KEY_SPARE bits more than
+the logarithm of the number of tokens, so about 2 ** -KEY_SPARE of the unseen n-grams are taken
+for a seen one.
 """
 
 from __future__ import annotations
@@ -48,7 +49,7 @@ START = np.uint64(0x57A47057A4705731)
 TYPES_POWER = 0.9
 #: Text of a chunk, and of a chunk's part that goes to one of the shards, at the least.
 CHUNK_BYTES, MESSAGE_BYTES = 6 << 20, 8192
-KEY_SPARE = 12
+KEY_SPARE = 14
 
 
 class EliasFano:
@@ -116,14 +117,24 @@ class EliasFano:
         return [np.array([self.n, self.low_bits], np.int64), self.low, self.high, self.ranks]
 
 
-# Codes of counts: 0 none, 1 to 64 exact, then in steps of about 13 % up to 2 ** 40.
-_STEP = (2.0**34) ** (1 / 191)
-VALUE_OF = np.concatenate([np.arange(65.0), 64.0 * _STEP ** np.arange(1, 192)])
+# 16-bit codes of counts: up to EXACT themselves, then in steps of about 0.04 % up to 2 ** 48.
+EXACT = 4096
+_STEP = (2.0**48 / EXACT) ** (1 / (65535 - EXACT))
+VALUE_OF = np.concatenate([np.arange(EXACT + 1.0), EXACT * _STEP ** np.arange(1, 65536 - EXACT)])
 
 
 def code_of(counts: np.ndarray) -> np.ndarray:
     c = np.maximum(counts.astype(float), 0)
-    return np.where(c <= 64, c, 64 + np.minimum(np.round(np.log(np.maximum(c, 64) / 64) / math.log(_STEP)), 191)).astype(np.uint8)
+    return np.where(c <= EXACT, c, EXACT + np.minimum(np.round(np.log(np.maximum(c, EXACT) / EXACT) / math.log(_STEP)), 65535 - EXACT)).astype(np.uint16)
+
+
+def pack_codes(codes: np.ndarray) -> bytes:
+    """The low bytes, then the high ones, which are nearly all zero and compress away."""
+    return codes.astype("<u2").view(np.uint8).reshape(-1, 2).T.tobytes()
+
+
+def unpack_codes(raw: bytes) -> np.ndarray:
+    return np.ascontiguousarray(np.frombuffer(raw, np.uint8).reshape(2, -1).T).view("<u2").ravel()
 
 
 class Trie:
@@ -153,7 +164,7 @@ class Trie:
     def map(cls, path: str) -> Trie:
         raw = np.memmap(path, np.uint8, "r")
         (word_bits, *sizes), at, arrays = raw[: 14 * 8].view(np.int64).tolist(), 14 * 8, []
-        for n, kind in zip(sizes, [np.int64, np.uint8, np.uint64, np.int64] * 3 + [np.uint8], strict=True):
+        for n, kind in zip(sizes, [np.int64, np.uint8, np.uint64, np.int64] * 3 + [np.uint16], strict=True):
             nbytes = n * np.dtype(kind).itemsize
             arrays.append(raw[at : at + nbytes].view(kind))
             at += nbytes + (-nbytes % 8)
@@ -162,7 +173,7 @@ class Trie:
 
     def lookup(self, keys: np.ndarray) -> np.ndarray:
         """Codes of ascending keys, 0 where there is none."""
-        out = np.zeros(len(keys), np.uint8)
+        out = np.zeros(len(keys), np.uint16)
         if not self.contexts.n or not len(keys):
             return out
         contexts, ctx = self.contexts.all(), keys >> np.uint64(self.word_bits)  # ascending as the keys are: one merge
@@ -178,6 +189,11 @@ class Trie:
         return out
 
 
+def word_bits(bits: int) -> int:
+    """Bits of a key of so many that tell a context's successors apart."""
+    return bits * 2 // 3
+
+
 class Chunk:
     """Tokens of a chunk's documents: their distinct words and n-grams, and where each token has them."""
 
@@ -202,9 +218,9 @@ class Chunk:
         before = np.empty_like(h)
         before[1:], before[self.first] = h[:-1], START
         ctx, self.grams = before, []
-        high, low = np.uint64(64 - bits), np.uint64((1 << bits // 2) - 1)
+        high, low = np.uint64(64 - bits), np.uint64((1 << word_bits(bits)) - 1)
         for n in range(2, order + 1):
-            key = (mix(ctx + np.uint64(n)) >> high) & ~low | mix(h) & low
+            key = (mix(ctx + np.uint64(n)) >> high) & ~low | pair_hash(ctx, h, 7 + n) & low
             self.grams.append(np.unique(key, return_inverse=True))
             older = np.empty_like(ctx)
             older[1:], older[self.first] = ctx[:-1], START
@@ -301,7 +317,7 @@ def _answer(table: pa.Table, shards: int, key_bits: int) -> pa.Table:
         handle, path = tempfile.mkstemp(suffix=".trie")
         os.close(handle)
         try:
-            Trie.of(keys[learned], total[learned], bits // 2).save(path)
+            Trie.of(keys[learned], total[learned], word_bits(bits)).save(path)
             values = Trie.map(path).lookup(keys)
         finally:
             os.unlink(path)
@@ -309,7 +325,7 @@ def _answer(table: pa.Table, shards: int, key_bits: int) -> pa.Table:
     n = table.num_rows
     return pa.table(
         {
-            "chunk": table.column("chunk"), "kind": pa.array([kind] * n, pa.int32()), "shard": pa.array([shard] * n, pa.int32()), "values": pa.array([pack_counts(v) if kind == 0 else v.tobytes() for v in out], pa.binary()),
+            "chunk": table.column("chunk"), "kind": pa.array([kind] * n, pa.int32()), "shard": pa.array([shard] * n, pa.int32()), "values": pa.array([pack_counts(v) if kind == 0 else pack_codes(v) for v in out], pa.binary()),
             "n": pa.array([int(total.sum()) if kind == 0 else 0] * n, pa.int64()), "v": pa.array([int((total > 0).sum()) if kind == 0 else 0] * n, pa.int64()),
         }
     )
@@ -321,8 +337,7 @@ def score_documents(docs: DataFrame, held_out, order: int = 2, text_col: str = "
     if chunks is None:
         chunks = max(4, math.ceil(total / max(CHUNK_BYTES, math.sqrt(total * MESSAGE_BYTES / 2))))
     shards = max(2, chunks // 2)
-    # A token has two bytes at the least; an even number of bits, for two halves.
-    key_bits = min(64, 2 * math.ceil((math.log2(max(total / 2, 2)) + KEY_SPARE) / 2))
+    key_bits = min(64, max(40, math.ceil(math.log2(max(total / 2, 2)) + KEY_SPARE)))  # a token has two bytes at the least
     rows = docs.select(F.pmod(F.xxhash64("doc_id"), F.lit(chunks)).alias("chunk"), "doc_id", F.coalesce(held_out, F.lit(False)).alias("held_out"), F.col(text_col).alias("text"))
     out_type = f"doc_id {docs.schema['doc_id'].dataType.simpleString()}, held_out boolean, n_tokens long, n_known long, train_tokens long, base_score double, score double"
 
@@ -353,7 +368,7 @@ def score_documents(docs: DataFrame, held_out, order: int = 2, text_col: str = "
             for s in range(shards):
                 if edges[s] < edges[s + 1]:
                     raw = got[kind, s].as_py()
-                    values[by[edges[s] : edges[s + 1]]] = unpack_counts(raw, edges[s + 1] - edges[s]) if kind == 0 else VALUE_OF[np.frombuffer(raw, np.uint8)]
+                    values[by[edges[s] : edges[s + 1]]] = unpack_counts(raw, edges[s + 1] - edges[s]) if kind == 0 else VALUE_OF[unpack_codes(raw)]
             found.append(values[at])
         c = found[0]
         p = (c + 0.1) / (n + 0.1 * (v + 1))

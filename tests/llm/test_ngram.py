@@ -37,7 +37,9 @@ def test_trie_from_its_file(tmp_path):
 def test_codes_are_monotone_and_close():
     c = np.unique(np.concatenate([np.arange(1, 2000), 2.0 ** np.arange(11, 40)]))
     back = ngram.VALUE_OF[ngram.code_of(c)]
-    assert (np.abs(back / c - 1) < 0.07).all() and (back[c <= 64] == c[c <= 64]).all() and ngram.code_of(np.array([0]))[0] == 0
+    assert (np.abs(back / c - 1) < 0.0003).all() and (back[c <= ngram.EXACT] == c[c <= ngram.EXACT]).all() and ngram.code_of(np.array([0]))[0] == 0
+    codes = ngram.code_of(c)
+    assert (ngram.unpack_codes(ngram.pack_codes(codes)) == codes).all() and len(ngram.unpack_codes(b"")) == 0
 
 
 def brute(texts, held, order):
