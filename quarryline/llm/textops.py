@@ -81,12 +81,24 @@ def words(buf: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray,
     return starts, ends, np.searchsorted(starts, offsets)
 
 
+#: The powers that slices need, worked out once a process; longer texts work out their own.
+_KNOWN: dict[int, np.ndarray] = {}
+
+
+def _powers(n: int, base: np.uint64) -> np.ndarray:
+    if n > SLICE_BYTES + 1:
+        return powers(n, base)
+    if int(base) not in _KNOWN:
+        _KNOWN[int(base)] = powers(SLICE_BYTES + 1, base)
+    return _KNOWN[int(base)][:n]
+
+
 def span_hashes(buf: np.ndarray, starts: np.ndarray, ends: np.ndarray, fold: bool = True) -> np.ndarray:
     """A 64-bit hash of each span; fold lower-cases A-Z first. Equal bytes, equal hash, anywhere."""
     code = _BYTE_CODE[_FOLD[buf]] if fold else _BYTE_CODE[buf]
     total = np.zeros(len(buf) + 1, np.uint64)
-    np.cumsum(code * powers(len(buf), _STEP), out=total[1:], dtype=np.uint64)
-    h = (total[ends] - total[starts]) * powers(len(buf) + 1, _BACK)[starts]
+    np.cumsum(code * _powers(len(buf), _STEP), out=total[1:], dtype=np.uint64)
+    h = (total[ends] - total[starts]) * _powers(len(buf) + 1, _BACK)[starts]
     return mix(h + (ends - starts).astype(np.uint64))
 
 
