@@ -8,9 +8,12 @@ span at most a `radius`-dimensional space, so some v is orthogonal to all of the
 keeps none of the differing bits, and the pair meets in that table. 2^(radius+1) - 1 tables.
 
 A bucket that holds too many fingerprints is dealt again by a second, independent family of
-masks, which is as exact, and again by a third, so no bucket's size is squared. Within a bucket
-only a spanning forest of the links is kept; links of all buckets then meet in
-connected components.
+masks, which is as exact, then by a third and a fourth: each multiplies only these rows, by 31.
+Fingerprints that share a bucket agree in all bits that its masks keep; with four families
+these are so many (`largest_last_bucket`) that no bucket of the last can be large, whatever the
+data. Within a bucket only a spanning forest of the links is kept; links of all buckets then
+meet in connected components. Joins on fingerprints, hubs and labels send those with many rows
+by broadcast (`join_heavy`), so that no copy, hub or component fills one task.
 
 Edge cases: null and empty texts have fingerprint zero and are linked like any other; a text
 with fewer than four words is one shingle; equal fingerprints are one node, so copies are never
@@ -27,14 +30,15 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import cut
+from .common import BROADCAST_KEYS, cut, join_heavy
 from .textops import _FOLD, buffer_of, mix, pair_hash, slices, span_hashes, window_hashes, words
 
 SHINGLE = 4
 RADIUS = 4
 SEED = 42
-#: A bucket with more fingerprints is dealt again by the next family of masks.
+#: A bucket with more fingerprints is dealt again by the next of FAMILIES families of masks.
 SPLIT_ABOVE = 512
+FAMILIES = 4
 
 
 def _fingerprints(buf: np.ndarray, at: np.ndarray, shingle: int) -> np.ndarray:
@@ -67,17 +71,17 @@ def _fingerprints(buf: np.ndarray, at: np.ndarray, shingle: int) -> np.ndarray:
 
 
 def fingerprints(docs: DataFrame, text_col: str = "text", shingle: int = SHINGLE) -> DataFrame:
-    """doc_id and fp, the fingerprint as a signed long of the same bits. No shuffle."""
-    inp = docs.select("doc_id", F.col(text_col).alias("__text"))
+    """doc_id, mark (a hash of the text) and fp, the fingerprint as a signed long of the same bits. No shuffle."""
+    inp = docs.select("doc_id", F.xxhash64(text_col).alias("mark"), F.col(text_col).alias("__text"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            buf, at = buffer_of(batch.column(1))
-            for lo, hi in slices(at, 1 << 20):
+            buf, at = buffer_of(batch.column(2))
+            for lo, hi in slices(at):
                 fp = _fingerprints(buf[at[lo] : at[hi]], at[lo : hi + 1] - at[lo], shingle)
-                yield pa.RecordBatch.from_arrays([batch.column(0).slice(lo, hi - lo), pa.array(fp.view(np.int64))], ["doc_id", "fp"])
+                yield pa.RecordBatch.from_arrays([*[c.slice(lo, hi - lo) for c in batch.columns[:2]], pa.array(fp.view(np.int64))], ["doc_id", "mark", "fp"])
 
-    return inp.mapInArrow(run, f"doc_id {inp.schema['doc_id'].dataType.simpleString()}, fp long")
+    return inp.mapInArrow(run, f"doc_id {inp.schema['doc_id'].dataType.simpleString()}, mark long, fp long")
 
 
 def covering_masks(radius: int = RADIUS, family: int = 0) -> list[int]:
@@ -101,13 +105,15 @@ def _forest(fps: np.ndarray, radius: int) -> tuple[np.ndarray, np.ndarray]:
     """Links that span the components of one bucket's distinct fingerprints."""
     left, right, todo = [], [], fps
     while len(todo):
-        reached, frontier, todo = todo[:1], todo[:1], todo[1:]
+        frontier, todo = todo[:1], todo[1:]
         while len(frontier) and len(todo):
-            near = np.bitwise_count(todo[:, None] ^ frontier[None, :]) <= radius
+            step = 1 + 2_000_000 // len(todo)  # bounds the matrix, not what is compared
+            some, frontier = frontier[:step], frontier[step:]
+            near = np.bitwise_count(todo[:, None] ^ some[None, :]) <= radius
             hit = near.any(axis=1)
-            left.append(frontier[near[hit].argmax(axis=1)])
+            left.append(some[near[hit].argmax(axis=1)])
             right.append(todo[hit])
-            frontier, todo = todo[hit], todo[~hit]
+            frontier, todo = np.concatenate([frontier, todo[hit]]), todo[~hit]
     join = lambda x: np.concatenate(x) if x else np.zeros(0, np.uint64)
     return join(left), join(right)
 
@@ -145,7 +151,15 @@ def _links_in_buckets(radius: int):
     return run
 
 
-def links(nodes: DataFrame, radius: int = RADIUS, families: int = 3, split_above: int = SPLIT_ABOVE) -> DataFrame:
+def largest_last_bucket(radius: int = RADIUS, families: int = FAMILIES) -> int:
+    """Most distinct fingerprints that a bucket of the last family can hold: 2 to the number of bits that none of its masks keeps."""
+    kept = np.zeros(1, np.uint64)
+    for family in range(families):
+        kept = np.unique(kept[:, None] | np.array(covering_masks(radius, family), np.uint64)[None, :])
+    return 2 ** (64 - int(np.bitwise_count(kept).min()))
+
+
+def links(nodes: DataFrame, radius: int = RADIUS, families: int = FAMILIES, split_above: int = SPLIT_ABOVE) -> DataFrame:
     """(u, v) links between distinct fingerprints `fp` that span all pairs within radius."""
     found, now = None, nodes.select("fp", F.lit(0).cast("long").alias("key"))
     for family in range(families):
@@ -169,17 +183,21 @@ def components(edges: DataFrame, max_rounds: int = 50) -> DataFrame:
     nothing changes; the rounds grow with the logarithm of the longest path.
     """
     e = cut(edges.select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v")).filter("u != v").distinct())
-    before = None
+    state = lambda x: x.agg(F.count(F.lit(1)), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).first()
+    before = state(e)
     for _ in range(max_rounds):
+        few = before[0] <= BROADCAST_KEYS
+        joined = (lambda rows, keyed: rows.join(F.broadcast(keyed.drop("n")), "u")) if few else (lambda rows, keyed: join_heavy(rows, keyed, "u"))
         both = e.unionByName(e.select(F.col("v").alias("u"), F.col("u").alias("v")))
-        least = both.groupBy("u").agg(F.min("v").alias("m")).withColumn("m", F.least("u", "m"))
+        least = both.groupBy("u").agg(F.min("v").alias("m"), F.count_if(F.col("v") > F.col("u")).alias("n")).withColumn("m", F.least("u", "m"))
         # Large star: a node's larger neighbours go to the least node around it.
-        large = both.filter("v > u").join(least, "u").select(F.col("v").alias("u"), F.col("m").alias("v")).filter("u != v").distinct()
+        large = joined(both.filter("v > u"), least).select(F.col("v").alias("u"), F.col("m").alias("v")).filter("u != v").distinct()
+        large = large if few else cut(large)
         # Small star: a node's smaller neighbours, and itself, go to the least of them.
-        low = large.groupBy("u").agg(F.min("v").alias("m"))
-        small = large.join(low, "u").select(F.explode(F.array(F.struct(F.col("v").alias("u"), F.col("m").alias("v")), F.struct(F.col("u").alias("u"), F.col("m").alias("v")))).alias("s")).select("s.u", "s.v")
+        low = large.groupBy("u").agg(F.min("v").alias("m"), F.count(F.lit(1)).alias("n"))
+        small = joined(large, low).select(F.explode(F.array(F.struct(F.col("v").alias("u"), F.col("m").alias("v")), F.struct(F.col("u").alias("u"), F.col("m").alias("v")))).alias("s")).select("s.u", "s.v")
         e = cut(small.filter("u != v").distinct())
-        now = e.agg(F.count(F.lit(1)), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).first()
+        now = state(e)
         if now == before:
             break
         before = now
@@ -188,22 +206,36 @@ def components(edges: DataFrame, max_rounds: int = 50) -> DataFrame:
     return e.select(F.col("u").alias("node"), F.col("v").alias("label")).unionByName(e.select(F.col("v").alias("node"), F.col("v").alias("label")).distinct())
 
 
+def with_component(prints: DataFrame, nodes: DataFrame, edges: DataFrame, key: str) -> DataFrame:
+    """prints with component_id: the least of least_id over the nodes (key, least_id, n: its rows in prints) that edges connect."""
+    label = cut(components(edges).withColumnRenamed("node", key))
+    ids = join_heavy(nodes.select(key, "least_id").join(label, key), label.groupBy("label").agg(F.count(F.lit(1)).alias("n")), "label")
+    ids = cut(ids.groupBy("label").agg(F.min("least_id").alias("component_id"), F.count(F.lit(1)).alias("n")))
+    linked = join_heavy(label, ids, "label").select(key, "component_id")
+    of = cut(nodes.join(linked, key, "left").select(key, "n", F.coalesce("component_id", "least_id").alias("component_id")))
+    return join_heavy(prints, of, key)
+
+
+def _keep_least(docs: DataFrame, groups: DataFrame, text_col: str) -> DataFrame:
+    """docs' rows whose (doc_id, mark) in groups has its own doc_id as component_id."""
+    keep = groups.filter("doc_id <=> component_id").select(F.col("doc_id").alias("__keep"), F.col("mark").alias("__mark")).distinct()
+    return docs.join(keep, F.col("doc_id").eqNullSafe(F.col("__keep")) & (F.xxhash64(docs[text_col]) == F.col("__mark")), "left_semi")
+
+
+def _near(docs: DataFrame, text_col: str, radius: int, shingle: int) -> DataFrame:
+    prints = cut(fingerprints(docs, text_col, shingle))
+    nodes = cut(prints.groupBy("fp").agg(F.min("doc_id").alias("least_id"), F.count(F.lit(1)).alias("n")))
+    return with_component(prints, nodes, links(nodes, radius), "fp")
+
+
 def near_duplicates(docs: DataFrame, text_col: str = "text", radius: int = RADIUS, shingle: int = SHINGLE) -> DataFrame:
     """doc_id, fingerprint (16 hex digits) and component_id, the smallest doc_id reachable over links of at most `radius` bits."""
-    prints = cut(fingerprints(docs, text_col, shingle))
-    nodes = cut(prints.groupBy("fp").agg(F.min("doc_id").alias("least_id")))
-    label = components(links(nodes, radius))
-    of = cut(nodes.join(label, nodes["fp"] == label["node"], "left").select("fp", "least_id", F.coalesce("label", "fp").alias("label")))
-    ids = of.groupBy("label").agg(F.min("least_id").alias("component_id"))
-    of = of.join(ids, "label").select(F.col("fp").alias("__fp"), "component_id")
-    out = prints.join(of, F.col("fp") == F.col("__fp"))
-    return out.select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
+    return _near(docs, text_col, radius, shingle).select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
 
 
-def drop_near_duplicates(docs: DataFrame, **options) -> DataFrame:
-    """docs without the documents whose component has a smaller doc_id; rows that share the kept doc_id all stay."""
-    keep = near_duplicates(docs, **options).filter("doc_id <=> component_id").select(F.col("doc_id").alias("__keep"))
-    return docs.join(keep, F.col("doc_id").eqNullSafe(F.col("__keep")), "left_semi")
+def drop_near_duplicates(docs: DataFrame, text_col: str = "text", radius: int = RADIUS, shingle: int = SHINGLE) -> DataFrame:
+    """docs without the rows whose component has a smaller doc_id. Repeats of the kept row (its id and its text) all stay, as do rows without an id in components without any."""
+    return _keep_least(docs, _near(docs, text_col, radius, shingle), text_col)
 
 
 # --- Near copies by similarity -------------------------------------------------------------
@@ -266,22 +298,22 @@ def _marks(h: np.ndarray, edges: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
 
 
 def wide_fingerprints(docs: DataFrame, text_col: str = "text", shingle: int = 5) -> DataFrame:
-    """doc_id, node (a hash of the set of shingles), fp (WIDE_WORDS longs, then the set's size), bands (BANDS longs) and the set. No shuffle."""
-    inp = docs.select("doc_id", F.col(text_col).alias("__text"))
+    """doc_id, mark (a hash of the text), node (one of the set of shingles), fp (WIDE_WORDS longs, then the set's size), bands (BANDS longs) and the set. No shuffle."""
+    inp = docs.select("doc_id", F.xxhash64(text_col).alias("mark"), F.col(text_col).alias("__text"))
 
     def lists(x: np.ndarray) -> pa.Array:
         return pa.ListArray.from_arrays(pa.array(np.arange(len(x) + 1) * x.shape[1], pa.int32()), pa.array(x.view(np.int64).ravel()))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            buf, at = buffer_of(batch.column(1))
-            for lo, hi in slices(at, 1 << 20):
+            buf, at = buffer_of(batch.column(2))
+            for lo, hi in slices(at):
                 h, edges, node = _sets(buf[at[lo] : at[hi]], at[lo : hi + 1] - at[lo], shingle)
                 sets = pa.array([h[a:b].tobytes() for a, b in zip(edges[:-1].tolist(), edges[1:].tolist(), strict=True)], pa.binary())
                 marks = map(lists, _marks(h, edges))
-                yield pa.RecordBatch.from_arrays([batch.column(0).slice(lo, hi - lo), pa.array(node.view(np.int64)), *marks, sets], ["doc_id", "node", "fp", "bands", "shingles"])
+                yield pa.RecordBatch.from_arrays([*[c.slice(lo, hi - lo) for c in batch.columns[:2]], pa.array(node.view(np.int64)), *marks, sets], ["doc_id", "mark", "node", "fp", "bands", "shingles"])
 
-    return inp.mapInArrow(run, f"doc_id {inp.schema['doc_id'].dataType.simpleString()}, node long, fp array<long>, bands array<long>, shingles binary")
+    return inp.mapInArrow(run, f"doc_id {inp.schema['doc_id'].dataType.simpleString()}, mark long, node long, fp array<long>, bands array<long>, shingles binary")
 
 
 def _candidates(a: np.ndarray, b: np.ndarray, radius: int) -> np.ndarray:
@@ -413,18 +445,17 @@ def similar_links(nodes: DataFrame, radius: int = WIDE_RADIUS, block: int = BLOC
     return whole.mapInArrow(_exact_links, "u long, v long").distinct()
 
 
+def _similar(docs: DataFrame, text_col: str, shingle: int, radius: int) -> DataFrame:
+    prints = cut(wide_fingerprints(docs, text_col, shingle))
+    nodes = cut(prints.groupBy("node").agg(F.first("fp").alias("fp"), F.first("bands").alias("bands"), F.min("doc_id").alias("least_id"), F.count(F.lit(1)).alias("n")))
+    return with_component(prints.select("doc_id", "mark", "node"), nodes, similar_links(nodes, radius, sets=prints), "node")
+
+
 def similar_components(docs: DataFrame, text_col: str = "text", shingle: int = 5, radius: int = WIDE_RADIUS) -> DataFrame:
     """doc_id and component_id, the smallest doc_id reachable over links between texts whose shingle sets are similar by SIMILARITY."""
-    prints = cut(wide_fingerprints(docs, text_col, shingle))
-    nodes = cut(prints.groupBy("node").agg(F.first("fp").alias("fp"), F.first("bands").alias("bands"), F.min("doc_id").alias("least_id")))
-    label = components(similar_links(nodes, radius, sets=prints)).withColumnRenamed("node", "__node")
-    of = cut(nodes.join(label, F.col("node") == F.col("__node"), "left").select("node", "least_id", F.coalesce("label", "node").alias("label")))
-    ids = of.groupBy("label").agg(F.min("least_id").alias("component_id"))
-    of = of.join(ids, "label").select(F.col("node").alias("__node"), "component_id")
-    return prints.join(of, F.col("node") == F.col("__node")).select("doc_id", "component_id")
-
-
-def drop_similar(docs: DataFrame, **options) -> DataFrame:
-    """docs without the documents whose component of similar texts has a smaller doc_id; rows that share the kept doc_id all stay."""
-    keep = similar_components(docs, **options).filter("doc_id <=> component_id").select(F.col("doc_id").alias("__keep"))
-    return docs.join(keep, F.col("doc_id").eqNullSafe(F.col("__keep")), "left_semi")
+    return _similar(docs, text_col, shingle, radius).select("doc_id", "component_id")
+
+
+def drop_similar(docs: DataFrame, text_col: str = "text", shingle: int = 5, radius: int = WIDE_RADIUS) -> DataFrame:
+    """docs without the rows whose component of similar texts has a smaller doc_id. Repeats of the kept row (its id and its text) all stay, as do rows without an id in components without any."""
+    return _keep_least(docs, _similar(docs, text_col, shingle, radius), text_col)

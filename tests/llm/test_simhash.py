@@ -159,3 +159,25 @@ def test_similar_texts_are_the_closure_of_exact_links(spark):
             x, y = sorted((root(a), root(b)))
             comp[y] = x
     assert {r.doc_id: r.component_id for r in simhash.similar_components(docs).collect()} == {k: root(k) for k in sets}
+
+
+def test_joins_of_hot_keys_and_rows_of_one_id(spark, monkeypatch):
+    """Hubs, labels and copies above HEAVY_ROWS take the broadcast way and give the same."""
+    star = spark.range(1, 60).select(F.lit(0).alias("u"), F.col("id").alias("v")).unionByName(spark.range(100, 140).select(F.lit(200).alias("u"), F.col("id").alias("v")))
+    want = sorted(map(tuple, simhash.components(star).collect()))
+    base = [f"word{k}" for k in range(40)]
+    rows = [(k, " ".join(base)) for k in range(30)] + [(40 + k, " ".join([*base[:-1], f"end{k}"])) for k in range(8)] + [(0, "another text that is nothing like the first one"), (None, " ".join(base))]
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    plain = sorted(map(tuple, simhash.similar_components(df).collect()), key=str)
+    monkeypatch.setattr("quarryline.llm.common.HEAVY_ROWS", 5)
+    assert sorted(map(tuple, simhash.components(star).collect())) == want
+    monkeypatch.setattr("quarryline.llm.common.BROADCAST_KEYS", 1)
+    monkeypatch.setattr(simhash, "BROADCAST_KEYS", 1)
+    assert sorted(map(tuple, simhash.components(star).collect())) == want
+    assert sorted(map(tuple, simhash.similar_components(df).collect()), key=str) == plain
+    kept = simhash.drop_similar(df.filter("doc_id > 0 OR text LIKE 'another%' OR doc_id IS NULL")).collect()
+    assert sorted(r.doc_id for r in kept) == [0, 1]  # id 0's other text doesn't keep its copies
+
+
+def test_the_last_family_has_no_large_bucket():
+    assert simhash.largest_last_bucket() <= 2**15
