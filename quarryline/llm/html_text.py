@@ -1,18 +1,22 @@
 """Main text of web pages by a recurrent block labeller.
 
 A page is cut into leaf blocks: runs of text between block-level tags, with the path of open
-elements. Each block is a vector of its hashed path (tags, classes, ids), its hashed words and a
-few figures; a bidirectional LSTM reads the page's whole sequence and says of each block whether
-it belongs to the article. The kept blocks are the text.
-
-The network is trained here, on at most TRAIN_PAGES pages (the least by a hash of page_id), with
-labels from the meaning of semantic tags and class names, each page also in variants with other
-wrappers and with inserted notices, forms, comments and the like. Every page is then labelled
-from its whole html, unshuffled.
-
-Edge cases: null, empty and text-free html gives an empty text; unclosed and stray tags are
-tolerated; a page of any length is one sequence; repeated pages give equal texts; an empty table
-gives no rows.
+elements. Each block is a vector of its hashed path (tags, classes, ids), its hashed words and
+figures of its place in the page: how much of the page's text its container and the containers
+around it hold, their links, how it stands to the first heading and the longest block, how many
+containers look alike. A bidirectional LSTM reads the page's whole sequence and says of each block
+whether it belongs to the article. The kept blocks are the text.
+
+The network is trained here, on at most TRAIN_PAGES pages (the least by a hash of page_id). Labels
+come from the meaning of semantic tags and class names, where a page has them; the network sees
+each page mostly in variants in which these names are dropped or replaced by meaningless ones, the
+article stands in other wrappers, and comments, menus, notices, forms and the like are put in,
+so that it must learn from the page's structure. Every page is then labelled from its whole html,
+unshuffled.
+
+Edge cases: null, empty and text-free html gives an empty text; unclosed and stray tags and quotes
+are tolerated, in time linear in the page's length; a page of any length is one sequence; repeated
+pages give equal texts; an empty table gives no rows.
 """
 
 from __future__ import annotations
@@ -31,14 +35,16 @@ from pyspark.sql import functions as F
 from .textops import buffer_of, span_hashes, words
 
 TRAIN_PAGES = 150
-PATH_DIMS, WORD_DIMS, FIGURES = 64, 24, 6
+PATH_DIMS, WORD_DIMS, FIGURES = 64, 16, 20
 HIDDEN = 16
 SEED = 5
 
-_TOKEN = re.compile(
-    r"<!--.*?(?:-->|$)|<(script|style|textarea)(?=[\s/>])(?:\"[^\"]*\"|'[^']*'|[^'\">])*>.*?(?:</\1\s*>|$)|<title(?=[\s/>])[^>]*>(?:(?!<body\b|</head\b|<svg\b|<title\b).)*?</title\s*>|<!\[CDATA\[.*?\]\]>|<[!?][^>]*>|<(/?)([a-zA-Z][^\s/>]*)((?:\"[^\"]*\"|'[^']*'|[^'\">])*)>|([^<]+|<)",
-    re.S | re.I,
-)
+# A tag without < or > in its attributes' values; no part gives back what it took, so a failure is quick.
+_TAG = re.compile(r"<(/?)([a-zA-Z][^\s/<>]*+)((?:[^'\"<>]++|\"[^\"<>]*+\"|'[^'<>]*+')*+)>")
+_NAME = re.compile(r"<(/?)([a-zA-Z][^\s/>]*+)")
+_SPECIAL = re.compile(r"['\">]")
+_RAW_END = {t: re.compile(rf"</{t}\s*>", re.I) for t in ("script", "style", "textarea")}
+_TITLE_END = re.compile(r"</title\s*>|<body\b|</head\b|<svg\b|<title\b", re.I)
 _NAMES = re.compile(r"\b(?:class|id|role)\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s\"'>]+))", re.I)
 _SPACES = re.compile(r"\s+")
 _VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
@@ -56,17 +62,106 @@ _ENDS_SELECT = frozenset("select input table tbody thead tfoot caption tr td th"
 _HOLDS_HTML = frozenset("foreignobject desc title".split())
 
 
+class _Closing:
+    """Finds the > that ends a tag, outside quotes. A quote that an earlier tag opened in vain is not followed again."""
+
+    def __init__(self, page: str):
+        self.page, self.last, self.vain = page, page.rfind(">"), set()
+        self.seen = (0, -1)  # from the first place on, the next special character is at the second
+
+    def _next(self, at: int) -> int:
+        begin, hit = self.seen
+        if not begin <= at <= hit:
+            m = _SPECIAL.search(self.page, at)
+            hit = m.start() if m else len(self.page)
+            self.seen = (at, hit)
+        return hit
+
+    def find(self, at: int) -> int:
+        opened = []
+        while at <= self.last:
+            at = self._next(at)
+            if at >= len(self.page) or at in self.vain:
+                break
+            if self.page[at] == ">":
+                return at
+            opened.append(at)
+            at = self.page.find(self.page[at], at + 1)
+            if at < 0:
+                break
+            at += 1
+        self.vain.update(opened)
+        return -1
+
+
+def tokens(page: str) -> Iterator[tuple[str | None, str, str, str]]:
+    """(text, '', '', '') and (None, '/' or '', tag, attributes) in page order; comments, scripts, styles and titles are left out."""
+    at, size, closing, cdata = 0, len(page), _Closing(page), True
+    while at < size:
+        i = page.find("<", at)
+        if i < 0:
+            i = size
+        if i > at:
+            yield page[at:i], "", "", ""
+        if i == size:
+            return
+        m = _TAG.match(page, i)
+        if m is None and page.startswith("<!--", i):
+            end = page.find("-->", i + 4)
+            at = end + 3 if end >= 0 else size
+            continue
+        if m is None and page[i + 1 : i + 2] in ("!", "?"):
+            end = -1
+            if cdata and page[i : i + 9].upper() == "<![CDATA[":
+                end = page.find("]]>", i)
+                cdata, end = end >= 0, end + 2 if end >= 0 else -1
+            if end < 0 and i < closing.last:
+                end = page.find(">", i)
+            if end >= 0:
+                at = end + 1
+                continue
+        if m is None and (name := _NAME.match(page, i)) and (end := closing.find(name.end())) >= 0:
+            close, tag, attributes, after = *name.groups(), page[name.end() : end], end + 1
+        elif m is not None:
+            (close, tag, attributes), after = m.groups(), m.end()
+        else:
+            yield "<", "", "", ""
+            at = i + 1
+            continue
+        tag, at = tag.lower(), after
+        if not close and tag in _RAW_END:
+            end = _RAW_END[tag].search(page, at)
+            at = end.end() if end else size
+            continue
+        if not close and tag == "title" and (end := _TITLE_END.search(page, at)) and end.group()[:3].lower() == "</t":
+            at = end.end()
+            continue
+        yield None, close, tag, attributes
+
+
+#: Elements opened deeper than this count as their parent, as in browsers.
+MAX_DEPTH = 100
+
+#: An open element: its number in the page, and its names: the tag, then .class and .id parts.
+Element = tuple[int, tuple[str, ...]]
+
+
 @dataclass
 class Block:
     text: str
-    path: tuple[str, ...]
+    elements: tuple[Element, ...]
     link: float = 0.0
 
+    @property
+    def path(self) -> tuple[str, ...]:
+        return tuple(x for _, names in self.elements for x in names)
+
 
 def blocks_of(page: str) -> list[Block]:
     """Leaf blocks in page order; script, style, svg and the like have none, nor has head."""
     out: list[Block] = []
-    stack: list[tuple[str, tuple[str, ...]]] = []
+    stack: list[tuple[str, tuple[str, ...], int]] = []
+    count = 0
     text: list[str] = []
     linked = total = 0
     hidden: int | None = None  # place of the outermost hidden element
@@ -78,34 +173,35 @@ def blocks_of(page: str) -> list[Block]:
         if hidden is not None and hidden >= k:
             hidden = None
 
+    def push(tag: str, names: tuple[str, ...]) -> None:
+        if len(stack) < MAX_DEPTH:
+            stack.append((tag, names, count))
+
     def place(tags: tuple[str, ...]) -> int | None:
-        return next((k for k, (t, _) in enumerate(stack) if t in tags), None)
+        return next((k for k, (t, _, _) in enumerate(stack) if t in tags), None)
 
     def flush() -> None:
         nonlocal linked, total
         body = _SPACES.sub(" ", html.unescape("".join(text))).strip()
-        if body and not any(t == "title" for t, _ in stack[:hidden]):
+        if body and not any(t == "title" for t, _, _ in stack[:hidden]):
             if maybe_head and (k := place(("head",))) is not None:
                 stack.pop(k)
-            out.append(Block(body, tuple(x for _, names in stack for x in names), linked / max(total, 1)))
+            out.append(Block(body, tuple((n, names) for _, names, n in stack if names), linked / max(total, 1)))
         text.clear()
         linked = total = 0
 
-    for m in _TOKEN.finditer(page):
-        close, tag, attributes, chars = m.group(2, 3, 4, 5)
+    for chars, close, tag, attributes in tokens(page):
+        count += 1
         if chars is not None:
             if hidden is not None:
                 continue
             text.append(chars)
             total += len(chars)
-            if any(t == "a" for t, _ in stack):
+            if any(t == "a" for t, _, _ in stack):
                 linked += len(chars)
             continue
-        if tag is None:
-            continue
-        tag = tag.lower()
         if hidden is not None:
-            inner = [t for t, _ in stack[hidden:]]
+            inner = [t for t, _, _ in stack[hidden:]]
             if close:
                 k = next((k for k in range(len(stack) - 1, -1, -1) if stack[k][0] == tag), None)
                 if k is None or k >= hidden:
@@ -123,7 +219,7 @@ def blocks_of(page: str) -> list[Block]:
                     continue
             else:
                 if tag not in _VOID and (tag not in _INLINE or tag == "a") and not attributes.rstrip().endswith("/"):
-                    stack.append((tag, ()))
+                    push(tag, ())
                 continue
         if maybe_head and not close and tag not in _HEAD:
             if place(("title",)) is not None:
@@ -135,7 +231,7 @@ def blocks_of(page: str) -> list[Block]:
         if tag in _HIDDEN and not close:
             if not (tag == "svg" and attributes.rstrip().endswith("/")):
                 hidden = len(stack)
-                stack.append((tag, ()))
+                stack.append((tag, (), count))
             continue
         if tag in _INLINE:
             if tag in ("br", "img"):
@@ -147,7 +243,7 @@ def blocks_of(page: str) -> list[Block]:
                             del stack[k]
                             break
                 else:
-                    stack.append(("a", ()))
+                    push("a", ())
             continue
         flush()
         if close:
@@ -168,7 +264,7 @@ def blocks_of(page: str) -> list[Block]:
             names = [tag]
             for a, b, c in _NAMES.findall(attributes):
                 names += [f".{x}" for x in re.split(r"[\s_-]+", (a or b or c).lower()) if x]
-            stack.append((tag, tuple(names)))
+            push(tag, tuple(names))
             maybe_head |= tag in ("head", "title")
     flush()
     return out
@@ -212,12 +308,80 @@ def vectors(blocks: list[Block]) -> np.ndarray:
     figures[:, 0] = np.minimum(np.log1p(n) / 4, 1.5)
     figures[:, 1] = [b.link for b in blocks]
     figures[:, 2] = np.minimum(dots, 10) / 5
-    figures[:, 3] = [len(b.path) / 8 for b in blocks]
+    figures[:, 3] = [len(b.elements) / 8 for b in blocks]
     figures[:, 4] = n <= 3
     figures[:, 5] = 1
     return out
 
 
+_HEADINGS = frozenset("h1 h2 h3 h4 h5 h6".split())
+#: Elements that hold a block's text and no other blocks; the container is around them.
+_LEAVES = _HEADINGS | frozenset("p li dt dd td th blockquote pre figcaption caption summary label legend option a span".split())
+_ROOTS = frozenset("html body".split())
+
+
+def page_vectors(blocks: list[Block]) -> np.ndarray:
+    """One row per block of one page: vectors, and the figures that need the whole page."""
+    return place(blocks, vectors(blocks))
+
+
+def place(blocks: list[Block], out: np.ndarray) -> np.ndarray:
+    """Fills in the figures of each block's place among all blocks of its page."""
+    if not blocks:
+        return out
+    words_of = [len(b.text.split()) for b in blocks]
+    mass: dict[int, float] = {}  # words outside links in an element
+    every: dict[int, float] = {}
+    many: dict[int, int] = {}
+    shapes: dict[tuple, set[int]] = {}
+    homes = []
+    for b, n in zip(blocks, words_of, strict=True):
+        for e, _ in b.elements:
+            mass[e] = mass.get(e, 0.0) + n * (1 - b.link)
+            every[e] = every.get(e, 0.0) + n
+            many[e] = many.get(e, 0) + 1
+        inner = list(b.elements)
+        while len(inner) > 1 and inner[-1][1][0] in _LEAVES:
+            inner.pop()
+        homes.append([e for e in inner if e[1][0] not in _ROOTS] or inner[:1])
+        if homes[-1]:
+            shapes.setdefault(tuple(names[0] for _, names in inner), set()).add(inner[-1][0])
+    total, all_words = max(sum(n * (1 - b.link) for b, n in zip(blocks, words_of, strict=True)), 1.0), max(sum(words_of), 1)
+    level = next((t for t in ("h1", "h2", "h3") if any(b.elements and b.elements[-1][1][0] == t and b.link < 0.5 for b in blocks)), None)
+    first = next((k for k, b in enumerate(blocks) if b.elements and b.elements[-1][1][0] == level), None)
+    longest = max(range(len(blocks)), key=lambda k: words_of[k] * (1 - blocks[k].link))
+    around = lambda k: {e for e, names in blocks[k].elements if names[0] not in _ROOTS and names[0] not in _LEAVES}
+    by_head, by_long = around(first) if first is not None else set(), around(longest)
+    best = max((mass[h[-1][0]] for h in homes if h), default=1.0) or 1.0
+    texts: dict[str, int] = {}
+    for b in blocks:
+        texts[b.text] = texts.get(b.text, 0) + 1
+    figures = out[:, PATH_DIMS + WORD_DIMS :]
+    for k, (b, home) in enumerate(zip(blocks, homes, strict=True)):
+        own = [e for e, _ in home]
+        inner, outer = (own[-1], own[0]) if own else (None, None)
+        tag = b.elements[-1][1][0] if b.elements else ""
+        shape = tuple(names[0] for _, names in b.elements[: len(b.elements) - next((j for j, (_, x) in enumerate(b.elements[::-1]) if x[0] not in _LEAVES), 0)])
+        rooted = bool(home) and home[-1][1][0] in _ROOTS
+        figures[k, 6:] = [
+            mass.get(inner, 0.0) / total,
+            mass.get(outer, 0.0) / total,
+            mass.get(inner, 0.0) / best,
+            1 - mass.get(inner, 0.0) / max(every.get(inner, 1.0), 1.0),
+            k / len(blocks),
+            tag in _HEADINGS,
+            first is not None and k < first,
+            bool(by_head & set(own)) if by_head else first is not None and rooted,
+            bool(by_long & set(own)) if by_long else rooted,
+            min(texts[b.text] - 1, 3) / 3,
+            min(len(shapes.get(shape, ())), 10) / 10,
+            min(every.get(inner, 0.0) / max(many.get(inner, 1), 1) / 40, 2.0),
+            words_of[k] / all_words,
+            rooted,
+        ]
+    return out
+
+
 def _sigmoid(x: np.ndarray) -> np.ndarray:
     return 1 / (1 + np.exp(-np.clip(x, -30, 30)))
 
@@ -344,40 +508,155 @@ def teach(blocks: list[Block]) -> np.ndarray:
     return y
 
 
-#: Wrappers of articles and frames of other matter that training pages are varied with.
-_WRAPPERS = ("article", "main", 'div class="content"', 'div class="post"', 'section class="article-body"', 'div id="main-content"', 'div class="entry-content"', 'div class="story"')
-_FRAMES = (
-    'aside class="sidebar"', "aside", 'div class="sidebar"', 'div class="notice"', 'div class="cookie-notice"', 'div class="comments"', 'section id="comments"', 'div class="comment"', "form", 'form class="subscribe"', 'div class="ad"', 'div class="advert"', 'div class="banner"', 'div class="related"', 'div class="share"', "header", "nav", "footer", 'div class="menu"', 'div class="newsletter"', 'ol class="comment-list"', 'div class="widget"', 'div id="footer"', 'div class="header"',
-)
-
-
-def variants(pages: list[str]) -> list[str]:
-    """Each page as it is, and in two variants with another wrapper and with foreign text in frames inside, before and after."""
-    rng, out = np.random.default_rng(SEED), list(pages)
-    texts = [b.text for p in pages for b in blocks_of(p)] or ["text"]
-    some = lambda: html.escape(texts[rng.integers(len(texts))])
-    for p in pages:
-        for _ in range(2):
-            w = _WRAPPERS[rng.integers(len(_WRAPPERS))]
-            q = re.sub(r"<article\b[^>]*>", f"<{w}>", p).replace("</article>", f"</{w.split()[0]}>")
-            for place in (f"</{w.split()[0]}>", f"<{w}>", "</p>", "<footer"):
-                f = _FRAMES[rng.integers(len(_FRAMES))]
-                inner = "".join(f"<{t}>{some()}</{t}>" for t in rng.choice(["p", "li", "h3", "div", "p"], rng.integers(1, 4)))
-                frame = f"<{f}>{inner}</{f.split()[0]}>"
-                at = q.find(place)
-                if at >= 0:
-                    at += len(place) if place == "</p>" else 0
-                    q = q[:at] + frame + q[at:]
-            out.append(q)
-    return out
+#: Known names of articles' wrappers and of frames of other matter.
+_WRAPPERS = ("article", "main", "div .content", "div .post", "section .article .body", "div .main .content", "div .entry .content", "div .story")
+_FRAMES = {
+    "links": ("nav", "div .menu", "ul .breadcrumbs", "div .related", "div .share", "aside", "div .tags"),
+    "notice": ("div .ad", "div .notice", "div .cookie .notice", "div .banner", "header", "div .promo", "div .advert"),
+    "comments": ("div .comments", "section .comments", "ol .comment .list", "div .discussion", "div .replies"),
+    "side": ("aside .sidebar", "aside", "div .sidebar", "div .widget"),
+    "form": ("form", "form .subscribe", "div .newsletter", "div .login"),
+    "footer": ("footer", "div .footer", "div .copyright"),
+}
+
+
+class _Scene:
+    """Draws variants of a labelled page."""
+
+    def __init__(self, rng: np.random.Generator, texts: list[str]):
+        self.rng, self.texts, self.number = rng, texts, 0
+        self.long = [t for t in texts if len(t.split()) >= 20] or texts
+
+    def chance(self, p: float) -> bool:
+        return bool(self.rng.random() < p)
+
+    def pick(self, some):
+        return some[int(self.rng.integers(len(some)))]
+
+    def element(self, names: str | tuple[str, ...]) -> Element:
+        self.number += 1
+        return self.number, tuple(names.split()) if isinstance(names, str) else names
+
+    def nameless(self, tags: tuple[str, ...] = ("div", "section", "td", "div")) -> tuple[str, ...]:
+        """A tag, mostly with meaningless class names."""
+        noise = ["." + "".join(self.pick("abcdefghijklmnopqrstuvwxyz0123456789") for _ in range(self.rng.integers(1, 7))) for _ in range(self.rng.integers(0, 4))]
+        return (self.pick(tags), *noise)
+
+    def words(self, least: int, most: int) -> str:
+        """A run of words of some block, of a long one if many may be wanted."""
+        w, n = self.pick(self.long if most > 8 else self.texts).split(), int(self.rng.integers(least, most + 1))
+        at = int(self.rng.integers(max(len(w) - n, 0) + 1))
+        return " ".join(w[at : at + n]) or "x"
+
+    def frame(self, kind: str, under: tuple[Element, ...], known: bool) -> list[Block]:
+        """Blocks of other matter in an element of their own."""
+        tags = {"links": ("div", "ul"), "comments": ("div", "section", "ol", "ul"), "form": ("form", "div")}.get(kind, ("div", "section", "div"))
+        top = (*under, self.element(self.pick(_FRAMES[kind]) if known else self.nameless(tags)))
+        out: list[Block] = []
+        add = lambda text, *inner, link=0.0: out.append(Block(text, (*top, *inner), link))
+        if kind == "links":
+            rows = self.element("ul")
+            for _ in range(self.rng.integers(2, 9)):
+                add(self.words(1, 5), rows, self.element("li"), link=1.0)
+        elif kind == "notice":
+            for _ in range(self.rng.integers(1, 3)):
+                if self.chance(0.5):
+                    add(self.words(2, 25), link=float(self.pick([0.0, 0.0, 0.5])))
+                else:
+                    add(self.words(2, 25), self.element("p"))
+        elif kind == "comments":
+            if self.chance(0.5):
+                add(self.words(1, 3), self.element(self.pick(["h2", "h3", "h4"])))
+            plain, signed = self.chance(0.5), self.chance(0.6)
+            for _ in range(self.rng.integers(1, 8)):
+                item = () if plain else (self.element(self.pick(["div", "li", "article", "div"]) if not known else self.pick(["div .comment", "li .comment"])),)
+                if signed and not plain:
+                    add(self.words(1, 3), *item, self.element(self.pick(["div", "p", "h4", "span"])), link=float(self.pick([0.0, 1.0])))
+                add(self.words(3, self.pick([20, 70, 200])), *item, self.element("p"))
+        elif kind == "side":
+            if self.chance(0.7):
+                add(self.words(1, 4), self.element(self.pick(["h2", "h3", "h4"])))
+            for _ in range(self.rng.integers(1, 5)):
+                add(self.words(2, 25), self.element(self.pick(["p", "li", "div"])), link=float(self.pick([0.0, 0.0, 1.0])))
+        elif kind == "form":
+            for _ in range(self.rng.integers(1, 4)):
+                add(self.words(1, 8), self.element(self.pick(["label", "p", "div", "button"])))
+        else:
+            for _ in range(self.rng.integers(1, 3)):
+                add(self.words(2, 20), self.element(self.pick(["p", "div"])), link=float(self.pick([0.0, 0.3, 1.0])))
+        return out
+
+    def draw(self, blocks: list[Block], labels: np.ndarray) -> tuple[list[Block], np.ndarray]:
+        """The page's article in another wrapper, its other blocks under other names, and more of them."""
+        body = (self.element("html"), self.element("body"))
+        out: list[tuple[Block, int]] = []
+        inside = np.flatnonzero(labels)
+        if self.chance(0.3):
+            body += (self.element(self.nameless()),)
+        wrap = body
+        if self.chance(0.9):
+            for _ in range(self.rng.integers(1, 4)):
+                wrap += (self.element(self.nameless()),)
+            if self.chance(0.3):
+                wrap = (*wrap[:-1], self.element(self.pick(_WRAPPERS)))
+        if self.chance(0.3) and len(inside) > 2:  # a short article
+            inside = inside[: int(self.rng.integers(2, len(inside) + 1))]
+        before, after = [], []
+        for kind in ("links", "notice", "form", "side", "footer"):
+            if self.chance(0.35):
+                self.pick([before, after]).append(self.frame(kind, body, self.chance(0.35)))
+        if self.chance(0.6):
+            after.append(self.frame("comments", body, self.chance(0.25)))
+        # The page's own other blocks keep their elements, or lose their names.
+        keep = self.chance(0.4)
+        new: dict[int, Element] = {}
+        rest: tuple[list, list] = ([], [])
+        for k, b in enumerate(blocks):
+            if labels[k]:
+                continue
+            own = []
+            for e, names in b.elements:
+                if names[0] in _ROOTS:
+                    continue
+                if e not in new:
+                    new[e] = self.element(names if keep or names[0] in _LEAVES | {"ul", "ol"} else self.nameless())
+                own.append(new[e])
+            rest[bool(len(inside) and k > inside[0])].append(Block(b.text, (*body[:2], *own), b.link))
+        section: tuple[Element, ...] = ()
+        main: list[tuple[Block, int]] = []
+        for k in inside:
+            b = blocks[k]
+            leaf = [self.element(names) for _, names in b.elements[-1:] if names[0] in _LEAVES] or [self.element(self.pick(["p", "div"]))]
+            if self.chance(0.06) and len(main) > 1 and wrap is not body:
+                section = (self.element(self.pick(["div", "section", "blockquote", "div"])),)
+            elif self.chance(0.1):
+                section = ()
+            main.append((Block(b.text, (*wrap, *section, *leaf), b.link), 1))
+            if self.chance(0.03):
+                kind = self.pick(["links", "notice", "form", "side"])
+                main += [(x, 0) for x in self.frame(kind, wrap, kind in ("notice", "side") or self.chance(0.5))]
+        if self.chance(0.15):
+            main += [(x, 0) for x in self.frame(self.pick(["links", "comments", "form"]), wrap, True)]
+        for part in (before, [rest[0]]):
+            out += [(x, 0) for f in part for x in f]
+        out += main
+        for part in ([rest[1]], after) if self.chance(0.5) else (after, [rest[1]]):
+            out += [(x, 0) for f in part for x in f]
+        return [b for b, _ in out], np.array([y for _, y in out], np.float32)
+
+
+def variants(pages: list[str], each: int = 5, seed: int = SEED) -> list[tuple[list[Block], np.ndarray]]:
+    """Blocks and labels of each page as it is, and of some drawn variants."""
+    taught = [(b, teach(b)) for b in map(blocks_of, pages) if b]
+    scene = _Scene(np.random.default_rng(seed), [x.text for b, _ in taught for x in b] or ["text"])
+    return taught + [scene.draw(b, y) for b, y in taught if y.any() for _ in range(each)]
 
 
 def train(pages: DataFrame, train_pages: int = TRAIN_PAGES, **options) -> Labeller:
     chosen = pages.select("page_id").filter("page_id is not null").orderBy(F.xxhash64("page_id"), "page_id").limit(train_pages)
     rows = pages.select(F.col("page_id").alias("__p"), "html").join(F.broadcast(chosen.distinct()), F.col("__p") == F.col("page_id")).filter("html is not null")
     texts = [r.html for r in sorted(rows.select("page_id", "html").toLocalIterator(), key=lambda r: (r.page_id, r.html))]
-    blocks = [blocks_of(p) for p in variants(texts)]
-    return fit([(vectors(b), teach(b)) for b in blocks], **options)
+    return fit([(page_vectors(b), y) for b, y in variants(texts)], **options)
 
 
 def extract(pages: DataFrame, model: Labeller | None = None, threshold: float = 0.5) -> DataFrame:
@@ -394,7 +673,7 @@ def extract(pages: DataFrame, model: Labeller | None = None, threshold: float =
                 found = [blocks_of(p.as_py() or "") for p in part.column(2)]
                 edges = np.cumsum([len(b) for b in found])
                 every = vectors([b for own in found for b in own])
-                scores = shared.value.label(np.split(every, edges[:-1]))
+                scores = shared.value.label([place(b, x) for b, x in zip(found, np.split(every, edges[:-1]), strict=True)])
                 texts = ["\n\n".join(b.text for b, s in zip(own, p, strict=True) if s >= threshold) for own, p in zip(found, scores, strict=True)]
                 yield pa.RecordBatch.from_arrays([part.column(0), part.column(1), pa.array(texts, pa.string()), pa.array([len(t) for t in texts], pa.int64())], ["page_id", "url", "text", "n_chars"])
 
