@@ -68,6 +68,11 @@ def bucket(ts: Column, grain: str) -> Column:
     return F.date_trunc(grain, ts)
 
 
+def now(as_of: Column | None = None) -> Column:
+    """The current time, or the one that the caller fixes so that results can be repeated."""
+    return F.current_timestamp() if as_of is None else as_of
+
+
 def relative(as_of: Column, amount: int, unit: str) -> Column:
     """as_of moved by days (d) or weeks (w)."""
     return as_of + F.make_interval(days=F.lit(amount * {"d": 1, "w": 7}[unit]))
@@ -113,8 +118,13 @@ def if_not_null(check: Column, value: Column) -> Column:
     return F.when(check.isNotNull(), value)
 
 
+def enum_fails(c: Column, mapping: dict[str, list[str]]) -> Column:
+    """c isn't null and no name's raw values hold it."""
+    return c.isNotNull() & enum(c, mapping).isNull()
+
+
 def enum(c: Column, mapping: dict[str, list[str]]) -> Column:
-    """The canonical name whose raw values hold c; null for null and for an unknown value."""
+    """The canonical name whose raw values hold c; null for null, and for an unknown value, of which enum_fails tells."""
     pairs = [x for name, raws in mapping.items() for raw in raws for x in (F.lit(raw), F.lit(name))]
     return F.element_at(F.create_map(*pairs), c)
 
@@ -127,8 +137,9 @@ def ulid(seed: Column) -> Column:
     """A stable 26-digit id: the first 128 bits of the seed's SHA-256 in base 32, two zero bits in front."""
     hexa = F.sha2(seed.cast("string"), 256)
     bits = F.concat(F.lit("00"), *[F.lpad(F.conv(F.substring(hexa, 1 + 8 * k, 8), 16, 2), 32, "0") for k in range(4)])
-    digits = F.transform(F.sequence(F.lit(0), F.lit(25)), lambda k: F.substr(F.lit(CROCKFORD), F.conv(F.substr(bits, k * 5 + 1, F.lit(5)), 2, 10).cast("int") + 1, F.lit(1)))
-    return F.when(seed.isNotNull(), F.array_join(digits, ""))
+    digits = lambda b: F.array_join(F.transform(F.sequence(F.lit(0), F.lit(25)), lambda k: F.substr(F.lit(CROCKFORD), F.conv(F.substr(b, k * 5 + 1, F.lit(5)), 2, 10).cast("int") + 1, F.lit(1))), "")
+    # The bits stand in an array of one, so that the digits share one evaluation of them.
+    return F.when(seed.isNotNull(), F.element_at(F.transform(F.array(bits), digits), 1))
 
 
 def json_extract(c: Column, key: str) -> Column:
@@ -164,24 +175,26 @@ def json_any(c: Column, field: str, value) -> Column:
 
 
 def coerce_text(c: Column) -> Column:
-    """Text of a JSON value: of an object its value, else its name; of a list its items, joined by a comma and a blank."""
+    """Text of a JSON value: of an object its value, else its name; of a list its items, joined by a comma and a blank; other text as it is, also such as begins like a list."""
     one = lambda x: F.coalesce(F.get_json_object(x, "$.value"), F.get_json_object(x, "$.name"), x)
     many = F.array_join(F.transform(json_list(c), one), ", ")
-    return F.when(c.startswith("["), many).otherwise(one(c))
+    return F.coalesce(F.when(c.startswith("["), many), one(c))
 
 
 def display_number(c: Column, pattern: str) -> Column:
-    """'#,##0.0' and the like; a final 'a' abbreviates to k and M."""
+    """'#,##0.0' and the like; a final 'a' abbreviates to k and M, by the number as shown. Null stays null."""
     base = pattern.removesuffix("a")
     decimals = len(base.rpartition(".")[2]) if "." in base else 0
     fmt = f"%{',' if ',' in base else ''}.{decimals}f"
+    x = c.cast("double")
     if not pattern.endswith("a"):
-        return F.format_string(fmt, c.cast("double"))
-    return F.when(F.abs(c) >= 1e6, F.format_string(fmt + "M", c / 1e6)).when(F.abs(c) >= 1e3, F.format_string(fmt + "k", c / 1e3)).otherwise(F.format_string(fmt, c.cast("double")))
+        return F.when(c.isNotNull(), F.format_string(fmt, x))
+    shown = lambda unit: F.abs(F.round(x / unit, decimals))
+    return F.when(shown(1e3) >= 1e3, F.format_string(fmt + "M", x / 1e6)).when(shown(1.0) >= 1e3, F.format_string(fmt + "k", x / 1e3)).when(c.isNotNull(), F.format_string(fmt, x))
 
 
 def display_percent(c: Column) -> Column:
-    return F.format_string("%.1f%%", c * 100.0)
+    return F.when(c.isNotNull(), F.format_string("%.1f%%", c * 100.0))
 
 
 def display_hours(c: Column) -> Column:
@@ -229,6 +242,10 @@ for _name, _build, _n in (("trim", trim_all, 1), ("title", title, 1), ("lower",
     REGISTRY.register(_name, _build, _n, _n)
 REGISTRY.register("concat", lambda *c: F.concat(*c), 1)
 REGISTRY.register("coalesce", lambda *c: F.coalesce(*c), 1)
+REGISTRY.register("now", lambda *c: now(*c), 0, 1)
+# Of these the arguments after the first are plain values, not columns.
+for _name, _build, _least, _most in (("datetime_diff", datetime_diff, 2, 4), ("format_date", format_date, 2, 2), ("format_time", format_time, 2, 3), ("bucket", bucket, 2, 2), ("relative", relative, 3, 3), ("regex_extract", regex_extract, 2, 2), ("cast", cast_to, 2, 2), ("enum", enum, 2, 2), ("json_extract", json_extract, 2, 2), ("json_has_key", json_has_key, 2, 2), ("json_find", json_find, 4, 4), ("json_contains", json_contains, 2, 2), ("json_contains_any", json_contains_any, 2, 2), ("json_any", json_any, 3, 3), ("round", F.round, 1, 2), ("parse_ts", parse_ts, 1, 1), ("display_number", display_number, 2, 2), ("display_percent", display_percent, 1, 1), ("display_hours", display_hours, 1, 1)):
+    REGISTRY.register(_name, _build, _least, _most)
 
 
 def register_sql(spark: SparkSession, name: str, body: str, arguments: str, returns: str) -> None:

@@ -4,10 +4,12 @@ from __future__ import annotations
 
 import hashlib
 import re
+from functools import reduce
 from dataclasses import dataclass, field
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window
 
 from .load import upsert
 
@@ -24,11 +26,23 @@ class Feature:
     sql: str = ""
     kind: str = "double"
     needs: tuple[str, ...] = field(default=())
+    mode: str = "materialized"  # or dynamic: worked out in queries, not stored
+    ttl_seconds: int | None = None  # stored values older than this are recomputed
 
     def checksum(self) -> str:
         return hashlib.sha256(repr((self.table, self.key, self.expr, self.aggregate, self.sql, self.kind)).encode()).hexdigest()
 
 
+def _sql(spark: SparkSession, sql: str, tables: dict[str, DataFrame]) -> DataFrame:
+    """A query whose FROM and JOIN names mean the given tables, whatever views the session has."""
+    text, used = sql.replace("{", "{{").replace("}", "}}"), {}
+    for name, df in tables.items():
+        text, n = re.subn(rf"\b(from|join)(\s+){re.escape(name)}\b", rf"\1\2{{{name}}}", text, flags=re.I)
+        if n:
+            used[name] = df
+    return spark.sql(text, **used) if used else spark.sql(sql)
+
+
 def evaluate(spark: SparkSession, f: Feature, tables: dict[str, DataFrame]) -> DataFrame:
     """(entity_id, value) with value of the feature's type."""
     if f.sql:
@@ -36,9 +50,7 @@ def evaluate(spark: SparkSession, f: Feature, tables: dict[str, DataFrame]) -> D
             raise ValueError(f"{f.id}: its SQL must give entity_id and value")
         if re.search(r"\b(order\s+by|limit)\b", f.sql, re.I):
             raise ValueError(f"{f.id}: no ORDER BY or LIMIT")
-        for name, df in tables.items():
-            df.createOrReplaceTempView(name)
-        return spark.sql(f.sql).select(F.col("entity_id").cast("string").alias("entity_id"), F.col("value").cast(f.kind).alias("value"))
+        return _sql(spark, f.sql, tables).select(F.col("entity_id").cast("string").alias("entity_id"), F.col("value").cast(f.kind).alias("value"))
     df = tables[f.table]
     if f.aggregate:
         return df.groupBy(F.col(f.key).cast("string").alias("entity_id")).agg(F.expr(f.expr).cast(f.kind).alias("value"))
@@ -61,13 +73,23 @@ def with_features(df: DataFrame, features: list[Feature]) -> DataFrame:
 
 def long_values(spark: SparkSession, features: list[Feature], tables: dict[str, DataFrame], now: Column) -> DataFrame:
     """(feature_id, entity_id, value text, computed_at) of all features."""
-    out = None
-    for f in features:
-        one = evaluate(spark, f, tables).select(F.lit(f.id).alias("feature_id"), "entity_id", F.col("value").cast("string").alias("value"), now.alias("computed_at"))
-        out = one if out is None else out.unionByName(one)
-    if out is None:
+    if not features:
         raise ValueError("no features")
-    return out
+    shared: dict[tuple, list[Feature]] = {}
+    parts = []
+    for f in features:
+        if f.sql:
+            parts.append(evaluate(spark, f, tables).select(F.lit(f.id).alias("feature_id"), "entity_id", F.col("value").cast("string").alias("value")))
+        else:
+            shared.setdefault((f.table, f.key, f.aggregate), []).append(f)
+    # Features of one table and kind come from one pass over it.
+    for (table, key, aggregate), own in shared.items():
+        entity = F.col(key).cast("string").alias("entity_id")
+        values = [F.expr(f.expr).cast(f.kind).cast("string").alias(f"v{k}") for k, f in enumerate(own)]
+        wide = tables[table].groupBy(entity).agg(*values) if aggregate else tables[table].select(entity, *values)
+        rows = F.array(*[F.struct(F.lit(f.id).alias("feature_id"), F.col(f"v{k}").alias("value")) for k, f in enumerate(own)])
+        parts.append(wide.select("entity_id", F.explode(rows).alias("s")).select("s.feature_id", "entity_id", "s.value"))
+    return reduce(DataFrame.unionByName, parts).withColumn("computed_at", now)
 
 
 def diff(spark: SparkSession, features: list[Feature], registered: DataFrame) -> DataFrame:
@@ -79,7 +101,63 @@ def diff(spark: SparkSession, features: list[Feature], registered: DataFrame) ->
 
 def reconcile(spark: SparkSession, features: list[Feature], tables: dict[str, DataFrame], store: DataFrame, now: Column) -> DataFrame:
     """The store after recomputing the features: upserted by feature and entity."""
-    return upsert(store, long_values(spark, features, tables, now), ["feature_id", "entity_id"])
+    return upsert(store, long_values(spark, features, tables, now), ["feature_id", "entity_id"], F.col("computed_at"))
+
+
+REGISTRY_SCHEMA = "feature_id string, version int, checksum string, mode string, ttl_seconds int, position int"
+
+
+def in_order(features: list[Feature]) -> list[Feature]:
+    """The features with those that others need first, in the given order among equals."""
+    left, out, known = list(features), [], {f.id for f in features}
+    while left:
+        done = {f.id for f in out}
+        ready = [f for f in left if set(f.needs) & known <= done]
+        if not ready:
+            raise ValueError(f"features need each other: {[f.id for f in left]}")
+        out.append(ready[0])
+        left.remove(ready[0])
+    return out
+
+
+def register(spark: SparkSession, features: list[Feature], registry: DataFrame | None = None) -> DataFrame:
+    """The registry after a run: new features at version 1, changed ones a version up, others as they were; position is the order to compute in."""
+    rows = [(f.id, f.checksum(), f.mode, f.ttl_seconds, k) for k, f in enumerate(in_order(features))]
+    now = spark.createDataFrame(rows, "feature_id string, checksum string, mode string, ttl_seconds int, position int")
+    old = (spark.createDataFrame([], REGISTRY_SCHEMA) if registry is None else registry).select("feature_id", F.col("version").alias("__v"), F.col("checksum").alias("__c"))
+    version = F.when(F.col("__v").isNull(), 1).otherwise(F.col("__v") + (F.col("__c") != F.col("checksum")).cast("int"))
+    return now.join(old, "feature_id", "left").select("feature_id", version.alias("version"), "checksum", "mode", "ttl_seconds", "position")
+
+
+def stale(features: list[Feature], store: DataFrame, registry: DataFrame | None, now: Column) -> list[Feature]:
+    """Materialised features to recompute: those without values, changed since registered, or with values older than their ttl."""
+    ages = {r.feature_id: r.age for r in store.groupBy("feature_id").agg(F.max(F.unix_micros(now.cast("timestamp")) - F.unix_micros(F.col("computed_at").cast("timestamp"))).alias("age")).collect()}
+    sums = {} if registry is None else {r.feature_id: r.checksum for r in registry.select("feature_id", "checksum").collect()}
+    old = lambda f: f.ttl_seconds is not None and ages[f.id] > f.ttl_seconds * 1e6
+    return [f for f in in_order(features) if f.mode == "materialized" and (f.id not in ages or sums.get(f.id, f.checksum()) != f.checksum() or old(f))]
+
+
+def argmax(df: DataFrame, by: list[str], value: str, key: str, name: str = "value") -> DataFrame:
+    """(by.., name): `value` at the row with the largest `key`, of ties the largest value; rows without a key don't count."""
+    return df.groupBy(*by).agg(F.max(F.when(F.col(key).isNotNull(), F.struct(F.col(key).alias("k"), F.col(value).alias("v"))))["v"].alias(name))
+
+
+#: Functions over rows of a window, by name.
+_ROW_FUNCTIONS = {"lag": F.lag, "lead": F.lead, "rank": F.rank, "dense_rank": F.dense_rank, "row_number": F.row_number, "sum": F.sum, "avg": F.avg, "min": F.min, "max": F.max, "count": F.count, "first": F.first, "last": F.last}
+
+
+def row_window(fn: str, order: list[str | Column], partition: list[str] = (), of: str | Column | None = None, offset: int = 1, frame: int | None = None) -> Column:
+    """fn over a row's partition, as a Column that other functions can take; aggregates run up to this row, or over the last `frame` rows."""
+    if fn not in _ROW_FUNCTIONS:
+        raise ValueError(f"unknown window function {fn!r}")
+    w = Window.partitionBy(*partition).orderBy(*order)
+    if fn in ("rank", "dense_rank", "row_number"):
+        return _ROW_FUNCTIONS[fn]().over(w)
+    if of is None:
+        raise ValueError(f"{fn} needs a column")
+    if fn in ("lag", "lead"):
+        return _ROW_FUNCTIONS[fn](of, offset).over(w)
+    return _ROW_FUNCTIONS[fn](of).over(w.rowsBetween(Window.unboundedPreceding if frame is None else 1 - frame, 0))
 
 
 def feature_column(df: DataFrame, store: DataFrame, feature_id: str, key: str, kind: str = "double", name: str | None = None) -> DataFrame:

@@ -9,15 +9,21 @@ from ..functions.scalars import json_list
 from ..plans.model import is_open
 
 
+def array_items(column: Column, scalars: bool = False) -> Column:
+    """Distinct items of a JSON array column; with scalars, a plain value is its own item; null has none."""
+    items = F.coalesce(json_list(column), F.array(column.cast("string"))) if scalars else json_list(column)
+    return F.array_distinct(items)
+
+
 def json_array_contains(left: DataFrame, right: DataFrame, value: str, array: Column, how: str = "left", prefix: str = "") -> DataFrame:
     """left rows with the right rows whose JSON array holds prefix + value; each pair once. An equi-join on the exploded array."""
-    items = right.withColumn("__item", F.explode(F.array_distinct(json_list(array))))
+    items = right.withColumn("__item", F.explode(array_items(array)))
     return left.join(items, F.concat(F.lit(prefix), left[value].cast("string")) == items["__item"], how).drop("__item")
 
 
 def scalar_or_array_contains(left: DataFrame, right: DataFrame, value: str, column: str, how: str = "left") -> DataFrame:
     """As above, the right column being a JSON array or a plain value; null matches nothing."""
-    items = right.withColumn("__item", F.explode(F.array_distinct(F.coalesce(json_list(F.col(column)), F.array(F.col(column))))))
+    items = right.withColumn("__item", F.explode(array_items(F.col(column), scalars=True)))
     return left.join(items, left[value].cast("string") == items["__item"], how).drop("__item")
 
 

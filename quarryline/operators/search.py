@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
@@ -25,10 +27,19 @@ def find(vectors: DataFrame, query: list[float], top_k: int, key: str, vector: s
     return out.orderBy("distance", key).limit(top_k)
 
 
-def find_each(vectors: DataFrame, queries: DataFrame, top_k: int, key: str, vector: str = "embedding", query_key: str = "query_id", max_queries: int = 1000) -> DataFrame:
-    """The top_k nearest rows of each query row; the queries, at most max_queries, are broadcast."""
-    if queries.limit(max_queries + 1).count() > max_queries:
-        raise ValueError(f"more than {max_queries} queries")
-    q = F.broadcast(queries.select(F.col(key).alias(query_key), F.col(vector).alias("__q")))
-    pairs = vectors.join(q, F.col(key) != F.col(query_key)).select(query_key, key, cosine_distance(F.col(vector), F.col("__q")).alias("distance"))
-    return pairs.withColumn("position", F.row_number().over(Window.partitionBy(query_key).orderBy("distance", key))).filter(F.col("position") <= top_k)
+def find_each(vectors: DataFrame, queries: DataFrame, top_k: int, key: str, vector: str = "embedding", query_key: str = "query_id", block: int = 1000) -> DataFrame:
+    """The top_k nearest other rows of each query row, by exact distances; rows without a distance don't count.
+
+    The queries are broadcast in blocks of about `block`, however many there are; of a block each task keeps top_k
+    rows per query before they are merged.
+    """
+    blocks = max(1, -(-queries.count() // block))
+    dealt = queries.select(F.col(key).alias(query_key), F.col(vector).alias("__q"), F.pmod(F.xxhash64(key), F.lit(blocks)).alias("__b"))
+    nearest = Window.partitionBy(query_key).orderBy("distance", key)
+
+    def of(b: int) -> DataFrame:
+        q = F.broadcast(dealt.filter(F.col("__b") == b).drop("__b"))
+        pairs = vectors.join(q, F.col(key) != F.col(query_key)).select(query_key, key, cosine_distance(F.col(vector), F.col("__q")).alias("distance")).filter("distance is not null")
+        return pairs.withColumn("position", F.row_number().over(nearest)).filter(F.col("position") <= top_k)
+
+    return reduce(DataFrame.unionByName, map(of, range(blocks)))

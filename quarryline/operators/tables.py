@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from functools import reduce
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
@@ -24,6 +24,17 @@ def column_stats(df: DataFrame) -> DataFrame:
     return row.select("n", F.explode(F.array(*[F.struct(F.lit(c).alias("column"), F.col(f"z_{c}").alias("n_null")) for c in df.columns])).alias("s")).select("s.column", F.col("n").alias("n_rows"), "s.n_null")
 
 
+def table_stats(tables: dict[str, DataFrame | None]) -> DataFrame:
+    """(table, present, n_rows) of each named table; one that is missing (None) has null rows."""
+    there = {n: df for n, df in tables.items() if df is not None}
+    spark = next(iter(there.values())).sparkSession if there else SparkSession.active()
+    names = spark.createDataFrame([(n, df is not None) for n, df in tables.items()], "table string, present boolean")
+    if not there:
+        return names.withColumn("n_rows", F.lit(None).cast("long"))
+    counts = reduce(DataFrame.unionByName, [df.agg(F.count(F.lit(1)).alias("n_rows")).select(F.lit(n).alias("table"), "n_rows") for n, df in there.items()])
+    return names.join(counts, "table", "left")
+
+
 def parity(left: DataFrame, right: DataFrame) -> DataFrame:
     """Row and null counts of two tables side by side, and whether they agree."""
     a = column_stats(left).toDF("column", "left_rows", "left_null")

@@ -2,10 +2,13 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
+from ..functions.scalars import display_hours, display_number, display_percent
 from ..plans.query import UNSET
 
 
@@ -45,6 +48,23 @@ def checked_columns(df: DataFrame, declared: list[str]) -> DataFrame:
     return df.select(*declared)
 
 
+def execute_view(df: DataFrame, declared: list[str], formats: dict[str, str] | None = None, defaults: dict[str, str] | None = None) -> DataFrame:
+    """The declared columns, those with a format as text beside them in <name>_display. The view's formats come before the query's defaults.
+
+    A format is percent, hours, or a number pattern.
+    """
+    out = checked_columns(df, declared)
+    wanted = {**(defaults or {}), **(formats or {})}
+    show = {"percent": display_percent, "hours": display_hours}
+    return out.withColumns({f"{c}_display": show[f](F.col(c)) if f in show else display_number(F.col(c), f) for c, f in wanted.items() if c in declared})
+
+
+def significance_of(df: DataFrame, group: list[str], values: list[str], time: str | None = None) -> DataFrame:
+    """(group.., significance): the largest over several numeric columns."""
+    rows = reduce(DataFrame.unionByName, [significance(df, group, v, time) for v in values])
+    return rows.groupBy(*group).agg(F.max("significance").alias("significance"))
+
+
 def significance(df: DataFrame, group: list[str], value: str, time: str | None = None) -> DataFrame:
     """(group.., significance) 0 to 10.
 
@@ -68,5 +88,3 @@ def significance(df: DataFrame, group: list[str], value: str, time: str | None =
         pop = F.when(F.abs("prev") > 1e-9, F.abs(F.col("last") - F.col("prev")) / F.abs("prev")).when(F.abs("last") > 1e-9, 1.0).otherwise(0.0)
         score = F.greatest(F.least(z * 10 / 3, F.lit(10.0)), F.least(pop * 10, F.lit(10.0)))
     return out.select(*group, F.when(F.col("n") < 2, 0.0).otherwise(F.round(score, 4)).alias("significance"))
-
-

@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 from collections import deque
-from dataclasses import dataclass, field
+from dataclasses import dataclass, field, replace
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -103,6 +103,16 @@ class Model:
             raise ValueError(f"{name!r} is in {len(found)} children of {source}")
         return found[0], name
 
+    def with_event(self, parent: str, name: str, key: str, rows: DataFrame, timestamps: tuple[str, ...] = ()) -> Model:
+        """The model with an event table of `parent`: `key` in rows is the parent's key. It is the entity <Parent><Name>Event and the relation <parent>.<name>."""
+        e = self.entity(parent)
+        child = f"{parent}{name[:1].upper()}{name[1:]}Event"
+        if child in self.entities or any(r.name == name for r in e.relations):
+            raise ValueError(f"{parent} has {name!r} already")
+        grown = replace(e, relations=(*e.relations, Relation(name, child, (e.key,), (key,), "o2m")))
+        own = Entity(child, key, (Relation(f"of_{parent}", parent, (key,)),), timestamps=timestamps)
+        return Model({**self.entities, parent: grown, child: own}, {**self.tables, child: rows})
+
     def check(self) -> None:
         """Each key and foreign key exists; history has both columns; targets exist."""
         for e in self.entities.values():

@@ -14,6 +14,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
+from ..functions.scalars import format_time
 from .model import Model, Relation, is_open
 
 UNSET = "(unset)"
@@ -34,7 +35,7 @@ class Resolver:
         return self._walk(hops, name)
 
     def label(self, path: str) -> Column:
-        """A traversed value as text, '(unset)' for null."""
+        """A traversed value as text, '(unset)' for null; filters use it to find, or to count in, rows without one."""
         return F.coalesce(self[path].cast("string"), F.lit(UNSET)) if "." in path else self[path]
 
     def _walk(self, hops: list[str], name: str) -> Column:
@@ -100,6 +101,27 @@ class Resolver:
         return ref(self) if callable(ref) else self[ref]
 
 
+@dataclass(frozen=True)
+class TimeSlice:
+    """A timestamp field cut by a format_time pattern."""
+
+    path: str
+    pattern: str
+    calendar: bool = False
+
+    def __call__(self, r: Resolver) -> Column:
+        check_time_slice(r.model, r.root, self.path, self.pattern)
+        return format_time(r[self.path], self.pattern, self.calendar)
+
+
+def time_of(model: Model, root: str, slices: dict) -> Column | None:
+    """The root's own field of the first time slice: the time that histories are read as of."""
+    for s in slices.values():
+        if isinstance(s, TimeSlice) and "." not in s.path.removeprefix(f"{root}."):
+            return F.col(f"root.{s.path.rpartition('.')[2]}")
+    return None
+
+
 def _filtered(r: Resolver, filters) -> list[Column]:
     out = [f(r) if callable(f) else F.expr(f) for f in filters if f is not None]
     e = r.model.entity(r.root)
@@ -192,7 +214,16 @@ def child_totals(model: Model, root: str, hops: tuple[str, ...], name: str, fn:
 
 
 def aggregate(model: Model, root: str, slices: dict, measures: dict[str, Measure], filters=(), attributes: dict | None = None, order: list[str] | None = None, as_of: Column | None = None, thresholds: dict | None = None) -> DataFrame:
-    """Measures by slices. Slices' traversed nulls are '(unset)'; extra attributes group too and keep nulls; a clash gets _raw."""
+    """Measures by slices. Slices' traversed nulls are '(unset)'; extra attributes group too and keep nulls; a clash gets _raw.
+
+    Related histories are read as of `as_of`, else as of the first time slice of the root's own, else
+    their open rows. A measure of a bare field that only one one-to-many child has is that child's.
+    """
+    if as_of is None and model.entity(root).history is None:
+        as_of = time_of(model, root, slices)
+    for s in slices.values():
+        if isinstance(s, str):
+            check_time_slice(model, root, s, None, quiet=True)
     r = Resolver(model, root, as_of)
     keys = {n: (r.label(s) if isinstance(s, str) else s(r)) for n, s in slices.items()}
     for n, a in (attributes or {}).items():
@@ -201,6 +232,7 @@ def aggregate(model: Model, root: str, slices: dict, measures: dict[str, Measure
     for name, m in measures.items():
         for tag, one in (("", replace(m, over=None)), ("__over", m.over)):
             if one is not None:
+                one = _of_child(model, root, one)
                 (parts if one.child else plain)[f"{name}{tag}"] = one
     columns = {n: m.column(r) for n, m in plain.items()}
     where = _filtered(r, filters)
@@ -226,6 +258,13 @@ def aggregate(model: Model, root: str, slices: dict, measures: dict[str, Measure
     return _finish(out, order)
 
 
+def _of_child(model: Model, root: str, m: Measure) -> Measure:
+    if m.child or not isinstance(m.of, str) or "." in m.of or m.of in model.fields(root):
+        return m
+    rel, name = model.child_field(root, m.of)
+    return replace(m, of=name, child=(rel.name,))
+
+
 def status_label(value: Column, rules: list[tuple[str, float, str]]) -> Column:
     """The first rule (operator, limit, label) that holds; null for null and for none."""
     ops = {"<": Column.__lt__, "<=": Column.__le__, ">": Column.__gt__, ">=": Column.__ge__, "=": Column.__eq__, "!=": Column.__ne__}
@@ -235,11 +274,22 @@ def status_label(value: Column, rules: list[tuple[str, float, str]]) -> Column:
     return chain
 
 
-def windowed(df: DataFrame, name: str, of: str, method: str, order: str, partition: list[str], fn: str = "avg", frame: int | None = None, offset: int | None = None, weight: str | None = None) -> DataFrame:
+def fill_gaps(df: DataFrame, order: str, partition: list[str], grain: str) -> DataFrame:
+    """df with a row for each missing bucket (a timestamp or date, cut to grain) from a partition's first to its last; its measures are null."""
+    step = F.expr({"quarter": "INTERVAL 3 MONTHS"}.get(grain, f"INTERVAL 1 {grain.upper()}"))
+    ends = df.groupBy(*partition).agg(F.min(order).alias("__a"), F.max(order).alias("__b")) if partition else df.agg(F.min(order).alias("__a"), F.max(order).alias("__b"))
+    every = ends.filter("__a is not null").select(*partition, F.explode(F.sequence("__a", "__b", step)).alias(order))
+    on = reduce(Column.__and__, [F.col(f"e.{c}").eqNullSafe(F.col(f"d.{c}")) for c in [*partition, order]])
+    rest = [c for c in df.columns if c not in partition and c != order]
+    return every.alias("e").join(df.alias("d"), on, "left").select(*[F.col(f"e.{c}") for c in [*partition, order]], *[F.col(f"d.{c}") for c in rest]).select(*df.columns)
+
+
+def windowed(df: DataFrame, name: str, of: str, method: str, order: str, partition: list[str], fn: str = "avg", frame: int | None = None, offset: int | None = None, weight: str | None = None, buckets: bool = False) -> DataFrame:
     """Adds a window over aggregated rows.
 
     simple: fn of the last `frame` rows; weighted: sum of `of` over sum of `weight`; cumulative:
-    fn of all rows up to this one; lag, lead: the value `offset` rows away. A count rolls as a sum.
+    fn of all rows up to this one; lag, lead: the value `offset` rows away. A count rolls as a sum;
+    of distinct counts, with `buckets`, the buckets that have one are counted.
     """
     if method in ("simple", "weighted") and not frame:
         raise ValueError(f"{method} needs a frame")
@@ -247,10 +297,10 @@ def windowed(df: DataFrame, name: str, of: str, method: str, order: str, partiti
         raise ValueError(f"{method} needs an offset")
     if method == "weighted" and (weight is None or fn != "avg"):
         raise ValueError("weighted needs avg and a weight")
-    if fn == "count_distinct":
-        raise ValueError("distinct counts of buckets can't be rolled up")
+    if fn == "count_distinct" and not buckets:
+        raise ValueError("distinct counts of buckets can't be rolled up; buckets=True counts buckets")
     w = Window.partitionBy(*partition).orderBy(order)
-    fns = {"sum": F.sum, "avg": F.avg, "min": F.min, "max": F.max, "count": F.sum}
+    fns = {"sum": F.sum, "avg": F.avg, "min": F.min, "max": F.max, "count": F.sum, "count_distinct": F.count}
     if method == "lag":
         c = F.lag(of, offset).over(w)
     elif method == "lead":
@@ -285,6 +335,23 @@ def page(df: DataFrame, number: int = 1, size: int = 100, key: list[str] | None
     return rows, total
 
 
+@dataclass(frozen=True)
+class Envelope:
+    """A page of a query's rows: their columns without prefixes, the rows, and one row with total and truncated."""
+
+    columns: list[str]
+    rows: DataFrame
+    total: DataFrame
+
+
+def envelope(df: DataFrame, number: int = 1, size: int = 100, key: list[str] | None = None) -> Envelope:
+    """A page with columns named by what follows their last dot; where two would share a name, both keep their prefix."""
+    short = [c.rpartition(".")[2] for c in df.columns]
+    names = [s if short.count(s) == 1 else c for s, c in zip(short, df.columns, strict=True)]
+    rows, total = page(df, number, size, key)
+    return Envelope(names, rows.toDF(*names), total)
+
+
 def apply_params(filters: list[tuple[str, Callable[[object], Callable]]], defaults: dict[str, object], values: dict[str, object]) -> list:
     """Filters (parameter, value -> filter): a given value, else its default, else the filter goes; '' is no value."""
     out = []
@@ -296,12 +363,19 @@ def apply_params(filters: list[tuple[str, Callable[[object], Callable]]], defaul
     return out
 
 
-def check_time_slice(model: Model, root: str, path: str, pattern: str | None) -> None:
-    """A timestamp slice needs a time pattern, another mustn't have one."""
+def check_time_slice(model: Model, root: str, path: str, pattern: str | None, quiet: bool = False) -> None:
+    """A timestamp slice needs a time pattern, another mustn't have one. quiet: leave paths that aren't plain relations alone."""
     *hops, name = path.split(".")
     at = root
-    for hop in hops:
-        at = model.relation(at, hop).target
+    for hop in hops[1:] if hops and hops[0] == root else hops:
+        try:
+            at = model.relation(at, hop).target
+        except ValueError:
+            if quiet:
+                return
+            raise
+        if at not in model.entities:
+            return
     is_time = name in model.entity(at).timestamps
     if is_time and not pattern:
         raise ValueError(f"{path} is a timestamp and needs a time pattern")

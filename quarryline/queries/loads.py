@@ -4,8 +4,8 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from ..functions.scalars import enum
-from ..operators import features, load, tables
+from ..functions.scalars import datetime_diff, enum, enum_fails
+from ..operators import features, load, mapper, tables
 from ..sources import ingest
 from .base import USER_STATES, registrar, table, user_states
 
@@ -15,10 +15,10 @@ register = registrar(QUERIES, ORACLE_SQL)
 
 
 def nested_conversations(spark, sf):
-    """One JSON record per conversation, its turns an array."""
+    """JSON records of up to a hundred turns of a conversation, its turns an array; so no conversation is one row."""
     c = table(spark, sf, "conversations")
     turn = F.struct("turn", "role", F.struct(F.col("text").alias("value")).alias("body"))
-    return c.groupBy("conv_id").agg(F.sort_array(F.collect_list(turn)).alias("turns")).select(F.to_json(F.struct("conv_id", "turns")).alias("record"))
+    return c.groupBy("conv_id", F.floor(F.col("turn") / 100).alias("part")).agg(F.sort_array(F.collect_list(turn)).alias("turns")).select(F.to_json(F.struct("conv_id", "turns")).alias("record"))
 
 
 @register("SELECT conv_id, turn, role, text FROM conversations")
@@ -121,17 +121,24 @@ def event_load(spark, sf):
     return load.load_events(there, e.unionByName(e), F.expr("TIMESTAMP '2024-02-01'"))
 
 
-@register("SELECT event_id, CASE WHEN event_type = 'view' THEN 'look' WHEN event_type = 'click' THEN 'touch' END AS kind, 'web' AS origin FROM events WHERE event_type IN ('view', 'click')")
+KINDS = {"look": ["view"], "touch": ["click"]}
+
+
+def _some_types(spark, sf):
+    """Events, a tenth of them without a type: these map to null, and only unknown types fail."""
+    return table(spark, sf, "events").withColumn("event_type", F.when(F.col("event_id") % 10 != 0, F.col("event_type")))
+
+
+@register("SELECT event_id, CASE WHEN event_id % 10 = 0 THEN NULL WHEN event_type = 'view' THEN 'look' WHEN event_type = 'click' THEN 'touch' END AS kind, 'web' AS origin FROM events WHERE event_type IN ('view', 'click') OR event_id % 10 = 0")
 def mapped_rows(spark, sf):
-    e = table(spark, sf, "events")
-    good, _ = load.map_rows(e, {"event_id": F.col("event_id"), "kind": enum(F.col("event_type"), {"look": ["view"], "touch": ["click"]})}, ["kind"], {"origin": "web"})
+    e = _some_types(spark, sf)
+    good, _ = load.map_rows(e, {"event_id": F.col("event_id"), "kind": enum(F.col("event_type"), KINDS)}, static={"origin": "web"}, fails={"kind": enum_fails(F.col("event_type"), KINDS)})
     return good
 
 
-@register("SELECT event_id, 'kind' AS failed FROM events WHERE event_type NOT IN ('view', 'click')")
+@register("SELECT event_id, 'kind' AS failed FROM events WHERE event_type NOT IN ('view', 'click') AND event_id % 10 <> 0")
 def failed_rows(spark, sf):
-    e = table(spark, sf, "events")
-    _, bad = load.map_rows(e, {"kind": enum(F.col("event_type"), {"look": ["view"], "touch": ["click"]})}, ["kind"])
+    _, bad = load.map_rows(_some_types(spark, sf), {"kind": enum(F.col("event_type"), KINDS)}, fails={"kind": enum_fails(F.col("event_type"), KINDS)})
     return bad.select("event_id", F.array_join("failed", ",").alias("failed"))
 
 
@@ -219,9 +226,126 @@ def two_phase_features(spark, sf):
 def high_water_marks(spark, sf):
     """Last successful start per task, from events as a run log."""
     log = table(spark, sf, "events").select(F.col("event_type").alias("task"), F.col("ts").alias("started_at"), F.when(F.col("value") > 50, "success").otherwise("failed").alias("status"))
-    return log.filter("status = 'success'").groupBy("task").agg(F.max("started_at").alias("since"))
+    return load.since_marks(log)
 
 
 @register(f"SELECT state, count(*) AS n, count(*) FILTER (WHERE valid_to IS NULL) AS open FROM {USER_STATES} GROUP BY 1")
 def state_history(spark, sf):
     return user_states(spark, sf).groupBy("state").agg(F.count(F.lit(1)).alias("n"), F.count_if(F.col("valid_to").isNull()).alias("open"))
+
+
+@register("SELECT event_id, CASE event_id % 4 WHEN 0 THEN '[WIP] ' || event_type WHEN 1 THEN '{draft ' || event_type WHEN 2 THEN event_type || ', ' || event_type END AS title FROM events")
+def coerce_plain_text(spark, sf):
+    """Text that begins like a list or an object and is none stays as it is."""
+    e = table(spark, sf, "events")
+    kind = F.col("event_id") % 4
+    value = F.when(kind == 0, F.to_json(F.struct(F.concat(F.lit("[WIP] "), "event_type").alias("t")))).when(kind == 1, F.to_json(F.struct(F.concat(F.lit("{draft "), "event_type").alias("t")))).when(kind == 2, F.to_json(F.struct(F.array("event_type", "event_type").alias("t"))))
+    return ingest.project(e.withColumn("record", value), {"title": ("t", "STRING")}, keep=["event_id"])
+
+
+@register("SELECT c_custkey, CASE WHEN c_custkey % 3 = 0 THEN 'b' ELSE c_mktsegment END AS segment, TIMESTAMP '2024-02-01' AS valid_from, CAST(NULL AS TIMESTAMP) AS valid_to FROM customer")
+def scd2_repeated_candidates(spark, sf):
+    """Of repeated candidates the last counts, once."""
+    c = table(spark, sf, "customer")
+    none = c.filter("false").select("c_custkey", F.col("c_mktsegment").alias("segment"), F.expr("TIMESTAMP '2024-01-01'").alias("valid_from"), F.lit(None).cast("timestamp").alias("valid_to"))
+    new = c.select("c_custkey", F.col("c_mktsegment").alias("segment"), F.lit(1).alias("seq"))
+    twice = c.filter("c_custkey % 3 = 0")
+    new = new.unionByName(twice.select("c_custkey", F.lit("a").alias("segment"), F.lit(2).alias("seq"))).unionByName(twice.select("c_custkey", F.lit("b").alias("segment"), F.lit(3).alias("seq")))
+    return load.scd2(none, new, ["c_custkey"], ["segment"], F.expr("TIMESTAMP '2024-02-01'"), order=F.col("seq"))
+
+
+def _mapped(spark, sf):
+    """Orders as the grain, customers (left) and open nations (inner), two targets."""
+    t = {n: table(spark, sf, n) for n in ("orders", "customer", "nation", "supplier")}
+    orders = mapper.Source("o", ("orders",), where=F.col("o_orderstatus") != "P")
+    customers = mapper.Source("c", ("customer",), ("c_custkey", "c_nationkey", "c_name"), where=F.col("c_acctbal") > 0)
+    nations = mapper.Source("n", ("nation",), where=F.col("n_regionkey") < 3, dedupe=("n_nationkey",), static={"origin": "map"})
+    joins = [(customers, mapper.Join("c", (("o.o_custkey", "c_custkey"),))), (nations, mapper.Join("n", (("c.c_nationkey", "n_nationkey"),), "inner"))]
+    targets = [
+        mapper.Target("order", {"id": lambda j: j["o.o_orderkey"], "nation": lambda j: j["n_name"], "origin": lambda j: j["n.origin"]}),
+        mapper.Target("large", {"id": lambda j: j["o_orderkey"], "price": lambda j: F.when(j["o.o_totalprice"] > 100000, j["o.o_totalprice"])}, required=("price",)),
+    ]
+    return mapper.run_mapper(t, orders, joins, targets, ["o_orderkey"])
+
+
+_MAPPED = "orders JOIN customer ON o_custkey = c_custkey AND c_acctbal > 0 JOIN nation ON c_nationkey = n_nationkey AND n_regionkey < 3 WHERE o_orderstatus <> 'P'"
+
+
+@register(f"SELECT o_orderkey AS id, n_name AS nation, 'map' AS origin FROM {_MAPPED}")
+def mapper_targets(spark, sf):
+    return _mapped(spark, sf)["order"][0]
+
+
+@register(f"SELECT 'order' AS target, count(*) AS written, 0::BIGINT AS failed FROM {_MAPPED} UNION ALL SELECT 'large', count(*) FILTER (WHERE o_totalprice > 100000), count(*) FILTER (WHERE o_totalprice <= 100000) FROM {_MAPPED}")
+def mapper_stats(spark, sf):
+    """Rows written and failed of each target of a mapper."""
+    return load.load_stats(_mapped(spark, sf))
+
+
+@register("SELECT k, coalesce(a, b) AS name, b AS other FROM (SELECT c_custkey AS k, CASE WHEN c_custkey % 3 = 0 THEN c_name END AS a, CASE WHEN c_custkey % 2 = 0 THEN c_mktsegment END AS b FROM customer)")
+def first_across_sources(spark, sf):
+    """A bare column is the first value of all joined sources that isn't null."""
+    c = table(spark, sf, "customer")
+    t = {"a": c.select(F.col("c_custkey").alias("k"), F.when(F.col("c_custkey") % 3 == 0, F.col("c_name")).alias("name")), "b": c.filter("c_custkey % 2 = 0").select(F.col("c_custkey").alias("k"), F.col("c_mktsegment").alias("name"))}
+    target = mapper.Target("x", {"k": lambda j: j["a.k"], "name": lambda j: j["name"], "other": lambda j: j["b.name"]})
+    return mapper.run_mapper(t, mapper.Source("a", ("a",)), [(mapper.Source("b", ("b",)), mapper.Join("b", (("a.k", "k"),)))], [target])["x"][0]
+
+
+@register("SELECT e.event_id, g.name FROM events e LEFT JOIN (SELECT 'active' AS name, unnest(['view', 'click']) AS kind UNION ALL SELECT 'buyer', 'purchase') g ON g.kind = e.event_type")
+def mapper_array_join(spark, sf):
+    """A source joined on a column that holds a value or a JSON array of them."""
+    groups = table(spark, sf, "events").agg(F.lit(1).alias("one")).select(F.explode(F.array(F.struct(F.lit("active").alias("name"), F.lit('["view","click"]').alias("kinds")), F.struct(F.lit("buyer").alias("name"), F.lit("purchase").alias("kinds")))).alias("g")).select("g.*")
+    target = mapper.Target("x", {"event_id": lambda j: j["e.event_id"], "name": lambda j: j["g.name"]})
+    join = mapper.Join("g", (("e.event_type", "kinds"),), holds="scalar_or_array")
+    return mapper.run_mapper({"events": table(spark, sf, "events"), "groups": groups}, mapper.Source("e", ("events",)), [(mapper.Source("g", ("groups",)), join)], [target])["x"][0]
+
+
+@register("SELECT event_type AS task, count(*) AS n FROM events e WHERE ts >= (SELECT max(ts) FROM events WHERE value > 90 AND event_type = e.event_type) GROUP BY 1")
+def since_filter(spark, sf):
+    """Events since their task's last success."""
+    e = table(spark, sf, "events")
+    log = e.select(F.col("event_type").alias("task"), F.col("ts").alias("started_at"), F.when(F.col("value") > 90, "success").otherwise("failed").alias("status"))
+    rows = e.withColumn("task", F.col("event_type")).join(F.broadcast(load.since_marks(log)), "task").filter("ts >= since")
+    return rows.groupBy("task").agg(F.count(F.lit(1)).alias("n"))
+
+
+@register("SELECT user_id, max_by(value, struct_pack(a := ts, b := value)) AS last_value FROM events WHERE event_id % 7 <> 0 GROUP BY 1 UNION ALL SELECT user_id, NULL FROM events GROUP BY 1 HAVING count(*) FILTER (WHERE event_id % 7 <> 0) = 0")
+def argmax_feature(spark, sf):
+    """The value at the latest time; rows without a time don't count."""
+    e = table(spark, sf, "events").withColumn("ts", F.when(F.col("event_id") % 7 != 0, F.col("ts")))
+    return features.argmax(e, ["user_id"], "value", "ts", "last_value")
+
+
+@register("SELECT event_id, rank() OVER w AS place, round(lead(value, 2) OVER w, 6) AS ahead, round(sum(value) OVER (PARTITION BY user_id ORDER BY ts, event_id ROWS UNBOUNDED PRECEDING), 4) AS running, epoch_us(ts - lag(ts) OVER w) / 1e6 AS gap FROM events WINDOW w AS (PARTITION BY user_id ORDER BY ts, event_id)")
+def row_window_features(spark, sf):
+    """Rank, lead by two, running sum, and a scalar over a window."""
+    w = lambda fn, *a, **k: features.row_window(fn, ["ts", "event_id"], ["user_id"], *a, **k)
+    gap = datetime_diff(w("lag", "ts"), F.col("ts"), "seconds")
+    return table(spark, sf, "events").select("event_id", w("rank").cast("long").alias("place"), F.round(w("lead", "value", 2), 6).alias("ahead"), F.round(w("sum", "value"), 4).alias("running"), gap.alias("gap"))
+
+
+@register("SELECT 'balance' AS feature_id, 2 AS version, 0 AS position UNION ALL SELECT 'n_orders', 1, 1 UNION ALL SELECT 'spent', 1, 2")
+def feature_registry(spark, sf):
+    """Versions after two runs, the second with one definition changed, and the order of computing."""
+    first = features.register(spark, FEATURES)
+    changed = [features.Feature("balance", "customer", "c_custkey", "c_acctbal * 2"), *FEATURES[1:]]
+    return features.register(spark, changed, first).select("feature_id", "version", "position")
+
+
+@register("SELECT 'orders' AS \"table\", true AS present, (SELECT count(*) FROM orders) AS n_rows UNION ALL SELECT 'part', true, (SELECT count(*) FROM part) UNION ALL SELECT 'gone', false, NULL")
+def table_presence(spark, sf):
+    return tables.table_stats({"orders": table(spark, sf, "orders"), "part": table(spark, sf, "part"), "gone": None})
+
+
+@register("SELECT c_custkey FROM customer WHERE c_custkey % 3 = 0 AND c_custkey % 2 = 0")
+def active_human_users(spark, sf):
+    c = table(spark, sf, "customer")
+    return ingest.active_humans(c, F.when(F.col("c_custkey") % 3 == 0, "human").when(F.col("c_custkey") % 3 == 1, "bot"), F.col("c_custkey") % 2 == 0).select("c_custkey")
+
+
+@register("SELECT event_id, CAST(event_id AS BIGINT) AS whole, value AS number, event_type AS word FROM events")
+def inferred_types(spark, sf):
+    """Types found in columns of text."""
+    e = table(spark, sf, "events")
+    text = e.select("event_id", F.col("event_id").cast("string").alias("whole"), F.col("value").cast("string").alias("number"), F.col("event_type").alias("word"))
+    return ingest.infer_types(text)

@@ -278,3 +278,81 @@ def text_predicates(spark, sf):
 @register("SELECT coalesce(r_name, '(unset)') AS region, date_trunc('quarter', o_orderdate) AS quarter, count(*) AS n FROM orders LEFT JOIN customer ON o_custkey = c_custkey LEFT JOIN nation ON c_nationkey = n_nationkey LEFT JOIN region ON n_regionkey = r_regionkey GROUP BY 1, 2")
 def quarter_slices(spark, sf):
     return q.aggregate(sales(spark, sf), "Order", {"region": "Region.r_name", "quarter": lambda r: fn.bucket(r["o_orderdate"], "quarter")}, {"n": measure("count")})
+
+
+COSINE = "1 - list_dot_product(CAST(v.embedding AS DOUBLE[]), CAST(q.embedding AS DOUBLE[])) / (sqrt(list_dot_product(CAST(v.embedding AS DOUBLE[]), CAST(v.embedding AS DOUBLE[]))) * sqrt(list_dot_product(CAST(q.embedding AS DOUBLE[]), CAST(q.embedding AS DOUBLE[]))))"
+
+
+@register(f"WITH d AS (SELECT q.vec_id AS query_id, v.vec_id, {COSINE} AS distance FROM embeddings q JOIN embeddings v ON q.vec_id % 100 = 0 AND v.vec_id <> q.vec_id), r AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY distance, vec_id) AS position FROM d) SELECT query_id, vec_id, round(distance, 9) + 0.0 AS distance FROM r WHERE position <= 5")
+def nearest_of_each(spark, sf):
+    """The five nearest other vectors of each vector whose id is divisible by 100, against all rows."""
+    v = table(spark, sf, "embeddings")
+    return search.find_each(v, v.filter("vec_id % 100 = 0"), 5, "vec_id").select("query_id", "vec_id", (F.round("distance", 9) + 0.0).alias("distance"))
+
+
+def _few_nations(spark, sf):
+    """Orders whose customers' nations are partly unknown."""
+    m = sales(spark, sf)
+    return Model(m.entities, {**m.tables, "Nation": m.tables["Nation"].filter("n_nationkey % 2 = 0")})
+
+
+@register("SELECT o_orderkey, '(unset)' AS nation FROM orders LEFT JOIN customer ON o_custkey = c_custkey LEFT JOIN nation ON c_nationkey = n_nationkey AND n_nationkey % 2 = 0 WHERE n_name IS NULL")
+def unset_filter(spark, sf):
+    """A filter finds the rows whose traversed value is '(unset)'."""
+    return q.detail(_few_nations(spark, sf), "Order", {"o_orderkey": "o_orderkey", "nation": "Customer.Nation.n_name"}, [lambda r: r.label("Customer.Nation.n_name") == q.UNSET])
+
+
+@register(f"SELECT strftime(e.ts, '%G-%m-%d') AS day, coalesce(s.state, '(unset)') AS state, count(*) AS n FROM events e LEFT JOIN {USER_STATES} s ON e.user_id = s.user_id AND s.valid_from <= e.ts AND (s.valid_to IS NULL OR s.valid_to > e.ts) GROUP BY 1, 2")
+def as_of_first_time_slice(spark, sf):
+    """A related history is read as of the first time slice."""
+    events = table(spark, sf, "events").select("event_id", "user_id", "ts")
+    states = user_states(spark, sf).select("user_id", "state", "valid_from", "valid_to")
+    m = Model.of((Entity("Event", "event_id", (Relation("of_user", "User", ("user_id",)),), timestamps=("ts",)), events), (Entity("User", "user_id", history=("valid_from", "valid_to")), states))
+    return q.aggregate(m, "Event", {"day": q.TimeSlice("ts", "YYYY-MM-DD"), "state": "of_user.state"}, {"n": measure("count")})
+
+
+@register("SELECT c_mktsegment AS segment, CAST(sum(coalesce(n, 0)) AS BIGINT) AS visits, CAST(sum(coalesce(k, 0)) AS BIGINT) AS orders FROM customer LEFT JOIN (SELECT user_id, count(event_id) AS n FROM events GROUP BY 1) ON user_id = c_custkey LEFT JOIN (SELECT o_custkey, count(o_orderkey) AS k FROM orders GROUP BY 1) ON o_custkey = c_custkey GROUP BY 1")
+def event_subtable(spark, sf):
+    """Measures over an event table of an entity, and of a bare field that one child has."""
+    e = table(spark, sf, "events").select("event_id", "user_id", "ts")
+    m = sales(spark, sf).with_event("Customer", "visit", "user_id", e, ("ts",))
+    return q.aggregate(m, "Customer", {"segment": "c_mktsegment"}, {"visits": child("visit.event_id"), "orders": measure("count", "o_orderkey")})
+
+
+@register("SELECT c_custkey, n_name FROM (SELECT c_custkey, coalesce(n_name, '(unset)') AS n_name FROM customer LEFT JOIN nation ON c_nationkey = n_nationkey) ORDER BY c_custkey LIMIT 50 OFFSET 50")
+def enveloped_page(spark, sf):
+    """A page whose columns have lost their prefixes."""
+    df = q.detail(sales(spark, sf), "Customer", {"Customer.c_custkey": "c_custkey", "Nation.n_name": "Nation.n_name"})
+    return q.envelope(df, 2, 50, ["Customer.c_custkey"]).rows
+
+
+@register("SELECT event_id, CASE WHEN event_id % 5 <> 0 THEN printf('%.1f%%', round(value) * 100.0) END AS share_display, CASE WHEN event_id % 5 <> 0 THEN printf('%.0f', round(value)) END AS plain_display, CASE WHEN event_id % 5 <> 0 THEN CASE WHEN abs(round(value)) * 1000 >= 1000000 THEN printf('%.0fM', round(value) / 1000) WHEN abs(round(value)) >= 1 THEN printf('%.0fk', round(value)) ELSE '0' END END AS short_display FROM events")
+def view_with_formats(spark, sf):
+    """A view's declared columns and formats; null shows as null."""
+    x = F.when(F.col("event_id") % 5 != 0, F.round("value"))
+    df = table(spark, sf, "events").select("event_id", x.alias("share"), x.alias("plain"), (x * 1000).alias("short"), F.lit(1).alias("other"))
+    out = views.execute_view(df, ["event_id", "share", "plain", "short"], {"share": "percent", "short": "0a"}, {"plain": "0"})
+    return out.select("event_id", "share_display", "plain_display", "short_display")
+
+
+@register("WITH d AS (SELECT user_id, value, CAST(event_id % 97 AS DOUBLE) AS other FROM events), z AS (SELECT user_id, abs(value - avg(value) OVER w) / nullif(stddev_pop(value) OVER w, 0) AS a, abs(other - avg(other) OVER w) / nullif(stddev_pop(other) OVER w, 0) AS b FROM d WINDOW w AS (PARTITION BY user_id)) SELECT user_id, CASE WHEN count(*) < 2 THEN 0 ELSE round(least(greatest(coalesce(max(a), 0), coalesce(max(b), 0)) * 10 / 3, 10), 4) END AS significance FROM z GROUP BY 1")
+def significance_of_columns(spark, sf):
+    """The most telling of several numeric columns."""
+    e = table(spark, sf, "events").withColumn("other", (F.col("event_id") % 97).cast("double"))
+    return views.significance_of(e, ["user_id"], ["value", "other"])
+
+
+@register("WITH b AS (SELECT event_type, CAST(ts AS DATE) AS day, count(*) AS n FROM events WHERE event_id % 3 = 0 GROUP BY 1, 2), k AS (SELECT event_type, unnest(generate_series(min(day), max(day), INTERVAL 1 DAY))::DATE AS day FROM b GROUP BY 1) SELECT k.event_type, CAST(k.day AS VARCHAR) AS day, CAST(sum(n) OVER (PARTITION BY k.event_type ORDER BY k.day ROWS 2 PRECEDING) AS BIGINT) AS three_days FROM k LEFT JOIN b ON b.event_type = k.event_type AND b.day = k.day")
+def window_over_gaps(spark, sf):
+    """A rolling count over all days of a type, those without events too."""
+    d = table(spark, sf, "events").filter("event_id % 3 = 0").groupBy("event_type", F.col("ts").cast("date").alias("day")).agg(F.count(F.lit(1)).alias("n"))
+    full = q.fill_gaps(d, "day", ["event_type"], "day")
+    out = q.windowed(full, "three_days", "n", "simple", "day", ["event_type"], "count", 3)
+    return out.select("event_type", F.col("day").cast("string").alias("day"), "three_days")
+
+
+@register("SELECT format AS month, count(*) AS n FROM (SELECT strftime(o_orderdate, '%Y/%m') AS format FROM orders WHERE strftime(o_orderdate, '%m') <> '02') GROUP BY 1")
+def functions_in_filters(spark, sf):
+    """A registered function in a filter and in a slice."""
+    call = fn.REGISTRY.call
+    return q.aggregate(sales(spark, sf), "Order", {"month": lambda r: call("format_date", r["o_orderdate"], "yyyy/MM")}, {"n": measure("count")}, [lambda r: call("format_date", r["o_orderdate"], "MM") != "02"])

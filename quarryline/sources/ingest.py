@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Iterable
 
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -54,7 +55,7 @@ def explode_path(records: DataFrame, path: str, inherit: dict[str, str] | None =
 
 
 def fan_out(records: DataFrame, outputs: dict[str, dict[str, tuple[str, str]]]) -> dict[str, DataFrame]:
-    """Several projections of the same records."""
+    """Several projections of the same records; persist `records` first if they are costly to make."""
     return {name: project(records, columns) for name, columns in outputs.items()}
 
 
@@ -95,8 +96,47 @@ def attach(spark: SparkSession, uri: str, alias: str, tables: Iterable[str]) ->
 
 
 def replace_table(df: DataFrame, path: str) -> bool:
-    """Overwrite the table at path, unless df is empty. Returns whether it was written."""
+    """Replace the table at path, unless df is empty. Returns whether it was written.
+
+    The new table is written beside the old one, which goes only when that has succeeded; so df may read it.
+    """
     if df.isEmpty():
         return False
-    df.write.mode("overwrite").parquet(path)
+    spark = df.sparkSession
+    staged = f"{path.rstrip('/')}.new-{uuid.uuid4().hex}"
+    df.write.parquet(staged)
+    hadoop = spark._jvm.org.apache.hadoop.fs.Path
+    fs = hadoop(path).getFileSystem(spark._jsc.hadoopConfiguration())
+    fs.delete(hadoop(path), True)
+    if not fs.rename(hadoop(staged), hadoop(path)):
+        raise OSError(f"the new table is at {staged}; it can't be moved to {path}")
     return True
+
+
+def infer_types(df: DataFrame, columns: Iterable[str] | None = None) -> DataFrame:
+    """Text columns all of whose values are whole numbers become long, numbers double; one pass. A column without values stays text."""
+    text = [f.name for f in df.schema if f.dataType.simpleString() == "string" and (columns is None or f.name in columns)]
+    if not text:
+        return df
+    fits = lambda c, kind: F.bool_and(F.col(c).isNull() | F.col(c).try_cast(kind).isNotNull()) & (F.count(c) > 0)
+    row = df.agg(*[fits(c, k).alias(f"{k}_{c}") for c in text for k in ("long", "double")]).first()
+    return df.withColumns({c: F.col(c).cast("long" if row[f"long_{c}"] else "double") for c in text if row[f"double_{c}"]})
+
+
+#: Column types of declared entity and raw tables.
+DECLARED = {"STRING": "string", "INTEGER": "long", "FLOAT": "double", "JSON": "string"}
+
+
+def declared_table(spark: SparkSession, columns: dict[str, str], event: bool = False, history: tuple[str, str] | None = None) -> DataFrame:
+    """An empty table of declared columns; an event table has inserted_at too, one with history its two times."""
+    unknown = {k for k in columns.values() if k not in DECLARED}
+    if unknown:
+        raise ValueError(f"unknown column types {sorted(unknown)}")
+    fields = [f"`{c}` {DECLARED[k]}" for c, k in columns.items()]
+    fields += [f"`{c}` string" for c in history or () if c not in columns] + ["inserted_at timestamp"] * event
+    return spark.createDataFrame([], ", ".join(fields))
+
+
+def active_humans(users: DataFrame, kind: Column, active: Column, human: str = "human") -> DataFrame:
+    """Users of the human kind that are active; a null in either leaves a user out."""
+    return users.filter(F.coalesce((kind == human) & active.cast("boolean"), F.lit(False)))

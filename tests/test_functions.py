@@ -89,3 +89,26 @@ def test_registry(spark):
     assert one(spark, fn.REGISTRY.call("substr", F.lit("abc"), F.lit(2))) == "bc"
     with pytest.raises(ValueError):
         fn.REGISTRY.call("trim")
+
+
+def test_nulls_and_roundings_of_displays(spark):
+    df = spark.createDataFrame([(None,), (999_999.0,), (999.6,), (1234.0,), (-2_500_000.0,)], "x double")
+    got = [tuple(r) for r in df.select(fn.display_number(F.col("x"), "#,##0.0a"), fn.display_number(F.col("x"), "0"), fn.display_percent(F.col("x"))).collect()]
+    assert got[0] == (None, None, None) and [g[0] for g in got[1:]] == ["1.0M", "999.6", "1.2k", "-2.5M"]
+
+
+def test_plain_text_like_json_and_enum_failures(spark):
+    df = spark.createDataFrame([("[WIP] fix",), ("{draft",), ('["a","b"]',), ('{"name":"n"}',), (None,), ("[1, 2",)], "x string")
+    assert [r[0] for r in df.select(fn.coerce_text(F.col("x"))).collect()] == ["[WIP] fix", "{draft", "a, b", "n", None, "[1, 2"]
+    kinds = spark.createDataFrame([("v",), ("?",), (None,)], "x string").select(fn.enum(F.col("x"), {"view": ["v"]}).alias("e"), fn.enum_fails(F.col("x"), {"view": ["v"]}).alias("f"))
+    assert [tuple(r) for r in kinds.collect()] == [("view", False), (None, True), (None, False)]
+
+
+def test_registry_knows_the_library(spark):
+    call = fn.REGISTRY.call
+    df = spark.createDataFrame([("2021-01-01T10:00:00Z", '{"a": 1}')], "t string, j string")
+    ts = call("parse_ts", F.col("t"))
+    got = df.select(call("format_time", ts, "YYYY-WW"), call("json_extract", F.col("j"), "a"), call("datetime_diff", ts, call("now", F.lit("2021-01-02").cast("timestamp")), "hours"), call("cast", F.lit("yes"), "boolean")).first()
+    assert tuple(got) == ("2020-53", "1", 14.0, True)
+    with pytest.raises(ValueError):
+        call("format_time", ts)

@@ -4,7 +4,8 @@ import random
 import pytest
 from pyspark.sql import functions as F
 
-from quarryline.operators import features, feed, joins, load, search, tables, views
+from quarryline.functions import scalars
+from quarryline.operators import features, feed, joins, load, mapper, search, tables, views
 from quarryline.sources import ingest
 from quarryline.streaming import events
 
@@ -19,7 +20,9 @@ def test_upsert_composite_heterogeneous_and_all_key(spark):
     got = load.upsert(old, new, ["k", "l"], F.col("seq")).select("k", "l", "v", "w")
     assert rows(got) == sorted([(1, "a", None, 6), (1, "b", "y", None), (None, "c", None, 7), (2, "d", None, 8)], key=str)
     with pytest.raises(ValueError):
-        load.upsert(old, new, [])
+        load.upsert(old, new, [], F.col("seq"))
+    tied = spark.createDataFrame([(9, "z", "p", 1), (9, "z", "q", 1)], "k int, l string, v string, seq int")
+    assert load.upsert(old, tied, ["k", "l"], F.col("seq")).filter("k = 9").first().v == "q"
 
 
 def test_scd2(spark):
@@ -150,3 +153,99 @@ def test_stream_takes_only_what_is_new(spark, tmp_path):
         assert spark.read.parquet(out).count() == 2 * (part + 1)
         if part:
             break
+
+
+def test_scd2_of_repeated_and_null_keys(spark):
+    h = spark.createDataFrame([("a", "1", "2023", None), (None, "1", "2023", None)], "k string, v string, valid_from string, valid_to string")
+    c = spark.createDataFrame([("a", "2", 1), ("a", "2", 1), ("a", "3", 2), (None, "1", 1), ("new", "9", 1), ("new", "9", 1)], "k string, v string, seq int")
+    got = load.scd2(h, c, ["k"], ["v"], F.lit("2024"), order=F.col("seq"))
+    assert rows(got) == sorted([("a", "1", "2023", "2024"), ("a", "3", "2024", None), (None, "1", "2023", None), ("new", "9", "2024", None)], key=str)
+    assert tuple(load.scd2_stats(h, c, ["k"], ["v"], order=F.col("seq")).first()) == (1, 1, 1)
+
+
+def test_prune_only_if_nothing_failed(spark):
+    t = spark.createDataFrame([(1,), (2,)], "k int")
+    assert load.prune(t, t.filter("k = 1"), ["k"]).count() == 1
+    assert load.prune(t, t.filter("k = 1"), ["k"], failed=t).count() == 2
+
+
+def test_replace_reads_what_it_replaces(spark, tmp_path):
+    path = str(tmp_path / "t")
+    spark.range(5).write.parquet(path)
+    assert ingest.replace_table(spark.read.parquet(path).filter("id > 2"), path)
+    assert sorted(r.id for r in spark.read.parquet(path).collect()) == [3, 4] and [p.name for p in tmp_path.iterdir()] == ["t"]
+
+
+def test_raw_sql_leaves_the_sessions_views_alone(spark):
+    spark.range(3).createOrReplaceTempView("w")
+    own = spark.createDataFrame([("a", 3.5)], "k string, v double")
+    f = features.Feature("x", "w", "k", sql="SELECT k AS entity_id, v AS value FROM w JOIN w u USING (k, v) WHERE k <> '{}'")
+    assert rows(features.evaluate(spark, f, {"w": own})) == [("a", 3.5)] and spark.table("w").count() == 3
+
+
+def test_sql_functions_and_fan_out(spark):
+    scalars.register_sql(spark, "plus_two", "x + 2", "x INT", "INT")
+    f = features.Feature("x", "w", "k", sql="SELECT k AS entity_id, plus_two(v) AS value FROM w", kind="long")
+    assert rows(features.evaluate(spark, f, {"w": spark.createDataFrame([("a", 3)], "k string, v int")})) == [("a", 5)]
+    records = spark.createDataFrame([('{"a": 1, "b": {"name": "n"}}',)], "record string")
+    out = ingest.fan_out(records, {"one": {"a": ("a", "INTEGER")}, "two": {"b": ("b", "STRING"), "raw": ("b", "JSON")}})
+    assert rows(out["one"]) == [(1,)] and rows(out["two"]) == [("n", '{"name":"n"}')]
+
+
+def test_registry_order_ttl_and_mode(spark):
+    a, b = features.Feature("a", "w", "k", "v", needs=("b",)), features.Feature("b", "w", "k", "v", ttl_seconds=60)
+    live = features.Feature("c", "w", "k", "v", mode="dynamic")
+    assert [f.id for f in features.in_order([a, b, live])] == ["b", "a", "c"]
+    reg = features.register(spark, [a, b, live])
+    assert {r.feature_id: r.version for r in features.register(spark, [a, b, live], reg).collect()} == {"a": 1, "b": 1, "c": 1}
+    store = spark.createDataFrame([("a", "x", "1", "2024-01-01 00:00:00"), ("b", "x", "1", "2024-01-01 00:00:00")], "feature_id string, entity_id string, value string, computed_at string")
+    at = lambda t: F.lit(t).cast("timestamp")
+    assert features.stale([a, b, live], store, reg, at("2024-01-01 00:00:30")) == []
+    assert [f.id for f in features.stale([a, b, live], store, reg, at("2024-01-01 00:02:00"))] == ["b"]
+    changed = features.Feature("a", "w", "k", "v + 1")
+    assert [f.id for f in features.stale([changed, b], store, reg, at("2024-01-01 00:00:30"))] == ["a"]
+    with pytest.raises(ValueError):
+        features.in_order([a, features.Feature("b", "w", "k", "v", needs=("a",))])
+
+
+def test_run_log_since_and_declared_tables(spark):
+    log = spark.createDataFrame([("t", "success", "2024-01-02")], "task string, status string, started_at string")
+    log = load.record_run(log, "t", "2024-02-01", "2024-02-02", 7, "success", "p")
+    assert load.since_mark(log, "t") == "2024-02-01" and log.count() == 2
+    df = spark.createDataFrame([("2024-02-01T10:00:00",), ("2024-01-01T00:00:00",), (None,)], "at string")
+    assert load.changed_since(df, "at", "2024-02-01").count() == 1 and load.changed_since(df, "at", None).count() == 3
+    made = ingest.declared_table(spark, {"k": "STRING", "n": "INTEGER", "x": "FLOAT"}, event=True, history=("valid_from", "valid_to"))
+    assert made.dtypes == [("k", "string"), ("n", "bigint"), ("x", "double"), ("valid_from", "string"), ("valid_to", "string"), ("inserted_at", "timestamp")] and made.count() == 0
+    with pytest.raises(ValueError):
+        ingest.declared_table(spark, {"k": "DECIMAL"})
+
+
+def test_mapper_checks_and_strict(spark):
+    t = {"a": spark.createDataFrame([(1, "x"), (2, None)], "k int, v string"), "b": spark.createDataFrame([(1, "p"), (1, "q")], "k int, w string")}
+    join = [(mapper.Source("b", ("b",)), mapper.Join("b", (("a.k", "k"),)))]
+    keep = mapper.Target("t", {"k": lambda j: j["a.k"], "v": lambda j: j["v"]}, required=("v",))
+    got = mapper.run_mapper(t, mapper.Source("a", ("a", "a"), ("k", "v"), dedupe=("k",)), [], [keep])["t"]
+    assert rows(got[0]) == [(1, "x")] and got[1].count() == 1
+    with pytest.raises(ValueError):
+        mapper.run_mapper(t, mapper.Source("a", ("a",)), join, [keep], ["k"])
+    with pytest.raises(ValueError):
+        mapper.run_mapper(t, mapper.Source("a", ("a",)), [], [keep], strict=True)
+    for bad in (lambda: mapper.Source("a", ("nope",)).read(t), lambda: mapper.join_sources(t, mapper.Source("a", ("a",)), [(mapper.Source("a", ("b",)), mapper.Join("a", (("a.k", "k"),)))]), lambda: mapper.join_sources(t, mapper.Source("a", ("a",)), [(mapper.Source("b", ("b",)), mapper.Join("b", (("a.k", "k"),), "full"))])):
+        with pytest.raises(ValueError):
+            bad()
+
+
+def test_search_without_a_limit_on_queries(spark):
+    rng = random.Random(5)
+    v = spark.createDataFrame([(k, [rng.gauss(0, 1) for _ in range(4)]) for k in range(40)], "id int, embedding array<float>")
+    one = rows(search.find_each(v, v.filter("id % 2 = 0"), 3, "id").select("query_id", "id", "position"))
+    assert one == rows(search.find_each(v, v.filter("id % 2 = 0"), 3, "id", block=4).select("query_id", "id", "position")) and len(one) == 60
+
+
+def test_stream_windows_close_at_the_watermark(spark, tmp_path):
+    src, out, cp = (str(tmp_path / x) for x in ("src", "out", "cp"))
+    e = spark.createDataFrame([("a", "2024-01-01 00:10:00"), ("a", "2024-01-01 00:50:00"), ("b", "2024-01-01 00:20:00"), ("a", "2024-01-01 05:00:00")], "k string, ts string").withColumn("ts", F.to_timestamp("ts"))
+    e.coalesce(1).write.parquet(src)
+    counts = events.windowed_counts(events.read_new_files(spark, src, e.schema), "ts", "k")
+    counts.select("k", "n", "window.start").writeStream.format("parquet").option("path", out).option("checkpointLocation", cp).trigger(availableNow=True).outputMode("append").start().awaitTermination()
+    assert rows(spark.read.parquet(out).select("k", "n")) == [("a", 2), ("b", 1)]
