@@ -9,8 +9,9 @@ The posterior of a language multiplies
   overall shares, all from grouped counts.
 
 Counts are made by grouped aggregation over all rows; a hot host adds one partial row a task.
-Languages and trigram buckets are bounded, so the text model is broadcast; host priors grow with
-the data and are joined.
+Declarations count by their primary subtag in lower case (en-US is en). A language is told apart if
+its declared texts have MIN_TRIGRAMS trigrams or a thousandth of all; so many numbers of trigram
+buckets are broadcast. Host priors grow with the data and are joined.
 
 Edge cases: null and empty texts have no text evidence and fall to the declaration and prior;
 a null declaration or host gives no evidence of its own; an empty table gives no rows; with no
@@ -31,14 +32,19 @@ from .common import cut
 from .textops import _FOLD, buffer_of, slices
 
 BUCKETS = 1 << 14
-#: Most languages told apart: the most frequent ones declared.
-MAX_LANGUAGES = 200
+#: Trigrams of declared text that a language needs; less is enough if it is a thousandth of all.
+MIN_TRIGRAMS = 2000
 #: A long text counts as so many independent trigrams at most, as neighbours overlap.
 TEXT_TRIGRAMS = 60.0
 KAPPA = 20.0
 BROADCAST_ROWS = 100_000
 
 
+def primary(declared: Column) -> Column:
+    """The primary subtag of a declared language, in lower case; blank is null."""
+    return F.nullif(F.lower(F.trim(F.split(declared.cast("string"), "[-_]")[0])), F.lit(""))
+
+
 def trigrams(buf: np.ndarray, at: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """Hash buckets of the letter trigrams of all texts, and the text of each; anything but letters is a word edge."""
     b = _FOLD[buf]
@@ -75,9 +81,11 @@ def trigram_counts(docs: DataFrame, text_col: str, lang: Column) -> DataFrame:
 
 
 def text_model(docs: DataFrame, text_col: str = "text", declared: Column | None = None) -> tuple[list[str], np.ndarray]:
-    """Languages and the log probability of each trigram bucket in each; bounded by MAX_LANGUAGES * BUCKETS numbers."""
-    counts = cut(trigram_counts(docs, text_col, F.col("lang") if declared is None else declared))
-    top = [r.lang for r in counts.groupBy("lang").agg(F.sum("n").alias("n")).orderBy(F.desc("n"), "lang").limit(MAX_LANGUAGES).collect()]
+    """Languages and the log probability of each trigram bucket in each: BUCKETS numbers a language."""
+    counts = cut(trigram_counts(docs, text_col, primary(F.col("lang") if declared is None else declared)))
+    sums = counts.groupBy("lang").agg(F.sum("n").alias("n"))
+    every = sums.agg(F.sum("n")).first()[0] or 0
+    top = [r.lang for r in sums.filter((F.col("n") >= MIN_TRIGRAMS) | (F.col("n") * 1000 >= every)).collect()]
     langs = sorted(top, key=lambda x: x.encode())
     n = np.zeros((len(langs), BUCKETS))
     where = {x: k for k, x in enumerate(langs)}
@@ -120,7 +128,7 @@ def identify(docs: DataFrame, key: str = "doc_id", text_col: str = "text", decla
     declared: the markup's language. host and suffix: of the address.
     """
     none = F.lit(None).cast("string")
-    declared = none if declared is None else declared
+    declared = none if declared is None else primary(declared)
     host = none if host is None else host
     suffix = none if suffix is None else suffix
     facts = docs.select(F.col(key).alias("__key"), declared.cast("string").alias("__declared"), host.cast("string").alias("__host"), suffix.cast("string").alias("__suffix"), F.col(text_col).alias("__words"))
@@ -180,9 +188,11 @@ MIN_POSTERIOR = 0.5
 
 
 def keep_languages(docs: DataFrame, languages: tuple[str, ...] | None = None, min_posterior: float = MIN_POSTERIOR) -> DataFrame:
-    """docs whose language is known and, if languages are given, one of them."""
-    got = identify(docs, declared=F.col("lang"), host=F.col("source"))
+    """docs' rows whose language is known and, if languages are given, one of them; rows of one doc_id are judged each by itself."""
+    mark = F.xxhash64("text", "lang", "source")
+    got = identify(docs.withColumn("__row", F.struct("doc_id", mark.alias("mark"))), "__row", declared=F.col("lang"), host=F.col("source"))
     ok = (F.col("posterior") >= min_posterior) & F.col("language").isNotNull()
     if languages is not None:
         ok &= F.col("language").isin(*languages)
-    return docs.join(got.filter(ok).select(F.col("doc_id").alias("__keep")), F.col("doc_id").eqNullSafe(F.col("__keep")), "left_semi")
+    keep = got.filter(ok).select(F.col("__row.doc_id").alias("__keep"), F.col("__row.mark").alias("__mark"))
+    return docs.join(keep, F.col("doc_id").eqNullSafe(F.col("__keep")) & (mark == F.col("__mark")), "left_semi")

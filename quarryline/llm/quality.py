@@ -1,11 +1,17 @@
 """Quality by co-training: a text view and a metadata view teach each other.
 
-Each view is a logistic regression. Over some rounds, each marks the rows of an unlabelled pool
-that it is surest of, and the other learns them as well. Both are then calibrated on labelled
-rows set aside, and their calibrated log odds are combined, again fitted on those rows.
-
-The fit uses at most TRAIN_ROWS labelled and POOL_ROWS other rows, the least by a hash of
-doc_id, of whole texts; scoring covers all rows and whole texts, unshuffled.
+Each view is a logistic regression. The text view sees what is written: character classes,
+repetition, hashed words. The metadata view sees what a crawl records without reading: source,
+language, length, and the sizes in bytes, words and lines against each other. Over some rounds,
+each view scores all unlabelled rows, and the other learns those that it is surest of as well.
+Both are then calibrated on labelled rows set aside, and their calibrated log odds are combined,
+again fitted on those rows.
+
+The fit uses at most TRAIN_ROWS labelled rows, the least by a hash of doc_id, of whole texts. Every
+round's search for sure rows covers all unlabelled rows; of those at least `trust` sure, a view
+hands over at most HANDED_ROWS a round and label, again the least by the hash. Features of all rows
+are kept between rounds in the checkpoint folder (about 800 bytes a row). Scoring covers all rows
+and whole texts, unshuffled.
 
 Edge cases: null and empty texts have zero text features and are scored by metadata and bias;
 null metadata is a value of its own; without labels of both kinds every score is the base rate;
@@ -22,12 +28,15 @@ import pyarrow as pa
 import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window
 
+from .common import cut
 from .textops import buffer_of, slices, span_hashes, window_hashes, words
 
 TRAIN_ROWS = 8_000
-POOL_ROWS = 8_000
-TEXT_BUCKETS, META_BUCKETS = 256, 96
+#: Most rows that a view hands over in the first round; in the n-th, n times as many. Both labels together.
+HANDED_ROWS = 1_000
+TEXT_BUCKETS, META_BUCKETS = 256, 128
 STATS = 12
 #: Rows of the labelled sample, of ten, that are set aside for calibration.
 CALIBRATION_TENTHS = 3
@@ -60,15 +69,29 @@ def text_view(buf: np.ndarray, at: np.ndarray) -> np.ndarray:
     return np.hstack([stats, np.sqrt(bag / n[:, None])]).astype(np.float32)
 
 
-def meta_view(columns: list[pa.Array], names: list[str]) -> np.ndarray:
-    """Hashed name=value of each metadata column; of numbers, the power of two."""
-    out = np.zeros((len(columns[0]) if columns else 0, META_BUCKETS), np.float32)
+def sizes(buf: np.ndarray, at: np.ndarray) -> dict[str, np.ndarray]:
+    """Bands of each text's size in bytes, its bytes per word, and its words per line."""
+    starts, _, w = words(buf, at)
+    n_bytes, n_words = np.diff(at), np.diff(w)
+    lines = 1 + np.diff(np.append(0, np.cumsum(buf == 10))[at])
+    band = lambda x, steps: np.floor(steps * np.log2(1 + x)).astype(int)
+    return {"bytes": band(n_bytes, 1), "word": band(n_bytes / np.maximum(n_words, 1), 6), "line": band(n_words / lines, 2)}
+
+
+def meta_view(columns: list[pa.Array], names: list[str], measured: dict[str, np.ndarray] | None = None) -> np.ndarray:
+    """Hashed name=value of each metadata column; of numbers, the power of two; and of measured bands."""
+    measured = measured or {}
+    n = len(columns[0]) if columns else len(next(iter(measured.values()), ()))
+    out = np.zeros((n, META_BUCKETS), np.float32)
+    values_of = {}
     for name, column in zip(names, columns, strict=True):
         values = column.to_pylist()
         if pa.types.is_integer(column.type) or pa.types.is_floating(column.type):
             values = [None if v is None else int(np.log2(1 + max(v, 0))) for v in values]
+        values_of[name] = values
+    for name, values in {**values_of, **{f"size {k}": v.tolist() for k, v in measured.items()}}.items():
         slot = {v: xxhash.xxh32_intdigest(f"{name}={v!r}") % META_BUCKETS for v in set(values)}
-        out[np.arange(len(values)), [slot[v] for v in values]] = 1
+        out[np.arange(n), [slot[v] for v in values]] = 1
     return out
 
 
@@ -109,67 +132,132 @@ class Model:
         return sigmoid(odds(np.stack([a, b], 1), self.both)), sigmoid(a), sigmoid(b)
 
 
-def co_train(text: np.ndarray, meta: np.ndarray, y: np.ndarray, pool_text: np.ndarray, pool_meta: np.ndarray, rounds: int = 4, per_round: float = 0.05, trust: float = 0.95) -> Model:
-    """y is 0 or 1. Each round a view hands over up to per_round of the pool, of either kind in the labels' proportion, that it is at least `trust` sure of."""
+class Pool:
+    """Unlabelled rows at hand, as the two views' arrays."""
+
+    def __init__(self, text: np.ndarray, meta: np.ndarray):
+        self.views = (text, meta)
+
+    def sure(self, w: list[np.ndarray], trust: float, quota: dict[float, int]) -> dict[tuple[int, float], tuple[np.ndarray, np.ndarray]]:
+        """Per view and label: both views' rows of which that view is at least `trust` sure, at most the label's quota."""
+        out = {}
+        for k, x in enumerate(self.views):
+            p = sigmoid(odds(x, w[k])) if len(x) else np.zeros(0)
+            for label, n in quota.items():
+                best = np.flatnonzero((p if label else 1 - p) >= trust)[:n]
+                out[k, label] = (self.views[0][best], self.views[1][best])
+        return out
+
+
+class TablePool:
+    """Unlabelled rows in a table (h, x): x the packed features, of which the first `width` are the text's."""
+
+    def __init__(self, rows: DataFrame, width: int):
+        self.rows, self.width, self.parts = rows, width, max(1, rows.rdd.getNumPartitions())
+
+    def sure(self, w: list[np.ndarray], trust: float, quota: dict[float, int]) -> dict[tuple[int, float], tuple[np.ndarray, np.ndarray]]:
+        """As of Pool, over the whole table; rows are taken by their hash h, each task sending some eight times its even share."""
+        width, labels = self.width, sorted(quota)
+        share = {label: max(16, 8 * n // self.parts) for label, n in quota.items()}
+
+        def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            kept: dict[tuple[int, float], list] = {(k, label): [] for k in (0, 1) for label in labels}
+            for batch in batches:
+                x = unpack(batch.column(1))
+                h = batch.column(0).to_numpy()
+                for k, view in enumerate((x[:, :width], x[:, width:])):
+                    p = sigmoid(odds(view, w[k]))
+                    for label in labels:
+                        best = np.flatnonzero((p if label else 1 - p) >= trust)
+                        best = best[np.argsort(h[best])][: share[label]]
+                        own = kept[k, label] + [(int(h[i]), x[i].astype("<f2").tobytes()) for i in best]
+                        kept[k, label] = sorted(own)[: share[label]]
+            for (k, label), own in kept.items():
+                if own:
+                    yield pa.RecordBatch.from_arrays([pa.array([k] * len(own), pa.int32()), pa.array([label] * len(own)), pa.array([a for a, _ in own], pa.int64()), pa.array([b for _, b in own], pa.binary())], ["view", "label", "h", "x"])
+
+        got = self.rows.select("h", "x").mapInArrow(run, "view int, label double, h long, x binary")
+        place = F.row_number().over(Window.partitionBy("view", "label").orderBy("h", "x"))
+        most = max(quota.values())
+        rows = got.withColumn("n", place).filter(F.col("n") <= most).collect()  # at most two views' and two labels' quotas
+        out = {}
+        for k in (0, 1):
+            for label, n in quota.items():
+                own = sorted((r.h, bytes(r.x)) for r in rows if r.view == k and r.label == label)[:n]
+                x = np.frombuffer(b"".join(b for _, b in own), "<f2").astype(np.float32).reshape(len(own), -1) if own else np.zeros((0, STATS + TEXT_BUCKETS + META_BUCKETS), np.float32)
+                out[k, label] = (x[:, :width], x[:, width:])
+        return out
+
+
+def unpack(column: pa.Array) -> np.ndarray:
+    """float32 rows of a binary column of packed float16 features."""
+    n = len(column)
+    if not n:
+        return np.zeros((0, STATS + TEXT_BUCKETS + META_BUCKETS), np.float32)
+    return np.frombuffer(b"".join(column.to_pylist()), "<f2").astype(np.float32).reshape(n, -1)
+
+
+def co_train(text: np.ndarray, meta: np.ndarray, y: np.ndarray, pool: Pool | TablePool, rounds: int = 4, handed: int = HANDED_ROWS, trust: float = 0.95) -> Model:
+    """y is 0 or 1. After each round each view hands over rows of the pool, of either kind in the labels' proportion, that it is at least `trust` sure of."""
     if len(y) < 10 or y.min() == y.max():
         rate = np.clip(y.mean() if len(y) else 0.5, 1e-3, 1 - 1e-3)
         flat = np.array([0.0, np.log(rate / (1 - rate))])
         return Model(np.zeros(text.shape[1] + 1), np.zeros(meta.shape[1] + 1), flat, flat, np.array([0.5, 0.5, 0.0]))
     aside = np.arange(len(y)) % 10 < CALIBRATION_TENTHS
     learn = ~aside
-    views = [(text, pool_text), (meta, pool_meta)]
-    given = [np.full(len(pool_text), -1.0), np.full(len(pool_text), -1.0)]  # what each view was told of the pool
-    for step in range(rounds + 1):
-        w = []
-        for k, (x, pool) in enumerate(views):
-            told = given[k] >= 0
-            w.append(fit_logistic(np.vstack([x[learn], pool[told]]), np.concatenate([y[learn], given[k][told]]), np.concatenate([np.ones(learn.sum()), np.full(told.sum(), 0.5)])))
-        if step == rounds or not len(pool_text):
-            break
-        for k, (_, pool) in enumerate(views):
-            p, other = sigmoid(odds(pool, w[k])), 1 - k
-            for label, sure in ((1.0, p), (0.0, 1 - p)):
-                quota = int(per_round * len(pool) * (y.mean() if label else 1 - y.mean())) + 1
-                best = np.argsort(-sure, kind="stable")[: quota + int((given[other] == label).sum())]
-                best = best[(sure[best] >= trust) & (given[other][best] < 0)][:quota]
-                given[other][best] = label
     cal = aside if 0 < y[aside].sum() < aside.sum() else np.ones(len(y), bool)
     one = np.ones(cal.sum())
-    scale = [fit_logistic(odds(x[cal], w[k])[:, None], y[cal], one, 1e-2) for k, (x, _) in enumerate(views)]
-    z = np.stack([odds(odds(x[cal], w[k])[:, None], scale[k]) for k, (x, _) in enumerate(views)], 1)
-    return Model(w[0], w[1], scale[0], scale[1], fit_logistic(z, y[cal], one, 1e-2))
+    views = (text, meta)
+    told = {k: (np.zeros((0, v.shape[1]), np.float32), np.zeros(0)) for k, v in enumerate(views)}
+    for step in range(rounds + 1):
+        w = [fit_logistic(np.vstack([x[learn], told[k][0]]), np.concatenate([y[learn], told[k][1]]), np.concatenate([np.ones(learn.sum()), np.full(len(told[k][1]), 0.5)])) for k, x in enumerate(views)]
+        if step == rounds:
+            break
+        rate = float(y.mean())
+        quota = {label: int((step + 1) * handed * share) + 1 for label, share in ((1.0, rate), (0.0, 1 - rate))}
+        # A view's sureness is what its odds are worth on the rows set aside, so a view that knows little hands over little.
+        worth = [fit_logistic(odds(x[cal], w[k])[:, None], y[cal], one, 0.3) for k, x in enumerate(views)]
+        sure = pool.sure([np.append(w[k][:-1] * max(a, 0.0), w[k][-1] * max(a, 0.0) + b) for k, (a, b) in enumerate(worth)], trust, quota)
+        for k in (0, 1):  # what the other view is sure of
+            given = [(sure[1 - k, label][k], label) for label in quota]
+            told[k] = (np.vstack([x for x, _ in given]), np.concatenate([np.full(len(x), label) for x, label in given]))
+    scale = [fit_logistic(odds(x[cal], w[k])[:, None], y[cal], one, 1e-2) for k, x in enumerate(views)]
+    z = np.stack([odds(odds(x[cal], w[k])[:, None], scale[k]) for k, x in enumerate(views)], 1)
+    both = fit_logistic(z, y[cal], one, 1e-2)
+    if (both[:2] < 0).any():  # a view that adds nothing is left out rather than held against itself
+        both = fit_logistic(z * (both[:2] >= 0), y[cal], one, 1e-2)
+    return Model(w[0], w[1], scale[0], scale[1], both)
 
 
 def _views(batch: pa.RecordBatch, first: int, meta: list[str]) -> Iterator[tuple[int, int, np.ndarray, np.ndarray]]:
     """Views of a batch whose columns from `first` on are the text and the metadata."""
     buf, at = buffer_of(batch.column(first))
     for lo, hi in slices(at):
-        yield lo, hi, text_view(buf[at[lo] : at[hi]], at[lo : hi + 1] - at[lo]), meta_view([c.slice(lo, hi - lo) for c in batch.columns[first + 1 :]], meta)
+        own, edges = buf[at[lo] : at[hi]], at[lo : hi + 1] - at[lo]
+        yield lo, hi, text_view(own, edges), meta_view([c.slice(lo, hi - lo) for c in batch.columns[first + 1 :]], meta, sizes(own, edges))
 
 
-def train(docs: DataFrame, labels: DataFrame, label: str = "quality", meta: tuple[str, ...] = ("source", "lang", "n_chars"), usable: Column | None = None, text_col: str = "text", train_rows: int = TRAIN_ROWS, pool_rows: int = POOL_ROWS, **options) -> Model:
-    """A model from bounded samples; `usable` is a condition on __id, the label's doc_id."""
-    marked = labels.filter(F.col(label).isNotNull() & F.col("doc_id").isNotNull()).select(F.col("doc_id").alias("__id"), F.col(label).cast("int").alias("__y"))
-    marked = marked.dropDuplicates(["__id"])
+def train(docs: DataFrame, labels: DataFrame, label: str = "quality", meta: tuple[str, ...] = ("source", "lang", "n_chars"), usable: Column | None = None, text_col: str = "text", train_rows: int = TRAIN_ROWS, **options) -> Model:
+    """A model from at most train_rows labelled rows and all unlabelled ones; `usable` is a condition on __id, the label's doc_id."""
+    marked = labels.filter(F.col(label).isNotNull() & F.col("doc_id").isNotNull()).groupBy(F.col("doc_id").alias("__id")).agg(F.max(F.col(label).cast("int")).alias("__y"))
     chosen = (marked.filter(usable) if usable is not None else marked).orderBy(F.xxhash64("__id"), "__id").limit(train_rows)
-    body = docs.select(F.col("doc_id").alias("__doc"), F.col(text_col).alias("__text"), *[F.col(c).alias(f"m_{c}") for c in meta])
-    known = body.join(F.broadcast(chosen), F.col("__doc") == F.col("__id")).select("__doc", "__y", "__text", *[f"m_{c}" for c in meta])
-    ids = docs.select(F.col("doc_id").alias("__id")).join(marked.select("__id"), "__id", "left_anti").orderBy(F.xxhash64("__id"), "__id").limit(pool_rows)
-    pool = body.join(F.broadcast(ids.distinct()), F.col("__doc") == F.col("__id")).select("__doc", F.lit(-1).alias("__y"), "__text", *[f"m_{c}" for c in meta])
+    body = docs.select(F.col("doc_id").alias("__doc"), F.xxhash64("doc_id", text_col).alias("__h"), F.col(text_col).alias("__text"), *[F.col(c).alias(f"m_{c}") for c in meta])
     names = list(meta)
 
     def packed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for lo, hi, t, m in _views(batch, 2, names):
                 rows = np.hstack([t, m]).astype("<f2")
-                yield pa.RecordBatch.from_arrays([batch.column(0).slice(lo, hi - lo), batch.column(1).slice(lo, hi - lo), pa.array([r.tobytes() for r in rows], pa.binary())], ["id", "y", "x"])
-
-    got = known.unionByName(pool).mapInArrow(packed, f"id {docs.schema['doc_id'].dataType.simpleString()}, y int, x binary")
-    rows = sorted(((r.y, xxhash.xxh64_intdigest(str(r.id)), r.x) for r in got.toLocalIterator()), key=lambda r: r[1:])
-    x = np.frombuffer(b"".join(r[2] for r in rows), "<f2").reshape(len(rows), -1).astype(np.float32) if rows else np.zeros((0, STATS + TEXT_BUCKETS + META_BUCKETS), np.float32)
-    y, width = np.array([r[0] for r in rows]), STATS + TEXT_BUCKETS
-    own, rest = y >= 0, y < 0
-    return co_train(x[own, :width], x[own, width:], y[own].astype(float), x[rest, :width], x[rest, width:], **options)
+                yield pa.RecordBatch.from_arrays([*[c.slice(lo, hi - lo) for c in batch.columns[:2]], pa.array([r.tobytes() for r in rows], pa.binary())], ["id", "h", "x"])
+
+    every = cut(body.mapInArrow(packed, f"id {docs.schema['doc_id'].dataType.simpleString()}, h long, x binary"))
+    got = every.join(F.broadcast(chosen), F.col("id") == F.col("__id")).select("__y", "h", "x").toLocalIterator()
+    rows = sorted((r[1], r[0], bytes(r[2])) for r in got)
+    width = STATS + TEXT_BUCKETS
+    x = np.frombuffer(b"".join(r[2] for r in rows), "<f2").reshape(len(rows), -1).astype(np.float32) if rows else np.zeros((0, width + META_BUCKETS), np.float32)
+    y = np.array([r[1] for r in rows], float)
+    rest = every.join(marked.select("__id"), F.col("id") == F.col("__id"), "left_anti")
+    return co_train(x[:, :width], x[:, width:], y, TablePool(rest, width), **options)
 
 
 def score(docs: DataFrame, model: Model, meta: tuple[str, ...] = ("source", "lang", "n_chars"), text_col: str = "text") -> DataFrame:

@@ -91,4 +91,44 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op10_language_id": op10_language_id,
     "language_id_pages": language_id_pages,
 }
-ORACLE_SQL: dict[str, str] = {}
+
+
+def mixing_targets(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What op1 knows of each document before blocks are dealt: size, source's size and target."""
+    return mixing.plan_mix(table(spark, sf_dir, "documents")).select("doc_id", "size", "source_size", F.round("target", 4).alias("target"))
+
+
+def lm_base_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """op2's counts and base score."""
+    return op2_lm_scoring(spark, sf_dir).select("doc_id", "held_out", "n_tokens", "n_known", "train_tokens", F.round("base_score", 4).alias("base_score"))
+
+
+def edited_texts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """op5's lengths and the digests of its edited texts."""
+    return op5_bottom_k(spark, sf_dir).select("doc_id", "n_chars", "edited_sha256")
+
+
+QUERIES |= {"mixing_targets": mixing_targets, "lm_base_scores": lm_base_scores, "edited_texts": edited_texts}
+
+#: DuckDB's regular expressions are bytes' or characters' alike here: a word has no ASCII white space in it.
+_WORD = r"[^\x20\x09-\x0D]+"
+_CRC = """WITH RECURSIVE bit(i, k, c) AS (SELECT CAST(range AS BIGINT), 0, CAST(range AS BIGINT) FROM range(256) UNION ALL SELECT i, k + 1, CASE WHEN c & 1 = 1 THEN xor(c >> 1, 3988292384) ELSE c >> 1 END FROM bit WHERE k < 8),
+crc_table AS (SELECT list(c ORDER BY i) AS t FROM bit WHERE k = 8),
+d AS (SELECT doc_id, text, xor(list_reduce(list_prepend(CAST(4294967295 AS BIGINT), list_transform(string_split(CAST(doc_id AS VARCHAR), ''), lambda x: CAST(ascii(x) AS BIGINT))), lambda c, b: xor(t[(xor(c, b) & 255) + 1], c >> 8)), 4294967295) % 10 = 0 AS held_out FROM documents, crc_table)"""
+
+ORACLE_SQL: dict[str, str] = {
+    # The first water level at which no cap is passed, with sources by cap / weight.
+    "mixing_targets": f"""WITH d AS (SELECT doc_id, source, CAST(len(regexp_extract_all(coalesce(text, ''), '{_WORD}')) AS BIGINT) AS size FROM documents),
+s AS (SELECT source, sum(size)::BIGINT AS source_size, [5.0, 2.0, 1.0][((row_number() OVER (ORDER BY source NULLS LAST) - 1) % 3 + 1)::BIGINT]::DOUBLE AS weight FROM d GROUP BY 1),
+c AS (SELECT *, 2.0::DOUBLE * source_size AS cap, 2.0::DOUBLE * source_size / weight AS level, 1.5::DOUBLE * sum(source_size) OVER () AS wanted FROM s),
+w AS (SELECT *, row_number() OVER o AS k, (wanted - coalesce(sum(cap) OVER (o ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0)) / (sum(weight) OVER () - coalesce(sum(weight) OVER (o ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0)) AS common FROM c WINDOW o AS (ORDER BY level, source NULLS LAST)),
+l AS (SELECT arg_min(common, k) AS common FROM w WHERE common <= level)
+SELECT doc_id, size, source_size, round(least(cap, coalesce(l.common * weight, cap)), 4) AS target FROM d JOIN w ON d.source IS NOT DISTINCT FROM w.source, l""",
+    "lm_base_scores": f"""{_CRC},
+t AS (SELECT doc_id, held_out, unnest(list_append(regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '{_WORD}'), ' ')) AS word FROM d),
+c AS (SELECT word, count(*) AS c FROM t WHERE NOT held_out GROUP BY 1),
+n AS (SELECT coalesce(sum(c), 0)::BIGINT AS n, count(*) AS v FROM c)
+SELECT doc_id, any_value(held_out) AS held_out, count(*) AS n_tokens, count(c.c) AS n_known, any_value(n) AS train_tokens, round(sum(log10((coalesce(c.c, 0) + 0.1::DOUBLE) / (n + 0.1::DOUBLE * (v + 1)))), 4) AS base_score FROM t LEFT JOIN c USING (word), n GROUP BY doc_id""",
+    "edited_texts": """WITH d AS (SELECT doc_id, coalesce(text, '') AS text, lead(coalesce(text, '')) OVER w AS after, first_value(coalesce(text, '')) OVER w AS start FROM documents WINDOW w AS (ORDER BY doc_id ROWS BETWEEN UNBOUNDED PRECEDING AND UNBOUNDED FOLLOWING))
+SELECT doc_id, CAST(length(text) AS BIGINT) AS n_chars, sha256(left(text, length(text) - length(text) // 2) || left(coalesce(after, start), length(text) // 2)) AS edited_sha256 FROM d""",
+}

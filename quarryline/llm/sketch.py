@@ -22,7 +22,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from .common import shuffle_width
+from .common import cut, shuffle_width
 from .textops import buffer_of, slices, span_hashes, window_hashes, words
 
 K = 128
@@ -101,10 +101,32 @@ def with_next(docs: DataFrame, text_col: str = "text") -> DataFrame:
 
     Ids are cut into ranges at approximate quantiles; each range ends with a copy of the first
     document of the next range (last = true; after the last range, of the first), which is
-    nobody's own row. One shuffle of the texts, ranges of about equal numbers of rows.
+    nobody's own row. One shuffle of the texts, ranges of about equal numbers of rows. Ids that
+    aren't whole numbers are ordered as text.
     """
     spark = docs.sparkSession
-    rows = docs.select(F.coalesce(F.col("doc_id").cast("long"), F.lit(-(2**63))).alias("o"), "doc_id", F.coalesce(F.col(text_col), F.lit("")).alias("text"))
+    if docs.schema["doc_id"].dataType.typeName() not in ("byte", "short", "integer", "long"):
+        number = docs.select(F.col("doc_id").cast("string").alias("__key")).filter("__key is not null").distinct()
+        numbered = numbered_keys(number)
+        kind = docs.schema["doc_id"].dataType
+        docs = docs.select(F.col("doc_id").alias("__id"), F.col(text_col).alias("__text")).join(numbered, F.col("__id").cast("string") == F.col("__key"), "left").select(F.col("__n").alias("doc_id"), "__text", "__id")
+        out = _with_next(docs, "__text", "__id")
+        return out.withColumn("doc_id", F.col("doc_id").cast(kind))
+    return _with_next(docs, text_col, "doc_id")
+
+
+def numbered_keys(keys: DataFrame) -> DataFrame:
+    """(__key, __n): the distinct texts of __key numbered from 0 in order, by ranges; what meets in one place is one row a range."""
+    parts = cut(keys.repartitionByRange("__key").sortWithinPartitions("__key").withColumn("__m", F.monotonically_increasing_id()))
+    parts = parts.withColumn("__p", F.shiftright("__m", 33)).withColumn("__k", F.col("__m").bitwiseAND(F.lit(2**33 - 1)))
+    sizes = parts.groupBy("__p").agg(F.count(F.lit(1)).alias("__size"))
+    before = F.coalesce(F.sum("__size").over(Window.orderBy("__p").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    return parts.join(F.broadcast(sizes.select("__p", before.alias("__before"))), "__p").select("__key", (F.col("__before") + F.col("__k")).alias("__n"))
+
+
+def _with_next(docs: DataFrame, text_col: str, id_col: str) -> DataFrame:
+    spark = docs.sparkSession
+    rows = docs.select(F.coalesce(F.col("doc_id").cast("long"), F.lit(-(2**63))).alias("o"), F.col(id_col).alias("doc_id"), F.coalesce(F.col(text_col), F.lit("")).alias("text"))
     n = max(1, shuffle_width(spark))
     cuts = sorted({int(x) for x in rows.select(F.col("o").cast("double")).approxQuantile("o", [i / n for i in range(1, n)], 0.2 / n)}) if n > 1 else []
     part = F.lit(0)

@@ -54,3 +54,14 @@ def test_edges(spark, edges, empty):
     nulls = edges.filter("doc_id IN (4, 8)").withColumn("doc_id", F.when(F.col("doc_id") != 4, F.col("doc_id")))
     assert {r.doc_id for r in sketch.fingerprint_edits(nulls).collect()} == {None, 8}
     assert sketch.fingerprint_edits(empty).count() == 0
+
+
+def test_text_ids_are_ordered_as_text(spark):
+    rows = [(f"k{k:02d}", f"text number {k} of some words here") for k in range(30)] + [(None, "first of all of them")]
+    df = spark.createDataFrame(rows, "doc_id string, text string")
+    ordered = sorted(rows, key=lambda r: (r[0] is not None, r[0] or ""))
+    want = {}
+    for k, (i, t) in enumerate(ordered):
+        n, after = len(t) // 2, ordered[(k + 1) % len(ordered)][1]
+        want[i] = hashlib.sha256((t[: len(t) - n] + after[:n]).encode()).hexdigest()
+    assert {r.doc_id: r.edited_sha256 for r in sketch.fingerprint_edits(df).collect()} == want
