@@ -158,7 +158,7 @@ class TablePool:
     def sure(self, w: list[np.ndarray], trust: float, quota: dict[float, int]) -> dict[tuple[int, float], tuple[np.ndarray, np.ndarray]]:
         """As of Pool, over the whole table; rows are taken by their hash h, each task sending some eight times its even share."""
         width, labels = self.width, sorted(quota)
-        share = {label: max(16, 8 * n // self.parts) for label, n in quota.items()}
+        share = {label: max(2, 8 * n // self.parts) for label, n in quota.items()}
 
         def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             kept: dict[tuple[int, float], list] = {(k, label): [] for k in (0, 1) for label in labels}
