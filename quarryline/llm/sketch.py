@@ -14,6 +14,7 @@ from __future__ import annotations
 
 import base64
 import hashlib
+import math
 from collections.abc import Iterator
 
 import numpy as np
@@ -124,6 +125,16 @@ def numbered_keys(keys: DataFrame) -> DataFrame:
     return parts.join(F.broadcast(sizes.select("__p", before.alias("__before"))), "__p").select("__key", (F.col("__before") + F.col("__k")).alias("__n"))
 
 
+def cuts_below(cuts: list[int], x: Column) -> Column:
+    """How many of the ascending cuts are less than x: first among every s-th of them, then among the s from there, s their number's root."""
+    s = math.isqrt(len(cuts) - 1) + 1
+    below = lambda some: F.size(F.filter(some, lambda c: c < x))
+    coarse, fine = F.array(*[F.lit(c) for c in cuts[::s]]), F.array(*[F.lit(c) for c in cuts])
+    skipped = F.greatest(below(coarse) - 1, F.lit(0)) * s
+    # The number stands in an array of one, so that both uses share one evaluation of it.
+    return F.element_at(F.transform(F.array(skipped), lambda k: k + below(F.slice(fine, k + 1, F.lit(s)))), 1)
+
+
 def _with_next(docs: DataFrame, text_col: str, id_col: str) -> DataFrame:
     spark = docs.sparkSession
     rows = docs.select(F.coalesce(F.col("doc_id").cast("long"), F.lit(-(2**63))).alias("o"), F.col(id_col).alias("doc_id"), F.coalesce(F.col(text_col), F.lit("")).alias("text"))
@@ -131,8 +142,7 @@ def _with_next(docs: DataFrame, text_col: str, id_col: str) -> DataFrame:
     cuts = sorted({int(x) for x in rows.select(F.col("o").cast("double")).approxQuantile("o", [i / n for i in range(1, n)], 0.2 / n)}) if n > 1 else []
     part = F.lit(0)
     if cuts:
-        ends = F.array(*[F.lit(c) for c in cuts])
-        part = F.size(F.filter(ends, lambda c: c < F.col("o")))
+        part = cuts_below(cuts, F.col("o"))
     rows = rows.withColumn("part", part.cast("int"))
     firsts = sorted((r.part, r.o) for r in rows.groupBy("part").agg(F.min("o").alias("o")).collect())
     if not firsts:

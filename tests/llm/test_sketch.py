@@ -65,3 +65,11 @@ def test_text_ids_are_ordered_as_text(spark):
         n, after = len(t) // 2, ordered[(k + 1) % len(ordered)][1]
         want[i] = hashlib.sha256((t[: len(t) - n] + after[:n]).encode()).hexdigest()
     assert {r.doc_id: r.edited_sha256 for r in sketch.fingerprint_edits(df).collect()} == want
+
+
+def test_cuts_below(spark):
+    for n in (1, 2, 3, 7, 16, 17, 100):
+        cuts = [3 * k - 40 for k in range(n)]
+        xs = [*range(-45, 3 * n), -(2**63), 2**63 - 1]
+        got = spark.createDataFrame([(x,) for x in xs], "x long").select("x", sketch.cuts_below(cuts, F.col("x")).alias("k")).collect()
+        assert [r.k for r in got] == [sum(c < r.x for c in cuts) for r in got]
