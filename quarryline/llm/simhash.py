@@ -298,7 +298,7 @@ def _marks(h: np.ndarray, edges: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
 
 
 def wide_fingerprints(docs: DataFrame, text_col: str = "text", shingle: int = 5) -> DataFrame:
-    """doc_id, mark (a hash of the text), node (one of the set of shingles), fp (WIDE_WORDS longs, then the set's size), bands (BANDS longs) and the set. No shuffle."""
+    """doc_id, mark (a hash of the text), node (one of the set of shingles), fp (WIDE_WORDS longs, then the set's size) and bands (BANDS longs). No shuffle."""
     inp = docs.select("doc_id", F.xxhash64(text_col).alias("mark"), F.col(text_col).alias("__text"))
 
     def lists(x: np.ndarray) -> pa.Array:
@@ -307,13 +307,25 @@ def wide_fingerprints(docs: DataFrame, text_col: str = "text", shingle: int = 5)
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             buf, at = buffer_of(batch.column(2))
+            for lo, hi in slices(at):
+                h, edges, node = _sets(buf[at[lo] : at[hi]], at[lo : hi + 1] - at[lo], shingle)
+                yield pa.RecordBatch.from_arrays([*[c.slice(lo, hi - lo) for c in batch.columns[:2]], pa.array(node.view(np.int64)), *map(lists, _marks(h, edges))], ["doc_id", "mark", "node", "fp", "bands"])
+
+    return inp.mapInArrow(run, f"doc_id {inp.schema['doc_id'].dataType.simpleString()}, mark long, node long, fp array<long>, bands array<long>")
+
+
+def shingle_sets(docs: DataFrame, text_col: str = "text", shingle: int = 5) -> DataFrame:
+    """node and its set of shingles, a row for each of docs. Sets are larger than texts, so they are worked out again where they are needed rather than kept."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            buf, at = buffer_of(batch.column(0))
             for lo, hi in slices(at):
                 h, edges, node = _sets(buf[at[lo] : at[hi]], at[lo : hi + 1] - at[lo], shingle)
                 sets = pa.array([h[a:b].tobytes() for a, b in zip(edges[:-1].tolist(), edges[1:].tolist(), strict=True)], pa.binary())
-                marks = map(lists, _marks(h, edges))
-                yield pa.RecordBatch.from_arrays([*[c.slice(lo, hi - lo) for c in batch.columns[:2]], pa.array(node.view(np.int64)), *marks, sets], ["doc_id", "mark", "node", "fp", "bands", "shingles"])
+                yield pa.RecordBatch.from_arrays([pa.array(node.view(np.int64)), sets], ["node", "shingles"])
 
-    return inp.mapInArrow(run, f"doc_id {inp.schema['doc_id'].dataType.simpleString()}, mark long, node long, fp array<long>, bands array<long>, shingles binary")
+    return docs.select(F.col(text_col).alias("__text")).mapInArrow(run, "node long, shingles binary")
 
 
 def _candidates(a: np.ndarray, b: np.ndarray, radius: int) -> np.ndarray:
@@ -394,11 +406,11 @@ def _exact_links(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield of()
 
 
-def similar_links(nodes: DataFrame, radius: int = WIDE_RADIUS, block: int = BLOCK, sets: DataFrame | None = None) -> DataFrame:
+def similar_links(nodes: DataFrame, sets: DataFrame, radius: int = WIDE_RADIUS, block: int = BLOCK) -> DataFrame:
     """(u, v) links between nodes (node, fp, bands) that share a band and have sets similar by SIMILARITY, spanning all such.
 
     A bucket's candidates are those within radius bits, with sizes in proportion; each component
-    of them is a group, whose sets (of `sets`, else of nodes: node, shingles) decide. A bucket of
+    of them is a group, whose sets (of `sets`: node, shingles) decide. A bucket of
     more than `block` nodes is dealt into blocks, and each two of its blocks meet in a group of
     their own: exact, and no task holds more than two blocks.
     """
@@ -440,7 +452,7 @@ def similar_links(nodes: DataFrame, radius: int = WIDE_RADIUS, block: int = BLOC
     groups = cut(met.mapInArrow(run, "key long, node long").distinct())
     wanted = groups.select(F.col("node").alias("__node")).distinct()
     wanted = F.broadcast(wanted) if wanted.count() <= BROADCAST_ROWS else wanted
-    own_sets = (nodes if sets is None else sets).select("node", "shingles").join(wanted, F.col("node") == F.col("__node"), "left_semi").groupBy("node").agg(F.first("shingles").alias("shingles"))
+    own_sets = sets.select("node", "shingles").join(wanted, F.col("node") == F.col("__node"), "left_semi").groupBy("node").agg(F.first("shingles").alias("shingles"))
     whole = groups.join(own_sets, "node").select("key", "node", "shingles").repartition("key").sortWithinPartitions("key", "node")
     return whole.mapInArrow(_exact_links, "u long, v long").distinct()
 
@@ -448,7 +460,7 @@ def similar_links(nodes: DataFrame, radius: int = WIDE_RADIUS, block: int = BLOC
 def _similar(docs: DataFrame, text_col: str, shingle: int, radius: int) -> DataFrame:
     prints = cut(wide_fingerprints(docs, text_col, shingle))
     nodes = cut(prints.groupBy("node").agg(F.first("fp").alias("fp"), F.first("bands").alias("bands"), F.min("doc_id").alias("least_id"), F.count(F.lit(1)).alias("n")))
-    return with_component(prints.select("doc_id", "mark", "node"), nodes, similar_links(nodes, radius, sets=prints), "node")
+    return with_component(prints.select("doc_id", "mark", "node"), nodes, similar_links(nodes, shingle_sets(docs, text_col, shingle), radius), "node")
 
 
 def similar_components(docs: DataFrame, text_col: str = "text", shingle: int = 5, radius: int = WIDE_RADIUS) -> DataFrame:

@@ -117,7 +117,7 @@ def test_similar_in_blocks_and_edges(spark, edges, empty):
         rows.append((k, " ".join(copy)))
     docs = spark.createDataFrame(rows, "doc_id long, text string")
     nodes = simhash.wide_fingerprints(docs)
-    label = simhash.components(simhash.similar_links(nodes, block=10))
+    label = simhash.components(simhash.similar_links(nodes, simhash.shingle_sets(docs), block=10))
     assert label.select("label").distinct().count() == 1 and label.count() == nodes.select("node").distinct().count()
     assert {r.component_id for r in simhash.similar_components(docs).collect()} == {0}
     got = {(r.doc_id, r.component_id) for r in simhash.similar_components(edges).collect()}
