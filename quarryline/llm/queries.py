@@ -8,10 +8,11 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, html_text, language, mixing, ngram, quality, simhash, sketch, telephony, toxicity
+from . import bpe, html_text, language, lexical, manifest, mixing, ngram, quality, simhash, sketch, telephony, toxicity, treebpe
 from .common import doc_key, table
 
 RANKS = public_tokenizers.path("byte_bpe_50k.tiktoken")
+WORD_BPE = public_tokenizers.path("word_bpe_49k.json")
 
 
 def op1_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -72,6 +73,21 @@ def op10_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     return got.withColumn("keep", F.col("language").isNotNull() & (F.col("posterior") >= language.MIN_POSTERIOR))
 
 
+def op11_tree_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Ids of every text by a vocabulary with word ends, and the text that they decode to."""
+    return treebpe.encode_documents(table(spark, sf_dir, "documents"), WORD_BPE, ids=False)
+
+
+def op12_lexical_search(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The 20 best documents for each benchmark item."""
+    return lexical.search(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
+def op13_merkle_manifest(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Hash, proof and verification of every document, where a third of the texts has been lower-cased since."""
+    return manifest.verify(table(spark, sf_dir, "documents"), manifest.lowered_third)
+
+
 def language_id_pages(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Language of every page: text, the html element's lang, address suffix and host."""
     pages = table(spark, sf_dir, "pages")
@@ -89,6 +105,9 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_toxicity": op8_toxicity,
     "op9_byte_bpe": op9_byte_bpe,
     "op10_language_id": op10_language_id,
+    "op11_tree_bpe": op11_tree_bpe,
+    "op12_lexical_search": op12_lexical_search,
+    "op13_merkle_manifest": op13_merkle_manifest,
     "language_id_pages": language_id_pages,
 }
 
@@ -112,11 +131,54 @@ QUERIES |= {"mixing_targets": mixing_targets, "lm_base_scores": lm_base_scores,
 
 #: DuckDB's regular expressions are bytes' or characters' alike here: a word has no ASCII white space in it.
 _WORD = r"[^\x20\x09-\x0D]+"
-_CRC = """WITH RECURSIVE bit(i, k, c) AS (SELECT CAST(range AS BIGINT), 0, CAST(range AS BIGINT) FROM range(256) UNION ALL SELECT i, k + 1, CASE WHEN c & 1 = 1 THEN xor(c >> 1, 3988292384) ELSE c >> 1 END FROM bit WHERE k < 8),
+
+
+def _with_crc(condition: str) -> str:
+    """CTEs up to d: documents with `hit`, whether crc32(doc_id), as c, fulfils the condition."""
+    return f"""WITH RECURSIVE bit(i, k, c) AS (SELECT CAST(range AS BIGINT), 0, CAST(range AS BIGINT) FROM range(256) UNION ALL SELECT i, k + 1, CASE WHEN c & 1 = 1 THEN xor(c >> 1, 3988292384) ELSE c >> 1 END FROM bit WHERE k < 8),
 crc_table AS (SELECT list(c ORDER BY i) AS t FROM bit WHERE k = 8),
-d AS (SELECT doc_id, text, xor(list_reduce(list_prepend(CAST(4294967295 AS BIGINT), list_transform(string_split(CAST(doc_id AS VARCHAR), ''), lambda x: CAST(ascii(x) AS BIGINT))), lambda c, b: xor(t[(xor(c, b) & 255) + 1], c >> 8)), 4294967295) % 10 = 0 AS held_out FROM documents, crc_table)"""
+d AS (SELECT * EXCLUDE (c), {condition} AS hit FROM (SELECT documents.*, xor(list_reduce(list_prepend(CAST(4294967295 AS BIGINT), list_transform(string_split(CAST(doc_id AS VARCHAR), ''), lambda x: CAST(ascii(x) AS BIGINT))), lambda c, b: xor(t[(xor(c, b) & 255) + 1], c >> 8)), 4294967295) AS c FROM documents, crc_table))"""
+
+
+_FOLDED = "translate({}, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
+_TERMS = "regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\\x00-\\x2F\\x3A-\\x40\\x5B-\\x60\\x7B-\\x7F]+')"
+
+
+
+def _hashed(text: str) -> str:
+    """SQL of a row's leaf."""
+    return "sha256(" + " || ".join(f"CASE WHEN {c} IS NULL THEN '-' ELSE CAST(strlen(CAST({c} AS VARCHAR)) AS VARCHAR) || ':' || CAST({c} AS VARCHAR) END" for c in ("doc_id", "source", "lang", "n_chars", text)) + ")"
+
+
+def _levels(name: str, leaves: str) -> str:
+    """CTE of all nodes (g, lvl, idx, h) over leaves (g, idx, h), until each tree has one."""
+    return f"{name}(g, lvl, idx, h) AS (SELECT g, 0, idx, h FROM {leaves} UNION ALL SELECT g, lvl + 1, idx // 8, sha256(string_agg(h, '' ORDER BY idx)) FROM (SELECT *, count(*) OVER (PARTITION BY g) AS c FROM {name}) WHERE c > 1 GROUP BY g, lvl, idx // 8)"
+
 
 ORACLE_SQL: dict[str, str] = {
+    # All nodes of the trees of languages and of the tree over these; siblings left and right of each row on each level; then the fold.
+    "op13_merkle_manifest": f"""{_with_crc("c % 3 = 0")},
+leaves AS (SELECT doc_id, coalesce('=' || lang, '-') AS g, {_hashed("text")} AS h, CASE WHEN hit THEN {_hashed(_FOLDED.format("text"))} ELSE {_hashed("text")} END AS now FROM d),
+placed AS (SELECT *, row_number() OVER (PARTITION BY g ORDER BY doc_id) - 1 AS idx FROM leaves),
+{_levels("low", "placed")},
+depth AS (SELECT g, max(lvl) AS depth FROM low GROUP BY g),
+subs AS (SELECT '' AS g, tree, row_number() OVER (ORDER BY tree) - 1 AS idx, h FROM (SELECT g AS tree, h FROM low SEMI JOIN depth ON low.g = depth.g AND lvl = depth)),
+{_levels("high", "subs")},
+root AS (SELECT h AS root, lvl AS above FROM high ORDER BY lvl DESC LIMIT 1),
+steps AS (SELECT doc_id, lvl, n.idx AS spot, p.idx // CAST(8 ** lvl AS BIGINT) AS own, n.h FROM placed p JOIN low n ON p.g = n.g AND n.idx // 8 = p.idx // CAST(8 ** lvl AS BIGINT) // 8 JOIN depth ON p.g = depth.g AND lvl < depth
+UNION ALL SELECT doc_id, depth + lvl, n.idx, s.idx // CAST(8 ** lvl AS BIGINT), n.h FROM placed p JOIN subs s ON p.g = s.tree JOIN depth ON p.g = depth.g JOIN high n ON n.idx // 8 = s.idx // CAST(8 ** lvl AS BIGINT) // 8, root WHERE lvl < above),
+sides AS (SELECT doc_id, lvl, coalesce(string_agg(h, '' ORDER BY spot) FILTER (WHERE spot < own), '') AS l, coalesce(string_agg(h, '' ORDER BY spot) FILTER (WHERE spot > own), '') AS r FROM steps GROUP BY ALL),
+fold(doc_id, lvl, h) AS (SELECT doc_id, 0, now FROM placed UNION ALL SELECT f.doc_id, f.lvl + 1, sha256(l || h || r) FROM fold f JOIN sides s ON f.doc_id = s.doc_id AND f.lvl = s.lvl)
+SELECT p.doc_id, p.h AS leaf, s.h AS subroot, root, sha256(coalesce(q.proof, '')) AS proof_sha256, f.h AS folded_root, f.h = root AS verified
+FROM placed p JOIN subs s ON p.g = s.tree JOIN (SELECT doc_id, arg_max(h, lvl) AS h FROM fold GROUP BY 1) f ON p.doc_id = f.doc_id LEFT JOIN (SELECT doc_id, string_agg(l || r, '' ORDER BY lvl) AS proof FROM sides GROUP BY 1) q ON p.doc_id = q.doc_id, root""",
+    "op12_lexical_search": f"""WITH d AS (SELECT doc_id, {_TERMS} AS t FROM documents),
+s AS (SELECT doc_id, len(t)::BIGINT AS n FROM d WHERE len(t) > 0),
+g AS (SELECT count(*)::BIGINT AS n_docs, sum(n)::BIGINT AS n_all FROM s),
+i AS (SELECT item_id, term, count(*) AS c FROM (SELECT item_id, unnest({_TERMS}) AS term FROM benchmark) GROUP BY ALL),
+f AS (SELECT doc_id, term, count(*) AS tf FROM (SELECT doc_id, unnest(t) AS term FROM d) WHERE term IN (SELECT term FROM i) GROUP BY ALL),
+w AS (SELECT term, CAST(floor(1000 * ln((2 * n_docs + 2)::DOUBLE / (2 * count(*) + 1))) AS BIGINT) AS w FROM f, g GROUP BY term, n_docs),
+r AS (SELECT item_id, doc_id, CAST(sum(c * w * ((1000000000 * tf) // (1000 * tf + 12 * (75 + (25 * n * n_docs) // n_all)))) AS BIGINT) AS score FROM i JOIN f USING (term) JOIN w USING (term) JOIN s USING (doc_id), g GROUP BY ALL)
+SELECT item_id, CAST(rank AS INT) AS rank, doc_id, score FROM (SELECT *, row_number() OVER (PARTITION BY item_id ORDER BY score DESC, doc_id) AS rank FROM r WHERE score > 0) WHERE rank <= 20""",
     # The first water level at which no cap is passed, with sources by cap / weight.
     "mixing_targets": f"""WITH d AS (SELECT doc_id, source, CAST(len(regexp_extract_all(coalesce(text, ''), '{_WORD}')) AS BIGINT) AS size FROM documents),
 s AS (SELECT source, sum(size)::BIGINT AS source_size, [5.0, 2.0, 1.0][((row_number() OVER (ORDER BY source NULLS LAST) - 1) % 3 + 1)::BIGINT]::DOUBLE AS weight FROM d GROUP BY 1),
@@ -124,8 +186,8 @@ c AS (SELECT *, 2.0::DOUBLE * source_size AS cap, 2.0::DOUBLE * source_size / we
 w AS (SELECT *, row_number() OVER o AS k, (wanted - coalesce(sum(cap) OVER (o ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0)) / (sum(weight) OVER () - coalesce(sum(weight) OVER (o ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0)) AS common FROM c WINDOW o AS (ORDER BY level, source NULLS LAST)),
 l AS (SELECT arg_min(common, k) AS common FROM w WHERE common <= level)
 SELECT doc_id, size, source_size, round(least(cap, coalesce(l.common * weight, cap)), 4) AS target FROM d JOIN w ON d.source IS NOT DISTINCT FROM w.source, l""",
-    "lm_base_scores": f"""{_CRC},
-t AS (SELECT doc_id, held_out, unnest(list_append(regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '{_WORD}'), ' ')) AS word FROM d),
+    "lm_base_scores": f"""{_with_crc("c % 10 = 0")},
+t AS (SELECT doc_id, hit AS held_out, unnest(list_append(regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '{_WORD}'), ' ')) AS word FROM d),
 c AS (SELECT word, count(*) AS c FROM t WHERE NOT held_out GROUP BY 1),
 n AS (SELECT coalesce(sum(c), 0)::BIGINT AS n, count(*) AS v FROM c)
 SELECT doc_id, any_value(held_out) AS held_out, count(*) AS n_tokens, count(c.c) AS n_known, any_value(n) AS train_tokens, round(sum(log10((coalesce(c.c, 0) + 0.1::DOUBLE) / (n + 0.1::DOUBLE * (v + 1)))), 4) AS base_score FROM t LEFT JOIN c USING (word), n GROUP BY doc_id""",

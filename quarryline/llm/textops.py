@@ -65,11 +65,11 @@ def slices(offsets: np.ndarray, limit: int = SLICE_BYTES) -> Iterator[tuple[int,
         lo = hi
 
 
-def words(buf: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Starts and ends of all words, and the n+1 offsets of each text's words."""
+def words(buf: np.ndarray, offsets: np.ndarray, breaks: np.ndarray = _SPACE) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Starts and ends of all words, and the n+1 offsets of each text's words; breaks: of each byte, whether it stands between words."""
     if len(buf) == 0:
         return np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(len(offsets), np.int64)
-    solid = ~_SPACE[buf]
+    solid = ~breaks[buf]
     edge = np.zeros(len(buf) + 1, bool)
     edge[offsets] = True
     before = np.empty(len(buf), bool)
@@ -102,6 +102,13 @@ def span_hashes(buf: np.ndarray, starts: np.ndarray, ends: np.ndarray, fold: boo
     return mix(h + (ends - starts).astype(np.uint64))
 
 
+def same_bytes(a: np.ndarray, a_at: np.ndarray, b: np.ndarray, b_at: np.ndarray, sizes: np.ndarray) -> np.ndarray:
+    """Whether the spans of a and b, of the given sizes, have the same bytes."""
+    step = np.arange(sizes.sum()) - np.repeat(np.cumsum(sizes) - sizes, sizes)
+    differs = a[np.repeat(a_at, sizes) + step] != b[np.repeat(b_at, sizes) + step]
+    return np.bincount(np.repeat(np.arange(len(sizes)), sizes), weights=differs, minlength=len(sizes)) == 0
+
+
 def pair_hash(a: np.ndarray, b: np.ndarray, salt: int = 1) -> np.ndarray:
     """A 64-bit hash of an ordered pair of hashes."""
     return mix(a * np.uint64(0x9FB21C651E98DF25) + b * np.uint64(0xD6E8FEB86659FD93) + np.uint64(salt))
