@@ -15,7 +15,8 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from ..functions.scalars import format_time
-from .model import Model, Relation, is_open
+from ..operators.joins import as_of
+from .model import Entity, Model, Relation, is_open
 
 UNSET = "(unset)"
 Ref = "str | Callable[[Resolver], Column]"
@@ -90,13 +91,19 @@ class Resolver:
             target = r.via_target or (e.key,)
             on = reduce(Column.__and__, [F.col(f"{left}.{a}") == F.col(f"{alias}.{b}") for a, b in zip(r.via, target, strict=True)])
             if e.history and self.as_of is not None:
-                since, until = (F.col(f"{alias}.{c}") for c in e.history)
-                on &= (since <= self.as_of) & (is_open(until) | (until > self.as_of))
-                df = df.join(self.model.table(r.target).alias(alias), on, "left")
+                df = self._join_as_of(df, left, alias, r, e)
             else:
                 df = df.join(self.model.current(r.target).alias(alias), on, "left")
         return df
 
+    def _join_as_of(self, df: DataFrame, left: str, alias: str, r: Relation, e: Entity) -> DataFrame:
+        """df with the versions that hold at its time: found by a merge for each distinct key and time, joined by both."""
+        key = [f"__v{i}" for i in range(len(r.via))]
+        asked = df.select(*[F.col(f"{left}.{a}").alias(k) for a, k in zip(r.via, key, strict=True)], self.as_of.alias("__at")).distinct()
+        side = as_of(asked, self.model.table(r.target), list(zip(key, r.via_target or (e.key,), strict=True)), "__at", *e.history).alias(alias)
+        on = [F.col(f"{left}.{a}") == F.col(f"{alias}.{k}") for a, k in zip(r.via, key, strict=True)]
+        return df.join(side, reduce(Column.__and__, [*on, self.as_of == F.col(f"{alias}.__at")]), "left")
+
     def value(self, ref) -> Column:
         return ref(self) if callable(ref) else self[ref]
 
