@@ -7,7 +7,8 @@ from pyspark.sql import functions as F
 from ..functions.scalars import datetime_diff, enum, enum_fails
 from ..operators import features, load, mapper, tables
 from ..sources import ingest
-from .base import USER_STATES, registrar, table, user_states
+from ..sources.versioned import VersionedTable
+from .base import USER_STATES, registrar, scratch, table, user_states
 
 QUERIES: dict = {}
 ORACLE_SQL: dict = {}
@@ -324,12 +325,85 @@ def row_window_features(spark, sf):
     return table(spark, sf, "events").select("event_id", w("rank").cast("long").alias("place"), F.round(w("lead", "value", 2), 6).alias("ahead"), F.round(w("sum", "value"), 4).alias("running"), gap.alias("gap"))
 
 
-@register("SELECT 'balance' AS feature_id, 2 AS version, 0 AS position UNION ALL SELECT 'n_orders', 1, 1 UNION ALL SELECT 'spent', 1, 2")
+@register("SELECT 'balance' AS feature_id, 2 AS version, CAST(0 AS INT) AS position, true AS active, (SELECT count(*) FROM customer) AS n UNION ALL SELECT 'n_orders', 1, 1, true, (SELECT count(DISTINCT o_custkey) FROM orders) UNION ALL SELECT 'spent', 1, NULL, false, (SELECT count(DISTINCT o_custkey) FROM orders)")
 def feature_registry(spark, sf):
-    """Versions after two runs, the second with one definition changed, and the order of computing."""
-    first = features.register(spark, FEATURES)
-    changed = [features.Feature("balance", "customer", "c_custkey", "c_acctbal * 2"), *FEATURES[1:]]
-    return features.register(spark, changed, first).select("feature_id", "version", "position")
+    """Versions after two runs, the second with one definition changed and one left out, beside the values stored."""
+    t = {n: table(spark, sf, n) for n in ("customer", "orders")}
+    none = features.long_values(spark, FEATURES, t, F.current_timestamp()).limit(0)
+    first = features.run(spark, FEATURES, t, none, F.expr("TIMESTAMP '2024-01-01'"))
+    changed = [features.Feature("balance", "customer", "c_custkey", "c_acctbal * 2"), FEATURES[1]]
+    second = features.run(spark, changed, t, first.values, F.expr("TIMESTAMP '2024-01-02'"), first.registry)
+    return second.registry.join(features.null_rates(second.values), "feature_id").select("feature_id", "version", "position", "active", "n")
+
+
+PLAN = [
+    features.Feature("score", "customer", "c_custkey", "mean_order * CASE WHEN rich THEN 2 ELSE 1 END", needs=("mean_order", "rich")),
+    features.Feature("mean_order", "customer", "c_custkey", "spent / n_orders", needs=("spent", "n_orders")),
+    features.Feature("rich", "customer", "c_custkey", "c_acctbal > 5000", kind="boolean", mode="dynamic"),
+    features.Feature("spent", "orders", "o_custkey", "sum(CAST(o_totalprice AS DECIMAL(20, 2)))", aggregate=True),
+    features.Feature("n_orders", "orders", "o_custkey", "count(1)", aggregate=True, kind="long", ttl_seconds=3600),
+    features.Feature("visits", "events", "user_id", "count(1)", aggregate=True, kind="long"),
+]
+
+
+@register(
+    """WITH o AS (SELECT o_custkey AS k, count(*) AS n, CAST(sum(CAST(o_totalprice AS DECIMAL(20, 2))) AS DOUBLE) AS spent FROM orders GROUP BY 1),
+e AS (SELECT user_id AS k, count(*) AS n, count(*) FILTER (WHERE ts >= TIMESTAMP '2024-01-20') AS late FROM events GROUP BY 1),
+m AS (SELECT c_custkey AS k, 100.0 / n AS mean, c_acctbal > 5000 AS rich FROM customer LEFT JOIN o ON o.k = c_custkey)
+SELECT 'n_orders' AS feature_id, CAST(k AS VARCHAR) AS entity_id, n::DOUBLE AS value FROM o
+UNION ALL SELECT 'spent', CAST(k AS VARCHAR), 100 FROM o
+UNION ALL SELECT 'visits', CAST(k AS VARCHAR), CASE WHEN late > 0 THEN n ELSE -1 END FROM e
+UNION ALL SELECT 'mean_order', CAST(k AS VARCHAR), round(mean, 6) FROM m
+UNION ALL SELECT 'score', CAST(k AS VARCHAR), round(mean * CASE WHEN rich THEN 2 ELSE 1 END, 6) FROM m"""
+)
+def feature_plan(spark, sf):
+    """A run with a feature on features, one dynamic, one fresh (its stored 100 stays), one expired, and one whose changed entities alone are computed (the others keep their -1)."""
+    t = {n: table(spark, sf, n) for n in ("customer", "orders", "events")}
+    stored = lambda name, key, of, value, at: of.select(F.lit(name).alias("feature_id"), F.col(key).cast("string").alias("entity_id"), F.lit(value).alias("value"), F.expr(f"TIMESTAMP '{at}'").alias("computed_at")).distinct()
+    before = stored("spent", "o_custkey", t["orders"], "100.0", "2024-01-31 12:00:00").unionByName(stored("n_orders", "o_custkey", t["orders"], "-1", "2024-01-31 12:00:00")).unionByName(stored("visits", "user_id", t["events"], "-1", "2024-01-20 00:00:00"))
+    registry = features.register(spark, [f for f in PLAN if f.id in ("spent", "n_orders", "visits")])
+    out = features.run(spark, PLAN, t, before, F.expr("TIMESTAMP '2024-02-01'"), registry, since={"events": ("ts", "2024-01-20")})
+    return out.values.select("feature_id", "entity_id", F.round(F.col("value").cast("double"), 6).alias("value"))
+
+
+@register("SELECT CAST(c_custkey AS VARCHAR) AS entity_id, CAST(count(o_orderkey) AS DOUBLE) AS value FROM customer c, orders o WHERE c_custkey = o_custkey AND o_totalprice > (SELECT avg(o_totalprice) FROM orders) AND c_mktsegment <> 'from orders' GROUP BY 1")
+def raw_sql_scope(spark, sf):
+    """A feature in SQL with a join by comma, a WITH, a subquery and a table's name inside text; a view of the session by that name isn't meant."""
+    t = {n: table(spark, sf, n) for n in ("customer", "orders")}
+    t["orders"].limit(0).createOrReplaceTempView("orders")
+    sql = "WITH dear AS (SELECT * FROM orders WHERE o_totalprice > (SELECT avg(o_totalprice) FROM orders)) SELECT c_custkey AS entity_id, count(1) AS value FROM customer c, dear o WHERE c_custkey = o_custkey AND c_mktsegment <> 'from orders' GROUP BY c_custkey"
+    try:
+        return features.evaluate(spark, features.Feature("dear_orders", "customer", "c_custkey", sql=sql), t)
+    finally:
+        spark.catalog.dropTempView("orders")
+
+
+@register("SELECT o_orderkey, CASE WHEN o_orderkey % 1000 = 7 THEN 'X' ELSE o_orderstatus END AS status, CASE WHEN o_orderkey % 1000 = 7 THEN o_totalprice END AS price FROM orders WHERE o_orderkey % 1000 <> 8 UNION ALL SELECT -o_orderkey, 'N', NULL FROM orders WHERE o_orderkey % 1000 = 9")
+def versioned_upsert(spark, sf):
+    """A table in key buckets after two upserts and a prune, each of which writes the buckets that it touches."""
+    o = table(spark, sf, "orders").select("o_orderkey", F.col("o_orderstatus").alias("status"), F.col("o_totalprice").alias("price"))
+    t = VersionedTable.create(o.select("o_orderkey", "status"), scratch(spark), ["o_orderkey"], buckets=32)
+    some = o.filter("o_orderkey % 1000 = 7")
+    batch = some.withColumn("status", F.lit("X")).withColumn("seq", F.lit(2)).unionByName(some.withColumn("status", F.lit("early")).withColumn("seq", F.lit(1)))
+    t.upsert(batch, F.col("seq"))
+    t.upsert(o.filter("o_orderkey % 1000 = 9").select((-F.col("o_orderkey")).alias("o_orderkey"), F.lit("N").alias("status"), F.lit(1).alias("seq")), F.col("seq"))
+    t.prune(t.read().filter("o_orderkey % 1000 <> 8"))
+    return t.read().select("o_orderkey", "status", "price")
+
+
+@register(
+    "SELECT c_custkey, c_mktsegment AS segment, TIMESTAMP '2024-01-01' AS valid_from, CASE WHEN c_custkey % 50 = 3 THEN TIMESTAMP '2024-02-01' END AS valid_to FROM customer "
+    "UNION ALL SELECT c_custkey, 'moved', TIMESTAMP '2024-02-01', CASE WHEN c_custkey % 100 = 3 THEN TIMESTAMP '2024-03-01' END FROM customer WHERE c_custkey % 50 = 3 "
+    "UNION ALL SELECT c_custkey, 'back', TIMESTAMP '2024-03-01', NULL FROM customer WHERE c_custkey % 100 = 3"
+)
+def versioned_history(spark, sf):
+    """A history in key buckets after three loads."""
+    c = table(spark, sf, "customer").select("c_custkey", F.col("c_mktsegment").alias("segment"))
+    none = c.limit(0).withColumns({"valid_from": F.lit(None).cast("timestamp"), "valid_to": F.lit(None).cast("timestamp")})
+    t = VersionedTable.create(none, scratch(spark), ["c_custkey"], buckets=32)
+    for at, batch in (("2024-01-01", c), ("2024-02-01", c.filter("c_custkey % 50 = 3").withColumn("segment", F.lit("moved"))), ("2024-03-01", c.filter("c_custkey % 100 = 3").withColumn("segment", F.lit("back")))):
+        t.load_history(batch, ["segment"], F.expr(f"TIMESTAMP '{at}'"))
+    return t.read()
 
 
 @register("SELECT 'orders' AS \"table\", true AS present, (SELECT count(*) FROM orders) AS n_rows UNION ALL SELECT 'part', true, (SELECT count(*) FROM part) UNION ALL SELECT 'gone', false, NULL")
