@@ -1,6 +1,6 @@
 """Language-model scoring with sharded Elias-Fano n-gram tries.
 
-Documents are dealt into chunks. A chunk asks the word and n-gram shards about each distinct
+Documents are dealt into chunks by id and text, so that rows of one id spread. A chunk asks the word and n-gram shards about each distinct
 word and n-gram it has, once, with its counts in training documents; a shard sums the counts of
 all chunks, builds its trie, and answers every chunk in the order it asked. So both the model
 and the lookups are spread by hash: no n-gram and no context is hot, as a chunk sends each at
@@ -21,7 +21,7 @@ Smoothing interpolates each order with the next lower one:
 P(w | ctx) = (c(ctx, w) + T P'(w)) / (c(ctx) + T), T = c(ctx) ** TYPES_POWER standing for the
 number of distinct successors; the lowest order is (c + 0.1) / (N + 0.1 (V + 1)).
 
-Edge cases: null and empty texts are the end token alone; repeated rows score alike; with no
+Edge cases: null and empty texts are the end token alone; repeated rows share a chunk and score alike; with no
 training rows all probabilities are 0.1 / 0.1 = 1 and scores 0; one document may be longer than
 a chunk and is scored whole; an empty table gives no rows.
 
@@ -52,6 +52,10 @@ CHUNK_BYTES, MESSAGE_BYTES = 6 << 20, 8192
 KEY_SPARE = 14
 
 
+#: Low bits at the most: with any offset in a byte they lie within eight bytes.
+LOW_BITS = 57
+
+
 class EliasFano:
     """n non-decreasing numbers below `universe` in about 2 + log2(universe / n) bits each."""
 
@@ -61,7 +65,7 @@ class EliasFano:
     @classmethod
     def of(cls, values: np.ndarray, universe: int) -> EliasFano:
         n = len(values)
-        bits = max(0, int(math.log2(max(universe, 1) / n))) if n else 0
+        bits = min(LOW_BITS, max(0, int(math.log2(max(universe, 1) / n)))) if n else 0
         values = values.astype(np.uint64)
         low = np.zeros(n * bits // 8 + 9, np.uint8)
         if n and bits:
@@ -81,8 +85,8 @@ class EliasFano:
             return np.zeros(len(i), np.uint64)
         bit = i.astype(np.int64) * self.low_bits
         byte, out = bit >> 3, np.zeros(len(i), np.uint64)
-        for k in range((self.low_bits + 14) // 8):
-            out |= self.low[byte + k].astype(np.uint64) << np.uint64(8 * k) if k < 8 else 0
+        for k in range(min(8, (self.low_bits + 14) // 8)):
+            out |= self.low[byte + k].astype(np.uint64) << np.uint64(8 * k)
         return (out >> (bit & 7).astype(np.uint64)) & np.uint64((1 << self.low_bits) - 1)
 
     def get(self, i: np.ndarray) -> np.ndarray:
@@ -338,7 +342,7 @@ def score_documents(docs: DataFrame, held_out, order: int = 2, text_col: str = "
         chunks = max(4, math.ceil(total / max(CHUNK_BYTES, math.sqrt(total * MESSAGE_BYTES / 2))))
     shards = max(2, chunks // 2)
     key_bits = min(64, max(40, math.ceil(math.log2(max(total / 2, 2)) + KEY_SPARE)))  # a token has two bytes at the least
-    rows = docs.select(F.pmod(F.xxhash64("doc_id"), F.lit(chunks)).alias("chunk"), "doc_id", F.coalesce(held_out, F.lit(False)).alias("held_out"), F.col(text_col).alias("text"))
+    rows = docs.select(F.pmod(F.xxhash64("doc_id", text_col), F.lit(chunks)).alias("chunk"), "doc_id", F.coalesce(held_out, F.lit(False)).alias("held_out"), F.col(text_col).alias("text"))
     out_type = f"doc_id {docs.schema['doc_id'].dataType.simpleString()}, held_out boolean, n_tokens long, n_known long, train_tokens long, base_score double, score double"
 
     def ask(table: pa.Table) -> pa.Table:

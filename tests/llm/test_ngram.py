@@ -23,6 +23,21 @@ def test_elias_fano(n, universe):
     assert ef.low.nbytes + ef.high.nbytes <= n * (2 + math.log2(max(universe / max(n, 1), 1)) + 1) / 8 + 40
 
 
+@pytest.mark.parametrize("n", [*range(1, 70), 127, 128, 129])
+def test_elias_fano_of_few_wide_numbers(n):
+    """Lists so short that nearly all of 64 bits are low bits."""
+    rng = np.random.default_rng(n)
+    for top in (2**64 - 1, 2**63, 2**58, 2**57, 2**56):
+        v = np.sort(rng.integers(0, top, n, np.uint64, endpoint=top == 2**64 - 1))
+        ef = ngram.EliasFano.of(v, top)
+        assert (ef.all() == v).all() and (ef.get(np.arange(n)) == v).all()
+    for shards in (2, 3):
+        keys = np.unique(rng.integers(0, 2**64 - 1, n, np.uint64))
+        by, far, edges = ngram.deal(keys, shards, 64)
+        back = [ngram.gather(ngram.unpack_keys(ngram.pack_keys(far[edges[s] : edges[s + 1]], s, shards, 64), s, shards, 64), 64) for s in range(shards)]
+        assert (np.concatenate(back) == keys[by]).all()
+
+
 def test_trie_from_its_file(tmp_path):
     rng = np.random.default_rng(1)
     keys = np.unique(rng.integers(0, 50, 3000).astype(np.uint64) << np.uint64(32) | rng.integers(0, 400, 3000).astype(np.uint64))
@@ -79,16 +94,28 @@ def test_all_documents(documents, texts, order):
 
 
 def test_edges(edges, empty):
+    rows = edges.collect()
+    want = brute({k: r.text for k, r in enumerate(rows)}, dict.fromkeys(range(len(rows)), False), 2)
+    expected = sorted((r.doc_id, want[k][0], want[k][1], want[k][2], round(want[k][3], 6)) for k, r in enumerate(rows))
     got = ngram.score_documents(edges, F.lit(False)).collect()
-    by = {}
+    assert sorted((r.doc_id, r.n_tokens, r.n_known, r.train_tokens, round(r.base_score, 6)) for r in got) == expected
     for r in got:
-        by.setdefault(r.doc_id, set()).add((r.n_tokens, r.base_score, r.score))
-    assert len(got) == 12 and by[1] == by[2] == by[3] and next(iter(by[1]))[0] == 1 and len(by[6]) == 1
+        assert abs(r.score - next(want[k][4] for k, x in enumerate(rows) if x.doc_id == r.doc_id)) < 0.001 * max(1, abs(r.score))
     untrained = ngram.score_documents(edges, F.lit(True)).collect()
     assert all(r.n_known == 0 and abs(r.score) < 1e-9 for r in untrained)
     assert ngram.score_documents(empty, F.lit(False)).count() == 0
 
 
+@pytest.mark.parametrize("n, copies", [(40, 0), (300, 500)])
+def test_small_tables_and_hot_ids(spark, n, copies):
+    """Few distinct words a chunk, and half of the rows under one id."""
+    rng = np.random.default_rng(n)
+    docs = [(k, " ".join(f"w{x}" for x in rng.integers(0, 30, rng.integers(0, 9)))) for k in range(n)] + [(7, f"hot w{k % 30} w{k}") for k in range(copies)]
+    want = brute(dict(enumerate(t for _, t in docs)), {k: zlib.crc32(str(i).encode()) % 10 == 0 for k, (i, _) in enumerate(docs)}, 3)
+    got = ngram.score_documents(spark.createDataFrame(docs, "doc_id long, text string"), doc_key() % 10 == 0, 3, chunks=8).collect()
+    assert sorted((r.doc_id, r.n_tokens, r.n_known, r.train_tokens, round(r.base_score, 6)) for r in got) == sorted((docs[k][0], *w[:3], round(w[3], 6)) for k, w in want.items())
+
+
 def test_registered_query_scores_by_trigrams(spark, sf, documents, texts):
     held = {k: zlib.crc32(str(k).encode()) % 10 == 0 for k in texts}
     want = {order: brute(texts, held, order) for order in (2, 3)}
