@@ -84,6 +84,8 @@ def sainte_lague(parties: DataFrame, group: list[str], key: list[str], votes: st
 
 #: Most rows of a per-source or per-shard table that is sent to every executor; a larger one is joined by shuffle.
 BROADCAST_ROWS = 100_000
+#: A source with a target below so many blocks is dealt blocks of one word.
+SMALL_BLOCKS = 64
 #: Most shards of one source: their quotients are ranked together, in one task.
 MAX_SHARDS = 1_000_000
 
@@ -97,16 +99,18 @@ def _placed(docs: DataFrame, quotas: DataFrame, seed: int) -> DataFrame:
 def _plan(sizes: DataFrame, rows: DataFrame, weights: tuple[float, ...], share: float, max_passes: int, block_words: int, shard_words: int, seed: int) -> DataFrame:
     """rows (with doc_id, source, size, mark; the same in sizes) with source_size, target and blocks. Rows pass one shuffle, by shard."""
     targets = source_targets(sizes, weights, share, max_passes)
-    blocks = F.round(F.sum("target").over(Window.partitionBy(F.lit(0))) / block_words).cast("long")
-    quotas = sainte_lague(targets, [], ["source"], "target", blocks, "source_blocks")
+    # Sources whose target is a few blocks only are dealt words, so that these too come near it.
+    unit = F.when(F.col("target") < SMALL_BLOCKS * block_words, 1).otherwise(block_words)
+    blocks = F.round(F.sum("target").over(Window.partitionBy("unit")) / F.col("unit")).cast("long")
+    quotas = sainte_lague(targets.withColumn("unit", unit), ["unit"], ["source"], "target", blocks, "source_blocks")
     per = F.greatest(F.lit(shard_words).cast("double"), F.col("source_size") / MAX_SHARDS)
     number = F.row_number().over(Window.orderBy(F.col("source").isNull(), F.col("source").cast("binary")))
-    quotas = cut(quotas.select(F.col("source").alias("__s"), number.alias("src"), "source_size", "target", "source_blocks", F.ceil(F.col("source_size") / per).cast("long").alias("shards")))
+    quotas = cut(quotas.select(F.col("source").alias("__s"), number.alias("src"), "source_size", "target", "unit", "source_blocks", F.ceil(F.col("source_size") / per).cast("long").alias("shards")))
     small = F.broadcast(quotas) if quotas.count() <= BROADCAST_ROWS else quotas
 
-    shard_sizes = _placed(sizes, small, seed).groupBy("src", "shard").agg(F.sum("size").alias("shard_size"), F.max("source_blocks").alias("source_blocks"))
+    shard_sizes = _placed(sizes, small, seed).groupBy("src", "shard").agg(F.sum("size").alias("shard_size"), F.max("source_blocks").alias("source_blocks"), F.max("unit").alias("unit"))
     per_shard = sainte_lague(shard_sizes, ["src"], ["src", "shard"], "shard_size", F.col("source_blocks"), "quota")
-    n = F.greatest(F.round(F.col("shard_size") / block_words), F.lit(1)).cast("long")
+    n = F.greatest(F.round(F.col("shard_size") / F.col("unit")), F.lit(1)).cast("long")
     per_shard = per_shard.withColumn("n_blocks", n).withColumn("quota", F.least(F.col("quota"), F.col("n_blocks") * max_passes))
     per_shard = cut(per_shard.select("src", "shard", "shard_size", "n_blocks", "quota"))
     per_shard = F.broadcast(per_shard) if per_shard.count() <= BROADCAST_ROWS else per_shard

@@ -67,7 +67,11 @@ def by_hand(documents, shard_words=200_000, block_words=64, seed=mixing.SEED):
             target[x] = 2.0 * sizes[x] if full else level * weight[x]
         left -= sum(target[x] for x in full or open_)
         open_ -= full or open_
-    quota = webster({x: target[x] for x in order}, round(sum(target.values()) / block_words)) if rows else {}
+    unit = {x: 1 if target[x] < mixing.SMALL_BLOCKS * block_words else block_words for x in order}
+    quota = {}
+    for u in set(unit.values()):
+        own = {x: target[x] for x in order if unit[x] == u}
+        quota |= webster(own, int(sum(own.values()) / u + 0.5))
     spark, taken = documents.sparkSession, []
     for x in order:
         own = [r for r in rows if r.source == x]
@@ -81,7 +85,7 @@ def by_hand(documents, shard_words=200_000, block_words=64, seed=mixing.SEED):
             seats[max(sorted(seats), key=lambda k: votes[k] / (2 * seats[k] + 1))] += 1
         for k, docs in shards.items():
             total = votes[k]
-            n = max(int(total / block_words + 0.5), 1)
+            n = max(int(total / unit[x] + 0.5), 1)
             got = min(seats[k], 2 * n)
             begin = spark.range(1).select(F.pmod(h(2, F.lit(x).cast("string"), F.lit(k).cast("long")), F.lit(n))).first()[0]
             picked = [got // n + ((j + 1) * (got % n) + begin) // n - (j * (got % n) + begin) // n for j in range(n)]
@@ -100,6 +104,16 @@ def test_words_of_each_document_by_hand(documents, edges, shard_words):
         assert got == by_hand(df, shard_words)
 
 
+def test_small_sources_come_near_their_targets(spark):
+    """Sources of a few words, beside large ones."""
+    sizes = {"a": 30, "b": 36, "c": 45, "d": 1, "e": 400, "f": 90_000, "g": 120_000, None: 7}
+    rows = [(k, " ".join(["w"] * n), s) for k, (s, n) in enumerate((s, len(part)) for s, n in sizes.items() for part in [range(n)[i : i + 700] for i in range(0, n, 700)])]
+    got = mixing.plan_mix(spark.createDataFrame(rows, "doc_id long, text string, source string")).groupBy("source").agg(F.sum("taken").alias("taken"), F.max("target").alias("target")).collect()
+    assert {r.source for r in got} == set(sizes)
+    for r in got:
+        assert abs(r.taken - r.target) <= max(1, 0.01 * r.target)
+
+
 def test_edges(edges, empty):
     rows = mixing.plan_mix(edges).collect()
     assert len(rows) == 12 and all(r.taken == 0 for r in rows if not r.size)
