@@ -423,3 +423,24 @@ def inferred_types(spark, sf):
     e = table(spark, sf, "events")
     text = e.select("event_id", F.col("event_id").cast("string").alias("whole"), F.col("value").cast("string").alias("number"), F.col("event_type").alias("word"))
     return ingest.infer_types(text)
+
+
+@register("SELECT event_id, event_id AS whole, value AS number, lpad(CAST(event_id AS VARCHAR), 9, '0') AS code, CASE WHEN event_id % 2 = 0 THEN 1 ELSE 0 END AS flag, CASE WHEN event_id % 3 = 0 THEN CAST(user_id AS VARCHAR) ELSE event_type END AS mixed, CAST(NULL AS VARCHAR) AS missing FROM events")
+def json_value_types(spark, sf):
+    """Types by the JSON values: text that looks like a number stays text, mixed kinds are text."""
+    e = table(spark, sf, "events")
+    inner = F.struct(F.col("event_id").alias("whole"), F.col("value").alias("number"), F.lpad(F.col("event_id").cast("string"), 9, "0").alias("code"), (F.col("event_id") % 2 == 0).alias("flag"))
+    mixed = F.when(F.col("event_id") % 3 == 0, F.col("user_id").cast("string")).otherwise(F.concat(F.lit('"'), F.col("event_type"), F.lit('"')))
+    records = e.select("event_id", F.concat(F.lit('{"a": '), F.to_json(inner), F.lit(', "mixed": '), mixed, F.lit("}")).alias("record"))
+    paths = {"whole": "a.whole", "number": "a.number", "code": "a.code", "flag": "a.flag", "mixed": "mixed", "missing": "a.none"}
+    return ingest.project_typed(records, paths, ingest.json_types(records, paths), keep=["event_id"])
+
+
+@register("SELECT event_id, CASE WHEN event_id % 2 = 0 THEN CAST(user_id AS DOUBLE) ELSE value END AS size, CASE WHEN event_id % 2 = 1 THEN event_type END AS kind FROM events")
+def widened_batches(spark, sf):
+    """Whole numbers that a later batch widens, which brings a new column too."""
+    e = table(spark, sf, "events")
+    first = e.filter("event_id % 2 = 0").select(F.to_json(F.struct("event_id", F.col("user_id").alias("size"))).alias("record"))
+    second = e.filter("event_id % 2 = 1").select(F.to_json(F.struct("event_id", F.col("value").alias("size"), F.col("event_type").alias("kind"))).alias("record"))
+    out = ingest.append_typed(None, first, {"event_id": "event_id", "size": "size"})
+    return ingest.append_typed(out, second, {"event_id": "event_id", "size": "size", "kind": "kind"})

@@ -113,13 +113,77 @@ def replace_table(df: DataFrame, path: str) -> bool:
     return True
 
 
+def json_types(records: DataFrame, paths: dict[str, str], record: str = "record") -> dict[str, str]:
+    """Column types by what the JSON values at the paths are, over all records in one pass.
+
+    Whole numbers and booleans are long, numbers double, anything else, and paths without values, string; a mixture of
+    kinds is string. Text stays text, whatever it looks like. A record that isn't JSON counts as null.
+    """
+    parsed = records.select(F.try_parse_json(record).alias("v"))
+    kinds = parsed.agg(*[F.schema_of_variant_agg(F.try_variant_get("v", _variant_path(p), "variant")).alias(f"k{k}") for k, p in enumerate(paths.values())]).first()
+    return {name: _column_type(kinds[k]) for k, name in enumerate(paths)}
+
+
+def _variant_path(path: str) -> str:
+    return "$" if path == "$" else "$" + "".join(f"['{key}']" for key in path.split("."))
+
+
+def _column_type(kind: str | None) -> str:
+    if kind in ("BIGINT", "BOOLEAN"):
+        return "long"
+    return "double" if kind is not None and kind.startswith(("DECIMAL", "DOUBLE", "FLOAT")) else "string"
+
+
+def project_typed(records: DataFrame, paths: dict[str, str], types: dict[str, str], record: str = "record", keep: Iterable[str] = ()) -> DataFrame:
+    """The values at the paths as columns of the given types (see json_types); objects and lists are JSON text."""
+    v = F.try_parse_json(record)
+    of = lambda path, kind: at_path(F.col(record), path) if kind == "string" else F.try_variant_get(v, _variant_path(path), {"long": "bigint"}.get(kind, kind))
+    return records.select(*keep, *[of(path, types[name]).alias(name) for name, path in paths.items()])
+
+
+def widen(old: str, new: str) -> str:
+    """The type that holds both: long within double, and text otherwise."""
+    return old if old == new else "double" if {old, new} == {"long", "double"} else "string"
+
+
+def append_typed(existing: DataFrame | None, records: DataFrame, paths: dict[str, str], record: str = "record") -> DataFrame:
+    """existing with the records' rows: new paths are new columns, null in the rows before; a column that meets a wider type is widened, which the rows before follow.
+
+    A column that has no values yet is text, and stays it; a path without values in this batch keeps the column's type.
+    """
+    found = json_types(records, paths, record)
+    if existing is None:
+        return project_typed(records, paths, found, record)
+    have = {f.name: {"bigint": "long"}.get(f.dataType.simpleString(), f.dataType.simpleString()) for f in existing.schema}
+    empty = json_nulls(records, {n: p for n, p in paths.items() if n in have and found[n] == "string" and have[n] != "string"}, record)
+    types = {n: have[n] if n in empty else widen(have[n], t) if n in have else t for n, t in found.items()}
+    old = existing.withColumns({n: F.col(n).cast(types[n]) for n in types if n in have and types[n] != have[n]})
+    old, new = align(old, project_typed(records, paths, types, record))
+    return old.unionByName(new)
+
+
+def json_nulls(records: DataFrame, paths: dict[str, str], record: str = "record") -> set[str]:
+    """Names of the paths that have no value in any record."""
+    if not paths:
+        return set()
+    row = records.agg(*[F.count(at_path(F.col(record), p)).alias(f"n{k}") for k, p in enumerate(paths.values())]).first()
+    return {name for k, name in enumerate(paths) if row[k] == 0}
+
+
+#: Text that is a number and is written like one: no leading zeros, plus sign, type suffix, or name of a number.
+_WHOLE, _NUMBER = r"^(0|-?[1-9][0-9]{0,18})$", r"^-?(0|[1-9][0-9]*)(\.[0-9]+)?([eE][+-]?[0-9]+)?$"
+
+
 def infer_types(df: DataFrame, columns: Iterable[str] | None = None) -> DataFrame:
-    """Text columns all of whose values are whole numbers become long, numbers double; one pass. A column without values stays text."""
+    """Text columns (as of CSV) all of whose values are written as whole numbers become long, as numbers double; one pass. A column without values stays text.
+
+    Codes stay text: leading zeros, signs, suffixes as in 1d, NaN and Infinity aren't numbers here. JSON has types of its own: json_types.
+    """
     text = [f.name for f in df.schema if f.dataType.simpleString() == "string" and (columns is None or f.name in columns)]
     if not text:
         return df
-    fits = lambda c, kind: F.bool_and(F.col(c).isNull() | F.col(c).try_cast(kind).isNotNull()) & (F.count(c) > 0)
-    row = df.agg(*[fits(c, k).alias(f"{k}_{c}") for c in text for k in ("long", "double")]).first()
+    fits = lambda c, kind: F.bool_and(F.col(c).rlike(_WHOLE if kind == "long" else _NUMBER) & F.col(c).try_cast(kind).isNotNull())
+    row = df.agg(*[F.coalesce(fits(c, k), F.lit(False)).alias(f"{k}_{c}") for c in text for k in ("long", "double")]).first()
     return df.withColumns({c: F.col(c).cast("long" if row[f"long_{c}"] else "double") for c in text if row[f"double_{c}"]})
 
 

@@ -249,3 +249,32 @@ def test_stream_windows_close_at_the_watermark(spark, tmp_path):
     counts = events.windowed_counts(events.read_new_files(spark, src, e.schema), "ts", "k")
     counts.select("k", "n", "window.start").writeStream.format("parquet").option("path", out).option("checkpointLocation", cp).trigger(availableNow=True).outputMode("append").start().awaitTermination()
     assert rows(spark.read.parquet(out).select("k", "n")) == [("a", 2), ("b", 1)]
+
+
+def test_types_by_json_values(spark):
+    """Numbers by what they are, not by what text looks like."""
+    records = spark.createDataFrame([('{"a": 7, "b": 1.5, "c": "007", "d": true, "e": {"x": 1}, "f": [1], "h": 1, "o.k": 2}',), ('{"a": -3, "b": 2, "c": "1d", "d": false, "g": null, "h": "x"}',), ("no json",), (None,)], "record string")
+    paths = {n: n for n in "abcdefgh"} | {"x": "e.x", "all": "$"}
+    types = ingest.json_types(records, paths)
+    assert types == {"a": "long", "b": "double", "c": "string", "d": "long", "e": "string", "f": "string", "g": "string", "h": "string", "x": "long", "all": "string"}
+    got = ingest.project_typed(records, paths, types).collect()
+    assert (got[0].a, got[0].b, got[0].c, got[0].d, got[0].e, got[0].f, got[0].h, got[0].x) == (7, 1.5, "007", 1, '{"x":1}', "[1]", "1", 1)
+    assert got[2].a is None and got[2].c is None
+    assert ingest.json_types(records.limit(0), {"a": "a"}) == {"a": "string"}
+
+
+def test_types_widen_between_batches(spark):
+    of = lambda *rows: spark.createDataFrame([(r,) for r in rows], "record string")
+    t = ingest.append_typed(None, of('{"k": 1, "v": 7}'), {"k": "k", "v": "v"})
+    assert dict(t.dtypes)["v"] == "bigint"
+    t = ingest.append_typed(t, of('{"k": 2, "v": 7.5, "w": "x"}'), {"k": "k", "v": "v", "w": "w"})
+    assert dict(t.dtypes) == {"k": "bigint", "v": "double", "w": "string"}
+    t = ingest.append_typed(t, of('{"k": 3}'), {"k": "k", "v": "v"})
+    assert dict(t.dtypes)["v"] == "double"  # no values, no change
+    t = ingest.append_typed(t, of('{"k": 4, "v": "late"}'), {"k": "k", "v": "v"})
+    assert rows(t) == [(1, "7.0", None), (2, "7.5", "x"), (3, None, None), (4, "late", None)]
+
+
+def test_codes_in_text_stay_text(spark):
+    df = spark.createDataFrame([("007", "1d", "NaN", "+1", "-0", "12", "1.5", None), ("010", "2f", "1", "2", "0", "-7", "-2e3", None)], "a string, b string, c string, d string, e string, f string, g string, h string")
+    assert [t for _, t in ingest.infer_types(df).dtypes] == ["string"] * 4 + ["double", "bigint", "double", "string"]
