@@ -16,6 +16,7 @@ from pyspark.sql.window import Window
 
 from ..functions.scalars import format_time
 from ..operators.joins import as_of
+from . import distinct
 from .model import Entity, Model, Relation, is_open
 
 UNSET = "(unset)"
@@ -235,12 +236,12 @@ def aggregate(model: Model, root: str, slices: dict, measures: dict[str, Measure
     keys = {n: (r.label(s) if isinstance(s, str) else s(r)) for n, s in slices.items()}
     for n, a in (attributes or {}).items():
         keys[f"{n}_raw" if n in keys or n in measures else n] = r.value(a)
-    plain, parts = {}, {}
+    plain, parts, distinct_parts = {}, {}, {}
     for name, m in measures.items():
         for tag, one in (("", replace(m, over=None)), ("__over", m.over)):
             if one is not None:
                 one = _of_child(model, root, one)
-                (parts if one.child else plain)[f"{name}{tag}"] = one
+                (plain if not one.child else distinct_parts if one.fn == "count_distinct" else parts)[f"{name}{tag}"] = one
     columns = {n: m.column(r) for n, m in plain.items()}
     where = _filtered(r, filters)
     df = r.joined()
@@ -249,6 +250,7 @@ def aggregate(model: Model, root: str, slices: dict, measures: dict[str, Measure
     if as_of is not None and model.entity(root).history:
         since, until = (F.col(f"root.{c}") for c in model.entity(root).history)
         df = df.filter((since <= as_of) & (is_open(until) | (until > as_of)))
+    base = df
     for k, (name, m) in enumerate(parts.items()):
         rel = model.relation(root, m.child[0])
         totals = child_totals(model, root, m.child, m.of, m.fn).alias(f"child{k}")
@@ -257,7 +259,11 @@ def aggregate(model: Model, root: str, slices: dict, measures: dict[str, Measure
         value = F.col(f"child{k}.value")
         columns[name] = {"min": F.min, "max": F.max}[m.fn](value) if m.fn in ("min", "max") else F.sum(F.coalesce(value, F.lit(0)))
     grouped = df.groupBy(*[c.alias(n) for n, c in keys.items()]) if keys else df.groupBy()
-    out = grouped.agg(*[c.alias(n) for n, c in columns.items()])
+    out = grouped.agg(*[c.alias(n) for n, c in columns.items()] or [F.count(F.lit(1)).alias("__rows")])
+    for name, m in distinct_parts.items():
+        counts = distinct.count(_child_values(model, root, base, keys, m), list(keys), f"{name}__n").alias("d")
+        same = reduce(Column.__and__, [F.col(f"o.`{n}`").eqNullSafe(F.col(f"d.`{n}`")) for n in keys], F.lit(True))
+        out = out.alias("o").join(counts, same, "left").select("o.*", F.coalesce(F.col(f"d.`{name}__n`"), F.lit(0)).alias(name))
     final = [F.try_divide(F.col(n).cast("double"), F.col(f"{n}__over").cast("double")).alias(n) if m.over is not None else F.col(n) for n, m in measures.items()]
     out = out.select(*[F.col(f"`{n}`") for n in keys], *final)
     for n, rules in (thresholds or {}).items():
@@ -265,6 +271,39 @@ def aggregate(model: Model, root: str, slices: dict, measures: dict[str, Measure
     return _finish(out, order)
 
 
+def _child_values(model: Model, root: str, base: DataFrame, keys: dict[str, Column], m: Measure) -> DataFrame:
+    """State of the distinct values of a child's field for each group of the root's rows: pairs of key and value, once each, joined from the last child up."""
+    at, rels = root, []
+    for hop in m.child:
+        rel = model.relation(at, hop)
+        if rel.kind != "o2m":
+            raise ValueError(f"{at}.{hop} isn't one-to-many")
+        rels.append(rel)
+        at = rel.target
+    values = model.current(at).select(*[F.col(c).alias(f"__k{i}") for i, c in enumerate(rels[-1].via_target)], F.col(m.of).alias("__of")).distinct()
+    for above, rel in zip(reversed(rels[:-1]), reversed(rels[1:]), strict=True):
+        parent = model.current(above.target).select(*[F.col(c).alias(f"__p{i}") for i, c in enumerate(above.via_target)], *[F.col(c).alias(f"__v{i}") for i, c in enumerate(rel.via)])
+        on = reduce(Column.__and__, [F.col(f"__v{i}") == F.col(f"__k{i}") for i in range(len(rel.via))])
+        values = parent.join(values, on).select(*[F.col(f"__p{i}").alias(f"__k{i}") for i in range(len(above.via_target))], "__of").distinct()
+    rows = base.select(*[c.alias(n) for n, c in keys.items()], *[F.col(f"root.{c}").alias(f"__v{i}") for i, c in enumerate(rels[0].via)])
+    on = reduce(Column.__and__, [F.col(f"__v{i}") == F.col(f"__k{i}") for i in range(len(rels[0].via))])
+    return distinct.state(rows.join(values, on), list(keys), "__of")
+
+
+def rolling_distinct(model: Model, root: str, slices: dict, of, name: str, order: str, frame: int, filters=()) -> DataFrame:
+    """Groups by slices, each with the distinct values of `of` in its last `frame` groups, by the slice `order` within the others."""
+    r = Resolver(model, root, time_of(model, root, slices) if model.entity(root).history is None else None)
+    keys = {n: (r.label(s) if isinstance(s, str) else s(r)) for n, s in slices.items()}
+    if order not in keys:
+        raise ValueError(f"no slice {order!r}")
+    value, where = r.value(of), _filtered(r, filters)
+    df = r.joined()
+    for w in where:
+        df = df.filter(w)
+    rows = df.select(*[c.alias(n) for n, c in keys.items()], value.alias("__of"))
+    return distinct.rolling(rows.select(*keys).distinct(), distinct.state(rows, list(keys), "__of"), name, order, [n for n in keys if n != order], frame)
+
+
 def _of_child(model: Model, root: str, m: Measure) -> Measure:
     if m.child or not isinstance(m.of, str) or "." in m.of or m.of in model.fields(root):
         return m
@@ -296,7 +335,7 @@ def windowed(df: DataFrame, name: str, of: str, method: str, order: str, partiti
 
     simple: fn of the last `frame` rows; weighted: sum of `of` over sum of `weight`; cumulative:
     fn of all rows up to this one; lag, lead: the value `offset` rows away. A count rolls as a sum;
-    of distinct counts, with `buckets`, the buckets that have one are counted.
+    of distinct counts, with `buckets`, the buckets that have one are counted (rolling_distinct counts values).
     """
     if method in ("simple", "weighted") and not frame:
         raise ValueError(f"{method} needs a frame")

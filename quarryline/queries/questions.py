@@ -356,3 +356,17 @@ def functions_in_filters(spark, sf):
     """A registered function in a filter and in a slice."""
     call = fn.REGISTRY.call
     return q.aggregate(sales(spark, sf), "Order", {"month": lambda r: call("format_date", r["o_orderdate"], "yyyy/MM")}, {"n": measure("count")}, [lambda r: call("format_date", r["o_orderdate"], "MM") != "02"])
+
+
+@register("SELECT c_mktsegment AS segment, count(DISTINCT l_partkey) AS parts, count(DISTINCT o_orderpriority) AS priorities, count(DISTINCT c_custkey) AS customers FROM customer LEFT JOIN orders ON o_custkey = c_custkey LEFT JOIN lineitem ON l_orderkey = o_orderkey WHERE c_acctbal > 0 GROUP BY 1")
+def distinct_over_children(spark, sf):
+    """Distinct parts and priorities of a segment's customers, two and one relations away, merged from bitmaps and from values."""
+    measures = {"parts": child("orders.lines.l_partkey", "count_distinct"), "priorities": child("orders.o_orderpriority", "count_distinct"), "customers": measure("count")}
+    return q.aggregate(sales(spark, sf), "Customer", {"segment": "c_mktsegment"}, measures, [lambda r: r["c_acctbal"] > 0])
+
+
+@register("WITH d AS (SELECT DISTINCT event_type, strftime(ts, '%Y-%m-%d') AS day, user_id FROM events), g AS (SELECT event_type, day, row_number() OVER (PARTITION BY event_type ORDER BY day) AS n FROM (SELECT DISTINCT event_type, day FROM d)) SELECT g.event_type, g.day, count(DISTINCT d.user_id) AS users FROM g JOIN g h ON g.event_type = h.event_type AND h.n BETWEEN g.n - 6 AND g.n JOIN d ON d.event_type = h.event_type AND d.day = h.day GROUP BY 1, 2")
+def rolling_distinct_users(spark, sf):
+    """Distinct users of the last seven days that have events of a kind."""
+    m = Model.of((Entity("Event", "event_id", timestamps=("ts",)), table(spark, sf, "events")))
+    return q.rolling_distinct(m, "Event", {"event_type": "event_type", "day": lambda r: fn.format_date(r["ts"], "yyyy-MM-dd")}, "user_id", "users", "day", 7)
