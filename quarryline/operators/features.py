@@ -174,9 +174,9 @@ def steps(features: list[Feature], store: DataFrame, registry: DataFrame | None,
 
 
 def stale(features: list[Feature], store: DataFrame, registry: DataFrame | None, now: Column) -> list[Feature]:
-    """Materialised features to recompute whole, in computing order."""
+    """Materialised features that are stale themselves: without values, changed since registered, or with values older than their ttl; a run computes those that need them too."""
     what = steps(features, store, registry, now)
-    return [f for f in in_order(features) if what[f.id] in ALL]
+    return [f for f in in_order(features) if what[f.id] in ("new", "changed", "expired")]
 
 
 def stages(features: list[Feature]) -> list[list[Feature]]:

@@ -125,7 +125,7 @@ def map_rows(source: DataFrame, columns: dict[str, Column], required: list[str]
 
 
 def load_stats(parts: dict[str, tuple[DataFrame, DataFrame]]) -> DataFrame:
-    """(target, written, failed) of each target's (good, bad) rows; one pass over each."""
+    """(target, written, failed) of targets' (good, bad) rows, each worked out for its count; mapper.stats counts the targets of a mapper in one pass."""
     one = lambda name, good, bad: good.select(F.lit(name).alias("target"), F.lit(1).alias("w")).unionByName(bad.select(F.lit(name).alias("target"), F.lit(0).alias("w")))
     every = reduce(DataFrame.unionByName, [one(n, g, b) for n, (g, b) in parts.items()])
     return every.groupBy("target").agg(F.sum("w").cast("long").alias("written"), F.count_if(F.col("w") == 0).alias("failed"))

@@ -9,8 +9,9 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from ..sources.ingest import at_path
 from .joins import array_items
-from .load import check_fan_out, keep_first, map_rows
+from .load import check_fan_out, keep_first, load_stats, map_rows, merge_groups, prune, upsert
 
 
 @dataclass(frozen=True)
@@ -40,27 +41,65 @@ class Source:
 
 
 @dataclass(frozen=True)
-class Join:
-    """A source joined on pairs (left 'alias.column', own column), left or inner; the own column `holds` says how it is compared.
+class On:
+    """One condition of a join: the left 'alias.column', after `prefix`, against the own column, or the JSON at its `path`.
 
     holds: equal; json_array: an array with the left value in it; scalar_or_array: either.
     """
 
+    left: str
+    own: str
+    holds: str = "equal"
+    prefix: str = ""
+    path: str = ""
+
+
+@dataclass(frozen=True)
+class Join:
+    """A source joined left or inner on conditions that all hold; a pair (left, own) is a condition of the kind `holds`."""
+
     alias: str
-    on: tuple[tuple[str, str], ...]
+    on: tuple[On | tuple[str, str], ...]
     how: str = "left"
     holds: str = "equal"
 
+    def conditions(self) -> list[On]:
+        out = [c if isinstance(c, On) else On(*c, self.holds) for c in self.on]
+        unknown = {c.holds for c in out} - {"equal", "json_array", "scalar_or_array"}
+        if unknown or not out:
+            raise ValueError(f"{self.alias}: unknown conditions {sorted(unknown)}" if unknown else f"{self.alias}: a join needs a condition")
+        return out
+
+
+@dataclass(frozen=True)
+class Rows:
+    """A group of a target's rows with a grain, joins and columns of its own."""
+
+    grain: Source
+    columns: dict[str, Callable[[Joined], Column]]
+    joins: tuple[tuple[Source, Join], ...] = ()
+
 
 @dataclass(frozen=True)
 class Target:
-    """Columns of one target by callables of Joined; `required` columns and `fails` conditions set rows aside."""
+    """Columns of one target by callables of Joined; `required` columns and `fails` conditions set rows aside.
+
+    With `rows`, the target's rows come from these groups instead of the mapper's joins; where groups have the same
+    `key`, each column has the first group's value that isn't empty.
+    """
 
     name: str
     columns: dict[str, Callable[[Joined], Column]]
     required: tuple[str, ...] = ()
     fails: dict[str, Callable[[Joined], Column]] = field(default_factory=dict)
     static: dict[str, object] = field(default_factory=dict)
+    rows: tuple[Rows, ...] = ()
+    key: tuple[str, ...] = ()
+
+    def failed(self, resolve: Joined) -> Column:
+        """Whether a joined row fails in any column."""
+        bad = [self.columns[c](resolve).isNull() for c in self.required] + [F.coalesce(when(resolve), F.lit(False)) for when in self.fails.values()]
+        return reduce(Column.__or__, bad, F.lit(False))
 
 
 class Joined:
@@ -93,27 +132,70 @@ def join_sources(tables: dict[str, DataFrame], grain: Source, joins: list[tuple[
             raise ValueError(f"unknown join {join.how!r}")
         right, columns = read(source)
         resolve = Joined(have)
-        conditions = []
-        for k, (left, own) in enumerate(join.on):
-            mine = F.col(f"{source.alias}__{own}")
-            if join.holds == "equal":
-                conditions.append(resolve[left] == mine)
+        conditions, items = [], []
+        for k, c in enumerate(join.conditions()):
+            mine, left = F.col(f"{source.alias}__{c.own}"), resolve[c.left]
+            mine = at_path(mine, c.path.removeprefix("$.")) if c.path else mine
+            left = F.concat(F.lit(c.prefix), left.cast("string")) if c.prefix else left
+            if c.holds == "equal":
+                conditions.append(left == mine)
             else:
-                right = right.withColumn(f"__item{k}", F.explode(array_items(mine, scalars=join.holds == "scalar_or_array")))
-                conditions.append(resolve[left].cast("string") == F.col(f"__item{k}"))
-        out = out.join(right, conditions, join.how).drop(*[f"__item{k}" for k in range(len(join.on))])
+                items.append(f"__item{k}")
+                right = right.withColumn(items[-1], F.explode(array_items(mine, scalars=c.holds == "scalar_or_array")))
+                conditions.append(left.cast("string") == F.col(items[-1]))
+        out = out.join(right, conditions, join.how).drop(*items)
         have[source.alias] = columns
     return out, Joined(have)
 
 
 def run_mapper(tables: dict[str, DataFrame], grain: Source, joins: list[tuple[Source, Join]], targets: list[Target], grain_key: list[str] = (), strict: bool = False) -> dict[str, tuple[DataFrame, DataFrame]]:
-    """Per target (good, bad) rows. With grain_key, a join that repeats rows of the grain is an error."""
+    """Per target (good, bad) rows. With grain_key, a join that repeats rows of the grain is an error; with strict, a row that fails."""
     rows, resolve = join_sources(tables, grain, joins)
     if grain_key:
         check_fan_out([f"{grain.alias}__{c}" for c in grain_key], rows)
+    if strict:
+        failed = [r.target for r in stats(tables, grain, joins, targets).filter("failed > 0").collect()]
+        if failed:
+            raise ValueError(f"rows failed in {sorted(failed)}")
     out = {}
     for t in targets:
-        columns = {c: make(resolve) for c, make in t.columns.items()}
-        fails = {c: when(resolve) for c, when in t.fails.items()}
-        out[t.name] = map_rows(rows, columns, list(t.required), dict(t.static), fails, strict)
+        if t.rows:
+            out[t.name] = _grouped(tables, t)
+        else:
+            out[t.name] = map_rows(rows, *_mapping(t, t.columns, resolve))
     return out
+
+
+def _mapping(t: Target, columns: dict, resolve: Joined) -> tuple:
+    return {c: make(resolve) for c, make in columns.items()}, [c for c in t.required if c in columns], dict(t.static), {c: when(resolve) for c, when in t.fails.items()}
+
+
+def _grouped(tables: dict[str, DataFrame], t: Target) -> tuple[DataFrame, DataFrame]:
+    """(good, bad) of a target made of row groups: good rows merged by key, bad ones with the columns of their group's sources."""
+    if not t.key:
+        raise ValueError(f"{t.name}: row groups need a key")
+    good, bad = [], []
+    for k, g in enumerate(t.rows):
+        rows, resolve = join_sources(tables, g.grain, list(g.joins))
+        fine, wrong = map_rows(rows, *_mapping(t, g.columns, resolve))
+        good.append(fine)
+        bad.append(wrong.withColumn("group", F.lit(k)))
+    return merge_groups(good, list(t.key)), reduce(lambda a, b: a.unionByName(b, allowMissingColumns=True), bad)
+
+
+def stats(tables: dict[str, DataFrame], grain: Source, joins: list[tuple[Source, Join]], targets: list[Target]) -> DataFrame:
+    """(target, written, failed) of each target, counted in one pass over the joined rows; targets of row groups in one over theirs."""
+    own = [t for t in targets if not t.rows]
+    parts = [load_stats({t.name: _grouped(tables, t)}) for t in targets if t.rows]
+    if own:
+        rows, resolve = join_sources(tables, grain, joins)
+        row = rows.agg(*[F.count_if(t.failed(resolve)).alias(f"f{k}") for k, t in enumerate(own)], F.count(F.lit(1)).alias("n"))
+        each = F.array(*[F.struct(F.lit(t.name).alias("target"), (F.col("n") - F.col(f"f{k}")).alias("written"), F.col(f"f{k}").alias("failed")) for k, t in enumerate(own)])
+        parts.insert(0, row.select(F.inline(each)))
+    return reduce(DataFrame.unionByName, parts)
+
+
+def load_target(existing: DataFrame, good: DataFrame, bad: DataFrame, key: list[str], order: Column, prune_missing: bool = False) -> DataFrame:
+    """existing after an upsert of a target's good rows; with prune_missing, without the keys that it no longer gives, unless any row failed."""
+    loaded = upsert(existing, good, key, order)
+    return prune(loaded, good, key, bad) if prune_missing else loaded

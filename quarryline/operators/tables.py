@@ -10,10 +10,10 @@ from pyspark.sql.window import Window
 
 
 def keyed_diff(old: DataFrame, new: DataFrame, key: list[str], compare: list[str]) -> DataFrame:
-    """(key.., change) created, updated or deleted between two snapshots; equal rows are left out."""
+    """(key.., change) created, updated or deleted between two snapshots; equal rows are left out, null keys are equal."""
     o = old.select(*[F.col(k).alias(f"o_{k}") for k in key], F.struct(*compare).alias("o"), F.lit(True).alias("__o"))
     n = new.select(*[F.col(k).alias(f"n_{k}") for k in key], F.struct(*compare).alias("n"), F.lit(True).alias("__n"))
-    both = o.join(n, reduce(Column.__and__, [F.col(f"o_{k}") == F.col(f"n_{k}") for k in key]), "full_outer")
+    both = o.join(n, reduce(Column.__and__, [F.col(f"o_{k}").eqNullSafe(F.col(f"n_{k}")) for k in key]), "full_outer")
     change = F.when(F.col("__o").isNull(), "created").when(F.col("__n").isNull(), "deleted").when(~F.col("o").eqNullSafe(F.col("n")), "updated")
     return both.select(*[F.coalesce(f"n_{k}", f"o_{k}").alias(k) for k in key], change.alias("change")).filter("change is not null")
 

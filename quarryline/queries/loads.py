@@ -255,7 +255,7 @@ def scd2_repeated_candidates(spark, sf):
     return load.scd2(none, new, ["c_custkey"], ["segment"], F.expr("TIMESTAMP '2024-02-01'"), order=F.col("seq"))
 
 
-def _mapped(spark, sf):
+def _mapper(spark, sf):
     """Orders as the grain, customers (left) and open nations (inner), two targets."""
     t = {n: table(spark, sf, n) for n in ("orders", "customer", "nation", "supplier")}
     orders = mapper.Source("o", ("orders",), where=F.col("o_orderstatus") != "P")
@@ -266,7 +266,7 @@ def _mapped(spark, sf):
         mapper.Target("order", {"id": lambda j: j["o.o_orderkey"], "nation": lambda j: j["n_name"], "origin": lambda j: j["n.origin"]}),
         mapper.Target("large", {"id": lambda j: j["o_orderkey"], "price": lambda j: F.when(j["o.o_totalprice"] > 100000, j["o.o_totalprice"])}, required=("price",)),
     ]
-    return mapper.run_mapper(t, orders, joins, targets, ["o_orderkey"])
+    return t, orders, joins, targets
 
 
 _MAPPED = "orders JOIN customer ON o_custkey = c_custkey AND c_acctbal > 0 JOIN nation ON c_nationkey = n_nationkey AND n_regionkey < 3 WHERE o_orderstatus <> 'P'"
@@ -274,13 +274,13 @@ _MAPPED = "orders JOIN customer ON o_custkey = c_custkey AND c_acctbal > 0 JOIN
 
 @register(f"SELECT o_orderkey AS id, n_name AS nation, 'map' AS origin FROM {_MAPPED}")
 def mapper_targets(spark, sf):
-    return _mapped(spark, sf)["order"][0]
+    return mapper.run_mapper(*_mapper(spark, sf), ["o_orderkey"])["order"][0]
 
 
 @register(f"SELECT 'order' AS target, count(*) AS written, 0::BIGINT AS failed FROM {_MAPPED} UNION ALL SELECT 'large', count(*) FILTER (WHERE o_totalprice > 100000), count(*) FILTER (WHERE o_totalprice <= 100000) FROM {_MAPPED}")
 def mapper_stats(spark, sf):
-    """Rows written and failed of each target of a mapper."""
-    return load.load_stats(_mapped(spark, sf))
+    """Rows written and failed of each target of a mapper, in one pass."""
+    return mapper.stats(*_mapper(spark, sf))
 
 
 @register("SELECT k, coalesce(a, b) AS name, b AS other FROM (SELECT c_custkey AS k, CASE WHEN c_custkey % 3 = 0 THEN c_name END AS a, CASE WHEN c_custkey % 2 = 0 THEN c_mktsegment END AS b FROM customer)")
@@ -444,3 +444,25 @@ def widened_batches(spark, sf):
     second = e.filter("event_id % 2 = 1").select(F.to_json(F.struct("event_id", F.col("value").alias("size"), F.col("event_type").alias("kind"))).alias("record"))
     out = ingest.append_typed(None, first, {"event_id": "event_id", "size": "size"})
     return ingest.append_typed(out, second, {"event_id": "event_id", "size": "size", "kind": "kind"})
+
+
+@register("SELECT e.event_id, g.name FROM events e LEFT JOIN (SELECT 'even lookers' AS name, 0 AS parity, unnest(['view', 'click']) AS kind UNION ALL SELECT 'odd buyers', 1, 'purchase' UNION ALL SELECT 'odd lookers', 1, 'view') g ON g.kind = e.event_type AND g.parity = e.user_id % 2")
+def mapper_conditions(spark, sf):
+    """A join on two conditions: equality, and a prefixed value in the array at a path of a JSON column."""
+    e = table(spark, sf, "events").withColumn("parity", F.col("user_id") % 2)
+    rules = [("even lookers", 0, '{"x": {"kinds": ["k:view", "k:click"]}}'), ("odd buyers", 1, '{"x": {"kinds": ["k:purchase"]}}'), ("odd lookers", 1, '{"x": {"kinds": ["k:view", "view"]}}'), ("none", 0, None)]
+    some = e.agg(F.lit(1)).select(F.inline(F.array(*[F.struct(F.lit(n).alias("name"), F.lit(p).alias("parity"), F.lit(d).cast("string").alias("rule")) for n, p, d in rules])))
+    join = mapper.Join("g", (("e.parity", "parity"), mapper.On("e.event_type", "rule", "json_array", prefix="k:", path="$.x.kinds")))
+    target = mapper.Target("x", {"event_id": lambda j: j["e.event_id"], "name": lambda j: j["g.name"]})
+    return mapper.run_mapper({"e": e, "g": some}, mapper.Source("e", ("e",)), [(mapper.Source("g", ("g",)), join)], [target])["x"][0]
+
+
+@register("SELECT c_custkey AS id, coalesce(CASE WHEN c_custkey % 3 = 0 THEN c_name END, CASE WHEN s_suppkey IS NOT NULL AND s_suppkey % 5 <> 0 THEN s_name END) AS name, n_name AS nation FROM customer LEFT JOIN nation ON n_nationkey = c_nationkey LEFT JOIN supplier ON s_suppkey = c_custkey UNION ALL SELECT s_suppkey, s_name, NULL FROM supplier WHERE s_suppkey % 5 <> 0 AND s_suppkey NOT IN (SELECT c_custkey FROM customer)")
+def mapper_row_groups(spark, sf):
+    """A target of two row groups, each with joins and columns of its own, merged by key."""
+    t = {n: table(spark, sf, n) for n in ("customer", "nation", "supplier")}
+    nations = (mapper.Source("n", ("nation",)), mapper.Join("n", (("c.c_nationkey", "n_nationkey"),)))
+    first = mapper.Rows(mapper.Source("c", ("customer",)), {"id": lambda j: j["c.c_custkey"], "name": lambda j: F.when(j["c.c_custkey"] % 3 == 0, j["c.c_name"]), "nation": lambda j: j["n.n_name"]}, (nations,))
+    second = mapper.Rows(mapper.Source("s", ("supplier",)), {"id": lambda j: F.when(j["s.s_suppkey"] % 5 != 0, j["s.s_suppkey"]), "name": lambda j: j["s.s_name"]})
+    target = mapper.Target("party", {}, required=("id",), rows=(first, second), key=("id",))
+    return mapper.run_mapper(t, mapper.Source("c", ("customer",)), [], [target])["party"][0]

@@ -278,3 +278,31 @@ def test_types_widen_between_batches(spark):
 def test_codes_in_text_stay_text(spark):
     df = spark.createDataFrame([("007", "1d", "NaN", "+1", "-0", "12", "1.5", None), ("010", "2f", "1", "2", "0", "-7", "-2e3", None)], "a string, b string, c string, d string, e string, f string, g string, h string")
     assert [t for _, t in ingest.infer_types(df).dtypes] == ["string"] * 4 + ["double", "bigint", "double", "string"]
+
+
+def test_mapper_row_groups_stats_and_prune(spark):
+    """Groups merge by key; each target's failures are counted; a load prunes only if nothing failed."""
+    t = {"a": spark.createDataFrame([(1, "x"), (2, None), (None, "z")], "k int, v string"), "b": spark.createDataFrame([(2, "late"), (3, "new")], "k int, v string")}
+    of = lambda s: mapper.Rows(mapper.Source(s, (s,)), {"k": lambda j: j[f"{s}.k"], "v": lambda j: j[f"{s}.v"]})
+    target = mapper.Target("t", {}, required=("k",), rows=(of("a"), of("b")), key=("k",))
+    plain = mapper.Target("p", {"k": lambda j: j["a.k"], "v": lambda j: j["a.v"]}, required=("k", "v"), fails={"k": lambda j: j["a.k"] == 7})
+    grain = mapper.Source("a", ("a",))
+    got = mapper.run_mapper(t, grain, [], [target, plain])
+    assert rows(got["t"][0]) == [(1, "x"), (2, "late"), (3, "new")] and got["t"][1].count() == 1
+    assert rows(mapper.stats(t, grain, [], [target, plain])) == [("p", 1, 2), ("t", 3, 1)]
+    existing = spark.createDataFrame([(1, "old"), (9, "gone")], "k int, v string")
+    good, bad = got["t"]
+    assert rows(mapper.load_target(existing, good, bad, ["k"], F.lit(0), True)) == [(1, "x"), (2, "late"), (3, "new"), (9, "gone")]
+    assert rows(mapper.load_target(existing, good, bad.limit(0), ["k"], F.lit(0), True)) == [(1, "x"), (2, "late"), (3, "new")]
+    with pytest.raises(ValueError):
+        mapper.run_mapper(t, grain, [], [plain], strict=True)
+    with pytest.raises(ValueError):
+        mapper.run_mapper(t, grain, [], [mapper.Target("t", {}, rows=(of("a"),))])
+    for bad_join in (mapper.Join("b", (("a.k", "k"),), holds="near"), mapper.Join("b", ())):
+        with pytest.raises(ValueError):
+            mapper.join_sources(t, grain, [(mapper.Source("b", ("b",)), bad_join)])
+
+
+def test_null_keys_are_equal_in_a_diff(spark):
+    old, new = spark.createDataFrame([(None, 1), (1, 1)], "k int, v int"), spark.createDataFrame([(None, 2), (2, 1)], "k int, v int")
+    assert sorted(map(tuple, tables.keyed_diff(old, new, ["k"], ["v"]).collect()), key=str) == [(1, "deleted"), (2, "created"), (None, "updated")]
