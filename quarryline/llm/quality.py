@@ -3,15 +3,17 @@
 Each view is a logistic regression. The text view sees what is written: character classes,
 repetition, hashed words. The metadata view sees what a crawl records without reading: source,
 language, length, and the sizes in bytes, words and lines against each other. Over some rounds,
-each view scores all unlabelled rows, and the other learns those that it is surest of as well.
+each view scores unlabelled rows, and the other learns those that it is sure of as well.
 Both are then calibrated on labelled rows set aside, and their calibrated log odds are combined,
 again fitted on those rows.
 
-The fit uses at most TRAIN_ROWS labelled rows, the least by a hash of doc_id, of whole texts. Every
-round's search for sure rows covers all unlabelled rows; of those at least `trust` sure, a view
-hands over at most HANDED_ROWS a round and label, again the least by the hash. Features of all rows
-are kept between rounds in the checkpoint folder (about 800 bytes a row). Scoring covers all rows
-and whole texts, unshuffled.
+The fit uses at most TRAIN_ROWS labelled rows, the least by a hash of doc_id, of whole texts. In every
+round a view hands over the unlabelled rows of the least hashes that it is at least `trust` sure of, at
+most HANDED_ROWS times the round's number. They are the first ones in the order of hashes, so the search
+begins with a part of the rows and goes on to all of them only where too few are sure; the
+features of the part are kept between rounds in the checkpoint folder (about 800 bytes a row). What is
+found depends neither on partitions nor on where the rows lie. Scoring covers all rows and whole
+texts, unshuffled.
 
 Edge cases: null and empty texts have zero text features and are scored by metadata and bias;
 null metadata is a value of its own; without labels of both kinds every score is the base rate;
@@ -20,7 +22,7 @@ repeated rows score alike; other columns of the label table don't matter.
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from dataclasses import dataclass
 
 import numpy as np
@@ -36,6 +38,8 @@ from .textops import buffer_of, slices, span_hashes, window_hashes, words
 TRAIN_ROWS = 8_000
 #: Most rows that a view hands over in the first round; in the n-th, n times as many. Both labels together.
 HANDED_ROWS = 1_000
+#: Rows in the first part that is searched for sure ones, times those wanted; and by how much a part grows.
+SEARCH_TIMES = 8
 TEXT_BUCKETS, META_BUCKETS = 256, 128
 STATS = 12
 #: Rows of the labelled sample, of ten, that are set aside for calibration.
@@ -150,15 +154,29 @@ class Pool:
 
 
 class TablePool:
-    """Unlabelled rows in a table (h, x): x the packed features, of which the first `width` are the text's."""
+    """Unlabelled rows of a corpus of which `upto` gives those with hashes below a part of all hashes, as (h, x): x the packed features, of which the first `width` are the text's.
 
-    def __init__(self, rows: DataFrame, width: int):
-        self.rows, self.width, self.parts = rows, width, max(1, rows.rdd.getNumPartitions())
+    The sure rows of the least hashes are wanted. So a part is searched that has a few times as many rows as are
+    wanted; only if it has too few sure ones the part grows, up to all rows. What is found is the
+    same as in a search of all rows, and doesn't depend on how they are dealt.
+    """
+
+    def __init__(self, upto: Callable[[float], DataFrame], n_rows: int, width: int):
+        self.upto, self.n_rows, self.width, self.part, self.rows = upto, n_rows, width, 0.0, None
 
     def sure(self, w: list[np.ndarray], trust: float, quota: dict[float, int]) -> dict[tuple[int, float], tuple[np.ndarray, np.ndarray]]:
-        """As of Pool, over the whole table; rows are taken by their hash h, each task sending some eight times its even share."""
+        """As of Pool, over the whole corpus; of equal hashes those of the least features first."""
+        wanted = min(1.0, SEARCH_TIMES * sum(quota.values()) / max(self.n_rows, 1))
+        while True:
+            if self.part < wanted:
+                self.part, self.rows = wanted, cut(self.upto(wanted))
+            found = self._search(w, trust, quota)
+            if self.part >= 1 or all(len(found[k, label][0]) >= n for k in (0, 1) for label, n in quota.items()):
+                return found
+            wanted = min(1.0, SEARCH_TIMES * self.part)
+
+    def _search(self, w: list[np.ndarray], trust: float, quota: dict[float, int]) -> dict[tuple[int, float], tuple[np.ndarray, np.ndarray]]:
         width, labels = self.width, sorted(quota)
-        share = {label: max(2, 8 * n // self.parts) for label, n in quota.items()}
 
         def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             kept: dict[tuple[int, float], list] = {(k, label): [] for k in (0, 1) for label in labels}
@@ -169,14 +187,16 @@ class TablePool:
                     p = sigmoid(odds(view, w[k]))
                     for label in labels:
                         best = np.flatnonzero((p if label else 1 - p) >= trust)
-                        best = best[np.argsort(h[best])][: share[label]]
+                        best = best[np.argsort(h[best], kind="stable")]
+                        if len(best) > quota[label]:  # with all of the last hash
+                            best = best[h[best] <= h[best[quota[label] - 1]]]
                         own = kept[k, label] + [(int(h[i]), x[i].astype("<f2").tobytes()) for i in best]
-                        kept[k, label] = sorted(own)[: share[label]]
+                        kept[k, label] = sorted(own)[: quota[label]]
             for (k, label), own in kept.items():
                 if own:
                     yield pa.RecordBatch.from_arrays([pa.array([k] * len(own), pa.int32()), pa.array([label] * len(own)), pa.array([a for a, _ in own], pa.int64()), pa.array([b for _, b in own], pa.binary())], ["view", "label", "h", "x"])
 
-        got = self.rows.select("h", "x").mapInArrow(run, "view int, label double, h long, x binary")
+        got = self.rows.mapInArrow(run, "view int, label double, h long, x binary")
         place = F.row_number().over(Window.partitionBy("view", "label").orderBy("h", "x"))
         most = max(quota.values())
         rows = got.withColumn("n", place).filter(F.col("n") <= most).collect()  # at most two views' and two labels' quotas
@@ -241,23 +261,33 @@ def train(docs: DataFrame, labels: DataFrame, label: str = "quality", meta: tupl
     """A model from at most train_rows labelled rows and all unlabelled ones; `usable` is a condition on __id, the label's doc_id."""
     marked = labels.filter(F.col(label).isNotNull() & F.col("doc_id").isNotNull()).groupBy(F.col("doc_id").alias("__id")).agg(F.max(F.col(label).cast("int")).alias("__y"))
     chosen = (marked.filter(usable) if usable is not None else marked).orderBy(F.xxhash64("__id"), "__id").limit(train_rows)
-    body = docs.select(F.col("doc_id").alias("__doc"), F.xxhash64("doc_id", text_col).alias("__h"), F.col(text_col).alias("__text"), *[F.col(c).alias(f"m_{c}") for c in meta])
+    body = docs.select(F.col("doc_id").alias("id"), F.xxhash64("doc_id", text_col).alias("h"), F.col(text_col).alias("__text"), *[F.col(c).alias(f"m_{c}") for c in meta])
     names = list(meta)
 
     def packed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for lo, hi, t, m in _views(batch, 2, names):
+            first = batch.schema.names.index("__text")
+            for lo, hi, t, m in _views(batch, first, names):
                 rows = np.hstack([t, m]).astype("<f2")
-                yield pa.RecordBatch.from_arrays([*[c.slice(lo, hi - lo) for c in batch.columns[:2]], pa.array([r.tobytes() for r in rows], pa.binary())], ["id", "h", "x"])
+                yield pa.RecordBatch.from_arrays([*[c.slice(lo, hi - lo) for c in batch.columns[:first]], pa.array([r.tobytes() for r in rows], pa.binary())], [*batch.schema.names[:first], "x"])
 
-    every = cut(body.mapInArrow(packed, f"id {docs.schema['doc_id'].dataType.simpleString()}, h long, x binary"))
-    got = every.join(F.broadcast(chosen), F.col("id") == F.col("__id")).select("__y", "h", "x").toLocalIterator()
-    rows = sorted((r[1], r[0], bytes(r[2])) for r in got)
+    labelled = body.join(F.broadcast(chosen), F.col("id") == F.col("__id")).select("__y", *[c for c in body.columns if c != "id"])
+    rows = sorted((r[1], r[0], bytes(r[2])) for r in labelled.mapInArrow(packed, "__y int, h long, x binary").toLocalIterator())
     width = STATS + TEXT_BUCKETS
     x = np.frombuffer(b"".join(r[2] for r in rows), "<f2").reshape(len(rows), -1).astype(np.float32) if rows else np.zeros((0, width + META_BUCKETS), np.float32)
     y = np.array([r[1] for r in rows], float)
-    rest = every.join(marked.select("__id"), F.col("id") == F.col("__id"), "left_anti")
-    return co_train(x[:, :width], x[:, width:], y, TablePool(rest, width), **options)
+
+    def upto(part: float) -> DataFrame:
+        """Unlabelled rows with a hash in the first part of all hashes."""
+        some = body if part >= 1 else body.filter(F.col("h") < int(-(2**63) + part * 2**64))
+        rest = some.join(marked.select("__id"), F.col("id") == F.col("__id"), "left_anti") if part < 1 else None
+        if rest is not None:
+            return rest.drop("id").mapInArrow(packed, "h long, x binary")
+        # All rows: their features are narrower than their texts, so these are joined.
+        every = some.mapInArrow(packed, f"id {docs.schema['doc_id'].dataType.simpleString()}, h long, x binary")
+        return every.join(marked.select("__id"), F.col("id") == F.col("__id"), "left_anti").select("h", "x")
+
+    return co_train(x[:, :width], x[:, width:], y, TablePool(upto, docs.count(), width), **options)
 
 
 def score(docs: DataFrame, model: Model, meta: tuple[str, ...] = ("source", "lang", "n_chars"), text_col: str = "text") -> DataFrame:

@@ -1,4 +1,5 @@
 import numpy as np
+import pytest
 from pyspark.sql import functions as F
 
 from quarryline.llm import language, quality, toxicity
@@ -134,3 +135,33 @@ def test_language_edges(spark, edges, empty):
     silent = language.identify(edges).collect()
     assert len(silent) == 12 and all(r.language is None for r in silent)
     assert language.keep_languages(edges).columns == edges.columns
+
+
+@pytest.mark.parametrize("parts", [1, 7])
+def test_search_for_sure_rows_is_that_of_all_rows(spark, documents, parts):
+    """The least hashes of all sure rows, whether a part has enough of them or all rows must be searched."""
+    n, width = 3000, quality.STATS + quality.TEXT_BUCKETS
+    rng = np.random.default_rng(5)
+    x = rng.normal(size=(n, width + quality.META_BUCKETS)).astype("<f2")
+    h = rng.integers(-(2**63), 2**63 - 1, n)
+    # Rows lie sorted by their first feature, so that sure ones are together.
+    order = np.argsort(x[:, 0].astype(float))
+    df = spark.createDataFrame([(int(h[i]), x[i].tobytes()) for i in order], "h long, x binary").coalesce(1).repartition(parts)
+    seen = []
+
+    def upto(part):
+        seen.append(part)
+        return df.filter(F.col("h") < int(-(2**63) + part * 2**64)) if part < 1 else df
+
+    w = [np.zeros(width + 1), np.zeros(quality.META_BUCKETS + 1)]
+    w[0][0], w[1][0] = 4.0, 4.0
+    for quota, most in (({1.0: 5, 0.0: 9}, 0.5), ({1.0: 400, 0.0: 2000}, 1.0)):
+        pool = quality.TablePool(upto, n, width)
+        got = pool.sure(w, 0.95, quota)
+        assert pool.part <= most
+        for k, view in enumerate((x[:, :width], x[:, width:])):
+            p = 1 / (1 + np.exp(-(view.astype(np.float32) @ w[k][:-1] + w[k][-1])))
+            for label, q in quota.items():
+                best = np.flatnonzero((p if label else 1 - p) >= 0.95)
+                best = best[np.argsort(h[best])][:q]
+                assert (got[k, label][0] == x[best][:, :width].astype(np.float32)).all() and len(got[k, label][0]) == len(best)
