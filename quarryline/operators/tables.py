@@ -18,6 +18,31 @@ def keyed_diff(old: DataFrame, new: DataFrame, key: list[str], compare: list[str
     return both.select(*[F.coalesce(f"n_{k}", f"o_{k}").alias(k) for k in key], change.alias("change")).filter("change is not null")
 
 
+def bucket_digests(df: DataFrame, key: list[str], compare: list[str], buckets: int) -> DataFrame:
+    """(bucket, n, digest): how many rows of keys of each bucket there are, and a digest of their values, whatever their order."""
+    h = F.xxhash64(*key, *compare)
+    rows = df.select(_bucket(key, buckets).alias("bucket"), h.alias("a"), F.xxhash64(F.lit("second"), *key, *compare).alias("b"))
+    return rows.groupBy("bucket").agg(F.count(F.lit(1)).alias("n"), F.struct(F.bit_xor("a").alias("a"), F.sum(F.col("b").cast("decimal(38,0)")).alias("b")).alias("digest"))
+
+
+def _bucket(key: list[str], buckets: int) -> Column:
+    return F.pmod(F.xxhash64(*[F.col(k).cast("string") for k in key]), F.lit(buckets))
+
+
+def digest_diff(old: DataFrame, new: DataFrame, key: list[str], compare: list[str], buckets: int = 4096) -> DataFrame:
+    """As keyed_diff, by digests first: both sides are summed up per bucket of keys, and only the rows of buckets that differ are joined.
+
+    The table of buckets is what is broadcast, at most `buckets` rows. Rows with the types of both sides alike are compared.
+    """
+    kinds = {c: new.schema[c].dataType for c in [*key, *compare]}
+    old = old.withColumns({c: F.col(c).cast(t) for c, t in kinds.items() if old.schema[c].dataType != t})
+    a, b = (bucket_digests(df, key, compare, buckets) for df in (old, new))
+    same = F.col("a.n").eqNullSafe(F.col("b.n")) & F.col("a.digest").eqNullSafe(F.col("b.digest"))
+    differ = a.alias("a").join(b.alias("b"), F.col("a.bucket") == F.col("b.bucket"), "full_outer").filter(~same).select(F.coalesce("a.bucket", "b.bucket").alias("__bucket"))
+    some = lambda df: df.withColumn("__bucket", _bucket(key, buckets)).join(F.broadcast(differ), "__bucket", "left_semi").drop("__bucket")
+    return keyed_diff(some(old), some(new), key, compare)
+
+
 def column_stats(df: DataFrame) -> DataFrame:
     """(column, n_rows, n_null) of each column, in one pass."""
     row = df.agg(F.count(F.lit(1)).alias("n"), *[F.count_if(F.col(c).isNull()).alias(f"z_{c}") for c in df.columns])

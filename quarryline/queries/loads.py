@@ -466,3 +466,22 @@ def mapper_row_groups(spark, sf):
     second = mapper.Rows(mapper.Source("s", ("supplier",)), {"id": lambda j: F.when(j["s.s_suppkey"] % 5 != 0, j["s.s_suppkey"]), "name": lambda j: j["s.s_name"]})
     target = mapper.Target("party", {}, required=("id",), rows=(first, second), key=("id",))
     return mapper.run_mapper(t, mapper.Source("c", ("customer",)), [], [target])["party"][0]
+
+
+@register("SELECT c_custkey, CASE WHEN c_custkey % 600 = 1 THEN 'created' WHEN c_custkey % 500 = 1 THEN 'deleted' ELSE 'updated' END AS change FROM customer WHERE (c_custkey % 600 = 1 AND c_custkey % 500 <> 1) OR (c_custkey % 500 = 1 AND c_custkey % 600 <> 1) OR (c_custkey % 700 = 0 AND c_custkey % 500 <> 1 AND c_custkey % 600 <> 1)")
+def diff_by_digests(spark, sf):
+    """Snapshots with few differences: only the buckets whose digests differ are joined."""
+    c = table(spark, sf, "customer").select("c_custkey", "c_name")
+    new = c.filter("c_custkey % 500 <> 1").withColumn("c_name", F.when(F.col("c_custkey") % 700 == 0, "renamed").otherwise(F.col("c_name")))
+    return tables.digest_diff(c.filter("c_custkey % 600 <> 1"), new, ["c_custkey"], ["c_name"])
+
+
+@register("SELECT o_orderkey, CASE WHEN o_orderkey % 1000 = 7 THEN 'updated' WHEN o_orderkey % 1000 = 8 THEN 'deleted' END AS change FROM orders WHERE o_orderkey % 1000 IN (7, 8) UNION ALL SELECT -o_orderkey, 'created' FROM orders WHERE o_orderkey % 1000 = 9")
+def diff_of_versions(spark, sf):
+    """What an upsert and a prune have changed in a table in key buckets."""
+    o = table(spark, sf, "orders").select("o_orderkey", F.col("o_orderstatus").alias("status"))
+    t = VersionedTable.create(o, scratch(spark), ["o_orderkey"], buckets=64)
+    new = o.filter("o_orderkey % 1000 = 9").select((-F.col("o_orderkey")).alias("o_orderkey"), "status")
+    t.upsert(o.filter("o_orderkey % 1000 = 7").withColumn("status", F.lit("X")).unionByName(new), F.lit(0))
+    last = t.prune(t.read().filter("o_orderkey % 1000 <> 8 or o_orderkey < 0"))
+    return t.diff(1, last)

@@ -11,7 +11,8 @@ from ..operators import joins, search, tables, views
 from ..plans import query as q
 from ..plans.model import Entity, Model, Relation
 from ..plans.query import child, measure
-from .base import USER_STATES, activity, registrar, sales, table, user_states
+from ..plans.ranks import Ranked
+from .base import USER_STATES, activity, registrar, sales, scratch, table, user_states
 
 QUERIES: dict = {}
 ORACLE_SQL: dict = {}
@@ -370,3 +371,20 @@ def rolling_distinct_users(spark, sf):
     """Distinct users of the last seven days that have events of a kind."""
     m = Model.of((Entity("Event", "event_id", timestamps=("ts",)), table(spark, sf, "events")))
     return q.rolling_distinct(m, "Event", {"event_type": "event_type", "day": lambda r: fn.format_date(r["ts"], "yyyy-MM-dd")}, "user_id", "users", "day", 7)
+
+
+@register("SELECT l_orderkey, l_linenumber, l_extendedprice, l_partkey, CAST(row_number() OVER w AS BIGINT) AS place FROM lineitem WINDOW w AS (ORDER BY l_extendedprice DESC, l_orderkey, l_linenumber, l_partkey, l_suppkey, l_quantity) QUALIFY row_number() OVER w BETWEEN 49996 AND 50000")
+def deep_page(spark, sf):
+    """Page 10,000 of the lines by price, five a page: only the range that it lies in is read."""
+    order = [F.col("l_extendedprice").desc(), *[F.col(c).asc() for c in ("l_orderkey", "l_linenumber", "l_partkey", "l_suppkey", "l_quantity")]]
+    ranked = Ranked.of(table(spark, sf, "lineitem"), order, scratch(spark), 32)
+    return ranked.page(10_000, 5, "place").select("l_orderkey", "l_linenumber", "l_extendedprice", "l_partkey", "place")
+
+
+@register("WITH n AS (SELECT event_id, event_type, value * power(0.5, least(row_number() OVER (PARTITION BY event_type ORDER BY value DESC, event_id) - 1, 900)) AS score FROM events) SELECT event_id, event_type, CAST(row_number() OVER (ORDER BY score DESC, event_id) AS BIGINT) AS position FROM n")
+def full_diversity_rank(spark, sf):
+    """The place of every event where each further one of its kind counts half."""
+    w = Window.partitionBy("event_type").orderBy(F.col("value").desc(), "event_id")
+    e = table(spark, sf, "events")
+    scored = e.withColumn("score", F.col("value") * F.pow(F.lit(0.5), F.least(F.row_number().over(w) - 1, F.lit(900))))
+    return Ranked.of(scored, [F.col("score").desc(), F.col("event_id").asc()], scratch(spark), 16).rows().select("event_id", "event_type", "position")

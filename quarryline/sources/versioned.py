@@ -21,6 +21,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.types import StructType
 
 from ..operators import load
+from ..operators.tables import keyed_diff
 from .ingest import align
 
 
@@ -85,6 +86,13 @@ class VersionedTable:
         """The rows of a version, the newest by default."""
         return self._rows(self.manifest(version))
 
+    def diff(self, old: int, new: int, compare: list[str] | None = None) -> DataFrame:
+        """(key.., change) created, updated or deleted between two versions; of both, only buckets with other folders are read."""
+        a, b = self.manifest(old), self.manifest(new)
+        other = {k for k in {*a.folders, *b.folders} if a.folders.get(k) != b.folders.get(k)}
+        before, after = align(*[self._rows(replace(m, folders={k: f for k, f in m.folders.items() if k in other})) for m in (a, b)])
+        return keyed_diff(before, after, list(b.key), compare or [c for c in after.columns if c not in b.key])
+
     def vacuum(self, keep: int = 2) -> int:
         """Forget all but the newest versions and the folders that only they had; returns how many folders went. Not beside a running load."""
         have = self.versions()
