@@ -33,7 +33,7 @@ from .textops import buffer_of, slices
 #: Bytes of a leaf, and tokens on each side of a join that are encoded again at first.
 LEAF, WINDOW = 64, 4
 #: Words that a worker remembers before it starts afresh, and the longest that it remembers.
-CACHE_ENTRIES, CACHE_CHARS = 300_000, 64
+CACHE_ENTRIES, CACHE_CHARS = 600_000, 64
 _NONE = np.int64(2**62)
 
 # Letters and numbers of Unicode 16, and its pairs of capital (first, last) and small letter (offset),
@@ -57,8 +57,7 @@ LATE_MARKS = [
 
 #: Small sigma is the same at a word's end.
 _LOWER = {0x3A3: 0x3C3} | {c: c + by for a, b, by in NEW_SMALL for c in range(a, b + 1)}
-_ODD_CAPITALS = regex.compile("[" + "".join(map(chr, _LOWER)) + "]")
-_ODD_SPACE = regex.compile("[\x1c-\x1f]")
+_ODD_CAPITALS = set(map(chr, _LOWER))
 _WORDS = regex.compile(r"\S+")
 
 
@@ -73,11 +72,12 @@ def _inside(codes: list[int]) -> str:
     return "".join(rf"\U{a:08x}-\U{b:08x}" for a, b in spans)
 
 
-_LATE = regex.compile("([" + _inside([c for a, b in LATE_MARKS for c in range(a, b + 1)]) + "])")
+_LATE = {chr(c) for a, b in LATE_MARKS for c in range(a, b + 1)}
+_AT_LATE = regex.compile("([" + _inside(sorted(map(ord, _LATE))) + "])")
 
 
-def piece_patterns() -> tuple[str, str, str]:
-    """Contractions, runs of letters, single numbers, runs of anything else but white space: (any text's pattern, a fast one, what it mustn't meet).
+def piece_patterns() -> tuple[str, str, set[str]]:
+    """Contractions, runs of letters, single numbers, runs of anything else but white space: (any text's pattern, a fast one, characters that it mustn't meet).
 
     The fast pattern has the regex module's own classes, which differ for code points new to it.
     """
@@ -88,7 +88,7 @@ def piece_patterns() -> tuple[str, str, str]:
         odd |= ours ^ {ord(c) for c in regex.findall(rf"\p{{{kind}}}", every)}
         inside[kind] = _inside(sorted(ours))
     form = "'s|'t|'re|'ve|'m|'ll|'d|[{L}]+|[{N}]|[^\\s{L}{N}]+"
-    return form.format(**inside), form.format(L=r"\p{L}", N=r"\p{N}"), f"[{_inside(sorted(odd))}]"
+    return form.format(**inside), form.format(L=r"\p{L}", N=r"\p{N}"), set(map(chr, odd))
 
 
 def byte_characters() -> list[str]:
@@ -139,7 +139,7 @@ class TreeCodec:
 
     def ready(self) -> TreeCodec:
         """Adds what a worker works out for itself: patterns, and its memory of words."""
-        self.exact, self.fast, self.odd = (regex.compile(p) for p in self.patterns)
+        self.exact, self.fast, self.odd = (*map(regex.compile, self.patterns[:2]), self.patterns[2])
         self.around = regex.compile("(" + "|".join(map(regex.escape, sorted(self.special, key=len, reverse=True))) + ")") if self.special else None
         # No word has a space in it, so these stand for the special tokens among words.
         self.fixed = {f" {t}": np.array([i], "<u4").tobytes() for t, i in self.special.items()}
@@ -202,8 +202,8 @@ class TreeCodec:
             todo, w = wider, 2 * w
         return out
 
-    def encode_pieces(self, pieces: list[str]) -> list[np.ndarray]:
-        """Ids of each piece: leaves of all of them at once, then the levels of all trees."""
+    def encode_pieces(self, pieces: list[str]) -> list[bytes]:
+        """Ids of each piece, as little-endian 32-bit integers: leaves of all of them at once, then the levels of all trees."""
         raw = [p.encode() for p in pieces]
         size = np.array([len(r) for r in raw], np.int64)
         ends = np.cumsum(size)
@@ -221,22 +221,23 @@ class TreeCodec:
             sizes = np.diff(np.append(0, np.cumsum(there))[np.append(lo, ends[-1])])
             ids = ids[there]
         ids, sizes = self.merge(ids, sizes)
-        nodes = np.split(ids, np.cumsum(sizes)[:-1])
-        out = [nodes[t : t + n] for t, n in zip(tree.tolist(), leaves.tolist(), strict=True)]
-        growing = [k for k, n in enumerate(leaves.tolist()) if n > 1]
+        cuts = np.append(0, np.cumsum(sizes)).tolist()
+        growing = {k: [ids[cuts[j] : cuts[j + 1]] for j in range(t, t + n) if cuts[j] < cuts[j + 1]] for k, (t, n) in enumerate(zip(tree.tolist(), leaves.tolist(), strict=True)) if n > 1}
+        data = ids.astype("<u4").tobytes()
+        out = [data[4 * cuts[t] : 4 * cuts[t + 1]] for t in tree.tolist()]
         while growing:
-            for k in growing:
-                out[k] = [x for x in out[k] if len(x)]
-            pairs = [(k, i) for k in growing for i in range(0, len(out[k]) - 1, 2)]
-            joined = iter(self.join([(out[k][i], out[k][i + 1]) for k, i in pairs]))
-            for k in growing:
-                n = len(out[k])
-                out[k] = [next(joined) if i + 1 < n else out[k][i] for i in range(0, n, 2)]
-            growing = [k for k in growing if len(out[k]) > 1]
-        return [x[0] if x else np.zeros(0, np.int64) for x in out]
-
-    def pieces(self, word: str) -> list[str]:
-        return (self.fast if word.isascii() or not self.odd.search(word) else self.exact).findall(word)
+            pairs = [(k, i) for k, own in growing.items() for i in range(0, len(own) - 1, 2)]
+            joined = iter(self.join([(growing[k][i], growing[k][i + 1]) for k, i in pairs]))
+            for k, own in list(growing.items()):
+                growing[k] = [next(joined) if i + 1 < len(own) else own[i] for i in range(0, len(own), 2)]
+                if len(growing[k]) < 2:
+                    out[k] = b"".join(x.astype("<u4").tobytes() for x in growing.pop(k))
+        return out
+
+    def pieces(self, words: list[str]) -> list[list[str]]:
+        """The pieces of each word."""
+        plain = self.odd.isdisjoint(set().union(*words))
+        return [self.fast.findall(w) if plain or self.odd.isdisjoint(w) else self.exact.findall(w) for w in words]
 
     def words(self, text: str) -> list[str]:
         """The normalised words of a text; a special token is a space and its content."""
@@ -247,11 +248,13 @@ class TreeCodec:
     @staticmethod
     def _plain(text: str) -> list[str]:
         if not text.isascii():
-            text = "".join([unicodedata.normalize("NFC", s) for s in _LATE.split(text)]) if _LATE.search(text) else unicodedata.normalize("NFC", text)
-            if _ODD_CAPITALS.search(text):
+            used = set(text)
+            text = unicodedata.normalize("NFC", text) if _LATE.isdisjoint(used) else "".join([unicodedata.normalize("NFC", s) for s in _AT_LATE.split(text)])
+            if not _ODD_CAPITALS.isdisjoint(used):
                 text = text.translate(_LOWER)
         text = text.lower()
-        return _WORDS.findall(text) if _ODD_SPACE.search(text) else text.split()
+        # str.split() takes these four for white space.
+        return _WORDS.findall(text) if any(c in text for c in "\x1c\x1d\x1e\x1f") else text.split()
 
     def encode_all(self, texts: list[str]) -> list[np.ndarray]:
         """Ids of each text. Each distinct word of all of them is encoded once."""
@@ -262,10 +265,11 @@ class TreeCodec:
         new = [w for w in set(chain.from_iterable(each)) if w not in known]
         long = [w for w in new if len(w) > CACHE_CHARS]
         if new:
-            split = [self.pieces(w) for w in new]
+            split = self.pieces(new)
             distinct = list(set(chain.from_iterable(split)))
-            code = {p: x.astype("<u4").tobytes() for p, x in zip(distinct, self.encode_pieces(distinct), strict=True)}
-            known.update((w, b"".join(map(code.__getitem__, own))) for w, own in zip(new, split, strict=True))
+            code = dict(zip(distinct, self.encode_pieces(distinct), strict=True))
+            for w, own in zip(new, split, strict=True):
+                known[w] = code[own[0]] if len(own) == 1 else b"".join([code[p] for p in own])
         out = [np.frombuffer(b"".join(map(known.__getitem__, own)), "<u4") for own in each]
         for w in long:
             del known[w]
