@@ -139,7 +139,7 @@ def _with_next(docs: DataFrame, text_col: str, id_col: str) -> DataFrame:
     spark = docs.sparkSession
     rows = docs.select(F.coalesce(F.col("doc_id").cast("long"), F.lit(-(2**63))).alias("o"), F.col(id_col).alias("doc_id"), F.coalesce(F.col(text_col), F.lit("")).alias("text"))
     n = max(1, shuffle_width(spark))
-    cuts = sorted({int(x) for x in rows.select(F.col("o").cast("double")).approxQuantile("o", [i / n for i in range(1, n)], 0.2 / n)}) if n > 1 else []
+    cuts = sorted({max(-(2**63), min(int(x), 2**63 - 1)) for x in rows.select(F.col("o").cast("double")).approxQuantile("o", [i / n for i in range(1, n)], 0.2 / n)}) if n > 1 else []
     part = F.lit(0)
     if cuts:
         part = cuts_below(cuts, F.col("o"))

@@ -73,3 +73,14 @@ def test_cuts_below(spark):
         xs = [*range(-45, 3 * n), -(2**63), 2**63 - 1]
         got = spark.createDataFrame([(x,) for x in xs], "x long").select("x", sketch.cuts_below(cuts, F.col("x")).alias("k")).collect()
         assert [r.k for r in got] == [sum(c < r.x for c in cuts) for r in got]
+
+
+def test_ids_at_the_ends_of_their_range(spark):
+    """Ids near the least and the greatest long, and null, are in order."""
+    top = 2**63 - 1
+    rows = [(i, f"text {i} of some words") for i in (-(2**63), -1, 0, top - 1, top, None)] + [(top - k, f"more {k}") for k in range(2, 60)]
+    got = {r.doc_id: r for r in sketch.fingerprint_edits(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    assert len(got) == len(rows)
+    texts = dict(rows)
+    half = lambda a, b: a[: len(a) - len(a) // 2] + b[: len(a) // 2]
+    assert got[top - 1].edited_sha256 == hashlib.sha256(half(texts[top - 1], texts[top]).encode()).hexdigest()
