@@ -462,11 +462,12 @@ def _stack(pages: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
     return x, live
 
 
-def fit(pages: list[tuple[np.ndarray, np.ndarray]], epochs: int = 18, batch: int = 32, rate: float = 0.01) -> Labeller:
-    """Adam on the mean cross-entropy of (vectors, labels) pages."""
+def fit(pages: list[tuple[np.ndarray, np.ndarray]], epochs: int = 18, batch: int = 32, rate: float = 0.01, falling: bool = False) -> Labeller:
+    """Adam on the mean cross-entropy of (vectors, labels) pages. falling: the rate falls to nothing, so that the last batches don't sway the net."""
     net, rng = Labeller.fresh(), np.random.default_rng(SEED)
     pages = [p for p in pages if len(p[0])]
     first, second, step = {k: 0.0 for k in net.p}, {k: 0.0 for k in net.p}, 0
+    steps = max(1, epochs * -(-len(pages) // batch))
     for _ in range(epochs if pages else 0):
         order = rng.permutation(len(pages))
         for lo in range(0, len(order), batch):
@@ -486,7 +487,7 @@ def fit(pages: list[tuple[np.ndarray, np.ndarray]], epochs: int = 18, batch: int
             for k, g in grads.items():
                 first[k] = 0.9 * first[k] + 0.1 * g
                 second[k] = 0.999 * second[k] + 0.001 * g * g
-                net.p[k] = (net.p[k] - rate * (first[k] / (1 - 0.9**step)) / (np.sqrt(second[k] / (1 - 0.999**step)) + 1e-8)).astype(np.float32)
+                net.p[k] = (net.p[k] - rate * (1 - falling * step / steps) * (first[k] / (1 - 0.9**step)) / (np.sqrt(second[k] / (1 - 0.999**step)) + 1e-8)).astype(np.float32)
     return net
 
 
@@ -523,8 +524,8 @@ _FRAMES = {
 class _Scene:
     """Draws variants of a labelled page."""
 
-    def __init__(self, rng: np.random.Generator, texts: list[str]):
-        self.rng, self.texts, self.number = rng, texts, 0
+    def __init__(self, rng: np.random.Generator, texts: list[str], rich: bool = False):
+        self.rng, self.texts, self.number, self.adds = rng, texts, 0, rich
         self.long = [t for t in texts if len(t.split()) >= 20] or texts
 
     def chance(self, p: float) -> bool:
@@ -555,9 +556,9 @@ class _Scene:
         out: list[Block] = []
         add = lambda text, *inner, link=0.0: out.append(Block(text, (*top, *inner), link))
         if kind == "links":
-            rows = self.element("ul")
+            rows, link = self.element("ul"), float(not (self.adds and known and self.chance(0.3)))
             for _ in range(self.rng.integers(2, 9)):
-                add(self.words(1, 5), rows, self.element("li"), link=1.0)
+                add(self.words(1, 5), rows, self.element("li"), link=link)
         elif kind == "notice":
             for _ in range(self.rng.integers(1, 3)):
                 if self.chance(0.5):
@@ -586,6 +587,39 @@ class _Scene:
                 add(self.words(2, 20), self.element(self.pick(["p", "div"])), link=float(self.pick([0.0, 0.3, 1.0])))
         return out
 
+    def rich(self, under: tuple[Element, ...]) -> list[Block]:
+        """What an article has beside paragraphs: a list, a table, a headed part, a quotation, figures, definitions."""
+        out: list[Block] = []
+        add = lambda text, *inner: out.append(Block(text, (*under, *inner), float(self.pick([0.0] * 9 + [0.3]))))
+        el, kind = self.element, self.pick(["list", "list", "list", "list", "table", "head", "head", "quote", "figure", "terms"])
+        if kind == "list":
+            if self.chance(0.4):
+                add(self.words(3, 20), el("p"))
+            rows, most, inner = el(self.pick(["ul", "ol"])), self.pick([2, 6, 20, 40]), self.chance(0.15)
+            for _ in range(self.rng.integers(1, 9)):
+                add(self.words(1, most), rows, el("li"), *([el("p")] if inner else []))
+        elif kind == "table":
+            top = [el("table"), *([el("tbody")] if self.chance(0.5) else [])]
+            wide, most = int(self.rng.integers(1, 5)), self.pick([1, 3, 10])
+            for k in range(self.rng.integers(1, 7)):
+                row = el("tr")
+                for _ in range(wide):
+                    add(self.words(1, most), *top, row, el("th" if k == 0 and wide > 1 else "td"))
+        elif kind == "head":
+            add(self.words(1, 8), el(self.pick(["h2", "h2", "h3", "h4"])))
+            if self.chance(0.8):
+                add(self.words(3, 60), el(self.pick(["p", "p", "div"])))
+        elif kind == "quote":
+            add(self.words(3, 40), el(self.pick(["blockquote", "pre"])), *([el("p")] if self.chance(0.3) else []))
+        elif kind == "figure":
+            add(self.words(1, 15), el("figure"), el("figcaption"))
+        else:
+            top = el("dl")
+            for _ in range(self.rng.integers(1, 4)):
+                add(self.words(1, 6), top, el("dt"))
+                add(self.words(1, 25), top, el("dd"))
+        return out
+
     def draw(self, blocks: list[Block], labels: np.ndarray) -> tuple[list[Block], np.ndarray]:
         """The page's article in another wrapper, its other blocks under other names, and more of them."""
         body = (self.element("html"), self.element("body"))
@@ -605,8 +639,8 @@ class _Scene:
         for kind in ("links", "notice", "form", "side", "footer"):
             if self.chance(0.35):
                 self.pick([before, after]).append(self.frame(kind, body, self.chance(0.35)))
-        if self.chance(0.6):
-            after.append(self.frame("comments", body, self.chance(0.25)))
+        if self.chance(0.75 if self.adds else 0.6):
+            after.append(self.frame("comments", body, self.chance(0.2 if self.adds else 0.25)))
         # The page's own other blocks keep their elements, or lose their names.
         keep = self.chance(0.4)
         new: dict[int, Element] = {}
@@ -624,19 +658,22 @@ class _Scene:
             rest[bool(len(inside) and k > inside[0])].append(Block(b.text, (*body[:2], *own), b.link))
         section: tuple[Element, ...] = ()
         main: list[tuple[Block, int]] = []
+        divs, rich, last = (self.chance(0.2), self.pick([0.0, 0.05, 0.15]), self.chance(0.5)) if self.adds else (False, 0.0, False)
         for k in inside:
             b = blocks[k]
-            leaf = [self.element(names) for _, names in b.elements[-1:] if names[0] in _LEAVES] or [self.element(self.pick(["p", "div"]))]
+            leaf = [self.element(names) for _, names in b.elements[-1:] if names[0] in _LEAVES and not (divs and names[0] == "p")] or [self.element("div" if divs else self.pick(["p", "div"]))]
             if self.chance(0.06) and len(main) > 1 and wrap is not body:
                 section = (self.element(self.pick(["div", "section", "blockquote", "div"])),)
             elif self.chance(0.1):
                 section = ()
             main.append((Block(b.text, (*wrap, *section, *leaf), b.link), 1))
+            if self.adds and (self.chance(rich) or (last and k == inside[-1])):  # what only rich variants have
+                main += [(x, 1) for _ in range(self.pick([1, 1, 2, 3])) for x in self.rich((*wrap, *section))]
             if self.chance(0.03):
                 kind = self.pick(["links", "notice", "form", "side"])
                 main += [(x, 0) for x in self.frame(kind, wrap, kind in ("notice", "side") or self.chance(0.5))]
-        if self.chance(0.15):
-            main += [(x, 0) for x in self.frame(self.pick(["links", "comments", "form"]), wrap, True)]
+        if self.chance(0.25 if self.adds else 0.15):
+            main += [(x, 0) for x in self.frame(self.pick(["links", *["comments"] * (1 + self.adds), "form"]), wrap, True)]
         for part in (before, [rest[0]]):
             out += [(x, 0) for f in part for x in f]
         out += main
@@ -645,10 +682,10 @@ class _Scene:
         return [b for b, _ in out], np.array([y for _, y in out], np.float32)
 
 
-def variants(pages: list[str], each: int = 5, seed: int = SEED) -> list[tuple[list[Block], np.ndarray]]:
-    """Blocks and labels of each page as it is, and of some drawn variants."""
+def variants(pages: list[str], each: int = 5, seed: int = SEED, rich: bool = False) -> list[tuple[list[Block], np.ndarray]]:
+    """Blocks and labels of each page as it is, and of some drawn variants; rich: whose articles have lists, tables and more added to them."""
     taught = [(b, teach(b)) for b in map(blocks_of, pages) if b]
-    scene = _Scene(np.random.default_rng(seed), [x.text for b, _ in taught for x in b] or ["text"])
+    scene = _Scene(np.random.default_rng(seed), [x.text for b, _ in taught for x in b] or ["text"], rich)
     return taught + [scene.draw(b, y) for b, y in taught if y.any() for _ in range(each)]
 
 
@@ -656,7 +693,7 @@ def train(pages: DataFrame, train_pages: int = TRAIN_PAGES, **options) -> Labell
     chosen = pages.select("page_id").filter("page_id is not null").orderBy(F.xxhash64("page_id"), "page_id").limit(train_pages)
     rows = pages.select(F.col("page_id").alias("__p"), "html").join(F.broadcast(chosen.distinct()), F.col("__p") == F.col("page_id")).filter("html is not null")
     texts = [r.html for r in sorted(rows.select("page_id", "html").toLocalIterator(), key=lambda r: (r.page_id, r.html))]
-    return fit([(page_vectors(b), y) for b, y in variants(texts)], **options)
+    return fit([(page_vectors(b), y) for b, y in variants(texts, rich=True)], **{"falling": True, **options})
 
 
 def extract(pages: DataFrame, model: Labeller | None = None, threshold: float = 0.5) -> DataFrame:

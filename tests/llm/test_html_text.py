@@ -173,3 +173,71 @@ def test_edges(spark, model):
     got = h.extract(df, model).collect()
     assert len(got) == 7 and [r.text for r in got if r.page_id in (1, 2, 3)] == [""] * 3
     assert h.extract(df.filter("false")).count() == 0
+
+
+def _items(n, size, word):
+    return [word(size) for _ in range(n)]
+
+
+def _list(tag, items):
+    return f"<{tag}>" + "".join(f"<li>{x}</li>" for x in items) + f"</{tag}>"
+
+
+@pytest.fixture(scope="module")
+def unseen():
+    """A model, and pages that it wasn't trained on with the texts of their articles."""
+    import pyarrow.parquet as pq
+
+    rows = sorted((r["page_id"], r["html"]) for r in pq.read_table("/root/testdata/sf0.01/pages.parquet").to_pylist() if r["html"])
+    learn, rest = rows[::2][: h.TRAIN_PAGES], rows[1::2][:60]
+    model = h.fit([(h.page_vectors(b), y) for b, y in h.variants([page for _, page in learn], rich=True)], falling=True)
+    return model, [(page, Article(page).text.split("\n\n")) for _, page in rest]
+
+
+@pytest.mark.parametrize("case", ["list", "list after h1", "ordered in main", "table", "parts", "figure and terms", "div paragraphs", "comments inside", "lists outside"])
+def test_everything_of_an_article_stays(unseen, case):
+    """Lists, tables, headed parts, quotations, figures and div paragraphs added to articles; menus and comments beside them go."""
+    model, pages = unseen
+    rng = np.random.default_rng(1)
+    every = " ".join(t for _, blocks in pages for t in blocks).split()
+    word = lambda n: " ".join(every[int(k)] for k in rng.integers(0, len(every), n))
+    exact, lost, total = 0, 0, 0
+    for page, blocks in pages:
+        add = lambda markup, page=page: page.replace("</article>", markup + "</article>")
+        want = blocks
+        if case == "list":
+            items = _items(6, 5, word)
+            page, want = add(_list("ul", items)), blocks + items
+        elif case == "list after h1":
+            items = _items(2, 6, word)
+            page, want = page.replace("</h1>", f"</h1><p>{word(12)}</p>{_list('ul', items)}", 1), None
+        elif case == "ordered in main":
+            items = _items(4, 18, word)
+            page, want = add(_list("ol", items)).replace("<article>", '<main class="content">').replace("</article>", "</main>"), blocks + items
+        elif case == "table":
+            cells = [_items(3, 2, word) for _ in range(6)]
+            page, want = add("<table>" + "".join("<tr>" + "".join(f"<td>{x}</td>" for x in r) + "</tr>" for r in cells) + "</table>"), blocks + [x for r in cells for x in r]
+        elif case == "parts":
+            a, b, c, d = word(3), word(15), word(9), word(20)
+            page, want = add(f"<h2>{a}</h2><blockquote>{b}</blockquote><pre>{c}</pre><p>{d}</p>"), [*blocks, a, b, c, d]
+        elif case == "figure and terms":
+            a, b, c = word(5), word(2), word(8)
+            page, want = add(f"<figure><figcaption>{a}</figcaption></figure><dl><dt>{b}</dt><dd>{c}</dd></dl>"), [*blocks, a, b, c]
+        elif case == "div paragraphs":
+            lo, hi = page.index("<article>"), page.index("</article>") + len("</article>")
+            want = [b.text for b in h.blocks_of(page) if "article" in b.path]
+            page = page[:lo] + page[lo:hi].replace("<p>", "<div>").replace("</p>", "</div>").replace("article>", "div>") + page[hi:]
+        elif case == "comments inside":
+            page = add('<div class="comments">' + "".join(f"<p>{x}</p>" for x in _items(4, 14, word)) + "</div>")
+        else:
+            page = page.replace("</article>", f'</article><div class="related">{_list("ul", _items(5, 3, word))}</div>')
+        found = h.blocks_of(page)
+        got = [b.text for b, s in zip(found, model.label([h.page_vectors(found)])[0], strict=True) if s >= 0.5]
+        if want is None:
+            want = [b.text for b in found if "article" in b.path]
+        exact += got == want
+        lost += len(set(want) - set(got))
+        total += len(want)
+    if case not in ("div paragraphs", "comments inside", "lists outside"):  # these three aren't solved, see the README
+        assert exact >= 0.9 * len(pages)
+    assert lost <= 0.08 * total
