@@ -32,6 +32,13 @@ def scalar_or_array_contains(left: DataFrame, right: DataFrame, value: str, colu
 
 #: Keys with more rows than this are cut into blocks of time; at most HEAVY_KEYS are (any other has less than that part of all rows).
 HEAVY_ROWS, HEAVY_KEYS = 1_000_000, 10_000
+#: Bytes that a row has at the least in the planner's sizes: smaller inputs can't have a key of HEAVY_ROWS, and aren't looked through for one.
+ROW_BYTES = 16
+
+
+def plan_bytes(df: DataFrame) -> int:
+    """The planner's estimate of a table's size; without statistics, a very large number."""
+    return int(str(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))
 
 
 def as_of(left: DataFrame, history: DataFrame, key: list[tuple[str, str]], at: str, valid_from: str = "valid_from", valid_to: str = "valid_to", heavy_rows: int = HEAVY_ROWS, cuts: int = 256) -> DataFrame:
@@ -54,13 +61,21 @@ def as_of(left: DataFrame, history: DataFrame, key: list[tuple[str, str]], at: s
     versions = versions.filter(reduce(Column.__and__, [F.col(k).isNotNull() for k in ks]))
     rows = events.unionByName(versions, allowMissingColumns=True)
 
+    holds = F.col("__version.until").isNull() | (F.col("__version.until") > F.col("__t"))
+    result = F.when(F.col("__t").isNotNull() & holds, F.col("__version.row")).alias("__row")
+    no_key = reduce(Column.__or__, [F.col(k).isNull() for k in ks])
+    spread = F.when(no_key, -1 - F.pmod(F.xxhash64("__left"), F.lit(1024)))
+    order = Window.partitionBy(*ks, "__block").orderBy(F.col("__t").asc_nulls_first(), "__kind", F.col("__version.until").asc_nulls_last()).rowsBetween(Window.unboundedPreceding, 0)
+    if plan_bytes(left) + plan_bytes(history) < heavy_rows * ROW_BYTES:
+        merged = rows.withColumn("__block", F.coalesce(spread, F.lit(0)))
+        return merged.withColumn("__version", F.last("__version", ignorenulls=True).over(order)).filter("__kind = 1").select("__left", result).select("__left.*", "__row.*")
+
     # Both small tables are of at most HEAVY_KEYS keys.
     heavy = rows.groupBy(*ks).agg(F.count(F.lit(1)).alias("__n")).filter(F.col("__n") > heavy_rows)
     heavy = heavy.filter(reduce(Column.__and__, [F.col(k).isNotNull() for k in ks])).orderBy(F.desc("__n"), *ks).limit(HEAVY_KEYS)
     some = F.pmod(F.xxhash64("__t"), F.greatest(F.expr(f"__n div {cuts}"), F.lit(1))) == 0
     ends = rows.select(*ks, "__t").join(F.broadcast(heavy), ks).filter(some & F.col("__t").isNotNull()).groupBy(*ks).agg(F.array_sort(F.collect_set("__t")).alias("__cuts"))
-    no_key = reduce(Column.__or__, [F.col(k).isNull() for k in ks])
-    block = F.when(no_key, -1 - F.pmod(F.xxhash64("__left"), F.lit(1024))).when(F.col("__cuts").isNull() | F.col("__t").isNull(), 0).otherwise(F.size(F.filter("__cuts", lambda c: c <= F.col("__t"))))
+    block = spread.when(F.col("__cuts").isNull() | F.col("__t").isNull(), 0).otherwise(F.size(F.filter("__cuts", lambda c: c <= F.col("__t"))))
     blocked = rows.join(F.broadcast(ends), ks, "left").withColumn("__block", block)
 
     last = blocked.filter((F.col("__kind") == 0) & F.col("__cuts").isNotNull()).groupBy(*ks, "__block").agg(F.max_by("__version", F.struct(F.col("__t"), F.col("__version.until").isNull(), F.col("__version.until"))).alias("__version"))
@@ -69,10 +84,8 @@ def as_of(left: DataFrame, history: DataFrame, key: list[tuple[str, str]], at: s
     carry = every.join(last, [*ks, "__block"], "left").withColumn("__version", F.last("__version", ignorenulls=True).over(before)).filter(F.col("__version").isNotNull())
     carry = carry.withColumn("__t", F.col("__version.since")).withColumn("__kind", F.lit(0))
 
-    order = Window.partitionBy(*ks, "__block").orderBy(F.col("__t").asc_nulls_first(), "__kind", F.col("__version.until").asc_nulls_last()).rowsBetween(Window.unboundedPreceding, 0)
     merged = blocked.drop("__cuts").unionByName(carry, allowMissingColumns=True).withColumn("__version", F.last("__version", ignorenulls=True).over(order)).filter("__kind = 1")
-    holds = F.col("__version.until").isNull() | (F.col("__version.until") > F.col("__t"))
-    return merged.select("__left", F.when(F.col("__t").isNotNull() & holds, F.col("__version.row")).alias("__row")).select("__left.*", "__row.*")
+    return merged.select("__left", result).select("__left.*", "__row.*")
 
 
 def overlapping(history: DataFrame, key: list[str], valid_from: str = "valid_from", valid_to: str = "valid_to") -> DataFrame:

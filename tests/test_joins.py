@@ -44,10 +44,10 @@ def draw(seed, hot):
     return events, versions
 
 
-@pytest.mark.parametrize("heavy_rows", [1_000_000, 20])
+@pytest.mark.parametrize("heavy_rows", [1_000_000, 20, 10**19])
 @pytest.mark.parametrize("seed", [1, 2])
 def test_as_of_is_the_range_join(spark, seed, heavy_rows):
-    """Also where most keys are cut into blocks of time."""
+    """Also where most keys are cut into blocks of time, and where the input is too small for that."""
     events, versions = draw(seed, hot=True)
     e, v = spark.createDataFrame(events, EVENTS), spark.createDataFrame(versions, VERSIONS)
     assert joins.overlapping(v.filter("key is not null"), ["key"], "since", "until").isEmpty()
