@@ -28,9 +28,9 @@ def language_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFra
 
 
 def simhash_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """The row with the least doc_id of each group of similar texts. Texts without words are one group; repeats of the kept row, id and text, all stay."""
+    """The row with the least doc_id of each group of texts with SimHash fingerprints within 4 bits, by covering LSH, or similar shingle sets. Texts without words are one group; repeats of the kept row, id and text, all stay."""
     ship(spark)
-    return simhash.drop_similar(docs)
+    return simhash.drop_near_or_similar(docs)
 
 
 def mixing_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

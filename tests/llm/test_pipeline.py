@@ -50,3 +50,20 @@ def test_stages_on_edge_rows(spark, sf, request, table):
 def test_run_writes_and_rereads_each_stage(spark, sf):
     got = __spark_entry__.queries()["pipeline"](spark, sf)
     assert got.count() > 100 and {"doc_id", "n_tokens", "ids"} <= set(got.columns)
+
+
+def test_near_duplicates_go_by_the_covering_fingerprints(spark):
+    """The groups are the closure of op7's and of those of similar sets, both compared with brute force in test_simhash."""
+    docs = spark.read.parquet("/root/testdata/sf0.01/documents.parquet")
+    kept = {r.doc_id for r in corpus_pipeline.simhash_stage(spark, docs, None).collect()}
+    near = {r.doc_id: r.component_id for r in simhash.near_duplicates(docs).collect()}
+    similar = {r.doc_id: r.component_id for r in simhash.similar_components(docs).collect()}
+    assert any(near[k] != k and similar[k] == k for k in near)
+    least = {k: k for k in near}
+    while True:
+        before = dict(least)
+        for k in near:
+            least[k] = least[near[k]] = least[similar[k]] = min(least[k], least[near[k]], least[similar[k]])
+        if least == before:
+            break
+    assert kept == {k for k in least if least[k] == k}

@@ -181,3 +181,17 @@ def test_joins_of_hot_keys_and_rows_of_one_id(spark, monkeypatch):
 
 def test_the_last_family_has_no_large_bucket():
     assert simhash.largest_last_bucket() <= 2**15
+
+
+def test_fingerprints_with_many_sets(spark, monkeypatch, edges, empty):
+    """Texts of one fingerprint but other sets are one component, by the broadcast way too."""
+    lines = ["so " * 400 + f"x{k} y{k} z{k}" for k in range(30)]
+    docs = spark.createDataFrame([*enumerate(lines), (99, "nothing like the others at all")], "doc_id long, text string")
+    fps = brute(dict(enumerate(lines)))
+    assert len(set(fps.values())) == 1 and len({frozenset(shingles(t)) for t in lines}) == 30
+    monkeypatch.setattr("quarryline.llm.common.HEAVY_ROWS", 5)
+    assert {r.doc_id for r in simhash.drop_near_or_similar(docs).collect()} == {0, 99}
+    monkeypatch.undo()
+    got = {r.doc_id: r.component_id for r in simhash.near_or_similar_components(edges).collect()}
+    assert got[1] == got[2] == got[3] == 1 and got[4] == got[5] == 4 and got[6] == got[7] == 6
+    assert simhash.drop_near_or_similar(edges).columns == edges.columns and simhash.near_or_similar_components(empty).count() == 0
