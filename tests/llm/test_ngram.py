@@ -143,3 +143,24 @@ def test_chunks_keep_their_size(documents, texts):
     for r in ngram.score_documents(documents, doc_key() % 10 == 0, 3, chunks=23).collect():
         known, base, score = few[r.doc_id]
         assert r.n_known == known and abs(r.base_score - base) < 1e-9 * abs(base) and abs(r.score - score) < 1e-9 * abs(score)
+
+
+def test_base_scores_ask_for_no_ngrams(spark, sf, monkeypatch):
+    """lm_base_scores gives op2's figures and takes words alone; its plan is of order 1."""
+    orders, score = [], ngram.score_documents
+    monkeypatch.setattr(ngram, "score_documents", lambda *a, **k: orders.append(k["order"]) or score(*a, **k))
+    columns = ["doc_id", "held_out", "n_tokens", "n_known", "train_tokens", F.round("base_score", 4).alias("base_score")]
+    queries = __spark_entry__.queries()
+    got = sorted(map(tuple, queries["lm_base_scores"](spark, sf).collect()))
+    assert orders == [1] and got == sorted(map(tuple, queries["op2_lm_scoring"](spark, sf).select(*columns).collect()))
+    assert len(got) == 200
+
+
+def test_a_chunk_asks_in_the_order_of_shards():
+    import pyarrow as pa
+
+    chunk = ngram.Chunk(pa.chunked_array([["a b a c", None, "c b a"]]), 2, 40)
+    for kind, far, at in chunk.asked():
+        bits = ngram.bits_of(kind, 40)
+        _, same, edges = ngram.deal(ngram.gather(far, bits), 3, bits)
+        assert (same == far).all() and (ngram.edges_of(far, 3, bits) == edges).all() and (np.unique(at) == np.arange(len(far))).all()
